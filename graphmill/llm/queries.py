@@ -128,10 +128,10 @@ t AS (
 g AS (SELECT source, n, target, least(floor(target + 0.5)::BIGINT, {mixing.MAX_REPEATS} * n) AS words FROM t),
 p AS (
   SELECT d.doc_id, d.size, g.n, g.target, g.words,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, n AS source_size, target,
-  (CASE WHEN n = 0 THEN 0 ELSE words // n * size + greatest(0, least(size, words % n - at)) END)::BIGINT AS taken
+  (CASE WHEN n = 0 THEN 0 ELSE words // n * size + greatest(0, least(size, words % n - place)) END)::BIGINT AS taken
 FROM p"""
 
 
