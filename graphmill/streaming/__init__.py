@@ -1 +1,32 @@
+"""Late scores as a stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.build import upsert
+from ..schemas import TRUST_SIGNALS
+
+UPDATED = ["score", "reason", "error_text", "model", "created_at"]
+
+
+def merge_signals(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Last write wins per signal id; only score, texts, model and time change."""
+    return upsert(old, new, "signal_id", UPDATED, [F.col("created_at").desc_nulls_last(), F.col("score").desc_nulls_last()])
+
+
+def upsert_stream(spark: SparkSession, source: str, table: str, checkpoint: str):
+    """A file stream of score rows upserted into versioned snapshots below ``table``; returns the started query.
+
+    Each micro-batch writes a new snapshot ``v=<batch>`` from the one before, so a
+    batch that runs again overwrites its own result only.
+    """
+    stream = spark.readStream.schema(TRUST_SIGNALS).parquet(source)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        old = session.read.schema(TRUST_SIGNALS).parquet(f"{table}/v={number - 1}") if number else session.createDataFrame([], TRUST_SIGNALS)
+        merge_signals(old, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
