@@ -125,10 +125,10 @@ def counts(rows: DataFrame) -> DataFrame:
     return per_class.select(F.lit("class").alias("kind"), "key", "n").unionByName(per_source.select(F.lit("source").alias("kind"), "key", "n"))
 
 
-def profile(rows: DataFrame, buckets: dict[str, str], top: int | None = None) -> DataFrame:
+def profile(rows: DataFrame, buckets: dict[str, str]) -> DataFrame:
     """``bucket, chem, median, place``: chemicals by class bucket, ordered by median, nulls last."""
     table = F.create_map(*(F.lit(x) for kv in buckets.items() for x in kv))
-    flat = rows.withColumn("bucket", F.try_element_at(table, F.explode("classes"))).filter("bucket is not null").select("bucket", "chem", "median").distinct()
+    flat = rows.withColumn("class", F.explode("classes")).withColumn("bucket", F.try_element_at(table, F.col("class"))).filter("bucket is not null").select("bucket", "chem", "median").distinct()
     w = Window.partitionBy("bucket").orderBy(F.col("median").desc_nulls_last(), "chem")
     return flat.withColumn("place", F.row_number().over(w))
 
