@@ -34,8 +34,9 @@ def claims(raw: DataFrame, response: str = "response") -> tuple[DataFrame, DataF
     ``unconverted``; rows of the last two are claims as well.
     """
     lines = raw.filter(F.col(response).isNotNull()).withColumn("line", F.explode(F.split(F.trim(response), r"\r?\n")))
-    parsed = lines.withColumn("claim", claim(F.col("line")))
-    parsed = parsed.withColumn("conc", concentration.parse(F.col("claim.quantity")))
+    # explode keeps the optimiser from repeating the long expressions wherever a field is used
+    parsed = lines.select("*", F.explode(F.array(claim(F.col("line")))).alias("claim"))
+    parsed = parsed.select("*", F.explode(F.array(concentration.parse(F.col("claim.quantity")))).alias("conc"))
     parsed = parsed.withColumn("conc_value", concentration.convert(F.col("conc.value"), F.col("conc.unit")))
     given = F.col("claim.quantity") != ""
     error = F.when(F.col("claim").isNull(), "bad_tuple").when(given & F.col("conc").isNull(), "bad_conc").when(given & F.col("conc_value").isNull(), "unconverted")

@@ -241,7 +241,7 @@ def disambiguate(nodes: DataFrame, taken: DataFrame, preference: list[str]) -> D
 def lookup_table(entities: DataFrame) -> DataFrame:
     """``entity_type, name, entity_ids``: every lower-cased name and synonym with the sorted ids that bear it."""
     names = F.array_union(F.array("common_name"), F.coalesce("synonyms", F.array().cast("array<string>")))
-    flat = entities.select("entity_type", "entity_id", F.lower(F.explode(names)).alias("name")).filter("name is not null and name <> ''")
+    flat = entities.select("entity_type", "entity_id", F.explode(F.transform(names, lambda n: F.lower(n))).alias("name")).filter("name is not null and name <> ''")
     return flat.groupBy("entity_type", "name").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
 
 

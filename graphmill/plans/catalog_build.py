@@ -1 +1,457 @@
-QUERIES: dict = {}
+"""Construction entries: ids, registry, lookup tables, triplets, upserts, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import concentration, names
+from ..operators import build, report
+from . import testgraph as tg
+
+QUERIES: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = (fn, sql)
+        return fn
+
+    return add
+
+
+def _joined(c: str):
+    return F.array_join(c, ",").alias(c)
+
+
+def _cast(c: str):
+    return F.col(c).cast("string")
+
+
+@query("""WITH h AS (SELECT s_nationkey AS k, list_sort(list('s' || s_suppkey)) AS c FROM supplier GROUP BY 1), e AS (SELECT DISTINCT s_nationkey AS hk, p_size % 25 AS tk FROM supplier JOIN part ON s_suppkey = p_partkey),
+t AS (SELECT p_size % 25 AS k, list_sort(list('p' || p_partkey)) AS c FROM part WHERE p_size < 3 GROUP BY 1)
+SELECT head_id, tail_id, len(h.c)::INT AS n_head_cand, len(t.c)::INT AS n_tail_cand FROM e JOIN h ON h.k = e.hk JOIN t ON t.k = e.tk, unnest(h.c) AS a(head_id), unnest(t.c) AS b(tail_id)""")
+def native_id_join(spark, d):
+    """1:N ids multiply out"""
+    s, p = tg.table(spark, d, "supplier"), tg.table(spark, d, "part")
+    ents = lambda df, pre, key, ref: df.select(F.concat(F.lit(pre), key).alias("entity_id"), F.create_map(F.lit("x"), F.array(ref.cast("string"))).alias("external_ids"))
+    heads = build.explode_ids(ents(s, "s", "s_suppkey", F.col("s_nationkey")), "x")
+    tails = build.explode_ids(ents(p.filter("p_size < 3"), "p", "p_partkey", F.col("p_size") % 25), "x")
+    edges = s.join(p, F.col("s_suppkey") == F.col("p_partkey")).select(_cast("s_nationkey").alias("head_native_id"), (F.col("p_size") % 25).cast("string").alias("tail_native_id")).distinct()
+    out = build.resolve_edges(edges, heads, tails)
+    return out.select("head_id", "tail_id", F.size("head_candidates").alias("n_head_cand"), F.size("tail_candidates").alias("n_tail_cand"))
+
+
+@query(f"""WITH {tg.CLAIMS} SELECT food AS head_id, 'r1' AS relationship_id, part AS tail_id, min(source) AS source, count(DISTINCT attestation_id) AS n_att, min(attestation_id) AS first_att FROM claims GROUP BY food, part""")
+def triplet_merge(spark, d):
+    """A10 W02"""
+    c = tg.claims(spark, d).select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
+    out = build.merge_triplets(c)
+    return out.select("head_id", "relationship_id", "tail_id", "source", F.size("attestation_ids").cast("long").alias("n_att"), F.get("attestation_ids", 0).alias("first_att"))
+
+
+@query(f"""WITH {tg.CLAIMS}, {tg.EDGES}, m AS (SELECT food AS h, 'r1' AS r, part AS t, count(DISTINCT attestation_id) AS n FROM claims GROUP BY food, part)
+SELECT h AS head_id, r AS relationship_id, t AS tail_id, n AS n_att FROM m UNION ALL SELECT head, 'r2', tail, 0 FROM edges""")
+def triplets_with_ontology(spark, d):
+    """A11, appended in two runs (A10)"""
+    c = tg.claims(spark, d).select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
+    both = build.append_triplets(build.merge_triplets(c.filter("source <> 'lit'")), build.merge_triplets(c.filter("source <> 'dmd'")))
+    out = build.add_ontology(both, tg.edges(spark, d).select(F.col("head").alias("head_id"), F.lit("r2").alias("relationship_id"), F.col("tail").alias("tail_id")))
+    return out.select("head_id", "relationship_id", "tail_id", F.size("attestation_ids").cast("long").alias("n_att"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p, max(l_quantity) OVER (PARTITION BY l_suppkey, l_partkey) AS amount FROM lineitem WHERE l_returnflag = 'A'),
+x AS (SELECT 's' || s AS head, 'p' || p AS tail, amount, CASE p_size % 3 WHEN 0 THEN 'mg' WHEN 1 THEN 'ug' ELSE NULL END AS unit FROM e JOIN part ON p = p_partkey)
+SELECT head AS head_id, 'r1' AS rel, tail AS tail_id, round(amount * CASE WHEN unit = 'ug' THEN 0.001 ELSE 1 END, 6) AS value, 1 AS n_att FROM x""")
+def typed_triplets_food(spark, d):
+    """Composition from tables, unit per nutrient, milligrams by default"""
+    li = tg.table(spark, d, "lineitem").filter("l_returnflag = 'A'").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("amount"))
+    edges = li.select(_cast("l_suppkey").alias("head_native_id"), _cast("l_partkey").alias("tail_native_id"), "amount")
+    unit = F.when(F.col("p_size") % 3 == 0, "MG").when(F.col("p_size") % 3 == 1, "UG")
+    units = tg.table(spark, d, "part").select(_cast("p_partkey").alias("tail_native_id"), unit.alias("unit_name"))
+    _, att, trip = build.food_triplets(edges, _ids(tg.table(spark, d, "supplier"), "s", "s_suppkey"), _ids(tg.table(spark, d, "part"), "p", "p_partkey"), units)
+    value = att.select("head_name_raw", "tail_name_raw", "conc_value")
+    t = trip.select("head_id", "relationship_id", "tail_id", F.size("attestation_ids").alias("n_att"))
+    return t.join(value, (t.head_id == F.concat(F.lit("s"), value.head_name_raw)) & (t.tail_id == F.concat(F.lit("p"), value.tail_name_raw))).select("head_id", F.col("relationship_id").alias("rel"), "tail_id", F.round("conc_value", 6).alias("value"), "n_att")
+
+
+def _ids(df, prefix, key):
+    one = F.concat(F.lit(prefix), F.col(key))
+    return df.select(_cast(key).alias("native_id"), one.alias("entity_id"), F.array(one).alias("candidates")).distinct()
+
+
+@query("""SELECT 'milk' AS head_id, 'r1' AS rel, 'p' || p_partkey AS tail_id, round(p_retailprice / 1.03 * 100 / 240 / 1000, 9) AS value FROM part WHERE p_retailprice > 0""")
+def typed_triplets_milk(spark, d):
+    """One fixed head"""
+    p = tg.table(spark, d, "part").filter("p_retailprice > 0")
+    edges = p.select(F.lit("milk").alias("head_native_id"), _cast("p_partkey").alias("tail_native_id"), concentration.milk_concentration(F.col("p_retailprice"), F.lit("ug/240ml"), F.lit(None).cast("double"), F.lit(False)).alias("conc_value"))
+    _, att, trip = build.milk_triplets(edges, _ids(p, "p", "p_partkey"), "milk")
+    t = trip.select("head_id", F.col("relationship_id").alias("rel"), "tail_id", F.get("attestation_ids", 0).alias("attestation_id"))
+    return t.join(att, "attestation_id").select("head_id", "rel", "tail_id", F.round("conc_value", 9).alias("value"))
+
+
+@query(f"""WITH {tg.CLAIMS} SELECT part AS head_id, CASE status WHEN 'F' THEN 'r3' ELSE 'r4' END AS rel, 'n' || c_nationkey AS tail_id, count(DISTINCT reference) AS n_att
+FROM claims JOIN customer ON subject = c_custkey WHERE status IN ('F', 'O') GROUP BY ALL""")
+def typed_triplets_disease(spark, d):
+    """One evidence per publication, P is unmapped"""
+    c = tg.claims(spark, d).join(tg.table(spark, d, "customer"), F.col("subject") == F.col("c_custkey"))
+    how = F.when(F.col("status") == "F", "marker/mechanism").when(F.col("status") == "O", "therapeutic").otherwise("inferred")
+    edges = c.select(F.substring("part", 2, 20).alias("head_native_id"), _cast("c_nationkey").alias("tail_native_id"), how.alias("direct_evidence"), "reference").groupBy("head_native_id", "tail_native_id", "direct_evidence").agg(F.collect_set("reference").alias("pubmed_ids"))
+    _, _, trip = build.disease_triplets(edges, _ids(tg.table(spark, d, "part"), "p", "p_partkey"), _ids(tg.table(spark, d, "nation"), "n", "n_nationkey"))
+    return trip.select("head_id", F.col("relationship_id").alias("rel"), "tail_id", F.size("attestation_ids").cast("long").alias("n_att"))
+
+
+@query(f"WITH {tg.EDGES} SELECT head, tail, 'PROMO' AS rule FROM edges WHERE tail = 't:PROMO' UNION ALL SELECT head, tail, 'SMALL' FROM edges WHERE tail = 't:SMALL'")
+def rule_edges(spark, d):
+    """Class labels to parents"""
+    nodes = tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.array("p_type").alias("labels"))
+    rules = spark.createDataFrame([("PROMO", "t:PROMO"), ("SMALL", "t:SMALL")], "label string, parent string")
+    return build.labelled_parents(nodes, rules)
+
+
+@query("""SELECT a.k AS head, b.k AS tail FROM (SELECT 's' || s_suppkey AS k, s_name FROM supplier) a JOIN (SELECT 'n' || n_nationkey AS k, n_name FROM nation) b
+ON (s_name = 'Supplier#000000001' AND n_name = 'NATION_3') OR (s_name = 'Supplier#000000002' AND n_name = 'NATION_4')""")
+def bridge_edges(spark, d):
+    """Hand-made pairs; a pair with an unknown name is left out"""
+    pairs = spark.createDataFrame([("Supplier#000000001", "NATION_3"), ("Supplier#000000002", "NATION_4"), ("Supplier#000000003", "NOWHERE")], "head_name string, tail_name string")
+    lookup = tg.table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("s"), "s_suppkey").alias("entity_id")).unionByName(tg.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("n"), "n_nationkey").alias("entity_id")))
+    return build.bridges(pairs, lookup)
+
+
+@query("""SELECT 'ev' || substr(sha256('dmd:' || o_orderkey || ':' || o_orderstatus), 1, 12) AS id, o_orderkey AS key FROM orders
+UNION ALL SELECT sha256(s_suppkey || '|judge|v1|h'), s_suppkey FROM supplier""")
+def content_ids(spark, d):
+    """C10"""
+    o, s = tg.table(spark, d, "orders"), tg.table(spark, d, "supplier")
+    return o.select(names.content_id("ev", F.lit("dmd"), F.col("o_orderkey"), F.col("o_orderstatus")).alias("id"), F.col("o_orderkey").alias("key")).unionByName(s.select(names.signal_id(F.col("s_suppkey"), F.lit("judge"), F.lit("v1"), F.lit("h")).alias("id"), F.col("s_suppkey").alias("key")))
+
+
+@query("""SELECT id, min(orderkey) AS orderkey FROM (SELECT 'ev' || substr(sha256(o_orderstatus || ':' || o_custkey), 1, 12) AS id, o_orderkey AS orderkey, o_orderkey % 2 AS late FROM orders)
+GROUP BY id""")
+def evidence_append(spark, d):
+    """Two runs, each id once"""
+    o = tg.table(spark, d, "orders").select(names.content_id("ev", F.col("o_orderstatus"), F.col("o_custkey")).alias("id"), F.col("o_orderkey").alias("orderkey"))
+    first = build.append_new(o.limit(0), o, "id", [F.col("orderkey").asc()])
+    return build.append_new(first, o, "id", [F.col("orderkey").desc()])
+
+
+REGISTRY = """registry AS (SELECT 'x' AS source, p_partkey::VARCHAR AS native_id, 'e' || (p_partkey * 2) AS entity_id FROM part WHERE p_partkey % 3 = 0)"""
+
+
+def _registry(spark, d):
+    p = tg.table(spark, d, "part").filter("p_partkey % 3 = 0")
+    return p.select(F.lit("x").alias("source"), _cast("p_partkey").alias("native_id"), F.concat(F.lit("e"), F.col("p_partkey") * 2).alias("entity_id"))
+
+
+@query(f"""WITH {REGISTRY}, n AS (SELECT 'x' AS source, p_partkey::VARCHAR AS native_id, p_partkey, p_name FROM part), m AS (SELECT max(substr(entity_id, 2)::BIGINT) AS top FROM registry)
+SELECT n.native_id, n.p_name, coalesce(r.entity_id, 'e' || (top + row_number() OVER (PARTITION BY r.entity_id IS NULL ORDER BY n.p_name, n.p_partkey))) AS entity_id FROM n LEFT JOIN registry r USING (source, native_id), m""")
+def new_entity_ids(spark, d):
+    """W03 A22 B07"""
+    nodes = tg.table(spark, d, "part").select(F.lit("x").alias("source"), _cast("p_partkey").alias("native_id"), "p_partkey", "p_name")
+    return build.register(_registry(spark, d), nodes, ["p_name", "p_partkey"]).select("native_id", "p_name", "entity_id")
+
+
+@query(f"""WITH {REGISTRY}, a AS (SELECT source, native_id, entity_id FROM registry WHERE native_id <> '3' UNION SELECT 'y', native_id, entity_id FROM registry WHERE native_id::INT % 2 = 0 UNION SELECT 'x', '3', 'e999')
+SELECT * FROM a""")
+def registry_resolve(spark, d):
+    """U07 J11"""
+    r = _registry(spark, d)
+    alias = r.filter("cast(native_id as int) % 2 = 0").withColumn("source", F.lit("y"))
+    out = build.register_alias(build.register_alias(r, alias), alias)
+    return build.reassign(out, spark.createDataFrame([("x", "3", "e999")], "source string, native_id string, entity_id string"))
+
+
+@query(f"""WITH {REGISTRY}, two AS (SELECT source, native_id, entity_id FROM registry UNION ALL SELECT source, native_id, entity_id || '0' FROM registry WHERE native_id::INT % 30 = 0)
+SELECT source, native_id, count(DISTINCT entity_id) AS n FROM two GROUP BY ALL HAVING n > 1""")
+def registry_conflicts(spark, d):
+    """Duplicate keys"""
+    r = _registry(spark, d)
+    return build.registry_conflicts(r.unionByName(r.filter("cast(native_id as int) % 30 = 0").withColumn("entity_id", F.concat("entity_id", F.lit("0")))))
+
+
+@query(f"WITH {tg.ENTITIES} SELECT CASE entity_type WHEN 'food' THEN 'fdc' WHEN 'disease' THEN 'ctd' ELSE 'chebi' END AS source, ids[1] AS native_id, entity_id, true AS is_primary FROM entities")
+def registry_seed(spark, d):
+    """Rules by type and key"""
+    rules = spark.createDataFrame([("food", "fdc", "fdc"), ("chemical", "chebi", "chebi"), ("disease", "ctd", "ctd")], "entity_type string, key string, source string")
+    return build.seed_registry(tg.entities(spark, d), rules)
+
+
+@query("""SELECT p_partkey::VARCHAR AS native_id, p_name || CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 OR p_name IN ('red ring') THEN CASE WHEN p_size > 25 THEN ' (CHEBI:' || p_size || ')' ELSE ' (PUBCHEM:' || p_partkey || ')' END ELSE '' END AS display_name FROM part WHERE p_partkey % 5 = 0""")
+def disambiguated_names(spark, d):
+    """B09"""
+    p = tg.table(spark, d, "part").filter("p_partkey % 5 = 0").select(_cast("p_partkey").alias("native_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, _cast("p_size")).alias("chebi"), _cast("p_partkey").alias("pubchem"))
+    return build.disambiguate(p, spark.createDataFrame([("red ring",)], "name string"), ["chebi", "pubchem"])
+
+
+@query("""WITH l AS (SELECT 'n' || s_nationkey AS entity_id, 'fdc' AS key, s_suppkey::VARCHAR AS value FROM supplier UNION SELECT 'n' || s_nationkey, 'cdno', (s_suppkey % 7)::VARCHAR FROM supplier)
+SELECT entity_id, key, string_agg(value, ',' ORDER BY value) AS ids FROM l GROUP BY ALL""")
+def id_map_merge(spark, d):
+    """Long rows to id maps"""
+    s = tg.table(spark, d, "supplier")
+    e = F.concat(F.lit("n"), "s_nationkey").alias("entity_id")
+    long = s.select(e, F.lit("fdc").alias("key"), _cast("s_suppkey").alias("value")).unionByName(s.select(e, F.lit("cdno").alias("key"), (F.col("s_suppkey") % 7).cast("string").alias("value")))
+    return build.merge_ids(long).select("entity_id", F.explode("external_ids").alias("key", "ids")).select("entity_id", "key", F.array_join("ids", ",").alias("ids"))
+
+
+XREFS = """x AS (SELECT p_partkey::VARCHAR AS native_id, 'CHEBI_' || (p_partkey % 40) AS target, p_size AS cid, lower(p_name) AS term FROM part)"""
+
+
+@query(f"""WITH {XREFS}, c AS (SELECT s_suppkey, 's' || s_suppkey AS e FROM supplier), k AS (SELECT p_name AS term, 'm' || min(p_size) AS mesh FROM part GROUP BY p_name)
+SELECT DISTINCT e AS entity_id, 'cdno' AS key, native_id AS value FROM x JOIN c ON c.s_suppkey = substr(target, 7)::INT
+UNION SELECT e, 'mesh', mesh FROM x JOIN k USING (term) JOIN c ON c.s_suppkey = x.cid""")
+def chained_links(spark, d):
+    """Link by number suffix; three hops by term name"""
+    from ..operators import resolve
+
+    p, s = tg.table(spark, d, "part"), tg.table(spark, d, "supplier")
+    entity = s.select(_cast("s_suppkey").alias("native_id"), F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
+    xref = p.select(_cast("p_partkey").alias("native_id"), F.concat(F.lit("CHEBI_"), F.col("p_partkey") % 40).alias("target_id"))
+    terms = p.select(_cast("p_size").alias("compound"), F.col("p_name").alias("term"))
+    mesh = p.groupBy(F.col("p_name").alias("term")).agg(F.concat(F.lit("m"), F.min("p_size")).alias("mesh_id"))
+    return resolve.link_chebi(xref, entity, "cdno").unionByName(resolve.link_mesh(terms, mesh, entity))
+
+
+@query("""WITH r AS (SELECT p_partkey::VARCHAR AS native_id, p_partkey AS k, p_size FROM part), t1 AS (SELECT native_id, 's' || s_suppkey AS entity_id FROM r JOIN supplier ON s_suppkey = k), t2 AS (SELECT native_id, 'n' || n_nationkey AS entity_id FROM r JOIN nation ON n_nationkey = p_size)
+SELECT native_id, entity_id, 1 AS tier FROM t1 UNION SELECT native_id, entity_id, 2 FROM t2 WHERE native_id NOT IN (SELECT native_id FROM t1)""")
+def tiered_link(spark, d):
+    """J10"""
+    p = tg.table(spark, d, "part").select(_cast("p_partkey").alias("native_id"), "p_partkey", "p_size")
+    one = p.join(tg.table(spark, d, "supplier"), F.col("s_suppkey") == F.col("p_partkey")).select("native_id", F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
+    two = p.join(tg.table(spark, d, "nation"), F.col("n_nationkey") == F.col("p_size")).select("native_id", F.concat(F.lit("n"), "n_nationkey").alias("entity_id"))
+    return build.link_tiers(p, [one, two])
+
+
+@query("""SELECT p_partkey::VARCHAR AS native_id, CASE WHEN p_partkey = 6 THEN 'multi' WHEN p_partkey IN (5, 6) THEN 'fixed' ELSE 'http://x/' || p_size END AS target FROM part""")
+def override_link(spark, d):
+    """J06 S25"""
+    x = tg.table(spark, d, "part").select(_cast("p_partkey").alias("native_id"), F.concat(F.lit("http://x/"), "p_size").alias("target"))
+    table = lambda rows: spark.createDataFrame(rows, "native_id string, target string")
+    return build.link_with_overrides(x, table([("5", "fixed"), ("6", "fixed")]), table([("6", "multi")]))
+
+
+LUT = f"""{tg.ENTITIES}, flat AS (SELECT DISTINCT entity_type, entity_id, lower(x) AS name FROM (SELECT entity_type, entity_id, unnest(list_concat([common_name], synonyms)) AS x FROM entities) WHERE x <> ''),
+lut AS (SELECT entity_type, name, list_sort(list(entity_id)) AS entity_ids FROM flat GROUP BY ALL)"""
+
+
+@query(f"WITH {LUT} SELECT entity_type, name, len(entity_ids) AS n_ids, entity_ids[1] AS first_id FROM lut")
+def name_lut(spark, d):
+    """B13"""
+    return build.lookup_table(tg.entities(spark, d)).select("entity_type", "name", F.size("entity_ids").cast("long").alias("n_ids"), F.get("entity_ids", 0).alias("first_id"))
+
+
+@query(f"WITH {LUT} SELECT entity_type, name, array_to_string(entity_ids, ',') AS ids FROM lut WHERE len(entity_ids) > 1")
+def ambiguous_names(spark, d):
+    """B13 F13"""
+    return build.ambiguous(build.lookup_table(tg.entities(spark, d))).select("entity_type", "name", F.array_join("entity_ids", ",").alias("ids"))
+
+
+CLAIMED = """named AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'supplier#' || lpad((o_custkey % 100)::VARCHAR, 9, '0') ELSE 'nobody ' || o_custkey % 5 END AS food,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'mystery' ELSE (SELECT min(p_name) FROM part WHERE p_partkey = o_orderkey % 50) END AS chemical FROM orders)"""
+
+
+def _claimed(spark, d):
+    o = tg.table(spark, d, "orders")
+    p = tg.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    food = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("supplier#"), F.lpad((F.col("o_custkey") % 100).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("nobody "), F.col("o_custkey") % 5))
+    return o.join(p, F.col("o_orderkey") % 50 == F.col("k"), "left").select("o_orderkey", food.alias("food"), F.when(F.col("o_orderkey") % 4 == 0, "mystery").otherwise(F.col("p_name")).alias("chemical"))
+
+
+@query(f"""WITH {LUT}, {CLAIMED} SELECT o_orderkey, h.head_id, t.tail_id, len(a.entity_ids)::INT AS n_head, len(b.entity_ids)::INT AS n_tail FROM named JOIN lut a ON a.entity_type = 'food' AND a.name = food JOIN lut b ON b.entity_type = 'chemical' AND b.name = chemical, unnest(a.entity_ids) AS h(head_id), unnest(b.entity_ids) AS t(tail_id)""")
+def name_resolution(spark, d):
+    """J04"""
+    out = build.resolve_claims(_claimed(spark, d), build.lookup_table(tg.entities(spark, d)))
+    return out.select("o_orderkey", "head_id", "tail_id", F.size("head_candidates").alias("n_head"), F.size("tail_candidates").alias("n_tail"))
+
+
+@query(f"""WITH {LUT}, {CLAIMED}, j AS (SELECT food, chemical, coalesce(len(a.entity_ids), 0) AS h, coalesce(len(b.entity_ids), 0) AS t FROM named LEFT JOIN lut a ON a.entity_type = 'food' AND a.name = food LEFT JOIN lut b ON b.entity_type = 'chemical' AND b.name = chemical)
+SELECT unnest(['rows', 'resolved', 'dropped', 'heads', 'tails', 'heads_unknown', 'tails_unknown', 'heads_ambiguous', 'tails_ambiguous', 'rows_out', 'rows_added', 'rows_ambiguous']) AS counter,
+ unnest([count(*), count(*) FILTER (h > 0 AND t > 0), count(*) FILTER (NOT (h > 0 AND t > 0)), count(DISTINCT food), count(DISTINCT chemical), count(DISTINCT food) FILTER (h = 0), count(DISTINCT chemical) FILTER (t = 0), count(DISTINCT food) FILTER (h > 1), count(DISTINCT chemical) FILTER (t > 1),
+ coalesce(sum(h * t) FILTER (h > 0 AND t > 0), 0)::BIGINT, coalesce(sum(h * t - 1) FILTER (h > 0 AND t > 0), 0)::BIGINT, count(*) FILTER (h > 0 AND t > 0 AND h * t > 1)]) AS n FROM j""")
+def resolve_stats(spark, d):
+    """A13"""
+    return build.resolution_counts(_claimed(spark, d), build.lookup_table(tg.entities(spark, d)))
+
+
+@query(f"""WITH {LUT}, {CLAIMED}, u AS (SELECT food AS name, o_orderkey AS r, row_number() OVER (PARTITION BY food ORDER BY o_orderkey) AS k FROM named WHERE food NOT IN (SELECT name FROM lut))
+SELECT name, count(*) AS n, string_agg(r, ',' ORDER BY r) FILTER (k <= 3) AS samples FROM u GROUP BY name""")
+def unresolved_names(spark, d):
+    """A14 W05"""
+    out = build.unresolved(_claimed(spark, d).select(F.col("food").alias("name"), F.col("o_orderkey").alias("reference")), build.lookup_table(tg.entities(spark, d)))
+    return out.select("name", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN p_brand ELSE p_type END AS name FROM part")
+def common_name_pick(spark, d):
+    """C21"""
+    p = tg.table(spark, d, "part")
+    best = lambda k: F.when(F.col("p_size") % 3 == k, "label").otherwise(F.lit("narrow"))
+    return p.select(F.col("p_partkey").alias("id"), names.pick_common_name(F.array("p_name", "p_brand", "p_type"), F.array(best(0), best(1), best(2))).alias("name"))
+
+
+@query("""WITH c AS (SELECT lower(p_type) AS n, count(*) AS k FROM part WHERE p_size < 20 GROUP BY 1), s AS (SELECT s_suppkey, s_name, unnest(['small', 'promo', 'none' ]) AS syn, unnest([0, 1, 2]) AS pos FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT 's' || s_suppkey AS entity_id, coalesce((SELECT first(syn ORDER BY k DESC, pos) FROM s JOIN c ON c.n = syn WHERE s.s_suppkey = supplier.s_suppkey), s_name) AS common_name FROM supplier""")
+def common_name_by_mentions(spark, d):
+    """A18"""
+    s = tg.table(spark, d, "supplier")
+    syn = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("small"), F.lit("promo"), F.lit("none"))).otherwise(F.array().cast("array<string>"))
+    ents = s.select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("common_name"), syn.alias("synonyms"))
+    return build.synonym_mentions(ents, tg.table(spark, d, "part").filter("p_size < 20").select(F.col("p_type").alias("name")))
+
+
+TRIPLETS = f"""{tg.CLAIMS}, trip AS (SELECT food AS head_id, part AS tail_id, list_distinct(list(attestation_id)) AS ids FROM claims WHERE part LIKE 'p1%' GROUP BY ALL)"""
+
+
+def _trip(spark, d):
+    c = tg.claims(spark, d).filter("part like 'p1%'").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
+    return build.merge_triplets(c)
+
+
+@query(f"WITH {TRIPLETS}, {tg.ENTITIES} SELECT entity_id, entity_type FROM entities WHERE entity_id NOT IN (SELECT head_id FROM trip UNION SELECT tail_id FROM trip)")
+def orphans(spark, d):
+    """J12 A16 R03"""
+    return report.orphans(tg.entities(spark, d), _trip(spark, d)).select("entity_id", "entity_type")
+
+
+@query(f"WITH {TRIPLETS}, {tg.ENTITIES} SELECT entity_type, count(*) AS n FROM entities WHERE entity_id NOT IN (SELECT head_id FROM trip UNION SELECT tail_id FROM trip) GROUP BY 1")
+def orphan_counts(spark, d):
+    """A16"""
+    return report.orphans(tg.entities(spark, d), _trip(spark, d)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {TRIPLETS}, {tg.ENTITIES}, {tg.EDGES}, n AS (SELECT id, sum(k)::BIGINT AS n_att FROM (SELECT head_id AS id, len(ids) AS k FROM trip UNION ALL SELECT tail_id, len(ids) FROM trip) GROUP BY id)
+SELECT e.entity_id AS id, e.entity_type AS type, coalesce(n_att, 0) AS n_att FROM entities e LEFT JOIN n ON n.id = e.entity_id WHERE e.entity_id NOT IN (SELECT head FROM edges WHERE tail LIKE 'b:%' OR tail LIKE 'n%')""")
+def unclassified(spark, d):
+    """Entities without a parent, most attested first"""
+    parents = tg.edges(spark, d).filter("tail like 'b:%' or tail like 'n%'")
+    return report.unclassified(tg.entities(spark, d), parents, _trip(spark, d)).select(F.col("entity_id").alias("id"), F.col("entity_type").alias("type"), "n_att")
+
+
+OLD_NEW = """o AS (SELECT p_partkey::VARCHAR AS id, p_type AS type, p_name AS name FROM part WHERE p_partkey % 10 <> 0), n AS (SELECT p_partkey::VARCHAR AS id, CASE WHEN p_size = 3 THEN 'OTHER' ELSE p_type END AS type, CASE WHEN p_size = 4 THEN p_name || '!' ELSE p_name END AS name FROM part WHERE p_partkey % 10 <> 1)"""
+
+
+def _releases(spark, d):
+    p = tg.table(spark, d, "part").select(_cast("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), "p_partkey", "p_size")
+    new = p.withColumn("type", F.when(F.col("p_size") == 3, "OTHER").otherwise(F.col("type"))).withColumn("name", F.when(F.col("p_size") == 4, F.concat("name", F.lit("!"))).otherwise(F.col("name")))
+    return p.filter("p_partkey % 10 <> 0").select("id", "type", "name"), new.filter("p_partkey % 10 <> 1").select("id", "type", "name")
+
+
+@query(f"""WITH {OLD_NEW}, c AS (SELECT coalesce(a.type, b.type) AS key, coalesce(a.k, 0) AS old_n, coalesce(b.k, 0) AS new_n FROM (SELECT type, count(*) AS k FROM o GROUP BY 1) a FULL JOIN (SELECT type, count(*) AS k FROM n GROUP BY 1) b ON a.type = b.type)
+SELECT 'type' AS section, key, old_n, new_n, new_n - old_n AS delta FROM c
+UNION ALL SELECT 'ids', CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'removed' ELSE 'stable' END AS k, count(o.id), count(n.id), count(n.id) - count(o.id) FROM o FULL JOIN n ON o.id = n.id GROUP BY 2
+UNION ALL SELECT 'changed', 'name', count(*), count(*), 0 FROM o JOIN n ON o.id = n.id WHERE o.name IS DISTINCT FROM n.name
+UNION ALL SELECT 'changed', 'type', count(*), count(*), 0 FROM o JOIN n ON o.id = n.id WHERE o.type IS DISTINCT FROM n.type""")
+def release_diff(spark, d):
+    """R01 U02 J23 A15"""
+    return report.release_diff(*_releases(spark, d))
+
+
+@query(f"WITH {OLD_NEW} SELECT o.id, o.name AS old_name, n.name AS new_name, o.type AS old_type, n.type AS new_type FROM o JOIN n ON o.id = n.id WHERE o.name IS DISTINCT FROM n.name OR o.type IS DISTINCT FROM n.type")
+def release_changes(spark, d):
+    """J23"""
+    return report.changed(*_releases(spark, d))
+
+
+@query("SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'new' WHEN p_partkey % 10 = 1 THEN 'removed' ELSE 'stable' END AS status FROM part WHERE p_partkey <> 11")
+def registry_diff(spark, d):
+    """Ids merged into others are not removed"""
+    p = tg.table(spark, d, "part").withColumn("id", F.concat(F.lit("p"), "p_partkey"))
+    return build.id_changes(p.filter("p_partkey % 10 <> 0").select("id"), p.filter("p_partkey % 10 <> 1").select("id"), spark.createDataFrame([("p11",)], "id string"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END AS score, CASE WHEN event_id % 4 = 0 THEN 'new' ELSE 'old' END AS reason, event_type AS kind FROM events WHERE event_id % 5 <> 0 OR event_id % 4 = 0""")
+def signal_upsert(spark, d):
+    """Only some columns change"""
+    e = tg.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"), F.lit("old").alias("reason"), F.col("event_type").alias("kind"))
+    new = e.filter("id % 4 = 0").withColumns({"score": F.col("score") + 1, "reason": F.lit("new"), "kind": F.when(F.col("id") % 5 == 0, F.col("kind")).otherwise(F.lit("ignored"))})
+    return build.upsert(e.filter("id % 5 <> 0"), new, "id", ["score", "reason"], [F.col("score").desc()])
+
+
+@query("""SELECT event_id AS id, event_type AS run, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS score FROM events""")
+def signal_merge(spark, d):
+    """U05"""
+    e = tg.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("run"), F.col("value").alias("score"))
+    return build.replace_run(e, e.filter("id % 3 = 0").withColumn("score", -F.col("score")), ["id", "run"])
+
+
+@query("""SELECT 'zero entities' AS problem, count(*) = 0 AS found FROM supplier UNION ALL SELECT 'zero triplets', count(*) = 0 FROM lineitem""")
+def stage_validation(spark, d):
+    """R04"""
+    return report.validate(tg.table(spark, d, "supplier"), tg.table(spark, d, "lineitem"))
+
+
+@query(f"""WITH {tg.CLAIMS}, {tg.CORRELATIONS}, {tg.EDGES} SELECT 'r1' AS relationship_id, 'contains' AS name, count(*) AS n FROM (SELECT DISTINCT food, part FROM claims)
+UNION ALL SELECT 'r2', 'is_a', count(*) FROM edges UNION ALL SELECT rel, CASE rel WHEN 'r3' THEN 'positively_correlates_with' ELSE 'negatively_correlates_with' END, count(*) FROM (SELECT DISTINCT chem, disease, rel FROM direct) GROUP BY rel""")
+def relationship_table(spark, d):
+    """B17, with the triplets of each relation"""
+    from ..schemas import relationships
+
+    pairs = tg.claims(spark, d).select(F.lit("r1").alias("relationship_id"), "food", "part").distinct().select("relationship_id")
+    isa = tg.edges(spark, d).select(F.lit("r2").alias("relationship_id"))
+    corr = tg.correlations(spark, d).select("chem", "disease", "rel").distinct().select(F.col("rel").alias("relationship_id"))
+    n = pairs.unionByName(isa).unionByName(corr).groupBy("relationship_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(relationships(spark)), "relationship_id").select("relationship_id", "name", "n")
+
+
+@query("""WITH n AS (SELECT 's' || s_suppkey AS k, lower(s_name) AS name, 'food' AS kind, s_nationkey AS x FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, 'chemical', p_partkey FROM part WHERE p_size < 10)
+SELECT kind, k AS native_id, name, count(*) OVER (PARTITION BY kind, name) AS bearers FROM n""")
+def resolve_end_to_end(spark, d):
+    """Register, look up, join back"""
+    s, p = tg.table(spark, d, "supplier"), tg.table(spark, d, "part").filter("p_size < 10")
+    none = F.array().cast("array<string>")
+    nodes = s.select(F.lit("food").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("native_id"), F.lower("s_name").alias("name")).unionByName(p.select(F.lit("chemical").alias("source"), F.concat(F.lit("p"), "p_partkey").alias("native_id"), F.col("p_name").alias("name")))
+    registered = build.register(spark.createDataFrame([], "source string, native_id string, entity_id string"), nodes, ["source", "native_id"])
+    lut = build.lookup_table(registered.select(F.col("source").alias("entity_type"), "entity_id", F.col("name").alias("common_name"), none.alias("synonyms")))
+    j = registered.join(lut.withColumnRenamed("name", "n2"), (F.col("source") == F.col("entity_type")) & (F.col("name") == F.col("n2")))
+    return j.select(F.col("source").alias("kind"), "native_id", "name", F.size("entity_ids").cast("long").alias("bearers"))
+
+
+@query("""SELECT 's' || s_suppkey AS native_id, lower(s_name) AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)""")
+def unlinked_nodes(spark, d):
+    """B08 J12"""
+    s = tg.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("native_id"), F.lower("s_name").alias("name"))
+    return build.unlinked(s, tg.table(spark, d, "lineitem").filter("l_quantity > 49").select(F.concat(F.lit("s"), "l_suppkey").alias("native_id")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size = 1 THEN 'a,b' ELSE p_brand END AS flavors FROM part WHERE p_size < 4")
+def attributes_merge(spark, d):
+    """One field of a struct replaced"""
+    p = tg.table(spark, d, "part").filter("p_size < 4")
+    attrs = p.select(F.col("p_partkey").alias("id"), "p_size", F.struct(F.array(F.lit("g")).alias("groups"), F.array("p_brand").alias("flavors")).alias("attributes"))
+    two = F.array(F.lit("a"), F.lit("b"))
+    done = attrs.withColumn("attributes", F.col("attributes").withField("flavors", F.when(F.col("p_size") == 1, two).otherwise(F.col("attributes.flavors"))))
+    return done.select("id", F.array_join("attributes.flavors", ",").alias("flavors"))
+
+
+@query("""WITH f AS (SELECT user_id AS cid, event_type AS flavor FROM events), k AS (SELECT p_size AS cid, 'p' || max(p_partkey) AS e FROM part GROUP BY 1)
+SELECT e AS entity_id, string_agg(DISTINCT flavor, ',' ORDER BY flavor) AS flavors FROM f JOIN k USING (cid) GROUP BY e""")
+def flavor_join(spark, d):
+    """The last entity of a compound takes its descriptors"""
+    from ..operators import resolve
+
+    p = tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.array(F.col("p_size").cast("long")).alias("compounds"), F.col("p_partkey").alias("order"))
+    out = resolve.flavor_descriptions(p, tg.table(spark, d, "events").select(F.col("user_id").alias("compound"), F.col("event_type").alias("flavor")))
+    return out.select("entity_id", F.array_join("flavors", ",").alias("flavors"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS id, 'D' || s_nationkey AS descriptor FROM supplier), t AS (SELECT 'D' || n_nationkey AS descriptor, 'D0' || n_regionkey || '.' || n_nationkey AS tn FROM nation WHERE n_nationkey % 4 <> 0),
+names AS (SELECT 'D0' || r_regionkey AS tn, r_name AS name FROM region UNION ALL SELECT 'D0' || n_regionkey || '.' || n_nationkey, n_name FROM nation),
+l AS (SELECT id, split_part(tn, '.', 1) AS tn FROM m JOIN t USING (descriptor) UNION SELECT id, tn FROM m JOIN t USING (descriptor))
+SELECT id, string_agg(DISTINCT name, ',' ORDER BY name) AS labels FROM l JOIN names USING (tn) GROUP BY id""")
+def tree_level_labels(spark, d):
+    """A25 F15"""
+    from ..operators import filters
+
+    n = tg.table(spark, d, "nation")
+    number = F.concat(F.lit("D0"), "n_regionkey", F.lit("."), "n_nationkey")
+    desc = n.select(F.concat(F.lit("D"), "n_nationkey").alias("descriptor"), F.array(F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("C"), number)).otherwise(number)).alias("tree_numbers"))
+    mapped = tg.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("D"), "s_nationkey").alias("descriptor"))
+    label = tg.table(spark, d, "region").select(F.concat(F.lit("D0"), "r_regionkey").alias("tree_number"), F.col("r_name").alias("name")).unionByName(n.select(number.alias("tree_number"), F.col("n_name").alias("name")))
+    return filters.tree_levels(desc, mapped, label).select("id", F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"WITH {LUT}, c AS (SELECT entity_id, entity_type FROM entities) SELECT entity_type, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM c")
+def union_of_frames(spark, d):
+    """U01"""
+    e = tg.entities(spark, d)
+    return e.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")).unionByName(e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("entity_type"), "n"))
+
+

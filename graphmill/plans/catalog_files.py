@@ -1 +1,305 @@
-QUERIES: dict = {}
+"""Readers and sinks: source files are written from the driver's tables, read by the reader, compared with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources import readers, tables
+from ..storage import work_path
+from . import testgraph as tg
+
+QUERIES: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = (fn, sql)
+        return fn
+
+    return add
+
+
+def _flat(frames: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """All three standard frames as ``kind, a, b, c, d``."""
+    nodes, edges, xrefs = frames
+    n = nodes.select(F.lit("node").alias("kind"), F.col("native_id").alias("a"), F.col("name").alias("b"), F.array_join("synonyms", ";").alias("c"), F.concat_ws(" ", F.array_join("synonym_types", ";"), "raw_attrs").alias("d"))
+    e = edges.select(F.lit("edge").alias("kind"), F.col("head_native_id").alias("a"), F.col("tail_native_id").alias("b"), F.col("edge_type").alias("c"), F.col("raw_attrs").alias("d"))
+    x = xrefs.select(F.lit("xref").alias("kind"), F.col("native_id").alias("a"), F.col("target_source").alias("b"), F.col("target_id").alias("c"), F.lit("").alias("d"))
+    return n.unionByName(e).unionByName(x)
+
+
+def _lines(df: DataFrame, path: str, *columns, sep: str = "\t", head: str | None = None) -> str:
+    """Text lines of joined columns, with a header line in a file of its own when given."""
+    body = df.select(F.concat_ws(sep, *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)).alias("value"))
+    body.write.mode("append").text(path)
+    if head is not None:
+        df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def _csv(df: DataFrame, path: str, **columns) -> str:
+    df.select(*(c.alias(k) for k, c in columns.items())).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def _s(c):
+    return F.col(c).cast("string")
+
+
+def _xml(df: DataFrame, path: str, record, root: str, size: int = 500) -> None:
+    """XML files with one root each around some hundreds of records."""
+    rows = df.select(record.alias("r")).withColumn("block", F.pmod(F.xxhash64("r"), F.greatest(F.lit(1), F.lit(df.count() // size))))
+    files = rows.groupBy("block").agg(F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list("r"), "\n"), F.lit(f"</{root.split()[0]}>")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("""WITH x AS (SELECT 'http://f/' || p_partkey AS a, p_name, p_brand, p_size FROM part)
+SELECT 'node' AS kind, a, lower(p_name) AS b, CASE WHEN p_brand < p_name OR true THEN p_name || ';' || p_brand END AS c, 'label;synonym {}' AS d FROM x
+UNION ALL SELECT 'edge', a, 'http://b/' || p_size, 'is_a', '{}' FROM x""")
+def source_foodon(spark, d):
+    """S01"""
+    p, path = tg.table(spark, d, "part"), work_path(spark, "foodon")
+    me, up = F.concat(F.lit("<http://f/"), "p_partkey", F.lit(">")), F.concat(F.lit("<http://b/"), "p_size", F.lit(">"))
+    rows = p.select(me.alias("c"), up.alias("u"), F.explode(F.array(F.struct(F.lit("label").alias("t"), F.concat("p_name", F.lit("@en")).alias("l")), F.struct(F.lit("synonym").alias("t"), F.concat("p_brand", F.lit("^^xsd:string")).alias("l")))).alias("s"))
+    rows.select(F.col("c").alias("?class"), F.col("u").alias("?parent"), F.col("s.t").alias("?type"), F.col("s.l").alias("?label")).write.option("sep", "\t").option("header", True).csv(path)
+    return _flat(readers.foodon(spark, path))
+
+
+@query("""SELECT 'node' AS kind, p_partkey::VARCHAR AS a, p_name AS b, p_name || ';' || lower(p_brand) AS c, 'name;iupac {"star":' || p_size || '}' AS d FROM part WHERE p_partkey % 4 <> 0
+UNION ALL SELECT 'edge', p_size::VARCHAR, p_partkey::VARCHAR, 'is_a', '{}' FROM part""")
+def source_chebi(spark, d):
+    """S02"""
+    p, path = tg.table(spark, d, "part"), work_path(spark, "chebi")
+    tsv = lambda df, name: df.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}.tsv")
+    tsv(p.select(F.col("p_partkey").alias("ID"), F.when(F.col("p_partkey") % 4 == 0, 1).alias("PARENT_ID"), F.upper("p_name").alias("NAME"), F.col("p_size").alias("STAR")), "compounds")
+    other = p.select(F.col("p_partkey").alias("COMPOUND_ID"), F.explode(F.array(F.struct(F.lit("IUPAC").alias("t"), F.col("p_brand").alias("n"), F.lit("en").alias("l")), F.struct(F.lit("SYNONYM").alias("t"), F.col("p_name").alias("n"), F.lit("en").alias("l")), F.struct(F.lit("SYNONYM").alias("t"), F.lit("fremd").alias("n"), F.lit("de").alias("l")))).alias("s"))
+    tsv(other.select("COMPOUND_ID", F.col("s.t").alias("TYPE"), F.col("s.n").alias("NAME"), F.col("s.l").alias("LANGUAGE")), "names")
+    tsv(p.select(F.col("p_partkey").alias("ID"), F.lit("is a").alias("TYPE"), F.col("p_partkey").alias("INIT_ID"), F.col("p_size").alias("FINAL_ID")), "relation")
+    return _flat(readers.chebi(spark, path))
+
+
+@query("""WITH x AS (SELECT 'http://cdno/' || p_partkey AS a, p_name, p_size, p_partkey FROM part WHERE p_partkey % 5 <> 0)
+SELECT 'node' AS kind, a, p_name AS b, p_name AS c, 'label {}' AS d FROM x UNION ALL SELECT 'edge', a, 'http://up/' || p_size, 'is_a', '{}' FROM x
+UNION ALL SELECT 'xref', a, 'chebi', 'http://o/CHEBI_' || p_size, '' FROM x UNION ALL SELECT 'xref', a, 'fdc_nutrient', p_size::VARCHAR, '' FROM x WHERE p_partkey % 2 = 0""")
+def source_cdno(spark, d):
+    """OWL by the XML reader"""
+    p, path = tg.table(spark, d, "part"), work_path(spark, "cdno")
+    k = F.col("p_partkey")
+    cut = lambda tag, text: F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))
+    res = lambda tag, attr, url: F.concat(F.lit(f'<{tag} {attr}="'), url, F.lit('"/>'))
+    eq = cut("owl:equivalentClass", cut("owl:Class", cut("owl:intersectionOf", res("rdf:Description", "rdf:about", F.concat(F.lit("http://o/CHEBI_"), "p_size")))))
+    db = F.when(k % 2 == 0, cut("oboInOwl:hasDbXref", F.concat(F.lit("USDA_fdc_id:"), "p_size"))).otherwise(cut("oboInOwl:hasDbXref", F.lit("other:1")))
+    old = F.when(k % 5 == 0, F.lit("<owl:deprecated>true</owl:deprecated>")).otherwise(F.lit(""))
+    one = F.concat(F.lit('<owl:Class rdf:about="http://cdno/'), k, F.lit('">'), old, cut("rdfs:label", F.concat(F.lit("CDNO: "), "p_name")), res("rdfs:subClassOf", "rdf:resource", F.concat(F.lit("http://up/"), "p_size")), eq, db, F.lit("</owl:Class>"))
+    _xml(p, path, one, 'rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o" xmlns:oboInOwl="b"')
+    return _flat(readers.cdno(spark, path))
+
+
+@query("""WITH n AS (SELECT 'MESH:D' || n_nationkey AS a, n_name, n_regionkey FROM nation), o AS (SELECT 'C' || o_custkey AS c, 'MESH:D' || o_orderkey % 25 AS t, CASE o_orderstatus WHEN 'F' THEN 'therapeutic' ELSE '' END AS e, o_orderkey FROM orders)
+SELECT 'node' AS kind, a, lower(n_name) AS b, 'syn ' || lower(n_name) || ';x' AS c, 'synonym;synonym {}' AS d FROM n UNION ALL SELECT 'edge', a, 'MESH:R' || n_regionkey, 'is_a', '{}' FROM n
+UNION ALL SELECT 'edge', c, t, 'chemical_disease_association', '{"direct_evidence":"' || e || '","PubMedIDs":["' || o_orderkey || '","7"]}' FROM o UNION ALL SELECT 'xref', a, 'omim', n_regionkey || ':1', '' FROM n""")
+def source_ctd(spark, d):
+    """Header under a comment, lists between pipes"""
+    n, o, path = tg.table(spark, d, "nation"), tg.table(spark, d, "orders"), work_path(spark, "ctd")
+    lit = F.lit
+    _lines(n, f"{path}/CTD_diseases.csv", F.col("n_name"), F.concat(lit("MESH:D"), "n_nationkey"), F.concat(lit("OMIM:"), "n_regionkey", lit(":1")), lit(""), F.concat(lit("MESH:R"), "n_regionkey"), lit(""), lit(""), F.concat(lit("Syn "), "n_name", lit("|X")), lit(""), sep=",", head="# Fields:")
+    _lines(o, f"{path}/CTD_chemicals_diseases.csv", lit("x"), F.concat(lit("C"), "o_custkey"), lit(""), lit("y"), F.concat(lit("MESH:D"), F.col("o_orderkey") % 25), F.when(F.col("o_orderstatus") == "F", "therapeutic").otherwise(""), lit(""), lit(""), lit(""), F.concat("o_orderkey", lit("|7")), sep=",", head="# Fields:")
+    return _flat(readers.ctd(spark, path))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size < 10)
+SELECT 'node' AS kind, 'food:' || p_partkey AS a, p_name AS b, p_name AS c, 'label {}' AS d FROM f UNION ALL SELECT 'node', 'nutrient:' || s_suppkey, lower(s_name), lower(s_name), 'label {"unit_name":"MG"}' FROM supplier
+UNION ALL SELECT 'edge', 'food:' || l_partkey, 'nutrient:' || l_suppkey, 'contains', '{"amount":' || CASE WHEN l_returnflag = 'A' THEN '0.0' ELSE l_quantity::VARCHAR END || '}' FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM f)
+UNION ALL SELECT 'xref', 'food:' || p_partkey, 'foodon', 'http://f/' || p_size, '' FROM f""")
+def source_fdc(spark, d):
+    """Foundation foods only"""
+    p, s, li, path = tg.table(spark, d, "part"), tg.table(spark, d, "supplier"), tg.table(spark, d, "lineitem"), work_path(spark, "fdc")
+    _csv(p.filter("p_size < 10"), f"{path}/foundation_food.csv", fdc_id=F.col("p_partkey"), footnote=F.lit(""))
+    _csv(p, f"{path}/food.csv", fdc_id=F.col("p_partkey"), data_type=F.lit("x"), description=F.upper("p_name"))
+    _csv(s, f"{path}/nutrient.csv", id=F.col("s_suppkey"), name=F.col("s_name"), unit_name=F.lit("MG"))
+    _csv(li, f"{path}/food_nutrient.csv", id=F.col("l_orderkey"), fdc_id=F.col("l_partkey"), nutrient_id=F.col("l_suppkey"), amount=F.when(F.col("l_returnflag") != "A", F.col("l_quantity")))
+    _csv(p, f"{path}/food_attribute.csv", id=F.col("p_partkey"), fdc_id=F.col("p_partkey"), name=F.lit("FoodOn Ontology ID for FDC Item"), value=F.concat(F.lit("http://f/"), "p_size"))
+    return _flat(readers.fdc(spark, path))
+
+
+@query("""SELECT 'node' AS kind, 'M' || p_partkey AS a, p_name AS b, p_name || ';' || p_brand AS c, CASE WHEN p_size < 5 THEN 'glycan' ELSE 'lipid' END || ';x,y' AS d FROM part
+UNION ALL SELECT 'edge', 'milk', 'M' || p_partkey, 'contains', CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size < 5 THEN 'null' ELSE round(p_size * 2.5, 6)::VARCHAR END ELSE round(p_retailprice / 1.03 * 100 / 240 / 1000, 6)::VARCHAR END FROM part WHERE p_partkey % 7 <> 0
+UNION ALL SELECT 'xref', 'M' || p_partkey, 'chebi', p_size::VARCHAR, '' FROM part UNION ALL SELECT 'xref', 'M' || p_partkey, 'kegg', 'C' || p_size, '' FROM part UNION ALL SELECT 'xref', 'M' || p_partkey, 'kegg', 'D,1', '' FROM part""")
+def source_dmd(spark, d):
+    """S06 C05 C06"""
+    p, path = tg.table(spark, d, "part"), work_path(spark, "dmd")
+    k, size = F.concat(F.lit("M"), "p_partkey"), F.col("p_size")
+    kind = F.when(size < 5, "glycan").otherwise("lipid")
+    mol = {"DMD ID": k, "Molecule Name": F.col("p_name"), "Chemical Composition": F.col("p_brand"), "Molecule Classification": F.concat(F.lit("{"), kind, F.lit(',"x,y"}')), "External Database IDs": F.concat(F.lit('{"ChEBI":["'), size, F.lit('"],"None":["1"]}')), "KEGG IDs": F.concat(F.lit("{C"), size, F.lit(',"D,1"}'))}
+    _csv(p, f"{path}/molecules.csv", **mol)
+    even = size % 2 == 0
+    conc = {"DMD ID": F.concat(F.lit("q"), "p_partkey"), "DMD Molecule ID": k, "Concentration Value Alt": F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")), "Concentration Unit Alt": F.when(even, "%").otherwise("ug/240mL")}
+    _csv(p, f"{path}/concentrations.csv", **conc)
+    _csv(p.filter(even), f"{path}/estimated.csv", **{"DMD Concentration ID": F.concat(F.lit("q"), "p_partkey"), "Estimated Concentration Value": size * 2.5})
+    out = _flat(readers.dmd(spark, path))
+    node = F.concat_ws(";", F.get_json_object("x", "$.molecule_classification[0]"), F.get_json_object("x", "$.molecule_classification[1]"))
+    edge = F.coalesce(F.round(F.get_json_object("d", "$.conc_value").cast("double"), 6).cast("string"), F.lit("null"))
+    return out.withColumn("x", F.regexp_replace("d", r"^[^{]*", "")).withColumn("d", F.when(F.col("kind") == "node", node).when(F.col("kind") == "edge", edge).otherwise(F.col("d"))).drop("x")
+
+
+@query("""WITH f AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id), k AS (SELECT p_size + 1000 AS id, list_sort(list_distinct(list(p_type))) AS t FROM part GROUP BY 1)
+SELECT 'node' AS kind, user_id::VARCHAR AS a, '' AS b, '' AS c, ' {"flavors":["' || array_to_string(list_sort(list_concat(t, ['bitter'])), '","') || '"]}' AS d FROM f
+UNION ALL SELECT 'node', id::VARCHAR, '', '', ' {"flavors":["' || array_to_string(t, '","') || '"]}' FROM k
+UNION ALL SELECT 'xref', user_id::VARCHAR, 'pubchem_cid', user_id::VARCHAR, '' FROM f UNION ALL SELECT 'xref', id::VARCHAR, 'pubchem_cid', id::VARCHAR, '' FROM k""")
+def source_flavor(spark, d):
+    """Descriptors between @, a second database for compounds the first lacks"""
+    e, p, path = tg.table(spark, d, "events"), tg.table(spark, d, "part"), work_path(spark, "flavor")
+    row = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "@").alias("t"))
+    one = row.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "user_id", F.lit('":{"taste":"'), "t", F.lit('@","bitter":true}')))), ",").alias("v"))
+    one.select(F.concat(F.lit("{"), "v", F.lit("}")).alias("value")).write.text(f"{path}/flavordb")
+    lists = p.groupBy((F.col("p_size") + 1000).cast("long").alias("cid")).agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    annotation = F.struct(F.lit("u").alias("URL"), F.struct(F.array("cid").alias("CID")).alias("LinkedRecords"), F.transform("types", lambda t: F.struct(F.struct(F.array(F.struct(t.alias("String"))).alias("StringWithMarkup")).alias("Value"))).alias("Data"))
+    known = F.struct(F.lit("u").alias("URL"), F.struct(F.array(F.col("cid") - 1000).alias("CID")).alias("LinkedRecords"), F.array(F.struct(F.struct(F.array(F.struct(F.lit("ignored").alias("String"))).alias("StringWithMarkup")).alias("Value"))).alias("Data"))
+    doc = lambda df, x: df.agg(F.collect_list(x).alias("Annotation")).select(F.struct("Annotation").alias("Annotations"))
+    doc(lists, annotation).write.json(f"{path}/odor")
+    first = row.select((F.col("user_id") + 1000).cast("long").alias("cid"))
+    doc(first, known).write.json(f"{path}/taste")
+    return _flat(readers.flavors(readers.flavor_rows(spark, f"{path}/flavordb", f"{path}/odor", f"{path}/taste")))
+
+
+@query("""SELECT 'node' AS kind, 'D' || p_partkey AS a, p_name AS b, p_name || ';' || lower(p_brand) AS c, 'label;synonym {}' AS d FROM part UNION ALL SELECT 'edge', 'D' || p_partkey, 'tree:D0' || p_size, 'tree_parent', '{}' FROM part
+UNION ALL SELECT 'node', 'C' || s_suppkey, lower(s_name), lower(s_name), 'label {}' FROM supplier UNION ALL SELECT 'edge', 'C' || s_suppkey, 'D' || s_nationkey, 'mapped_to', '{}' FROM supplier""")
+def source_mesh(spark, d):
+    """Descriptor and supplemental records"""
+    p, s, path = tg.table(spark, d, "part"), tg.table(spark, d, "supplier"), work_path(spark, "mesh")
+    tag = lambda t, *x: F.concat(F.lit(f"<{t}>"), *x, F.lit(f"</{t}>"))
+    terms = lambda *names: tag("ConceptList", tag("Concept", tag("TermList", *(tag("Term", tag("String", n)) for n in names))))
+    one = tag("DescriptorRecord", tag("DescriptorUI", F.lit("D"), _s("p_partkey")), tag("DescriptorName", tag("String", F.col("p_name"))), tag("TreeNumberList", tag("TreeNumber", F.lit("D0"), _s("p_size"), F.lit("."), _s("p_partkey")), tag("TreeNumber", F.lit("D01"))), terms(F.col("p_name"), F.col("p_brand")))
+    two = tag("SupplementalRecord", tag("SupplementalRecordUI", F.lit("C"), _s("s_suppkey")), tag("SupplementalRecordName", tag("String", F.col("s_name"))), tag("HeadingMappedToList", tag("HeadingMappedTo", tag("DescriptorReferredTo", tag("DescriptorUI", F.lit("*D"), _s("s_nationkey"))))), terms(F.col("s_name")))
+    _xml(p, f"{path}/desc", one, "DescriptorRecordSet")
+    _xml(s, f"{path}/supp", two, "SupplementalRecordSet")
+    return _flat(readers.mesh(spark, f"{path}/desc", f"{path}/supp"))
+
+
+@query("""SELECT 'xref' AS kind, l_partkey::VARCHAR AS a, 'chebi' AS b, 'CHEBI:' || l_suppkey AS c, '' AS d FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <> 3 UNION ALL SELECT 'xref', p_partkey::VARCHAR, 'mesh_term', p_name, '' FROM part""")
+def source_pubchem(spark, d):
+    """The large map filtered at the scan"""
+    li, p, path = tg.table(spark, d, "lineitem"), tg.table(spark, d, "part"), work_path(spark, "pubchem")
+    _lines(li, f"{path}/sid", F.col("l_orderkey"), F.when(F.col("l_returnflag") == "A", "ChEBI").otherwise("Other"), F.concat(F.lit("CHEBI:"), "l_suppkey"), F.when(F.col("l_linenumber") != 3, F.col("l_partkey")))
+    _lines(p, f"{path}/mesh", F.col("p_partkey"), F.col("p_name"), F.col("p_brand"))
+    return _flat(readers.pubchem(spark, f"{path}/sid", f"{path}/mesh"))
+
+
+@query("""SELECT 'a' AS source_id, (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM part) AS edges, 0 AS xrefs UNION ALL SELECT 'b', (SELECT count(*) FROM supplier), 0, (SELECT count(*) FROM supplier)""")
+def source_manifest(spark, d):
+    """Standard tables by source, counts per source"""
+    from ..schemas import EDGES, NODES, XREFS, conform, empty
+
+    p, s, path = tg.table(spark, d, "part"), tg.table(spark, d, "supplier"), work_path(spark, "standard")
+    node = lambda df, src, key: conform(df.select(F.lit(src).alias("source_id"), _s(key).alias("native_id")), NODES)
+    edge = conform(p.select(F.lit("a").alias("source_id"), _s("p_partkey").alias("head_native_id"), _s("p_size").alias("tail_native_id")), EDGES)
+    xref = conform(s.select(F.lit("b").alias("source_id"), _s("s_suppkey").alias("native_id")), XREFS)
+    readers.write_source((node(p, "a", "p_partkey"), edge, empty(spark, XREFS)), path)
+    readers.write_source((node(s, "b", "s_suppkey"), empty(spark, EDGES), xref), path)
+    return readers.manifest(readers.load_sources(spark, path, ["a", "b"]))
+
+
+@query("""SELECT 's' || s_suppkey AS entity_id, lower(s_name) AS name, 2 AS n_syn, 'fdc' AS keys, 0 AS n_groups FROM supplier""")
+def graph_tables(spark, d):
+    """JSON text in parquet to arrays and maps, defaults filled, a missing column and file tolerated"""
+    from ..schemas import ATTESTATIONS, EVIDENCE, TRIPLETS, empty
+
+    path = work_path(spark, "graph")
+    e = tg.entities(spark, d).filter("entity_type = 'food'")
+    tables.overwrite(e.select("entity_id", "entity_type", "common_name", "scientific_name", F.to_json("synonyms").alias("synonyms"), F.to_json("external_ids").alias("external_ids")), f"{path}/entities.parquet")
+    for name, schema in (("triplets", TRIPLETS), ("evidence", EVIDENCE), ("attestations", ATTESTATIONS)):
+        tables.overwrite(empty(spark, schema), f"{path}/{name}.parquet")
+    out = tables.read_graph(spark, path)
+    assert out["trust_signals"].isEmpty()
+    return out["entities"].select("entity_id", F.col("common_name").alias("name"), F.size("synonyms").alias("n_syn"), F.array_join(F.map_keys("external_ids"), ",").alias("keys"), F.coalesce(F.when(F.col("attributes").isNotNull(), F.size("attributes.groups")), F.lit(0)).alias("n_groups"))
+
+
+@query("""SELECT conv_id::VARCHAR AS pmcid, role AS section, text IS NULL AS missing, CASE WHEN role = 'user' THEN 'model-x' ELSE role END AS method FROM conversations WHERE role IN ('user', 'assistant')""")
+def raw_claim_files(spark, d):
+    """Run folders with and without an info file"""
+    c, path = tg.table(spark, d, "conversations"), work_path(spark, "runs")
+    for role in ("user", "assistant"):
+        c.filter(F.col("role") == role).select(_s("conv_id").alias("pmcid"), F.col("role").alias("section"), F.lit("q").alias("matched_query"), F.lit("s").alias("sentence"), F.lit(0.5).alias("prob"), F.col("text").alias("response")).write.json(f"{path}/claims/{role}")
+    spark.createDataFrame([("model-x",)], "method string").coalesce(1).write.json(f"{path}/info/user")
+    out = tables.read_runs(spark, f"{path}/claims/*", f"{path}/info/*")
+    return out.select("pmcid", "section", F.col("response").isNull().alias("missing"), "method")
+
+
+@query("""SELECT 'q' || conv_id || '-' || turn AS custom_id, CASE WHEN turn % 2 = 0 THEN left(text, 20) ELSE '' END AS response FROM conversations""")
+def batch_results(spark, d):
+    """Responses by custom id, empty where missing"""
+    c, path = tg.table(spark, d, "conversations"), work_path(spark, "batch")
+    key = F.concat(F.lit("q"), "conv_id", F.lit("-"), "turn").alias("custom_id")
+    content = F.array(F.struct(F.struct(F.substring("text", 1, 20).alias("content")).alias("message"))).alias("choices")
+    c.filter("turn % 2 = 0").select(key, F.struct(F.struct(content).alias("body")).alias("response")).write.json(path)
+    return tables.join_batch_results(c.select(key), spark.read.schema(tables.BATCH_RESULT).json(path)).select("custom_id", "response")
+
+
+@query("""SELECT doc_id::VARCHAR AS article_id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY doc_id""")
+def article_passages(spark, d):
+    """Documents of passages, unusable sections dropped"""
+    from ..operators import text
+
+    docs, path = tg.table(spark, d, "documents").filter("lang = 'en'"), work_path(spark, "articles")
+    passage = lambda body, section: F.struct(body.alias("text"), F.struct(F.lit(section).alias("section_type"), F.lit("paragraph").alias("type")).alias("infons"))
+    docs.select(F.array(F.struct(_s("doc_id").alias("id"), F.array(passage(F.col("text"), "INTRO"), passage(F.lit("x"), "REF")).alias("passages"))).alias("documents")).write.json(path)
+    rows = text.passages(spark.read.schema(tables.ARTICLES).json(path)).filter(text.usable_passage(F.col("section"), F.col("kind")))
+    return rows.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'm' || c_custkey AS pmid, 'PMC' || c_custkey AS pmcid, 0 AS n FROM customer UNION ALL SELECT p_name, '', count(DISTINCT p_brand) FROM part GROUP BY p_name""")
+def id_map_and_terms(spark, d):
+    """Id map and term list files"""
+    c, p, path = tg.table(spark, d, "customer"), tg.table(spark, d, "part"), work_path(spark, "maps")
+    _csv(c, f"{path}/ids", PMID=F.concat(F.lit("m"), "c_custkey"), PMCID=F.concat(F.lit("PMC"), "c_custkey"))
+    lists = p.groupBy("p_name").agg(F.array_join(F.collect_set("p_brand"), "|").alias("t"))
+    _lines(lists, f"{path}/terms", F.col("p_name"), F.col("t"))
+    terms = tables.read_terms(spark, f"{path}/terms").select(F.col("term").alias("pmid"), F.lit("").alias("pmcid"), F.size("translations").cast("long").alias("n"))
+    return tables.read_id_map(spark, f"{path}/ids").withColumn("n", F.lit(0).cast("long")).unionByName(terms)
+
+
+@query("""SELECT 'p' || p_partkey AS id, 2 AS n, p_name AS name FROM part UNION ALL SELECT 'p' || p_partkey || '>' || p_brand, 0, 'r2' FROM part UNION ALL SELECT 'p' || p_partkey || '>' || p_type, 0, 'r2' FROM part""")
+def old_release_files(spark, d):
+    """TSV with list literals, two triplet files"""
+    p, path = tg.table(spark, d, "part"), work_path(spark, "old")
+    tsv = lambda df, name: df.write.option("sep", "\t").option("header", True).csv(f"{path}/{name}.tsv")
+    me = F.concat(F.lit("p"), "p_partkey")
+    tsv(p.select(me.alias("entity_id"), F.lit("chemical").alias("entity_type"), F.col("p_name").alias("common_name"), F.concat(F.lit("['"), "p_name", F.lit("', 'b']")).alias("synonyms")), "entities")
+    for name, col in (("triplets", "p_brand"), ("food_ontology", "p_type")):
+        tsv(p.select(me.alias("head_id"), F.lit("r2").alias("relationship_id"), F.col(col).alias("tail_id")), name)
+    e, t = readers.old_release(spark, path)
+    return e.select(F.col("entity_id").alias("id"), F.size("synonyms").alias("n"), F.col("common_name").alias("name")).unionByName(t.select(F.concat_ws(">", "head_id", "tail_id").alias("id"), F.lit(0).alias("n"), F.col("relationship_id").alias("name")))
+
+
+@query("""SELECT p_partkey AS id, 'say "' || p_name || '"; ok' AS name, '["' || p_brand || '"]' AS cells FROM part""")
+def export_files(spark, d):
+    """Exports separated by semicolons, nested cells as JSON, quotes doubled"""
+    p, path = tg.table(spark, d, "part"), work_path(spark, "export")
+    tables.write_export(p.select(F.col("p_partkey").alias("id"), F.concat(F.lit('say "'), "p_name", F.lit('"; ok')).alias("name"), F.array("p_brand").alias("cells")), f"{path}/csv")
+    back = spark.read.option("sep", ";").option("header", True).option("escape", '"').csv(f"{path}/csv")
+    tables.write_diagnostics(back, f"{path}/json")
+    return spark.read.schema("id string, name string, cells string").json(f"{path}/json").select(F.col("id").cast("long").alias("id"), "name", "cells")
+
+
+@query("""SELECT 'v' || p_size AS version, '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') AS date, p_name AS file FROM part WHERE p_size <> 7 GROUP BY ALL UNION ALL SELECT 'v7', '2025-01-01', 'new'""")
+def release_publish(spark, d):
+    """One version of the manifest replaced"""
+    p = tg.table(spark, d, "part").select(F.concat(F.lit("v"), "p_size").alias("version"), F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")).alias("date"), F.col("p_name").alias("file")).distinct()
+    return tables.publish(p, "v7", "2025-01-01", ["new"])
+
+
+@query("""SELECT 'e' || event_id AS signal_id, CASE WHEN event_id % 4 = 0 THEN value / 1000 + 1 ELSE value / 1000 END AS score FROM events""")
+def signal_stream(spark, d):
+    """Score files as a stream, upserted batch by batch"""
+    from .. import streaming
+    from ..schemas import TRUST_SIGNALS, conform
+
+    path = work_path(spark, "stream")
+    e = tg.table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("signal_id"), F.col("event_type").alias("signal_kind"), (F.col("value") / 1000).alias("score"), F.col("ts").alias("created_at"), "event_id")
+    conform(e, TRUST_SIGNALS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    newer = e.filter("event_id % 4 = 0").withColumns({"score": F.col("score") + 1, "created_at": F.col("created_at") + F.expr("interval 1 day")})
+    streaming.upsert_stream(spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
+    conform(newer, TRUST_SIGNALS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    streaming.upsert_stream(spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema(TRUST_SIGNALS).parquet(f"{path}/out/v=1").select("signal_id", "score")
