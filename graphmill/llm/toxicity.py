@@ -240,7 +240,7 @@ def fit_label_model(patterns: DataFrame, sample_votes: np.ndarray, sample_toxic:
             np.fill_diagonal(repeat, 0)
             repeat[repeat < 0.2] = 0
             weight = 1 / (1 + repeat.sum(1))
-        model = LabelModel(fire, float(np.clip(mass[1] / mass.sum(), 1e-3, 0.5)), weight)
+        model = LabelModel(fire, float(np.clip(mass[1] / max(mass.sum(), 1.0), 1e-3, 0.5)), weight)
     return model
 
 
