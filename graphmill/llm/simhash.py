@@ -22,40 +22,70 @@ from .common import join_skewed, map_rows, stored
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+#: Wide fingerprints: 256 bits over five-word shingles. A shingle similarity of 0.8 makes 39 of them differ on
+#: average, one of 0.9 25, one of 0.7 49; unrelated texts differ in half.
+WIDE_WORDS = 5
+WIDE_RADIUS = 44
+WIDE_SEEDS = (1, 2)
+#: Of the first 64 bits no more than this may differ, which spares most pairs the other three words.
+WIDE_FIRST = 18
 TILE = 8192
 ROWS_AT_ONCE = 32
 
 
+def _shingles(text: str | None, words: int) -> list[bytes]:
+    """Word shingles, repeats included; fewer words make one shingle, none make none."""
+    tokens = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
+    joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        return [joined] if tokens else []
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
+    return [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist())]
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bytes whose bits are set where over half of the rows have them set."""
+    ones = np.zeros(hashes.shape[1] * 8, np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little")
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The unsigned 64-bit SimHash of a text: majority bits over its word shingles' XXH64; 0 without words."""
     from xxhash import xxh64_intdigest
 
-    tokens = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
-    if not tokens:
+    shingles = _shingles(text, words)
+    if not shingles:
         return 0
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -words] + 1]).tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = np.ascontiguousarray(hashes[at : at + 8192]).astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return int(_majority(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)).view("<u8")[0])
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
+    """256 bits of SimHash; texts without words share a value far from all others."""
+    from xxhash import xxh3_128_digest
+
+    shingles = _shingles(text, words) or [b""]
+    raw = b"".join(xxh3_128_digest(s, seed) for s in shingles for seed in WIDE_SEEDS)
+    return _majority(np.frombuffer(raw, np.uint8).reshape(len(shingles), -1)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: one row per document, ``fp`` as a signed long. No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """``doc_id, fp, ones``: one row per document, ``fp`` as a signed long or, if ``wide``, 32 bytes. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, text in rows:
-            fp = fingerprint(text)
-            yield key, fp - (1 << 64) if fp >> 63 else fp
+            if wide:
+                fp = wide_fingerprint(text)
+                yield key, fp, int(np.bitwise_count(np.frombuffer(fp, np.uint8)).sum())
+            else:
+                fp = fingerprint(text)
+                yield key, fp - (1 << 64) if fp >> 63 else fp, fp.bit_count()
 
-    return map_rows(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, fp long", rows=4096)
+    return map_rows(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, fp {'binary' if wide else 'long'}, ones int", rows=4096)
 
 
 class Forest:
@@ -78,40 +108,54 @@ class Forest:
 
 
 def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of the fingerprints of two tiles (``b`` None: one tile with itself)."""
-    both = a if b is None else np.concatenate([a, b])
-    forest, other, shift = Forest(len(both)), a if b is None else b, 0 if b is None else len(a)
+    """Links (child, root) that span the components of two tiles' fingerprints (``b`` None: one tile with itself).
+
+    Tiles have a row of 64-bit words per fingerprint; results are row numbers in
+    ``a`` followed by ``b``.
+    """
+    other, shift, n = (a, 0, len(a)) if b is None else (b, len(a), len(a) + len(b))
+    forest, width = Forest(n), a.shape[1]
+    first = radius if width == 1 else min(radius, WIDE_FIRST)
+    heads = np.ascontiguousarray(other[:, 0])
     for at in range(0, len(a), ROWS_AT_ONCE):
         begin = at + 1 if b is None else 0
-        near = np.bitwise_count(a[at : at + ROWS_AT_ONCE, None] ^ other[None, begin:]) <= radius
+        near = np.bitwise_count(a[at : at + ROWS_AT_ONCE, :1] ^ heads[None, begin:]) <= first
         if near.any():
             i, j = np.nonzero(near)
             i, j = i + at, j + begin
             if b is None:
                 i, j = i[j > i], j[j > i]
+            if width > 1:
+                close = np.bitwise_count(a[i] ^ other[j]).sum(1, dtype=np.int64) <= radius
+                i, j = i[close], j[close]
             forest.link(i, j + shift)
-    child = np.flatnonzero(forest.parent != np.arange(len(both)))
-    return both[child], both[forest.parent[child]]
+    child = np.flatnonzero(forest.parent != np.arange(n))
+    return child, forest.parent[child]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``fp_a, fp_b``: links that connect exactly what all links within ``radius`` connect.
 
-    ``distinct`` has one row per fingerprint ``fp``. The only collected figures
-    are the 65 counts per population count.
+    ``distinct`` has one row per fingerprint: ``fp, ones``. Classes of population
+    counts are as wide as keeps their number small; the only collected figures
+    are the counts per class, 65 at most.
     """
     spark = distinct.sparkSession
-    counted = distinct.select("fp", F.expr("bit_count(fp)").alias("ones"))
+    kind = distinct.schema["fp"].dataType.simpleString()
+    width = 1 if kind == "bigint" else 4
+    counted = distinct.select("fp", F.floor(F.col("ones") / (4 * width if width > 1 else 1)).cast("int").alias("ones"))
+    reach = radius if width == 1 else -(-radius // (4 * width))
     sizes = {r[0]: r[1] for r in counted.groupBy("ones").count().collect()}
+    made = f"fp_a {kind}, fp_b {kind}"
     if not sizes:
-        return spark.createDataFrame([], "fp_a long, fp_b long")
+        return spark.createDataFrame([], made)
     tiles_of = {k: -(-n // tile) for k, n in sizes.items()}
     per_class = F.element_at(F.create_map(*(F.lit(x) for k, n in tiles_of.items() for x in (k, n))), F.col("ones"))
     tiles = counted.withColumn("sub", F.pmod(F.xxhash64("fp", F.lit(7)), per_class)).groupBy("ones", "sub").agg(F.collect_list("fp").alias("fps"))
     tiles = stored(tiles, "tiles")
     # tiles on the left are spread over salts, those on the right are repeated for each
     salts = min(256, max(8, sum(tiles_of.values()) // 64))
-    left = tiles.select(F.col("ones").alias("a_ones"), F.col("sub").alias("a_sub"), F.col("fps").alias("a"), F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)).alias("b_ones"), F.pmod(F.xxhash64("ones", "sub"), F.lit(salts)).alias("salt"))
+    left = tiles.select(F.col("ones").alias("a_ones"), F.col("sub").alias("a_sub"), F.col("fps").alias("a"), F.explode(F.sequence(F.col("ones"), F.col("ones") + reach)).alias("b_ones"), F.pmod(F.xxhash64("ones", "sub"), F.lit(salts)).alias("salt"))
     right = tiles.select(F.col("ones").alias("b_ones"), F.col("sub").alias("b_sub"), F.col("fps").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     met = left.join(right.hint("shuffle_hash"), ["b_ones", "salt"]).filter((F.col("a_ones") < F.col("b_ones")) | (F.col("a_sub") <= F.col("b_sub")))
     met = met.select("a", F.when((F.col("a_ones") < F.col("b_ones")) | (F.col("a_sub") < F.col("b_sub")), F.col("b")).alias("b"))
@@ -119,11 +163,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     def run(batches):
         import pyarrow as pa
 
+        def words(cell) -> np.ndarray:
+            if width == 1:
+                return cell.values.to_numpy().view(np.uint64)[:, None]
+            return np.frombuffer(b"".join(cell.as_py()), np.uint64).reshape(-1, width)
+
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
             u, v = (np.concatenate(x) for x in zip(*found))
-            names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            names, at = np.unique(np.concatenate([u, v]), axis=0, return_inverse=True)
+            at = at.reshape(-1)
             forest = Forest(len(names))
             forest.link(at[: len(u)], at[len(u) :])
             child = np.flatnonzero(forest.parent != np.arange(len(names)))
@@ -131,19 +181,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
         for batch in batches:
             for k in range(batch.num_rows):
-                a = batch.column(0)[k].values.to_numpy().view(np.uint64)
-                b = batch.column(1)[k]
-                u, v = tile_forest(a, b.values.to_numpy().view(np.uint64) if b.is_valid else None, radius)
-                if len(u):
-                    found.append((u, v))
+                a, cell = words(batch.column(0)[k]), batch.column(1)[k]
+                b = words(cell) if cell.is_valid else None
+                child, root = tile_forest(a, b, radius)
+                if len(child):
+                    both = a if b is None else np.concatenate([a, b])
+                    found.append((both[child], both[root]))
                     if sum(len(x) for x, _ in found) > 1 << 20:
                         found[:] = [merged()]
         if found:
-            u, v = merged()
-            for at in range(0, len(u), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536].astype(np.uint64).view(np.int64)) for x in (u, v)], names=["fp_a", "fp_b"])
+            sides = merged()
+            for at in range(0, len(sides[0]), 65536):
+                part = [x[at : at + 65536] for x in sides]
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64) if width == 1 else [r.tobytes() for r in x]) for x in part], names=["fp_a", "fp_b"])
 
-    return met.mapInArrow(run, "fp_a long, fp_b long")
+    return met.mapInArrow(run, made)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,33 +217,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, wide: bool = False) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document.
 
-    ``fingerprint`` is 16 lower-case hex digits; ``component_id`` the least
-    ``doc_id`` reachable over links of at most ``radius`` differing bits. Null
-    and empty texts have fingerprint zero and link like any other. Repeated rows
-    are kept; a null ``doc_id`` never names a component unless all its members
-    are null. An empty table gives an empty one; further columns are not read.
+    ``fingerprint`` is lower-case hex digits, 16 or, if ``wide``, 64;
+    ``component_id`` the least ``doc_id`` reachable over links of at most
+    ``radius`` differing bits. Null and empty texts have one fingerprint (zero,
+    if not ``wide``) and link like any other. Repeated rows are kept; a null
+    ``doc_id`` never names a component unless all its members are null. An empty
+    table gives an empty one; further columns are not read.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
-    groups = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "groups")
+    marked = stored(fingerprints(docs, wide=wide), "fingerprints")
+    groups = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("ones").alias("ones")), "groups")
     total = marked.count()
     roots = components(links(groups, radius))
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(rooted.join(least, "root").select("fp", "component_id", "rows"), "named")
     out = join_skewed(marked, named, "fp", "rows", total, "inner")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.hex("fp")) if wide else F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return out.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """The documents that stay: of each component the one with the least ``doc_id``, all columns unchanged.
 
+    Components link wide fingerprints: five-word shingles, a similarity of about
+    0.8 or more.
+
     Rows that share the id that stays are reduced to one; rows without an id
     stay once per distinct text, since no id can stand for them.
     """
-    found = near_duplicates(docs, radius)
+    found = near_duplicates(docs, radius, wide=True)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
     kept = stored(kept, "kept")
     stay = docs.join(kept.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi")

@@ -277,10 +277,34 @@ def test_simhash_brute_force(spark):
     assert {i: int(r.fingerprint, 16) for i, r in out.items()} == dict(enumerate(fps.tolist()))
     assert {i: r.component_id for i, r in out.items()} == {i: find(i) for i in range(len(rows))}
     assert len({find(i) for i in range(200)}) < 150 and out[200].fingerprint == "0" * 16
-    small = simhash.links(docs.limit(0).selectExpr("doc_id as fp"))
+    small = simhash.links(docs.limit(0).selectExpr("doc_id as fp", "0 as ones"))
     assert small.count() == 0
-    kept = sorted(r.doc_id for r in simhash.keep_first(docs).collect())
-    assert kept == sorted({find(i) for i in range(len(rows))})
+
+
+def test_keep_first_finds_near_copies(spark):
+    """One of each planted group stays, unrelated texts all stay; wide components equal brute force."""
+    rng = random.Random(37)
+    words = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(150, 250))] for _ in range(40)]
+    texts, group = [], []
+    for g, b in enumerate(base):
+        for _ in range(5 if g < 20 else 1):
+            w = list(b)
+            if g < 20:
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+            group.append(g)
+    texts += ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = np.array([np.frombuffer(simhash.wide_fingerprint(t), np.uint64) for t in texts])
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=int) <= simhash.WIDE_RADIUS
+    out = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.WIDE_RADIUS, wide=True).collect()}
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(texts))]
+    assert out == dict(enumerate(label))
+    kept = [r.doc_id for r in simhash.keep_first(docs).collect()]
+    assert sorted(group[i] for i in kept if i < len(group)) == list(range(40)) and len(kept) == 41
 
 
 def test_simhash_reference_bits():
@@ -297,7 +321,7 @@ def test_tiles_of_one_and_many(spark):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([centre, centre ^ np.uint64(1), centre ^ np.uint64(0b111), rng.integers(0, 2**63, 300, dtype=np.uint64)])).view(np.int64)
-    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    df = spark.createDataFrame([(int(x), int(x).bit_count() if x >= 0 else (int(x) + 2**64).bit_count()) for x in fps], "fp long, ones int")
     whole = {tuple(sorted(r)) for r in simhash.components(simhash.links(df, tile=8192)).collect()}
     tiny = {tuple(sorted(r)) for r in simhash.components(simhash.links(df, tile=4)).collect()}
     assert whole == tiny and len(whole) == 90
