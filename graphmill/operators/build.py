@@ -109,6 +109,13 @@ def resolve_claims(claims: DataFrame, lut: DataFrame, head: str = "food", tail:
     return both.withColumn("head_id", F.explode("head_candidates")).withColumn("tail_id", F.explode("tail_candidates"))
 
 
+def claim_triplets(resolved: DataFrame, method: str, head: str = "food", tail: str = "chemical") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evidence, attestations, triplets) of resolved literature claims: one evidence per article and sentence (``pmcid, sentence``), ``quantity`` as text."""
+    rows = resolved.withColumns({"head_native_id": F.col(head), "tail_native_id": F.col(tail)})
+    rows = rows.select("*", F.explode(F.array(concentration.parse(F.col("quantity")))).alias("__conc"))
+    return attest(rows, method, F.to_json(F.struct("pmcid", "sentence")), F.lit("r1"), F.col("__conc.value"), F.col("__conc.unit"))
+
+
 def resolution_counts(claims: DataFrame, lut: DataFrame, head: str = "food", tail: str = "chemical") -> DataFrame:
     """``counter, n``: rows, resolved and dropped rows, unique, ambiguous and unknown names, rows that ambiguity adds."""
     side = lambda kind, as_: lut.filter(F.col("entity_type") == kind).select(F.col("name").alias(as_), F.size("entity_ids").alias(f"n_{as_}"))
