@@ -84,6 +84,16 @@ def nearest_groups(edges: DataFrame, anchors: DataFrame) -> DataFrame:
         seen, frontier = seen.unionByName(new), new
 
 
+def single_group(groups: DataFrame, precedence: list[str], names: dict[str, str] | None = None) -> DataFrame:
+    """``node, group``: one group per node, the first in ``precedence`` (others after it, by name), renamed by ``names``."""
+    order = F.array_position(F.array(*map(F.lit, precedence)), F.col("group"))
+    rank = F.struct(F.when(order > 0, order).otherwise(len(precedence) + 1), "group")
+    best = groups.groupBy("node").agg(F.min_by("group", rank).alias("group"))
+    if not names:
+        return best
+    return best.withColumn("group", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("group")), F.col("group")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the least node of each connected component of ``a, b`` links, by label propagation with jumps."""
     both = store(links.select("a", "b").union(links.select("b", "a")).filter("a is not null and b is not null").distinct(), "links")

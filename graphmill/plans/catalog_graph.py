@@ -92,6 +92,17 @@ def nearest_groups(spark, d):
     return graph.nearest_groups(tg.edges(spark, d), spark.createDataFrame(ANCHORS, "node string, label string"))
 
 
+@query(f"""WITH RECURSIVE {tg.EDGES}, {ANCHORS_SQL}, down(node, grp, depth) AS (SELECT node, label, 0 FROM a UNION
+  SELECT e.head, w.grp, w.depth + 1 FROM down w JOIN edges e ON e.tail = w.node WHERE e.head NOT IN (SELECT node FROM a)),
+near AS (SELECT DISTINCT node, grp FROM down QUALIFY depth = min(depth) OVER (PARTITION BY node)),
+r AS (SELECT node, grp FROM near QUALIFY row_number() OVER (PARTITION BY node ORDER BY CASE grp WHEN 'promo' THEN 1 WHEN 'two' THEN 2 ELSE 3 END, grp) = 1)
+SELECT node, CASE grp WHEN 'one' THEN 'first' ELSE grp END AS "group" FROM r""")
+def group_precedence(spark, d):
+    """Conflicts settled by precedence, groups renamed"""
+    near = graph.nearest_groups(tg.edges(spark, d), spark.createDataFrame(ANCHORS, "node string, label string"))
+    return graph.single_group(near, ["promo", "two"], {"one": "first"})
+
+
 @query(f"""WITH RECURSIVE {tg.EDGES}, top AS (SELECT head AS node, head AS grp FROM edges WHERE tail = 'chem'), down(node, grp, depth) AS (SELECT node, grp, 0 FROM top UNION
   SELECT e.head, w.grp, w.depth + 1 FROM down w JOIN edges e ON e.tail = w.node)
 SELECT n.node, coalesce(string_agg(DISTINCT grp, ',' ORDER BY grp), 'unclassified') AS "groups" FROM (SELECT head AS node FROM edges UNION SELECT tail FROM edges) n LEFT JOIN down ON down.node = n.node GROUP BY n.node""")
