@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: characters and units the extraction prompts allow
@@ -44,18 +44,25 @@ def numeric(value: Column) -> Column:
     return F.when(F.size(parts) == 2, (one(1) + one(2)) / 2).otherwise(one(1))
 
 
-def multiplier(unit: Column) -> Column:
-    """What turns the unit into mg/100g; a millilitre counts as a gram; null for everything else, percent included."""
-    clean = F.lower(F.trim(F.regexp_replace(F.trim(unit), _SUFFIX, "")))
-    parts = F.split(clean, "/")
+def _unit_parts(unit: Column) -> Column:
+    """A unit's parts around the slash, without its weight suffix, in lower case."""
+    return F.split(F.lower(F.trim(F.regexp_replace(F.trim(unit), _SUFFIX, ""))), "/")
+
+
+def _ratio(parts: Column) -> Column:
     below = F.try_element_at(parts, F.lit(2))
-    amount = F.coalesce(F.nullif(F.regexp_extract(below, r"^(\d*)", 1), F.lit("")).cast("double"), F.lit(1.0))
-    name = F.regexp_replace(below, r"^\d*", "")
+    name = F.ltrim(below, F.lit("0123456789"))
+    amount = F.coalesce(F.nullif(F.substring(below, F.lit(1), F.length(below) - F.length(name)), F.lit("")).cast("double"), F.lit(1.0))
     above = F.try_element_at(_table(GRAMS), F.try_element_at(parts, F.lit(1)))
-    grams = F.coalesce(F.try_element_at(_table(GRAMS), name), F.try_element_at(_table(LITRES), name) * 1e3)
+    grams = F.try_element_at(_table(GRAMS | {k: v * 1e3 for k, v in LITRES.items()}), name)
     return F.when((F.size(parts) == 2) & (amount > 0), above / grams * (100 / amount) * 1e3)
 
 
+def multiplier(unit: Column) -> Column:
+    """What turns the unit into mg/100g; a millilitre counts as a gram; null for everything else, percent included."""
+    return _ratio(_unit_parts(unit))
+
+
 def convert(value: Column, unit: Column) -> Column:
     """The value in mg/100g, or null where it is not positive, not convertible or implausibly large."""
     number = numeric(value)
@@ -72,3 +79,17 @@ def milk_concentration(value: Column, unit: Column, estimate: Column, glycan: Co
     """Milk figures in mg/100g: µg/240 ml by density, percent by the estimate unless a glycan, zero as null."""
     out = F.when(unit == "%", F.when(glycan, F.lit(None).cast("double")).otherwise(estimate)).otherwise(milk_ug_240ml(value))
     return F.when(out != 0, out)
+
+
+def converted(df: DataFrame, raw: str) -> DataFrame:
+    """``df`` with ``conc`` (the parsed struct) and ``conc_value`` (mg/100g) of a text column.
+
+    Each step sits behind an explode, which keeps the optimiser from repeating
+    the long expression wherever a field of it is used.
+    """
+    parsed = df.select("*", F.explode(F.array(parse(F.col(raw)))).alias("conc"))
+    parsed = parsed.select("*", F.explode(F.array(_unit_parts(F.col("conc.unit")))).alias("__u"))
+    pieces = F.struct(numeric(F.col("conc.value")).alias("n"), _ratio(F.col("__u")).alias("m"))
+    pieces = parsed.select("*", F.explode(F.array(pieces)).alias("__p"))
+    out = F.col("__p.n") * F.col("__p.m")
+    return pieces.withColumn("conc_value", F.when((F.col("__p.n") > 0) & (out <= CEILING), out)).drop("__p", "__u")

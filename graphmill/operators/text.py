@@ -68,27 +68,36 @@ def token_set_score(sentence: list[str], term: list[str]) -> float:
 def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TERM_SCORE) -> DataFrame:
     """``key, term, score``: the best term per sentence at or above ``least``, ties by term.
 
-    Only pairs that share a term's rarest token, or whose whole texts have close
-    lengths and share a token, are scored: an inverted index over tokens joins
-    them, never all pairs. Where every token of a term occurs the score is 100
-    without any scoring.
+    An inverted index over tokens joins sentences and terms, never all pairs. A
+    term whose tokens all occur scores 100; such a sentence holds the term's
+    rarest token, so only that one is indexed. Other pairs can reach ``least``
+    only with whole texts of close lengths; they are few, as sentences longer
+    than the longest term allows are out, and are joined on any shared token.
     """
     s = sents.select(F.col(key), tokens(F.col("sentence")).alias("words"))
     t = terms.select("term", tokens(F.col("term")).alias("term_words")).filter(F.size("term_words") > 0).distinct()
-    index = t.select("term", "term_words", F.explode("term_words").alias("word"))
-    spread = s.select(key, "words", F.explode("words").alias("word"))
-    shared = spread.join(index, "word").groupBy(key, "term").agg(F.first("words").alias("words"), F.first("term_words").alias("term_words"), F.count(F.lit(1)).alias("n"))
-    full = shared.filter(F.col("n") == F.size("term_words")).select(key, "term", F.lit(100.0).alias("score"))
+    spread = s.select(key, F.explode("words").alias("word"))
+    term_spread = t.select("term", "term_words", F.explode("term_words").alias("word"))
+    often = spread.join(term_spread.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = term_spread.join(often, "word", "left").groupBy("term").agg(F.first("term_words").alias("term_words"), F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+    maybe = spread.join(ranked, "word").select(key, "term", "term_words")  # the words themselves join again, to the few sentences left
+    full = maybe.join(s, key).filter(F.size(F.array_except("term_words", "words")) == 0).select(key, "term", F.lit(100.0).alias("score"))
     chars = lambda c: F.length(F.array_join(c, " "))
-    close = shared.filter((F.col("n") < F.size("term_words")) & (F.least(chars("words"), chars("term_words")) >= (least / (200 - least)) * F.greatest(chars("words"), chars("term_words"))))
+    ratio = least / (200 - least)
+    longest = F.broadcast(t.agg(F.max(chars("term_words")).alias("longest")))  # one row
+    short = s.withColumn("n_chars", chars("words")).join(longest).filter(F.col("n_chars") * ratio <= F.col("longest"))
+    sized = term_spread.withColumn("t_chars", chars("term_words"))
+    near = short.select(key, "words", "n_chars", F.explode("words").alias("word")).join(sized, "word")
+    near = near.filter((F.least("n_chars", "t_chars") >= ratio * F.greatest("n_chars", "t_chars")) & (F.size(F.array_except("term_words", "words")) > 0))
+    close = near.select(key, "term", "words", "term_words").dropDuplicates([key, "term"])
 
     @F.pandas_udf("double")
     def score(words: pd.Series, term_words: pd.Series) -> pd.Series:
         return pd.Series([token_set_score(list(a), list(b)) for a, b in zip(words, term_words)], dtype=float)
 
     scored = close.select(key, "term", score("words", "term_words").alias("score")).filter(F.col("score") >= least)
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), "term")
-    return full.unionByName(scored).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    best = full.unionByName(scored).groupBy(key).agg(F.min_by(F.struct("term", "score"), F.struct(-F.col("score"), "term")).alias("b"))
+    return best.select(key, "b.term", "b.score")
 
 
 def match_vocabulary(raw: DataFrame, vocabulary: DataFrame, least: float = 90.0) -> DataFrame:

@@ -51,9 +51,8 @@ def conc_parse(spark, d):
 SELECT key, round(CASE n WHEN 1 THEN q * 100 WHEN 2 THEN (q + 60) / 2 WHEN 3 THEN q * 0.1 WHEN 4 THEN q * 0.1 END, 6) AS value, CASE WHEN n = 7 THEN 'bad_conc' WHEN n IN (5, 6) THEN 'unconverted' END AS error FROM x""")
 def conc_convert(spark, d):
     """C04 C27"""
-    x = _raw_concentrations(spark, d).withColumn("c", concentration.parse(F.col("raw")))
-    v = concentration.convert(F.col("c.value"), F.col("c.unit"))
-    return x.select("key", F.round(v, 6).alias("value"), F.when(F.col("c").isNull(), "bad_conc").when(v.isNull(), "unconverted").alias("error"))
+    x = concentration.converted(_raw_concentrations(spark, d), "raw")
+    return x.select("key", F.round("conc_value", 6).alias("value"), F.when(F.col("conc").isNull(), "bad_conc").when(F.col("conc_value").isNull(), "unconverted").alias("error"))
 
 
 def _string(c):
