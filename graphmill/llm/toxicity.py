@@ -27,6 +27,10 @@ MAX_LABELLED = 20_000
 MAX_VOTERS = 56
 BUCKETS = 1 << 15
 THRESHOLD = 0.7
+#: Documents whose word features are in memory at a time while the classifier is fitted.
+BLOCK = 1024
+#: Words remembered per task.
+MEMO_WORDS = 150_000
 EM_ROUNDS = 6
 STEM = (3, 8)
 
@@ -69,7 +73,7 @@ class Voters:
         """The mask, and the sorted distinct buckets of the text's words and word beginnings."""
         words = _word.findall(text.lower())
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
         mask, named, buckets, times = 0, 0, set(), {}
         for word, n in Counter(words).items():
@@ -114,7 +118,7 @@ def mine_stems(sample: DataFrame, most: int) -> list[str]:
         counts = [Counter(), Counter()]
         for text, toxic in rows:
             counts[toxic].update(features(text))
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield from ((k, n, y) for y in (0, 1) for k, n in counts[y].items())
                 counts = [Counter(), Counter()]
         yield from ((k, n, y) for y in (0, 1) for k, n in counts[y].items())
@@ -251,31 +255,46 @@ class LinearModel:
         self.bias, self.evidence, self.words = 0.0, 1.0, np.zeros(BUCKETS)
 
     def raw(self, logits: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
-        size = np.array([max(1, len(b)) for b in buckets])
-        flat = np.concatenate(buckets) if buckets else np.array([], np.uint16)
-        row = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-        words = np.bincount(row, weights=self.words[flat], minlength=len(buckets)) / np.sqrt(size)
-        return self.bias + self.evidence * np.clip(logits, -8, 8) + words
-
-    def fit(self, logits: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray, steps: int = 80, shrink: float = 0.02) -> None:
-        if not len(labels):
+        return self.bias + self.evidence * np.clip(logits, -8, 8) + _Block(buckets).sums(self.words)
+
+    def fit(self, logits: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray, steps: int = 80, shrink: float = 0.2) -> None:
+        """Full-batch descent, block by block, so that working memory does not follow the sample."""
+        n = len(labels)
+        if not n:
             return
-        size = np.array([max(1, len(b)) for b in buckets])
-        flat = np.concatenate(buckets)
-        row = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-        scale = 1 / np.sqrt(size)
         x = np.clip(logits, -8, 8)
-        n = len(labels)
+        blocks = [(slice(at, at + BLOCK), buckets[at : at + BLOCK]) for at in range(0, n, BLOCK)]
         for _ in range(steps):
-            score = self.bias + self.evidence * x + np.bincount(row, weights=self.words[flat], minlength=n) * scale
-            error = 1 / (1 + np.exp(-score)) - labels
-            self.bias -= 0.5 * error.mean()
-            self.evidence -= 0.05 * (error @ x) / n
-            slope = np.bincount(flat, weights=(error * scale)[row], minlength=BUCKETS) / n
-            self.words -= 2.0 * (slope + shrink / n * self.words * 10)
+            slope, drift, lean = np.zeros(BUCKETS), 0.0, 0.0
+            for part, own in blocks:
+                block = _Block(own)
+                score = self.bias + self.evidence * x[part] + block.sums(self.words)
+                error = 1 / (1 + np.exp(-score)) - labels[part]
+                drift += error.sum()
+                lean += error @ x[part]
+                slope += block.spread(error)
+            self.bias -= 0.5 * drift / n
+            self.evidence -= 0.05 * lean / n
+            self.words -= 2.0 * (slope + shrink * self.words) / n
         self.evidence = max(self.evidence, 0.5)
 
 
+class _Block:
+    """Sparse rows of some documents: distinct buckets, each weighing one over the root of their number."""
+
+    def __init__(self, buckets: list[np.ndarray]):
+        sizes = np.array([len(b) for b in buckets], np.int64)
+        self.n, self.scale = len(buckets), 1 / np.sqrt(np.maximum(sizes, 1))
+        self.flat = np.concatenate(buckets).astype(np.int64) if buckets else np.array([], np.int64)
+        self.row = np.repeat(np.arange(self.n), sizes)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weights[self.flat], minlength=self.n) * self.scale
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.flat, weights=(values * self.scale)[self.row], minlength=BUCKETS)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
     """``doc_id, held_out, score, predicted, posterior, votes`` per document.
 
