@@ -7,6 +7,10 @@ a pair of tiles numpy compares all fingerprints by exclusive-or and bit count.
 Each task sends on a spanning forest of the links it finds, so a large group of
 near copies costs rows in proportion to its size, and components are found by
 label propagation with pointer jumping over stored tables.
+
+Where a similarity is asked for (``similar_groups``), fingerprints only propose:
+within the components of a wide radius the exact similarity of shingle sets
+decides each link.
 """
 
 from __future__ import annotations
@@ -22,15 +26,20 @@ from .common import join_skewed, map_rows, stored
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Wide fingerprints: 256 bits over five-word shingles. A shingle similarity of 0.8 makes 39 of them differ on
-#: average, one of 0.9 25, one of 0.7 49; unrelated texts differ in half.
+#: Wide fingerprints: 256 bits over distinct five-word shingles. A shingle similarity of 0.8 makes 39 of them differ on
+#: average (standard deviation 5.7), one of 0.9 25, one of 0.7 49; unrelated texts differ in half.
 WIDE_WORDS = 5
 WIDE_RADIUS = 44
 WIDE_SEEDS = (1, 2)
-#: Of the first 64 bits no more than this may differ, which spares most pairs the other three words.
-WIDE_FIRST = 18
+#: Texts are near copies when they share at least this part of their distinct five-word shingles (Jaccard).
+LEAST_SHARE = 0.8
+#: Pairs up to this distance are compared exactly: over five standard deviations beyond the mean at ``LEAST_SHARE``.
+CANDIDATE_RADIUS = 72
+#: Shingle sets compared at once in a task: so many, and so many bytes of them.
+SET_TILE, SET_BYTES = 1024, 2 << 20
 TILE = 8192
 ROWS_AT_ONCE = 32
+WIDE_ROWS_AT_ONCE = 8
 
 
 def _shingles(text: str | None, words: int) -> list[bytes]:
@@ -63,13 +72,19 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return int(_majority(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)).view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
-    """256 bits of SimHash; texts without words share a value far from all others."""
+def shingle_set(text: str | None, words: int = WIDE_WORDS) -> tuple[bytes, np.ndarray]:
+    """256 bits of SimHash and the ascending 64-bit hashes of the distinct shingles; texts without words have one empty shingle."""
     from xxhash import xxh3_128_digest
 
-    shingles = _shingles(text, words) or [b""]
+    shingles = list(dict.fromkeys(_shingles(text, words))) or [b""]
     raw = b"".join(xxh3_128_digest(s, seed) for s in shingles for seed in WIDE_SEEDS)
-    return _majority(np.frombuffer(raw, np.uint8).reshape(len(shingles), -1)).tobytes()
+    rows = np.frombuffer(raw, np.uint8).reshape(len(shingles), -1)
+    return _majority(rows).tobytes(), np.unique(np.frombuffer(raw, "<u8")[:: rows.shape[1] // 8])
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
+    """256 bits of SimHash; texts without words share a value far from all others."""
+    return shingle_set(text, words)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
@@ -115,11 +130,16 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     """
     other, shift, n = (a, 0, len(a)) if b is None else (b, len(a), len(a) + len(b))
     forest, width = Forest(n), a.shape[1]
-    first = radius if width == 1 else min(radius, WIDE_FIRST)
-    heads = np.ascontiguousarray(other[:, 0])
-    for at in range(0, len(a), ROWS_AT_ONCE):
+    step = ROWS_AT_ONCE if width == 1 else WIDE_ROWS_AT_ONCE
+    words = [np.ascontiguousarray(other[:, k]) for k in range(width)]
+    differ = lambda at, begin, k: np.bitwise_count(a[at : at + step, k : k + 1] ^ words[k][None, begin:])
+    for at in range(0, len(a), step):
         begin = at + 1 if b is None else 0
-        near = np.bitwise_count(a[at : at + ROWS_AT_ONCE, :1] ^ heads[None, begin:]) <= first
+        if width == 1:
+            near = differ(at, begin, 0) <= radius
+        else:  # one half of the bits differs in at most half of the radius, or the sum exceeds it
+            near = differ(at, begin, 0) + differ(at, begin, 1) <= radius // 2
+            near |= differ(at, begin, 2) + differ(at, begin, 3) <= radius // 2
         if near.any():
             i, j = np.nonzero(near)
             i, j = i + at, j + begin
@@ -239,16 +259,94 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, wide: bool = False) -
     return out.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_links(one: list[dict], two: list[dict] | None, share: float, radius: int) -> list[tuple[bytes, bytes]]:
+    """Links (signature pairs) that connect what all pairs of similarity ``share`` within ``radius`` connect.
+
+    Members are ``sig, fp, shingles``; ``two`` None compares ``one`` with itself.
+    Pairs already connected are not compared again.
+    """
+    both = one + (two or [])
+    sets = [np.frombuffer(m["shingles"], np.uint64) for m in both]
+    sizes = np.array([len(x) for x in sets])
+    fps = np.frombuffer(b"".join(m["fp"] for m in both), np.uint64).reshape(len(both), -1)
+    root = np.arange(len(both))
+    found = []
+    for i in range(len(one)):
+        begin = i + 1 if two is None else len(one)
+        able = np.bitwise_count(fps[i] ^ fps[begin:]).sum(1, dtype=np.int64) <= radius
+        able &= np.minimum(sizes[i], sizes[begin:]) >= share * np.maximum(sizes[i], sizes[begin:])
+        others = np.flatnonzero(able) + begin
+        while len(others := others[root[others] != root[i]]):
+            j, others = others[0], others[1:]
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= share * (sizes[i] + sizes[j] - shared):
+                found.append((both[i]["sig"], both[j]["sig"]))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CANDIDATE_RADIUS) -> DataFrame:
+    """``doc_id, component_id`` for every document: components of pairs whose shingle sets have a Jaccard similarity of at least ``share``.
+
+    Pairs within ``radius`` bits are candidates; each is decided by its exact
+    similarity, unless other pairs connect it already. Large candidate groups
+    are cut into tiles that meet pairwise. Null, empty and repeated rows count as
+    in ``near_duplicates``.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", "text")
+
+    def mark(rows: Iterator[tuple]) -> Iterator[tuple]:
+        from xxhash import xxh3_128_digest
+
+        for key, text in rows:
+            fp, hashes = shingle_set(text)
+            yield key, xxh3_128_digest(hashes.tobytes()), fp, int(np.bitwise_count(np.frombuffer(fp, np.uint8)).sum()), len(hashes)
+
+    marked = stored(map_rows(source, mark, f"doc_id {kind}, sig binary, fp binary, ones int, size int", rows=4096), "marked")
+    sigs = stored(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("size").cast("long").alias("size")), "signatures")
+    roots = components(links(sigs.groupBy("fp").agg(F.min("ones").alias("ones")), radius))
+    rooted = sigs.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    per_root = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum("size") * 8 / SET_BYTES)).alias("parts")).filter("n > 1")
+    loose = stored(join_skewed(rooted, stored(per_root, "loose-sizes"), "root", "n", sigs.count(), "inner").select("sig", "root", "parts", "first"), "loose")
+
+    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+        from xxhash import xxh3_128_digest
+
+        for (text,) in rows:
+            fp, hashes = shingle_set(text)
+            yield xxh3_128_digest(hashes.tobytes()), fp, hashes.tobytes()
+
+    some = source.join(loose.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(source.filter("doc_id is null"))
+    each = map_rows(some.select("text"), sets, "sig binary, fp binary, shingles binary", rows=1024).join(loose.select("sig", "root", "parts"), "sig").dropDuplicates(["sig"])
+    tiles = each.withColumn("part", F.pmod(F.xxhash64("sig", F.lit(11)), F.col("parts"))).groupBy("root", "parts", "part").agg(F.collect_list(F.struct("sig", "fp", "shingles")).alias("members"))
+    tiles = stored(tiles, "set-tiles")
+    left = tiles.filter("part + 1 < parts").select("root", F.col("members").alias("a"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
+    cross = left.join(tiles.select("root", "part", F.col("members").alias("b")), ["root", "part"]).select("a", "b")
+    met = tiles.select(F.col("members").alias("a"), F.lit(None).cast(tiles.schema["members"].dataType).alias("b")).unionByName(cross)
+
+    def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for one, two in rows:
+            yield from similar_links(one, two, share, radius)
+
+    named = components(map_rows(met, compare, "fp_a binary, fp_b binary", rows=65536)).toDF("sig", "sig_root")
+    settled = sigs.join(named, "sig", "left").withColumn("sig_root", F.coalesce("sig_root", "sig"))
+    least = settled.groupBy("sig_root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    final = join_skewed(settled.select("sig", "rows", "sig_root"), stored(least, "least"), "sig_root", "n", sigs.count(), "inner")
+    out = join_skewed(marked.select("doc_id", "sig"), stored(final.select("sig", "component_id", "rows"), "named"), "sig", "rows", marked.count(), "inner")
+    return out.select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
     """The documents that stay: of each component the one with the least ``doc_id``, all columns unchanged.
 
-    Components link wide fingerprints: five-word shingles, a similarity of about
-    0.8 or more.
+    Components link texts that share at least ``share`` of their distinct
+    five-word shingles, see ``similar_groups``.
 
     Rows that share the id that stays are reduced to one; rows without an id
     stay once per distinct text, since no id can stand for them.
     """
-    found = near_duplicates(docs, radius, wide=True)
+    found = similar_groups(docs, share)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
     kept = stored(kept, "kept")
     stay = docs.join(kept.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi")

@@ -307,6 +307,37 @@ def test_keep_first_finds_near_copies(spark):
     assert sorted(group[i] for i in kept if i < len(group)) == list(range(40)) and len(kept) == 41
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_keep_first_cuts_at_four_fifths(spark, monkeypatch, tile):
+    """Components of exact five-word similarity equal brute force on both sides of 0.8, chains, repeated lines and short texts included."""
+    monkeypatch.setattr(simhash, "SET_TILE", tile)
+    rng = random.Random(41)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for g in range(120):
+        base = [rng.choice(words) for _ in range(9 if g % 6 == 0 else 120)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            n = rng.randint(6, 40) if len(base) > 9 else 1  # similarity 0.6 to 0.95
+            at = len(base) - n if g % 2 else rng.randrange(len(base) - n)
+            texts.append(" ".join(base[:at] + [rng.choice(words) for _ in range(n)] + base[at + n :]))
+        texts.append(" ".join(base + base[:20] * 30))
+    share = np.array([[g // 5 == k // 5 and jaccard(texts[g], texts[k]) for k in range(len(texts))] for g in range(len(texts))], float)
+    pairs = share[np.triu_indices(len(texts), 1)]
+    assert ((pairs >= 0.8) & (pairs < 0.83)).sum() > 15 and ((pairs < 0.8) & (pairs > 0.77)).sum() > 15
+    label = list(range(len(texts)))
+    for _ in range(5):
+        label = [min(label[j] for j in np.flatnonzero(share[i] >= 0.8)) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(label))
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(label)
+
+
 def test_simhash_reference_bits():
     import xxhash
 
