@@ -16,12 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import join_skewed, map_rows, stored
 
 # fixed values: windows of 8 to 10 tokens of which 6 count; no two masks ignore the same places
 MASKS = ("11101011", "110110011", "1100110011", "1011100101")
-#: Tokens looked at on either side of a meeting.
-REACH = 64
 #: Matching tokens that make an overlap, or all but a fifth of a shorter item.
 LEAST_TOKENS = 12
 LEAST_SHARE = 0.8
@@ -96,6 +94,21 @@ def accepted(matches: int, length: int, item: int) -> bool:
     return matches >= min(LEAST_TOKENS, LEAST_SHARE * item) and matches >= LEAST_SHARE * length
 
 
+def best_overlap(doc: np.ndarray, item: np.ndarray, places: list[tuple[int, int, int]], spans: list[int]) -> tuple[int, int, int] | None:
+    """(matches, first, end) of the best accepted overlap through any of ``places`` (mask, document and item token where they met)."""
+    done: dict[int, int] = {}
+    best = None
+    for k, p, at in sorted(places):
+        shift = p - at
+        if done.get(shift, -1) > p:  # inside a stretch already walked
+            continue
+        matches, first, end = verify(doc, item, shift, p, spans[k])
+        done[shift] = end
+        if accepted(matches, end - first, len(item)) and (best is None or (-matches, first) < best[:2]):
+            best = (-matches, first, end)
+    return best and (-best[0], *best[1:])
+
+
 def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``doc_id, item_id, matches, first_token, end_token, item_tokens``: the best verified overlap of each pair.
 
@@ -113,16 +126,15 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
 
     def seeds(rows: Iterator[tuple]) -> Iterator[tuple]:
         windows = Windows()
-        for item, text in rows:
+        for item, sig, text in rows:
             tokens = windows.tokens(text)
-            flat = tokens.view(np.int64).tolist()
             for k in range(len(MASKS)):
                 for at, h in enumerate(windows.hashes(tokens, k).view(np.int64).tolist()):
-                    yield item, k, at, h, flat
+                    yield item, sig, k, at, h
 
-    seed_schema = f"item_id {item_kind}, mask int, item_at int, hash long, item_tokens array<long>"
+    seed_schema = f"item_id {item_kind}, item_sig string, mask int, item_at int, hash long"
     made = f"doc_id {kind}, item_id {item_kind}, matches int, first_token int, end_token int, item_tokens int"
-    table = map_rows(tests, seeds, seed_schema, rows=2048)
+    table = map_rows(tests.select("item_id", F.md5("text"), "text"), seeds, seed_schema, rows=4096)
     count = table.count()
     if count <= broadcast_windows:
         packed = [(r[0], r[1]) for r in tests.collect()] if count else []
@@ -142,8 +154,7 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
                 index.append((h[order], item[order], at[order], bits))
             for doc, text in rows:
                 found = windows.tokens(text)
-                done: dict[tuple[int, int], int] = {}
-                best: dict[int, tuple] = {}
+                places_of: dict[int, list] = {}
                 for k, (h, item, at, bits) in enumerate(index):
                     mine = windows.hashes(found, k)
                     places = np.flatnonzero(bits[mine & np.uint64((1 << 20) - 1)])
@@ -151,41 +162,40 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
                     high = np.searchsorted(h, mine[places], "right")
                     for p, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
                         for m in range(a, b):
-                            i, shift = int(item[m]), p - int(at[m])
-                            if done.get((i, shift), -1) > p:  # inside a stretch already walked
-                                continue
-                            matches, first, end = verify(found, tokens[i], shift, p, windows.spans[k])
-                            done[i, shift] = end
-                            if accepted(matches, end - first, len(tokens[i])) and (i not in best or (-matches, first) < best[i][:2]):
-                                best[i] = (-matches, first, end)
-                for i, (matches, first, end) in best.items():
-                    yield doc, packed[i][0], -matches, first, end, len(tokens[i])
+                            places_of.setdefault(int(item[m]), []).append((k, p, int(at[m])))
+                for i, places in places_of.items():
+                    if best := best_overlap(found, tokens[i], places, windows.spans):
+                        yield doc, packed[i][0], *best, len(tokens[i])
 
         pairs = map_rows(source, near, made, rows=4096)
     else:
 
         def spread(rows: Iterator[tuple]) -> Iterator[tuple]:
             windows = Windows()
-            for doc, text in rows:
+            for doc, sig, text in rows:
                 tokens = windows.tokens(text)
-                flat = tokens.view(np.int64)
                 for k in range(len(MASKS)):
                     for at, h in enumerate(windows.hashes(tokens, k).view(np.int64).tolist()):
-                        low = max(0, at - REACH)
-                        yield doc, k, at, h, low, flat[low : at + windows.spans[k] + REACH].tolist()
-
-        hits = map_rows(source, spread, f"doc_id {kind}, mask int, doc_at int, hash long, low int, around array<long>", rows=1024)
-        met = hits.join(table, ["mask", "hash"])
+                        yield doc, sig, k, at, h
+
+        # texts are told apart by a digest; pairs that met get both whole texts back
+        signed = source.select("doc_id", F.md5("text").alias("sig"), "text")
+        hits = map_rows(signed, spread, f"doc_id {kind}, sig string, mask int, doc_at int, hash long", rows=4096)
+        met = hits.join(table, ["mask", "hash"]).groupBy("doc_id", "sig", "item_id", "item_sig").agg(F.collect_set(F.struct("mask", "doc_at", "item_at")).alias("places"))
+        met = stored(met, "met")
+        item_texts = tests.select(F.md5("text").alias("item_sig"), F.col("text").alias("item_text")).dropDuplicates(["item_sig"])
+        item_texts = stored(item_texts.join(met.groupBy("item_sig").agg(F.count(F.lit(1)).alias("n")), "item_sig"), "item-texts")
+        facing = join_skewed(met, item_texts, "item_sig", "n", met.count(), "inner").withColumnsRenamed({"doc_id": "__id", "sig": "__sig"})
+        whole = facing.join(signed, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__sig") == F.col("sig")))
 
         def check(rows: Iterator[tuple]) -> Iterator[tuple]:
             windows = Windows()
-            for doc, k, at, low, around, item, item_at, tokens in rows:
-                a, b = np.array(around, np.int64), np.array(tokens, np.int64)
-                matches, first, end = verify(a, b, at - low - item_at, at - low, windows.spans[k])
-                if accepted(matches, end - first, len(b)):
-                    yield doc, item, matches, low + first, low + end, len(b)
+            for doc, text, item, item_text, places in rows:
+                a, b = windows.tokens(text), windows.tokens(item_text)
+                if best := best_overlap(a, b, [(x["mask"], x["doc_at"], x["item_at"]) for x in places], windows.spans):
+                    yield doc, item, *best, len(b)
 
-        pairs = map_rows(met.select("doc_id", "mask", "doc_at", "low", "around", "item_id", "item_at", "item_tokens"), check, made, rows=4096)
+        pairs = map_rows(whole.select("doc_id", "text", "item_id", "item_text", "places"), check, made, rows=4096)
     place = F.struct((-F.col("matches")).alias("m"), "first_token", "end_token", "item_tokens")
     best = pairs.groupBy("doc_id", "item_id").agg(F.min(place).alias("p"))
     return best.select("doc_id", "item_id", (-F.col("p.m")).alias("matches"), "p.first_token", "p.end_token", "p.item_tokens")

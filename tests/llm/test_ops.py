@@ -415,6 +415,24 @@ def test_decontamination_brute_force(spark):
     assert len(brute) >= 25 and brute <= found and found <= {(i, i % 8) for i in range(1, 60, 2)}
 
 
+def test_decontamination_paths_agree(spark):
+    """Overlaps longer than any fixed reach give the same rows by broadcast and by shuffle; repeated and null ids too."""
+    rng = random.Random(8)
+    words = [f"t{k}" for k in range(2000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [text(400) for _ in range(6)]
+    rows = []
+    for i in range(24):
+        w = list(items[i % 6])
+        for k in rng.sample(range(400), 8 * (i % 5)):
+            w[k] = "zz"
+        rows.append((None if i == 5 else i // 2, " ".join(text(30) + w[rng.randint(0, 100) :] + text(30))))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    near, far = (sorted(map(str, decontam.overlaps(d, b, limit).collect())) for limit in (10**6, 0))
+    assert near == far and len(near) == 24 and max(r.matches for r in decontam.overlaps(d, b, 0).collect()) > 290
+
+
 # --- language
 
 
