@@ -3,8 +3,8 @@
 A mask marks which of a window's tokens count; the rest may be anything, so a
 passage with substituted words still shares some masked window with its source.
 Masked windows of the test items and of the documents meet on their hash, and
-each meeting is verified by walking outwards token by token along its diagonal,
-which tolerates further substitutions.
+the whole diagonal of each meeting is searched for the stretch with the most
+matching tokens of which four fifths match.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ MASKS = ("11101011", "110110011", "1100110011", "1011100101")
 #: Matching tokens that make an overlap, or all but a fifth of a shorter item.
 LEAST_TOKENS = 12
 LEAST_SHARE = 0.8
-#: How far the score (+1 match, -2 substitution) may fall below its best before the walk stops.
-DROP = 8
 #: Up to this many test windows are sent to every task; beyond it the hashes are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -67,46 +65,33 @@ class Windows:
         return out
 
 
-def verify(doc: np.ndarray, item: np.ndarray, shift: int, begin: int, span: int) -> tuple[int, int, int]:
-    """(matches, first, end) in the document of the best overlap along one diagonal.
+def verify(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """(matches, first, end) in the document of the stretch of one diagonal that holds most matches, ``LEAST_SHARE`` of it at least.
 
-    ``doc[begin : begin + span]`` met the item there; document place ``p`` faces
-    item place ``p - shift``.
+    Document place ``p`` faces item place ``p - shift``; the earliest such
+    stretch, beginning and ending with a match; (0, 0, 0) without any match.
     """
     low, high = max(0, shift), min(len(doc), shift + len(item))
     same = doc[low:high] == item[low - shift : high - shift]
+    matched = np.concatenate([[0], np.cumsum(same)])
+    if not matched[-1]:
+        return 0, 0, 0
+    # a stretch from i to j has the share when score[j] >= score[i] (+1 match, -4 substitution); the first such i of each j
+    score = 5 * matched - 4 * np.arange(len(matched))
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score)
+    end = int((matched - matched[begin]).argmax())
+    first = int(begin[end])
+    return int(matched[end] - matched[first]), low + first + int(same[first:].argmax()), low + end
 
-    def walk(steps: np.ndarray) -> int:
-        if not len(steps):
-            return 0
-        score = np.cumsum(np.where(steps, 1, -2))
-        fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
-        score = score[: fallen[0]] if len(fallen) else score
-        return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
 
-    a, b = begin - low, begin - low + span
-    first = a - walk(same[:a][::-1])
-    end = b + walk(same[b:])
-    return int(same[first:end].sum()), low + first, low + end
+def accepted(matches: int, item: int) -> bool:
+    return matches >= min(LEAST_TOKENS, LEAST_SHARE * item)
 
 
-def accepted(matches: int, length: int, item: int) -> bool:
-    return matches >= min(LEAST_TOKENS, LEAST_SHARE * item) and matches >= LEAST_SHARE * length
-
-
-def best_overlap(doc: np.ndarray, item: np.ndarray, places: list[tuple[int, int, int]], spans: list[int]) -> tuple[int, int, int] | None:
-    """(matches, first, end) of the best accepted overlap through any of ``places`` (mask, document and item token where they met)."""
-    done: dict[int, int] = {}
-    best = None
-    for k, p, at in sorted(places):
-        shift = p - at
-        if done.get(shift, -1) > p:  # inside a stretch already walked
-            continue
-        matches, first, end = verify(doc, item, shift, p, spans[k])
-        done[shift] = end
-        if accepted(matches, end - first, len(item)) and (best is None or (-matches, first) < best[:2]):
-            best = (-matches, first, end)
-    return best and (-best[0], *best[1:])
+def best_overlap(doc: np.ndarray, item: np.ndarray, shifts: set[int]) -> tuple[int, int, int] | None:
+    """(matches, first, end) of the best accepted overlap along any of the diagonals where windows met."""
+    found = [verify(doc, item, shift) for shift in shifts]
+    return min((x for x in found if accepted(x[0], len(item))), key=lambda x: (-x[0], *x[1:]), default=None)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -154,7 +139,7 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
                 index.append((h[order], item[order], at[order], bits))
             for doc, text in rows:
                 found = windows.tokens(text)
-                places_of: dict[int, list] = {}
+                shifts: dict[int, set[int]] = {}
                 for k, (h, item, at, bits) in enumerate(index):
                     mine = windows.hashes(found, k)
                     places = np.flatnonzero(bits[mine & np.uint64((1 << 20) - 1)])
@@ -162,9 +147,9 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
                     high = np.searchsorted(h, mine[places], "right")
                     for p, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
                         for m in range(a, b):
-                            places_of.setdefault(int(item[m]), []).append((k, p, int(at[m])))
-                for i, places in places_of.items():
-                    if best := best_overlap(found, tokens[i], places, windows.spans):
+                            shifts.setdefault(int(item[m]), set()).add(p - int(at[m]))
+                for i, of in shifts.items():
+                    if best := best_overlap(found, tokens[i], of):
                         yield doc, packed[i][0], *best, len(tokens[i])
 
         pairs = map_rows(source, near, made, rows=4096)
@@ -181,7 +166,7 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
         # texts are told apart by a digest; pairs that met get both whole texts back
         signed = source.select("doc_id", F.md5("text").alias("sig"), "text")
         hits = map_rows(signed, spread, f"doc_id {kind}, sig string, mask int, doc_at int, hash long", rows=4096)
-        met = hits.join(table, ["mask", "hash"]).groupBy("doc_id", "sig", "item_id", "item_sig").agg(F.collect_set(F.struct("mask", "doc_at", "item_at")).alias("places"))
+        met = hits.join(table, ["mask", "hash"]).groupBy("doc_id", "sig", "item_id", "item_sig").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
         met = stored(met, "met")
         item_texts = tests.select(F.md5("text").alias("item_sig"), F.col("text").alias("item_text")).dropDuplicates(["item_sig"])
         item_texts = stored(item_texts.join(met.groupBy("item_sig").agg(F.count(F.lit(1)).alias("n")), "item_sig"), "item-texts")
@@ -190,12 +175,12 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
 
         def check(rows: Iterator[tuple]) -> Iterator[tuple]:
             windows = Windows()
-            for doc, text, item, item_text, places in rows:
+            for doc, text, item, item_text, shifts in rows:
                 a, b = windows.tokens(text), windows.tokens(item_text)
-                if best := best_overlap(a, b, [(x["mask"], x["doc_at"], x["item_at"]) for x in places], windows.spans):
+                if best := best_overlap(a, b, set(shifts)):
                     yield doc, item, *best, len(b)
 
-        pairs = map_rows(whole.select("doc_id", "text", "item_id", "item_text", "places"), check, made, rows=4096)
+        pairs = map_rows(whole.select("doc_id", "text", "item_id", "item_text", "shifts"), check, made, rows=4096)
     place = F.struct((-F.col("matches")).alias("m"), "first_token", "end_token", "item_tokens")
     best = pairs.groupBy("doc_id", "item_id").agg(F.min(place).alias("p"))
     return best.select("doc_id", "item_id", (-F.col("p.m")).alias("matches"), "p.first_token", "p.end_token", "p.item_tokens")

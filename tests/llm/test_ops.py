@@ -433,6 +433,29 @@ def test_decontamination_paths_agree(spark):
     assert near == far and len(near) == 24 and max(r.matches for r in decontam.overlaps(d, b, 0).collect()) > 290
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination_beside_weaker_matches(spark, limit):
+    """An exact copy counts whatever follows it; every pair's figures equal brute force over all stretches of its diagonals."""
+    rng = random.Random(12)
+    words = [f"t{k}" for k in range(3000)]
+    rows, items = [], []
+    for i in range(150):
+        exact, weak, share = ((15, 44, 0.7), (20, 80, 0.7), (30, 150, 0.75))[i % 3]
+        item = [rng.choice(words) for _ in range(exact + weak)]
+        w = item[:exact] + [x if rng.random() < share else "zz" for x in item[exact:]]
+        items.append(item)
+        rows.append([rng.choice(words) for _ in range(5)] + w + ["end"])
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.matches, r.first_token, r.end_token) for r in decontam.overlaps(d, b, limit).collect()}
+    assert set(found) == {(i, i) for i in range(150)}
+    for i in range(0, 150, 5):
+        same = [x == y for x, y in zip(rows[i][5:], items[i])]
+        sums = np.concatenate([[0], np.cumsum(same)])
+        best = min((-(sums[e] - sums[s]), s, e) for s in range(len(same)) for e in range(s + 1, len(same) + 1) if 5 * (sums[e] - sums[s]) >= 4 * (e - s) and same[s] and same[e - 1])
+        assert found[i, i] == (-best[0], 5 + best[1], 5 + best[2])
+
+
 # --- language
 
 
