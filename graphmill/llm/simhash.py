@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ WIDE_RADIUS = 44
 WIDE_SEEDS = (1, 2)
 #: Texts are near copies when they share at least this part of their distinct five-word shingles (Jaccard).
 LEAST_SHARE = 0.8
-#: Pairs up to this distance are compared exactly: over five standard deviations beyond the mean at ``LEAST_SHARE``.
-CANDIDATE_RADIUS = 72
+#: Pairs up to this distance are compared exactly: over six standard deviations beyond the mean at ``LEAST_SHARE``, 4.5 for sets of four and five.
+CANDIDATE_RADIUS = 76
 #: Shingle sets compared at once in a task: so many, and so many bytes of them.
 SET_TILE, SET_BYTES = 1024, 2 << 20
 TILE = 8192
+#: Tiles per cell: a task holds the right side's tiles of one pair of cells at a time, 1 MB of fingerprints of 64 bits.
+CELL = 16
 ROWS_AT_ONCE = 32
 WIDE_ROWS_AT_ONCE = 8
 
@@ -153,12 +156,14 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     return child, forest.parent[child]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, cell: int = CELL) -> DataFrame:
     """``fp_a, fp_b``: links that connect exactly what all links within ``radius`` connect.
 
     ``distinct`` has one row per fingerprint: ``fp, ones``. Classes of population
     counts are as wide as keeps their number small; the only collected figures
-    are the counts per class, 65 at most.
+    are the counts per class, 65 at most. Tiles of a class are dealt into cells
+    of ``cell`` tiles, and every pair of cells is a join key of its own, so no
+    task holds more than the tiles of some cells, whatever the class's size.
     """
     spark = distinct.sparkSession
     kind = distinct.schema["fp"].dataType.simpleString()
@@ -170,14 +175,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     if not sizes:
         return spark.createDataFrame([], made)
     tiles_of = {k: -(-n // tile) for k, n in sizes.items()}
-    per_class = F.element_at(F.create_map(*(F.lit(x) for k, n in tiles_of.items() for x in (k, n))), F.col("ones"))
-    tiles = counted.withColumn("sub", F.pmod(F.xxhash64("fp", F.lit(7)), per_class)).groupBy("ones", "sub").agg(F.collect_list("fp").alias("fps"))
-    tiles = stored(tiles, "tiles")
-    # tiles on the left are spread over salts, those on the right are repeated for each
-    salts = min(256, max(8, sum(tiles_of.values()) // 64))
-    left = tiles.select(F.col("ones").alias("a_ones"), F.col("sub").alias("a_sub"), F.col("fps").alias("a"), F.explode(F.sequence(F.col("ones"), F.col("ones") + reach)).alias("b_ones"), F.pmod(F.xxhash64("ones", "sub"), F.lit(salts)).alias("salt"))
-    right = tiles.select(F.col("ones").alias("b_ones"), F.col("sub").alias("b_sub"), F.col("fps").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    met = left.join(right.hint("shuffle_hash"), ["b_ones", "salt"]).filter((F.col("a_ones") < F.col("b_ones")) | (F.col("a_sub") <= F.col("b_sub")))
+    table = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    per_class, cells_of = table(tiles_of), table({k: -(-n // cell) for k, n in tiles_of.items()})
+    tiles = counted.withColumn("sub", F.pmod(F.xxhash64("fp", F.lit(7)), F.element_at(per_class, F.col("ones")))).groupBy("ones", "sub").agg(F.collect_list("fp").alias("fps"))
+    tiles = stored(tiles.withColumn("cell", F.floor(F.col("sub") / cell).cast("int")), "tiles")
+
+    def meets(low: int, high: int):
+        """Every cell of the classes that are so far away."""
+        classes = F.filter(F.sequence(F.col("ones") + low, F.col("ones") + high), lambda c: c.isin(list(sizes)))
+        return F.explode(F.flatten(F.transform(classes, lambda c: F.transform(F.sequence(F.lit(0), F.element_at(cells_of, c) - 1), lambda q: F.struct(c.alias("ones"), q.cast("int").alias("cell"))))))
+
+    left = tiles.select(F.col("ones").alias("a_ones"), F.col("cell").alias("a_cell"), F.col("sub").alias("a_sub"), F.col("fps").alias("a"), meets(0, reach).alias("m"))
+    right = tiles.select(F.col("ones").alias("b_ones"), F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"), F.col("fps").alias("b"), meets(-reach, 0).alias("m"))
+    left = left.select("a_ones", "a_cell", "a_sub", "a", F.col("m.ones").alias("b_ones"), F.col("m.cell").alias("b_cell"))
+    right = right.select("b_ones", "b_cell", "b_sub", "b", F.col("m.ones").alias("a_ones"), F.col("m.cell").alias("a_cell"))
+    upper = (F.col("a_ones") < F.col("b_ones")) | (F.col("a_cell") <= F.col("b_cell"))  # one of both orders within a class
+    keys = ["a_ones", "a_cell", "b_ones", "b_cell"]
+    pairs = sum(n * tiles_of.get(k + d, 0) for k, n in tiles_of.items() for d in range(reach + 1))
+    tasks = min(10_000, max(8, pairs // 4))
+    met = left.filter(upper).repartition(tasks, *keys).join(right.filter(upper).repartition(tasks, *keys).hint("shuffle_hash"), keys).filter((F.col("a_ones") < F.col("b_ones")) | (F.col("a_sub") <= F.col("b_sub")))
     met = met.select("a", F.when((F.col("a_ones") < F.col("b_ones")) | (F.col("a_sub") < F.col("b_sub")), F.col("b")).alias("b"))
 
     def run(batches):
@@ -251,109 +267,159 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, wide: bool = False) -
     groups = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("ones").alias("ones")), "groups")
     total = marked.count()
     roots = components(links(groups, radius))
-    rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id", "rows"), "named")
+    rooted = stored(groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "first", "rows", "root"), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    named = stored(join_skewed(rooted, least, "root", "n", groups.count(), "inner").select("fp", "component_id", "rows"), "named")
     out = join_skewed(marked, named, "fp", "rows", total, "inner")
     shown = F.lower(F.hex("fp")) if wide else F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def similar_links(one: list[dict], two: list[dict] | None, share: float, radius: int) -> list[tuple[bytes, bytes]]:
-    """Links (signature pairs) that connect what all pairs of similarity ``share`` within ``radius`` connect.
+def similar_links(one: list[dict], two: list[dict] | None, share: float, radius: int) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """Links (signature pairs) that connect what all pairs of similarity ``share`` within ``radius`` connect, and each member's group.
 
-    Members are ``sig, fp, shingles``; ``two`` None compares ``one`` with itself.
-    Pairs already connected are not compared again.
+    Members are ``sig, fp, shingles, part``: those of a list that have one
+    ``part`` are connected already. ``two`` None compares ``one`` with itself.
+    Pairs already connected are not compared again; a member meets the others in
+    growing blocks, whose shared shingles are counted at once.
     """
     both = one + (two or [])
-    sets = [np.frombuffer(m["shingles"], np.uint64) for m in both]
-    sizes = np.array([len(x) for x in sets])
+    sizes = np.array([len(m["shingles"]) // 8 for m in both])
+    starts = np.cumsum(sizes) - sizes
+    _, code = np.unique(np.frombuffer(b"".join(m["shingles"] for m in both), np.uint64), return_inverse=True)
+    held = np.zeros(int(code.max()) + 1, bool)
     fps = np.frombuffer(b"".join(m["fp"] for m in both), np.uint64).reshape(len(both), -1)
-    root = np.arange(len(both))
+    root = np.array([m["part"] for m in one] + [m["part"] + len(one) for m in two or []])
     found = []
     for i in range(len(one)):
         begin = i + 1 if two is None else len(one)
-        able = np.bitwise_count(fps[i] ^ fps[begin:]).sum(1, dtype=np.int64) <= radius
-        able &= np.minimum(sizes[i], sizes[begin:]) >= share * np.maximum(sizes[i], sizes[begin:])
-        others = np.flatnonzero(able) + begin
-        while len(others := others[root[others] != root[i]]):
-            j, others = others[0], others[1:]
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if shared >= share * (sizes[i] + sizes[j] - shared):
-                found.append((both[i]["sig"], both[j]["sig"]))
-                root[root == root[j]] = root[i]
-    return found
+        others = np.flatnonzero(root[begin:] != root[i]) + begin
+        others = others[np.minimum(sizes[i], sizes[others]) >= share * np.maximum(sizes[i], sizes[others])]
+        others = others[np.bitwise_count(fps[i] ^ fps[others]).sum(1, dtype=np.int64) <= radius]
+        if not len(others):
+            continue
+        mine, block = code[starts[i] : starts[i] + sizes[i]], 1
+        held[mine] = True
+        while len(others):
+            some, others = others[:block], others[block:]
+            ends = np.cumsum(sizes[some])
+            at = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - sizes[some]), sizes[some])
+            shared = np.add.reduceat(held[code[at]], ends - sizes[some], dtype=np.int64)
+            for j in some[shared >= share * (sizes[i] + sizes[some] - shared)].tolist():
+                if root[i] != root[j]:
+                    found.append((both[i]["sig"], both[j]["sig"]))
+                    root[root == root[j]] = root[i]
+            others, block = others[root[others] != root[i]], min(4 * block, 256)
+        held[mine] = False
+    return found, root
+
+
+def _signature(hashes: np.ndarray) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(hashes.tobytes())
 
 
 def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CANDIDATE_RADIUS) -> DataFrame:
-    """``doc_id, component_id`` for every document: components of pairs whose shingle sets have a Jaccard similarity of at least ``share``.
+    """``doc_id, sig, component_id, first_sig`` for every document: components of pairs whose shingle sets have a Jaccard similarity of at least ``share``.
 
     Pairs within ``radius`` bits are candidates; each is decided by its exact
     similarity, unless other pairs connect it already. Large candidate groups
-    are cut into tiles that meet pairwise. Null, empty and repeated rows count as
-    in ``near_duplicates``.
+    are cut into tiles; a tile finds its own groups first, then tiles meet
+    pairwise. ``sig`` stands for the shingle set; ``first_sig`` is the least
+    ``sig`` that bears ``component_id`` in the component. Null, empty and
+    repeated rows count as in ``near_duplicates``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", "text")
 
     def mark(rows: Iterator[tuple]) -> Iterator[tuple]:
-        from xxhash import xxh3_128_digest
-
         for key, text in rows:
             fp, hashes = shingle_set(text)
-            yield key, xxh3_128_digest(hashes.tobytes()), fp, int(np.bitwise_count(np.frombuffer(fp, np.uint8)).sum()), len(hashes)
+            yield key, _signature(hashes), fp, int(np.bitwise_count(np.frombuffer(fp, np.uint8)).sum()), len(hashes)
 
     marked = stored(map_rows(source, mark, f"doc_id {kind}, sig binary, fp binary, ones int, size int", rows=4096), "marked")
     sigs = stored(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("size").cast("long").alias("size")), "signatures")
+    total, texts = marked.count(), sigs.count()
     roots = components(links(sigs.groupBy("fp").agg(F.min("ones").alias("ones")), radius))
-    rooted = sigs.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = stored(sigs.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("sig", "root", "first", "size"), "rooted")
     per_root = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum("size") * 8 / SET_BYTES)).alias("parts")).filter("n > 1")
-    loose = stored(join_skewed(rooted, stored(per_root, "loose-sizes"), "root", "n", sigs.count(), "inner").select("sig", "root", "parts", "first"), "loose")
+    loose = stored(join_skewed(rooted, stored(per_root, "loose-sizes"), "root", "n", texts, "inner").select("sig", "root", "parts", "first"), "loose")
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
-        from xxhash import xxh3_128_digest
-
         for (text,) in rows:
             fp, hashes = shingle_set(text)
-            yield xxh3_128_digest(hashes.tobytes()), fp, hashes.tobytes()
+            yield _signature(hashes), fp, hashes.tobytes()
 
     some = source.join(loose.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(source.filter("doc_id is null"))
     each = map_rows(some.select("text"), sets, "sig binary, fp binary, shingles binary", rows=1024).join(loose.select("sig", "root", "parts"), "sig").dropDuplicates(["sig"])
-    tiles = each.withColumn("part", F.pmod(F.xxhash64("sig", F.lit(11)), F.col("parts"))).groupBy("root", "parts", "part").agg(F.collect_list(F.struct("sig", "fp", "shingles")).alias("members"))
-    tiles = stored(tiles, "set-tiles")
-    left = tiles.filter("part + 1 < parts").select("root", F.col("members").alias("a"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
-    cross = left.join(tiles.select("root", "part", F.col("members").alias("b")), ["root", "part"]).select("a", "b")
-    met = tiles.select(F.col("members").alias("a"), F.lit(None).cast(tiles.schema["members"].dataType).alias("b")).unionByName(cross)
-
-    def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for one, two in rows:
-            yield from similar_links(one, two, share, radius)
-
-    named = components(map_rows(met, compare, "fp_a binary, fp_b binary", rows=65536)).toDF("sig", "sig_root")
-    settled = sigs.join(named, "sig", "left").withColumn("sig_root", F.coalesce("sig_root", "sig"))
-    least = settled.groupBy("sig_root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    final = join_skewed(settled.select("sig", "rows", "sig_root"), stored(least, "least"), "sig_root", "n", sigs.count(), "inner")
-    out = join_skewed(marked.select("doc_id", "sig"), stored(final.select("sig", "component_id", "rows"), "named"), "sig", "rows", marked.count(), "inner")
-    return out.select("doc_id", "component_id")
+    tiles = each.withColumn("tile", F.pmod(F.xxhash64("sig", F.lit(11)), F.col("parts"))).groupBy("root", "parts", "tile").agg(F.collect_list(F.struct("sig", "fp", "shingles", F.lit(0).alias("part"))).alias("members"))
+    member = "array<struct<sig:binary,fp:binary,shingles:binary,part:int>>"
+    link = "array<struct<fp_a:binary,fp_b:binary>>"
+
+    def own(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """A tile's own groups: a star of links for each, and the members if other tiles will meet them."""
+        for root, parts, tile, members in rows:
+            for k, m in enumerate(members):
+                m["part"] = k
+            _, groups = similar_links(members, None, share, radius)
+            for m, g in zip(members, groups.tolist()):
+                m["part"] = g
+            star = [{"fp_a": m["sig"], "fp_b": members[g]["sig"]} for m, g in zip(members, groups.tolist()) if m is not members[g]]
+            yield root, parts, tile, members if parts > 1 else [], star
+
+    tiles = stored(map_rows(tiles, own, f"root binary, parts long, tile long, members {member}, star {link}", rows=64), "set-tiles")
+    large = tiles.filter("parts > 1")
+    star = tiles.select(F.explode("star").alias("s")).select("s.fp_a", "s.fp_b")
+    if large.limit(1).count():
+        left = large.filter("tile + 1 < parts").select("root", F.col("members").alias("a"), F.explode(F.sequence(F.col("tile") + 1, F.col("parts") - 1)).alias("tile"))
+        met = left.join(large.select("root", "tile", F.col("members").alias("b")), ["root", "tile"]).select("a", "b")
+
+        def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for one, two in rows:
+                yield from similar_links(one, two, share, radius)[0]
+
+        # members of one-tile groups know their group; only the groups of larger ones still have to meet
+        across = stored(map_rows(met, compare, "fp_a binary, fp_b binary", rows=65536), "across")
+        inner = large.select(F.explode("star").alias("s")).select("s.fp_a", "s.fp_b")
+        known = tiles.filter("parts = 1").select(F.explode("star").alias("s")).select(F.col("s.fp_a").alias("sig"), F.col("s.fp_b").alias("sig_root"))
+        named = components(inner.unionByName(across)).toDF("sig", "sig_root").unionByName(known)
+    else:
+        named = star.toDF("sig", "sig_root")
+    settled = stored(sigs.join(named, "sig", "left").select("sig", "first", "rows", F.coalesce("sig_root", "sig").alias("sig_root")), "settled")
+    least = settled.groupBy("sig_root").agg(F.min(F.struct(F.col("first").isNull().alias("gone"), "first", "sig")).alias("f"), F.count(F.lit(1)).alias("n"))
+    least = stored(least.select("sig_root", F.col("f.first").alias("component_id"), F.col("f.sig").alias("first_sig"), "n"), "least")
+    final = stored(join_skewed(settled, least, "sig_root", "n", texts, "inner").select("sig", "component_id", "first_sig", "rows"), "named")
+    return join_skewed(marked.select("doc_id", "sig"), final, "sig", "rows", total, "inner").select("doc_id", "sig", "component_id", "first_sig")
 
 
 def keep_first(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
-    """The documents that stay: of each component the one with the least ``doc_id``, all columns unchanged.
+    """The documents that stay: of each component one row, that with the least ``doc_id``, all columns unchanged.
 
     Components link texts that share at least ``share`` of their distinct
-    five-word shingles, see ``similar_groups``.
-
-    Rows that share the id that stays are reduced to one; rows without an id
-    stay once per distinct text, since no id can stand for them.
+    five-word shingles, see ``similar_groups``; null and empty texts are alike. A
+    row without an id stays only where no row of its component has one. Rows that
+    share an id are told apart by their shingles: unrelated texts under one id all
+    stay; of rows equal in id and shingles the one with the least text stays, and
+    of rows that differ in other columns alone any one. An empty table stays
+    empty; further columns may have any name.
     """
-    found = similar_groups(docs, share)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = stored(kept, "kept")
-    stay = docs.join(kept.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    if not kept.filter("`count` > 1 or doc_id is null").limit(1).count():
-        return stay.select(*docs.columns)
-    twice = kept.filter("`count` > 1").select("doc_id")
-    single = stay.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    several = stay.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return single.unionByName(several).unionByName(unnamed)
+    found = stored(similar_groups(docs, share), "found")
+    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sig") == F.col("first_sig"))).select("doc_id", "sig").distinct(), "kept")
+    several = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "several")
+    if not several.limit(1).count():
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    named = docs.filter("doc_id is not null")
+    single = named.join(kept.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    twice = named.join(several, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+    @F.pandas_udf("binary")
+    def signature(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _signature(shingle_set(t)[1]))
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = twice.select(row.alias("r"), signature("text").alias("s"))
+    match = F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("sig"))
+    ours = rows.join(kept.join(several.filter("doc_id is not null"), "doc_id", "left_semi").unionByName(kept.filter("doc_id is null")), match)
+    one = ours.groupBy(F.col("doc_id"), F.col("sig")).agg(F.min_by("r", F.struct(F.col("r.text").isNotNull(), F.col("r.text"))).alias("r"))
+    return single.unionByName(one.select("r.*"))
