@@ -43,8 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def row_key() -> Column:
+    """Names rows of documents by id and text, so that rows without an id, or of one id and unlike texts, are told apart."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str, rows: int = 256, size: int = 4 << 20) -> DataFrame:

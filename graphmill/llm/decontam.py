@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, map_rows, stored
+from .common import join_skewed, map_rows, row_key, stored
 
 # fixed values: windows of 8 to 10 tokens of which 6 count; no two masks ignore the same places
 MASKS = ("11101011", "110110011", "1100110011", "1011100101")
@@ -99,22 +99,35 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
 
     Tokens are runs of word characters, lower-cased. A pair counts when at least
     ``LEAST_TOKENS`` tokens match (four fifths of shorter items) and four fifths
-    of the stretch do; items shorter than every mask cannot be found. Null
-    texts hold no token; rows without an id are reported under a null id;
-    repeated rows are one pair; ties take the earliest place. Only the columns
-    named are read. Empty tables give an empty result.
+    of the stretch do. Items too short for every mask are found where all their
+    tokens stand in a row, those without tokens nowhere. Null texts hold no
+    token; rows without an id are reported under a null id; repeated rows are
+    one pair; ties take the earliest place. Only the columns named are read.
+    Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tests = stored(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "items")
 
-    def seeds(rows: Iterator[tuple]) -> Iterator[tuple]:
+    least = min(map(len, MASKS))
+
+    def lengths(rows: Iterator[tuple]) -> Iterator[tuple]:
         windows = Windows()
+        yield from ((n,) for n in {len(windows.tokens(text)) for (text,) in rows} if n < least)
+
+    # items of fewer tokens than any mask spans get a mask that is as long as they are; fewer than ``least`` such masks
+    short = sorted(r[0] for r in map_rows(tests.select("text"), lengths, "n int").distinct().collect() if r[0])
+    masks = MASKS + tuple("1" * n for n in short)
+
+    def indexed(windows: Windows, tokens: np.ndarray, k: int) -> np.ndarray:
+        return windows.hashes(tokens, k) if k < len(MASKS) or len(tokens) == short[k - len(MASKS)] else np.array([], np.uint64)
+
+    def seeds(rows: Iterator[tuple]) -> Iterator[tuple]:
+        windows = Windows(masks)
         for item, sig, text in rows:
             tokens = windows.tokens(text)
-            for k in range(len(MASKS)):
-                for at, h in enumerate(windows.hashes(tokens, k).view(np.int64).tolist()):
+            for k in range(len(masks)):
+                for at, h in enumerate(indexed(windows, tokens, k).view(np.int64).tolist()):
                     yield item, sig, k, at, h
 
     seed_schema = f"item_id {item_kind}, item_sig string, mask int, item_at int, hash long"
@@ -125,11 +138,11 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
         packed = [(r[0], r[1]) for r in tests.collect()] if count else []
 
         def near(rows: Iterator[tuple]) -> Iterator[tuple]:
-            windows = Windows()
+            windows = Windows(masks)
             tokens = [windows.tokens(text) for _, text in packed]
             index = []
-            for k in range(len(MASKS)):
-                each = [windows.hashes(t, k) for t in tokens]
+            for k in range(len(masks)):
+                each = [indexed(windows, t, k) for t in tokens]
                 h = np.concatenate(each) if each else np.array([], np.uint64)
                 item = np.repeat(np.arange(len(each)), [len(x) for x in each])
                 at = np.concatenate([np.arange(len(x)) for x in each]) if each else h
@@ -156,10 +169,10 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
     else:
 
         def spread(rows: Iterator[tuple]) -> Iterator[tuple]:
-            windows = Windows()
+            windows = Windows(masks)
             for doc, sig, text in rows:
                 tokens = windows.tokens(text)
-                for k in range(len(MASKS)):
+                for k in range(len(masks)):
                     for at, h in enumerate(windows.hashes(tokens, k).view(np.int64).tolist()):
                         yield doc, sig, k, at, h
 
@@ -187,6 +200,14 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a verified overlap, columns unchanged; rows without an id stay."""
-    bad = stored(overlaps(docs, items).select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti").select(*docs.columns)
+    """The documents without a verified overlap, columns unchanged.
+
+    Every row is judged by its own text: rows without an id and rows that share
+    one with another text included. Null and empty texts stay, repeated rows
+    share their fate, empty tables change nothing; further columns may have any
+    name.
+    """
+    key = row_key()
+    found = overlaps(docs.select(key.alias("doc_id"), "text"), items)
+    bad = stored(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return docs.join(bad, key == bad["__key"], "left_anti").select(*docs.columns)

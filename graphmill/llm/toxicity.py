@@ -20,11 +20,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, row_key, stored
 
 #: Labelled rows used for mining stems and fitting the classifier, at most; rows are taken by hash of their id.
 MAX_LABELLED = 20_000
+#: Mined voters, at most: with the four fixed ones they fit a 64-bit vote mask. A size of the model, like ``BUCKETS``.
 MAX_VOTERS = 56
+#: Stems the greedy choice of voters considers, best first.
+MAX_STEMS = 1000
+#: Correlations below this are taken for none: weaker ones are common to all voters of one language.
+LEAST_RHO = 0.5
 BUCKETS = 1 << 15
 THRESHOLD = 0.7
 #: Documents whose word features are in memory at a time while the classifier is fitted.
@@ -133,7 +138,7 @@ def mine_stems(sample: DataFrame, most: int) -> list[str]:
     share = bad / (bad + good)
     # the chance that all but g of b + g texts are toxic, against the number of stems with such counts
     likely = F.col("b") * math.log(1 / share) - F.col("g") * 6
-    found = [(r[0], r[1], r[2]) for r in sums.withColumn("gain", likely).filter("gain > 13").orderBy(F.desc("gain"), "stem").limit(1000).collect()]
+    found = [(r[0], r[1], r[2]) for r in sums.withColumn("gain", likely).filter("gain > 13").orderBy(F.desc("gain"), "stem").limit(MAX_STEMS).collect()]
     if not found:
         return []
     names = [s for s, _, _ in found]
@@ -165,13 +170,15 @@ def mine_stems(sample: DataFrame, most: int) -> list[str]:
 
 
 class LabelModel:
-    """Two classes, voters that fire independently given the class, corrected for correlation.
+    """Two classes, voters that fire given the class, and how strongly they repeat each other.
 
     ``fire[y, j]`` is how often voter j fires in class y. A voter's evidence is
-    divided by one plus its summed positive correlations with the others, so
-    voters that repeat each other do not count twice. A voter that stays silent
-    abstains: silence is evidence only where every voter is silent, for voters of
-    one language say nothing about texts in another.
+    divided by one plus its summed positive correlations with the others among
+    toxic texts (its design effect), so voters that repeat each other do not
+    count twice, neither in the posterior nor in the rounds that estimate the
+    model. A voter that stays silent abstains: silence is evidence only where
+    every voter is silent, for voters of one language say nothing about texts in
+    another.
     """
 
     def __init__(self, fire: np.ndarray, prior: float, weight: np.ndarray):
@@ -193,30 +200,39 @@ def fit_label_model(patterns: DataFrame, sample_votes: np.ndarray, sample_toxic:
 
     Labelled votes start the model and stay as pseudo-counts, so that classes
     keep their meaning. Each round is one Spark aggregation that returns sums
-    over voters and pairs of voters, one row per partition.
+    over voters and pairs of voters, one row per partition, and estimates firing
+    rates, prior and correlations together.
     """
     k = sample_votes.shape[1]
     bad = sample_toxic.astype(np.float64)
     base = np.stack([(1 - bad) @ sample_votes, bad @ sample_votes])
+    joint = (sample_votes * bad[:, None]).T @ sample_votes  # pairs of votes among texts labelled toxic
     size = np.array([(1 - bad).sum(), bad.sum()])
-    fire = (base + 0.25) / (size[:, None] + 1.0)
-    prior = min(0.5, max(1e-3, (size[1] + 0.5) / (size.sum() + 1)))
-    model = LabelModel(np.clip(fire, 1e-5, 1 - 1e-5), prior, np.ones(k))
-    for at in range(rounds):
-        last = at == rounds - 1
 
-        def expect(rows: Iterator[tuple], model=model, last=last) -> Iterator[tuple]:
-            sums = np.zeros((2, 1 + k + (k * k if last else 0)))
+    def model(sums: np.ndarray, pairs: np.ndarray, mass: np.ndarray, floor: float) -> LabelModel:
+        fire = np.clip((sums + 0.25) / (mass[:, None] + 1.0), floor, 1 - floor)
+        rate = sums[1] / max(mass[1], 1.0)
+        spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+        rho = (pairs / max(mass[1], 1.0) - np.outer(rate, rate)) / np.outer(spread, spread)
+        np.fill_diagonal(rho, 0)
+        # a correlation within three standard errors of none is none
+        repeat = np.where(rho > max(LEAST_RHO, 3 / math.sqrt(max(mass[1], 1.0))), np.minimum(rho, 1), 0)
+        return LabelModel(fire, float(np.clip(mass[1] / max(mass.sum(), 1.0), 1e-3, 0.5)), 1 / (1 + repeat.sum(1)))
+
+    now = model(base, joint, size, 1e-5)
+    for _ in range(rounds):
+
+        def expect(rows: Iterator[tuple], model=now) -> Iterator[tuple]:
+            sums = np.zeros(2 + 2 * k + k * k)
 
             def add(held):
                 masks, n = (np.array(c) for c in zip(*held))
                 votes = LabelModel.unpack(masks, k)
-                p = 1 / (1 + np.exp(-model.logit(votes)))
-                for y, q in ((0, n * (1 - p)), (1, n * p)):
-                    sums[y, 0] += q.sum()
-                    sums[y, 1 : 1 + k] += q @ votes
-                    if last:
-                        sums[y, 1 + k :] += ((votes * q[:, None]).T @ votes).ravel()
+                q = n / (1 + np.exp(-model.logit(votes)))
+                sums[:2] += (n - q).sum(), q.sum()
+                sums[2 : 2 + k] += (n - q) @ votes
+                sums[2 + k : 2 + 2 * k] += q @ votes
+                sums[2 + 2 * k :] += ((votes * q[:, None]).T @ votes).ravel()
 
             held: list[tuple] = []
             for row in rows:
@@ -227,56 +243,66 @@ def fit_label_model(patterns: DataFrame, sample_votes: np.ndarray, sample_toxic:
             if held:
                 add(held)
             if sums.any():
-                yield (sums.ravel().tolist(),)
-
-        parts = [np.array(r[0]).reshape(2, -1) for r in map_rows(patterns, expect, "sums array<double>").collect()]
-        total = sum(parts) if parts else np.zeros((2, 1 + k + (k * k if last else 0)))
-        mass = total[:, 0] + size
-        fire = np.clip((total[:, 1 : 1 + k] + base + 0.25) / (mass[:, None] + 1.0), 1e-6, 1 - 1e-6)
-        weight = model.weight
-        if last:
-            pairs = total[:, 1 + k :].reshape(2, k, k) / np.maximum(total[:, 0], 1)[:, None, None]
-            rates = total[:, 1 : 1 + k] / np.maximum(total[:, :1], 1)
-            spread = np.sqrt(np.maximum(rates * (1 - rates), 1e-9))
-            rho = (pairs - rates[:, :, None] * rates[:, None, :]) / (spread[:, :, None] * spread[:, None, :])
-            # correlation among toxic texts is what makes evidence repeat; the diagonal is not a pair
-            repeat = np.clip(rho[1], 0, 1)
-            np.fill_diagonal(repeat, 0)
-            repeat[repeat < 0.2] = 0
-            weight = 1 / (1 + repeat.sum(1))
-        model = LabelModel(fire, float(np.clip(mass[1] / max(mass.sum(), 1.0), 1e-3, 0.5)), weight)
-    return model
+                yield (sums.tolist(),)
+
+        total = sum((np.array(r[0]) for r in map_rows(patterns, expect, "sums array<double>").collect()), np.zeros(2 + 2 * k + k * k))
+        now = model(total[2 : 2 + 2 * k].reshape(2, k) + base, total[2 + 2 * k :].reshape(k, k) + joint, total[:2] + size, 1e-6)
+    return now
 
 
 class LinearModel:
-    """Logistic score over the label model's evidence and hashed words; weights shrink towards zero."""
+    """Logistic regression of a text's features, learned from posterior labels.
+
+    Features are the text's votes and its hashed words; no output of the label
+    model is among them. Votes are few and get Newton steps, words are many and
+    get gradient steps; both shrink towards zero.
+    """
 
-    def __init__(self):
-        self.bias, self.evidence, self.words = 0.0, 1.0, np.zeros(BUCKETS)
+    def __init__(self, k: int):
+        self.dense, self.words = np.zeros(k + 2), np.zeros(BUCKETS)
+        self.scale, self.shift = 1.0, 0.0
 
-    def raw(self, logits: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
-        return self.bias + self.evidence * np.clip(logits, -8, 8) + _Block(buckets).sums(self.words)
+    @staticmethod
+    def features(votes: np.ndarray) -> np.ndarray:
+        """A constant, whether nothing voted, and each vote."""
+        return np.column_stack([np.ones(len(votes)), ~votes.any(axis=1), votes])
+
+    def raw(self, votes: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
+        return self.scale * (self.features(votes) @ self.dense + _Block(buckets).sums(self.words)) + self.shift
 
-    def fit(self, logits: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray, steps: int = 80, shrink: float = 0.2) -> None:
-        """Full-batch descent, block by block, so that working memory does not follow the sample."""
+    def calibrate(self, raw: np.ndarray, toxic: np.ndarray, steps: int = 30) -> None:
+        """Scale and shift the score so that it is the chance of the label among labelled texts; a score that tells nothing stays as it is."""
+        bad, good = float(toxic.sum()), float((1 - toxic).sum())
+        if not bad or not good:
+            return
+        aim = np.where(toxic == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+        x, at = np.column_stack([raw, np.ones(len(raw))]), np.array([1.0, 0.0])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+            bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+            move = np.linalg.solve(bend, (p - aim) @ x)
+            at = at - move * min(1.0, 1.0 / max(1e-9, np.abs(move).max()))
+        if at[0] > 0:
+            self.scale, self.shift = float(at[0]), float(at[1])
+
+    def fit(self, votes: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray, steps: int = 24, ridge: float = 0.05, shrink: float = 0.2) -> None:
+        """Full-batch steps, block by block, so that working memory does not follow the sample."""
         n = len(labels)
         if not n:
             return
-        x = np.clip(logits, -8, 8)
-        blocks = [(slice(at, at + BLOCK), buckets[at : at + BLOCK]) for at in range(0, n, BLOCK)]
+        blocks = [(slice(at, at + BLOCK), _Block(buckets[at : at + BLOCK]).compact()) for at in range(0, n, BLOCK)]
         for _ in range(steps):
-            slope, drift, lean = np.zeros(BUCKETS), 0.0, 0.0
-            for part, own in blocks:
-                block = _Block(own)
-                score = self.bias + self.evidence * x[part] + block.sums(self.words)
-                error = 1 / (1 + np.exp(-score)) - labels[part]
-                drift += error.sum()
-                lean += error @ x[part]
+            slope, lean, bend = np.zeros(BUCKETS), ridge * self.dense, ridge * np.eye(len(self.dense))
+            for part, block in blocks:
+                x = self.features(votes[part])
+                p = 1 / (1 + np.exp(-np.clip(x @ self.dense + block.sums(self.words), -30, 30)))
+                error = p - labels[part]
+                lean = lean + error @ x
+                bend = bend + (x * (p * (1 - p))[:, None]).T @ x
                 slope += block.spread(error)
-            self.bias -= 0.5 * drift / n
-            self.evidence -= 0.05 * lean / n
+            move = np.linalg.solve(bend, lean)
+            self.dense -= move * min(1.0, 4.0 / max(1e-9, np.abs(move).max()))
             self.words -= 2.0 * (slope + shrink * self.words) / n
-        self.evidence = max(self.evidence, 0.5)
 
 
 class _Block:
@@ -288,6 +314,11 @@ class _Block:
         self.flat = np.concatenate(buckets).astype(np.int64) if buckets else np.array([], np.int64)
         self.row = np.repeat(np.arange(self.n), sizes)
 
+    def compact(self) -> _Block:
+        """The same in half the memory, to be kept."""
+        self.flat, self.row = self.flat.astype(np.uint16), self.row.astype(np.uint16)
+        return self
+
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=weights[self.flat], minlength=self.n) * self.scale
 
@@ -296,18 +327,21 @@ class _Block:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, held_out, score, predicted, posterior, votes`` per document.
+    """``doc_id, held_out, score, predicted, posterior, votes, row_key`` per document.
 
     Labels are taken from rows that are not held out (``crc32`` of the id as
     text, modulo 3, is not 1), of at most ``limit`` such rows with distinct
     texts. Scores depend on the text alone: equal texts, equal scores. Null
     texts count as empty and get the score of a text without words. Null ids and
-    repeated rows are kept; null labels are left out, contradictory ones count
-    as toxic. Without usable labels only the fixed voters speak.
+    repeated rows are kept; labels other than 0 and 1 are left out,
+    contradictory ones count as toxic. Without usable labels only the fixed
+    voters speak, and the score is the label model's posterior. Very long texts
+    are read whole. ``row_key`` names a row by id and text. Empty tables give
+    empty results; further columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    source = docs.select("doc_id", row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
     # at most ``limit`` rows of an id and a bit
     sample = source.join(F.broadcast(chosen), "doc_id").groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
@@ -322,24 +356,26 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             mask, buckets = own.read(text)
             yield *kept, mask, buckets.tobytes()
 
-    seen = stored(map_rows(source, read, f"doc_id {kind}, votes long, buckets binary", rows=4096), "votes")
+    seen = stored(map_rows(source, read, f"doc_id {kind}, row_key string, votes long, buckets binary", rows=4096), "votes")
     patterns = stored(seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
     taught = [(r[0], r[1], r[2]) for r in map_rows(sample.select("toxic", "text"), read, "toxic int, votes long, buckets binary", rows=1024).collect()]  # at most ``limit`` rows
     toxic = np.array([t for t, _, _ in taught], np.int64)
     votes = LabelModel.unpack(np.array([v for _, v, _ in taught], np.int64), k) if taught else np.zeros((0, k))
     model = fit_label_model(patterns, votes, toxic)
-    linear = LinearModel()
+    linear = LinearModel(k)
+    # without usable labels the label model's own votes are all there is to learn from
+    words = [np.frombuffer(b, np.uint16) for _, _, b in taught]
+    linear.fit(votes, words, 1 / (1 + np.exp(-model.logit(votes))))
     if taught:
-        logits = model.logit(votes)
-        linear.fit(logits, [np.frombuffer(b, np.uint16) for _, _, b in taught], 1 / (1 + np.exp(-logits)))
+        linear.calibrate(np.concatenate([linear.raw(votes[at : at + BLOCK], words[at : at + BLOCK]) for at in range(0, len(taught), BLOCK)]), toxic)
 
     def score(rows: Iterator[tuple]) -> Iterator[tuple]:
         def flush(held):
-            masks = np.array([m for _, m, _ in held], np.int64)
-            logits = model.logit(LabelModel.unpack(masks, k))
-            raw = linear.raw(logits, [np.frombuffer(b, np.uint16) for _, _, b in held])
-            for (key, mask, _), z, p in zip(held, raw.tolist(), logits.tolist()):
-                yield key, 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), 1 / (1 + math.exp(-max(-60.0, min(60.0, p)))), bin(mask).count("1")
+            votes = LabelModel.unpack(np.array([m for *_, m, _ in held], np.int64), k)
+            posterior = model.logit(votes)
+            raw = linear.raw(votes, [np.frombuffer(b, np.uint16) for *_, b in held]) if taught else posterior
+            for (key, same, mask, _), *both in zip(held, raw.tolist(), posterior.tolist()):
+                yield key, same, *(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) for z in both), mask.bit_count()
 
         held = []
         for row in rows:
@@ -350,14 +386,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         if held:
             yield from flush(held)
 
-    out = map_rows(seen, score, f"doc_id {kind}, score double, posterior double, votes int", rows=4096)
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.round("score", 9).alias("score"), (F.round("score", 9) >= threshold).cast("int").alias("predicted"), F.round("posterior", 9).alias("posterior"), "votes")
+    out = map_rows(seen, score, f"doc_id {kind}, row_key string, score double, posterior double, votes int", rows=4096)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.round("score", 9).alias("score"), (F.round("score", 9) >= threshold).cast("int").alias("predicted"), F.round("posterior", 9).alias("posterior"), "votes", "row_key")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, columns unchanged; rows without an id stay unless every such row is rejected.
+    """The documents not predicted toxic, columns unchanged.
 
-    An id borne by several rows is rejected where any of them is.
+    A row is judged by its own text, so equal texts go or stay together whatever
+    their ids, rows without an id included. Empty tables change nothing; further
+    columns may have any name.
     """
-    bad = stored(score_documents(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti").select(*docs.columns)
+    bad = stored(score_documents(docs, labels).filter("predicted = 1").select(F.col("row_key").alias("__key")).distinct(), "rejected")
+    return docs.join(bad, row_key() == bad["__key"], "left_anti").select(*docs.columns)

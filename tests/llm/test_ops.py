@@ -538,3 +538,64 @@ def test_pipeline_stages(spark, sf_dir):
             assert docs.count() == docs.select("doc_id").distinct().count() <= before
             before = docs.count()
     assert docs.columns == [*columns, "shard", "slot"] and docs.count() > 0.5 * before
+
+
+# --- rows are kept or dropped one by one
+
+
+def test_rows_without_unique_ids_are_judged_by_their_texts(spark):
+    rng = random.Random(43)
+    words = [f"w{k}" for k in range(2000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, c, item = text(60), text(60), text(60), text(30)
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (1, b), (None, near), (None, c), (None, c + "  "), (2, None), (None, ""), (3, f"{b[:40]} {item}"), (None, f"{c[:40]} {item}"), (3, text(50)), (1, a)]
+    docs = spark.createDataFrame([(*r, 1, "x", b"y") for r in rows], "doc_id long, text string, sig int, `__key` string, r binary")
+    out = simhash.keep_first(docs)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, c), (2, None), rows[7], rows[8], rows[9]], key=str)
+    items = spark.createDataFrame([(0, item), (1, None)], "item_id long, text string")
+    clean = decontam.keep_uncontaminated(docs, items)
+    assert clean.columns == docs.columns and sorted((r.doc_id, r.text) for r in clean.collect() if r.doc_id == 3) == [rows[9]]
+    assert clean.count() == len(rows) - 2 and decontam.keep_uncontaminated(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_short_items_are_found_whole(spark, limit):
+    items = spark.createDataFrame([(0, "one two three four five six seven"), (1, "Alpha, beta!"), (2, "..."), (3, "zeta")], "item_id long, text string")
+    texts = ["x one two three four five six seven y", "one two three four five six", "alpha beta", "alpha gamma beta", "zeta", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.matches, r.first_token, r.end_token) for r in decontam.overlaps(docs, items, limit).collect())
+    assert found == [(0, 0, 7, 1, 8), (2, 1, 2, 0, 2), (4, 3, 1, 0, 1)]
+
+
+def test_toxicity_of_odd_labels_and_long_texts(spark):
+    rng = random.Random(47)
+    rows = [(i, prose(rng, 30) + (" grumphel grumphox" if i % 5 == 0 else ""), 0) for i in range(200)]
+    rows += [(None, prose(rng, 20) + " grumphel grumphox", 0), (None, "alpha beta", 0), (900, prose(rng, 60_000) + " grumphel grumphox", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__key` int")
+    labels = spark.createDataFrame([(i, 1, 7 if i == 3 else int(i % 5 == 0)) for i in range(200)] + [(None, 1, 1), (4, 0, -1)], "doc_id long, quality int, toxic int")
+    clean = toxicity.keep_clean(docs, labels)
+    assert clean.columns == docs.columns
+    kept = clean.collect()
+    assert [r.text for r in kept if r.doc_id is None] == ["alpha beta"] and not any(r.doc_id is not None and r.doc_id % 5 == 0 and r.doc_id < 200 for r in kept)
+    assert sum(r.doc_id is not None and r.doc_id < 200 for r in kept) == 160
+
+
+def test_toxicity_held_out_precision_and_recall(spark):
+    """Labels never read, of an invented corpus with noise among the labels."""
+    rng = random.Random(53)
+    rows, labels, truth = [], [], {}
+    for i in range(1500):
+        words = [rng.choice(WORDS) + rng.choice(["", "a", "o", "us"]) for _ in range(rng.randint(20, 120))]
+        truth[i] = i % 8 == 0
+        if truth[i]:
+            for _ in range(rng.randint(2, 5)):
+                words[rng.randrange(len(words))] = rng.choice(["grumphel", "snarkox", "blighto", "mumpfix"]) + rng.choice(["", "s"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(truth[i]) if rng.random() > 0.02 else int(not truth[i])))
+    out = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    found = {r.doc_id for r in out if r.predicted}
+    bad = {r.doc_id for r in out if truth[r.doc_id]}
+    assert len(found & bad) >= 0.95 * len(bad) and len(found & bad) >= 0.95 * len(found)
