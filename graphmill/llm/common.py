@@ -48,6 +48,23 @@ def row_key() -> Column:
     return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
+#: Sides of a join with at most so many rows of a few dozen bytes are broadcast: about 100 MB.
+BROADCAST_ROWS = 500_000
+
+
+def checked(small: DataFrame) -> DataFrame:
+    """``small``, a stored table, marked for broadcast where its counted rows allow it; otherwise Spark joins by shuffle."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[tuple]], schema: str, rows: int = 256, size: int = 4 << 20) -> DataFrame:
     """Run ``fn`` over the rows of each partition, in order, through Arrow.
 
@@ -86,29 +103,30 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
-    """Add the global row number ``__row`` (0-based, by ``order``) and return the row count.
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int, str]:
+    """Add a global row number (0-based, by ``order``); return the rows, their count and the new column's name.
 
     Rows are range-partitioned and sorted, written once, and counted per
     partition; only those counts (one per partition) reach the driver. Ties take
     the same set of numbers in any order, so ``order`` should end in columns that
-    make tied rows interchangeable.
+    make tied rows interchangeable. The new column bears a name that is free.
     """
     spark = df.sparkSession
+    at, row = free_name(df, "__at"), free_name(df, "__row")
     ranged = df.repartitionByRange(*(F.col(c).asc_nulls_last() for c in order))
     ranged = ranged.sortWithinPartitions(*(F.col(c).asc_nulls_last() for c in order))
-    kept = stored(ranged.withColumn("__at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__at", 33)
-    counts = {r[0]: r[1] for r in kept.groupBy(part.alias("p")).count().collect()}
+    kept = stored(ranged.withColumn(at, F.monotonically_increasing_id()), name)
+    counts = {r[0]: r[1] for r in kept.groupBy(F.shiftright(at, 33).alias("p")).count().collect()}
     total, starts = 0, []
     for p in sorted(counts):
         starts.append((p, total))
         total += counts[p]
+    part, start = free_name(df, "__part"), free_name(df, "__start")
     # one row per partition of the table, so the size is known
-    table = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))
-    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = kept.withColumn("__part", part).join(table, "__part").withColumn("__row", F.col("__start") + within)
-    return out.drop("__part", "__start", "__at"), total
+    table = F.broadcast(spark.createDataFrame(starts, f"`{part}` long, `{start}` long"))
+    within = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    out = kept.withColumn(part, F.shiftright(at, 33)).join(table, part).withColumn(row, F.col(start) + within)
+    return out.drop(part, start, at), total, row
 
 
 #: A key is hot when it holds more than this share of the rows; there are at most 1 / HOT_SHARE such keys.

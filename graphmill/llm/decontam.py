@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, map_rows, row_key, stored
+from .common import checked, free_name, join_skewed, map_rows, row_key, stored
 
 # fixed values: windows of 8 to 10 tokens of which 6 count; no two masks ignore the same places
 MASKS = ("11101011", "110110011", "1100110011", "1011100101")
@@ -209,5 +209,6 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     key = row_key()
     found = overlaps(docs.select(key.alias("doc_id"), "text"), items)
-    bad = stored(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return docs.join(bad, key == bad["__key"], "left_anti").select(*docs.columns)
+    name = free_name(docs, "__key")
+    bad = stored(found.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(checked(bad), key == bad[name], "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, map_rows, stored
+from .common import checked, join_skewed, map_rows, stored
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -39,8 +39,8 @@ CANDIDATE_RADIUS = 76
 #: Shingle sets compared at once in a task: so many, and so many bytes of them.
 SET_TILE, SET_BYTES = 1024, 2 << 20
 TILE = 8192
-#: Tiles per cell: a task holds the right side's tiles of one pair of cells at a time, 1 MB of fingerprints of 64 bits.
-CELL = 16
+#: Tiles per cell: two classes of many tiles meet in as many join keys as they have pairs of cells.
+CELL = 2
 ROWS_AT_ONCE = 32
 WIDE_ROWS_AT_ONCE = 8
 
@@ -407,8 +407,9 @@ def keep_first(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
     found = stored(similar_groups(docs, share), "found")
     kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sig") == F.col("first_sig"))).select("doc_id", "sig").distinct(), "kept")
     several = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "several")
-    if not several.limit(1).count():
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not several.limit(1).count():  # ids are unique: what goes is fewer than what stays
+        gone = stored(found.filter("not (doc_id <=> component_id)").select("doc_id"), "gone")
+        return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
     named = docs.filter("doc_id is not null")
     single = named.join(kept.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     twice = named.join(several, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

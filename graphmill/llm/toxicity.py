@@ -15,12 +15,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, row_key, stored
+from .common import map_rows, stored
 
 #: Labelled rows used for mining stems and fitting the classifier, at most; rows are taken by hash of their id.
 MAX_LABELLED = 20_000
@@ -74,32 +76,41 @@ class Voters:
         stems = tuple(s for s in (word + "$", *(word[:n] for n in self.lengths if len(word) >= n)) if s in self.bits)
         return stems, zlib.crc32(word[:4].encode()) % BUCKETS, zlib.crc32(b"w" + word.encode()) % BUCKETS, word in self.lexicon
 
-    def read(self, text: str) -> tuple[int, np.ndarray]:
-        """The mask, and the sorted distinct buckets of the text's words and word beginnings."""
-        words = _word.findall(text.lower())
-        memo = self.memo
+    def words(self, text: str) -> list[tuple[tuple, int]]:
+        """What is known of each distinct word, and how often it occurs."""
+        memo, out = self.memo, []
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        mask, named, buckets, times = 0, 0, set(), {}
-        for word, n in Counter(words).items():
+        for word, n in Counter(_word.findall(text.lower())).items():
             about = memo.get(word)
             if about is None:
                 about = memo[word] = self._about(word)
+            out.append((about, n))
+        return out
+
+    def mask(self, words: list[tuple[tuple, int]], text: str) -> int:
+        mask, named, total, times = 0, 0, 0, {}
+        for about, n in words:
+            total += n
+            named += about[3]
             for stem in about[0]:
                 times[stem] = times.get(stem, 0) + n
-            named += about[3]
-            buckets.add(about[1])
-            buckets.add(about[2])
         for stem, n in times.items():
             for least, bit in self.bits[stem]:
                 if n >= least:
                     mask |= bit
         mask |= (named > 0) | (named > 1) << 1
-        if len(words) > 4 and len(_loud.findall(text)) > 0.4 * len(words):
+        if total > 4 and len(_loud.findall(text)) > 0.4 * total:
             mask |= 4
         if text.count("!!") > 3:
             mask |= 8
-        return mask, np.array(sorted(buckets), np.uint16)
+        return mask
+
+    def read(self, text: str) -> tuple[int, np.ndarray]:
+        """The mask, and the sorted distinct buckets of the text's words and word beginnings."""
+        words = self.words(text)
+        buckets = {b for about, _ in words for b in about[1:3]}
+        return self.mask(words, text), np.array(sorted(buckets), np.uint16)
 
 
 def mine_stems(sample: DataFrame, most: int) -> list[str]:
@@ -326,76 +337,99 @@ class _Block:
         return np.bincount(self.flat, weights=(values * self.scale)[self.row], minlength=BUCKETS)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, held_out, score, predicted, posterior, votes, row_key`` per document.
+class Scorer:
+    """What one corpus and its labels teach: the voters, the label model and the classifier.
 
     Labels are taken from rows that are not held out (``crc32`` of the id as
     text, modulo 3, is not 1), of at most ``limit`` such rows with distinct
-    texts. Scores depend on the text alone: equal texts, equal scores. Null
-    texts count as empty and get the score of a text without words. Null ids and
-    repeated rows are kept; labels other than 0 and 1 are left out,
-    contradictory ones count as toxic. Without usable labels only the fixed
-    voters speak, and the score is the label model's posterior. Very long texts
-    are read whole. ``row_key`` names a row by id and text. Empty tables give
-    empty results; further columns are not read.
+    texts; labels other than 0 and 1 are left out, contradictory ones count as
+    toxic. The votes of every document are counted by pattern; texts are read
+    once for that and once for their scores, and nothing is stored per document.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED):
+        source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+        # at most ``limit`` rows of an id and a bit
+        sample = source.join(F.broadcast(chosen), "doc_id").groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+        sample = stored(sample, "labelled")
+        self.stems = stems = mine_stems(sample, MAX_VOTERS)
+        self.k = k = len(Voters(stems).names)
+
+        def vote(rows: Iterator[tuple]) -> Iterator[tuple]:
+            """Vote patterns and their numbers, added up per task."""
+            own, counts = Voters(stems), Counter()
+            for (text,) in rows:
+                counts[own.mask(own.words(text), text)] += 1
+                if len(counts) > 100_000:
+                    yield from counts.items()
+                    counts.clear()
+            yield from counts.items()
+
+        def teach(rows: Iterator[tuple]) -> Iterator[tuple]:
+            own = Voters(stems)
+            for toxic, text in rows:
+                mask, buckets = own.read(text)
+                yield toxic, mask, buckets.tobytes()
+
+        patterns = stored(map_rows(source.select("text"), vote, "votes long, n long", rows=4096).groupBy("votes").agg(F.sum("n").alias("n")), "patterns")
+        taught = [(r[0], r[1], r[2]) for r in map_rows(sample.select("toxic", "text"), teach, "toxic int, votes long, buckets binary", rows=1024).collect()]  # at most ``limit`` rows
+        toxic = np.array([t for t, _, _ in taught], np.int64)
+        votes = LabelModel.unpack(np.array([v for _, v, _ in taught], np.int64), k) if taught else np.zeros((0, k))
+        self.model = fit_label_model(patterns, votes, toxic)
+        self.linear = None
+        if taught:  # otherwise the label model's posterior is the score
+            linear, words = LinearModel(k), [np.frombuffer(b, np.uint16) for _, _, b in taught]
+            linear.fit(votes, words, 1 / (1 + np.exp(-self.model.logit(votes))))
+            linear.calibrate(np.concatenate([linear.raw(votes[at : at + BLOCK], words[at : at + BLOCK]) for at in range(0, len(taught), BLOCK)]), toxic)
+            self.linear = linear
+
+    def score(self, voters: Voters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, posterior, votes) of some texts."""
+        read = [voters.read(t or "") for t in texts]
+        masks = np.array([m for m, _ in read], np.int64)
+        votes = LabelModel.unpack(masks, self.k)
+        posterior = self.model.logit(votes)
+        raw = self.linear.raw(votes, [b for _, b in read]) if self.linear else posterior
+        squash = lambda z: np.round(1 / (1 + np.exp(-np.clip(z, -60, 60))), 9)
+        return squash(raw), squash(posterior), np.bitwise_count(masks.astype(np.uint64)).astype(np.int32)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
+    """``doc_id, held_out, score, predicted, posterior, votes`` per document.
+
+    Scores depend on the text alone: equal texts, equal scores. Null texts count
+    as empty and get the score of a text without words. Null ids and repeated
+    rows are kept; very long texts are read whole. Without usable labels only the
+    fixed voters speak. Empty tables give empty results; further columns are not
+    read. See ``Scorer`` for the labels used.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    # at most ``limit`` rows of an id and a bit
-    sample = source.join(F.broadcast(chosen), "doc_id").groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
-    sample = stored(sample, "labelled")
-    stems = mine_stems(sample, MAX_VOTERS)
-    voters = Voters(stems)
-    k = len(voters.names)
-
-    def read(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = Voters(stems)
-        for *kept, text in rows:
-            mask, buckets = own.read(text)
-            yield *kept, mask, buckets.tobytes()
-
-    seen = stored(map_rows(source, read, f"doc_id {kind}, row_key string, votes long, buckets binary", rows=4096), "votes")
-    patterns = stored(seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
-    taught = [(r[0], r[1], r[2]) for r in map_rows(sample.select("toxic", "text"), read, "toxic int, votes long, buckets binary", rows=1024).collect()]  # at most ``limit`` rows
-    toxic = np.array([t for t, _, _ in taught], np.int64)
-    votes = LabelModel.unpack(np.array([v for _, v, _ in taught], np.int64), k) if taught else np.zeros((0, k))
-    model = fit_label_model(patterns, votes, toxic)
-    linear = LinearModel(k)
-    # without usable labels the label model's own votes are all there is to learn from
-    words = [np.frombuffer(b, np.uint16) for _, _, b in taught]
-    linear.fit(votes, words, 1 / (1 + np.exp(-model.logit(votes))))
-    if taught:
-        linear.calibrate(np.concatenate([linear.raw(votes[at : at + BLOCK], words[at : at + BLOCK]) for at in range(0, len(taught), BLOCK)]), toxic)
-
-    def score(rows: Iterator[tuple]) -> Iterator[tuple]:
-        def flush(held):
-            votes = LabelModel.unpack(np.array([m for *_, m, _ in held], np.int64), k)
-            posterior = model.logit(votes)
-            raw = linear.raw(votes, [np.frombuffer(b, np.uint16) for *_, b in held]) if taught else posterior
-            for (key, same, mask, _), *both in zip(held, raw.tolist(), posterior.tolist()):
-                yield key, same, *(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) for z in both), mask.bit_count()
-
-        held = []
-        for row in rows:
-            held.append(row)
-            if len(held) == 2048:
-                yield from flush(held)
-                held = []
-        if held:
-            yield from flush(held)
-
-    out = map_rows(seen, score, f"doc_id {kind}, row_key string, score double, posterior double, votes int", rows=4096)
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.round("score", 9).alias("score"), (F.round("score", 9) >= threshold).cast("int").alias("predicted"), F.round("posterior", 9).alias("posterior"), "votes", "row_key")
-
-
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, columns unchanged.
+    scorer = Scorer(docs, labels, limit)
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        voters = Voters(scorer.stems)
+        while held := list(islice(rows, 256)):
+            yield from zip([key for key, _ in held], *(x.tolist() for x in scorer.score(voters, [t for _, t in held])))
+
+    out = map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, posterior double, votes int", rows=4096)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "posterior", "votes")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents scored below ``threshold``, columns unchanged; no shuffle.
 
     A row is judged by its own text, so equal texts go or stay together whatever
     their ids, rows without an id included. Empty tables change nothing; further
     columns may have any name.
     """
-    bad = stored(score_documents(docs, labels).filter("predicted = 1").select(F.col("row_key").alias("__key")).distinct(), "rejected")
-    return docs.join(bad, row_key() == bad["__key"], "left_anti").select(*docs.columns)
+    scorer = Scorer(docs, labels)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        voters = Voters(scorer.stems)
+        for texts in batches:
+            yield pd.Series(scorer.score(voters, texts.tolist())[0])
+
+    return docs.filter(score(F.col("text")) < threshold)
