@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import free_name, map_rows, stored
 
 BLOCK_WORDS = 1024
 MAX_REPEATS = 3
 SEED = 42
-#: Sources are a driver-side table; beyond this many the job is refused, not cut.
+#: Sources are a driver-side table of a few numbers each, as targets depend on all of them; beyond this many the job is refused, not cut.
 MAX_SOURCES = 1_000_000
 SLOTS_PER_TASK = 1 << 20
 #: 2**64 divided by the golden ratio: multiples of it, modulo 2**64, are the points.
@@ -51,6 +51,7 @@ class Mix:
         self.spark, self.block = docs.sparkSession, block_words
         key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
         narrow = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(key).alias("__key"))
+        narrow = stored(narrow, "mix-sizes")  # range partitioning samples its input: words are counted once, not twice
         order = [F.col("source").asc_nulls_last(), F.col("__key").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc()]
         ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
         kind = docs.schema["doc_id"].dataType.simpleString()
@@ -177,10 +178,14 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = S
 def mixed_rows(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """``docs`` with every document as often as the mix takes it, to the nearest whole number; columns unchanged.
 
-    Documents without words stand in no source's way and stay as they are.
+    Documents without words stand in no source's way and stay as they are. Rows
+    that share an id, null included, are repeated alike, by what the mix takes of
+    them together. An empty table stays empty; further columns may have any name.
     """
     counts = mix_documents(docs.select("doc_id", "source", "text"), block_words, seed)
-    times = counts.groupBy("doc_id").agg(F.sum("size").alias("__size"), F.sum("taken").alias("__taken"))
-    times = times.withColumn("__n", F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__taken") / F.col("__size") + 0.5)).cast("int")).filter("__n > 0").select(F.col("doc_id").alias("__id"), "__n")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return joined.withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    key, times, lap = (free_name(docs, c) for c in ("__id", "__times", "__lap"))
+    sums = counts.groupBy(F.col("doc_id").alias(key)).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    sums = sums.select(key, whole.alias(times)).filter(F.col(times) > 0)
+    joined = docs.join(sums, docs["doc_id"].eqNullSafe(sums[key]))
+    return joined.withColumn(lap, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
