@@ -12,17 +12,22 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_skewed, map_rows, shared_dir
+from .common import BROADCAST_ROWS, join_skewed, map_rows, shared_dir, stored
 
 #: Payloads below this many bytes are never replaced by a revisit.
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 4096
+#: A monolithic archive holds about so many plain bytes, and so many records at most.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 4096
 MEMBER_LEVEL = 4
 PIECE = 1 << 18
+#: Members are read back in stretches of an archive: one task's unit, and the most bytes of one range request.
+STRETCH, RANGE_BYTES = 16 << 20, 2 << 20
+MOST_TASKS = 10_000
 
 
 def _header(c: Column) -> Column:
@@ -36,13 +41,17 @@ def records(pages: DataFrame, floor: int = REVISIT_BYTES) -> DataFrame:
     The payload is ``html`` (null: empty). Of pages with equal payloads of at
     least ``floor`` bytes, the rows with the smallest ``page_id`` are responses,
     the others revisit them; a null id is never the smallest. Null urls give no
-    target. A payload that fills a third of the pages is joined by broadcast of
-    the few payloads that frequent.
+    target, repeated rows are records each. Pages are not shuffled while the
+    payloads that occur twice are few enough to be broadcast; beyond that, those
+    that fill a thousandth of the pages are. An empty table gives none; further
+    columns are not read.
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).alias("size"), F.sha2(html.cast("binary"), 256).alias("digest"))
     shared = base.filter(F.col("size") >= floor).groupBy("digest").agg(F.min("page_id").alias("leader"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    both = join_skewed(base, shared, "digest", "copies", pages.count())
+    shared = stored(shared, "warc-shared")
+    few = shared.count() <= BROADCAST_ROWS
+    both = base.join(F.broadcast(shared), "digest", "left") if few else join_skewed(base, shared, "digest", "copies", pages.count())
     revisit = F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
@@ -105,21 +114,20 @@ class RecordSplitter:
             raise ValueError(f"{len(self.held)} bytes after the last whole record")
 
 
-def inflate(data: bytes) -> Iterator[bytes]:
-    """The plain bytes of a gzip file of one or more members, piece by piece."""
-    at, size = 0, len(data)
-    while at < size:
-        stream = zlib.decompressobj(31)
-        while not stream.eof:
-            if at >= size:
-                raise ValueError("the gzip stream ends early")
-            piece = data[at : at + PIECE]
-            at += len(piece)
+def inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The plain bytes of a gzip file of one or more members, given and returned piece by piece."""
+    stream = None
+    for piece in pieces:
+        while piece:
+            stream = stream or zlib.decompressobj(31)
             out = stream.decompress(piece, PIECE * 4)
-            while out or stream.unconsumed_tail:
+            while out:
                 yield out
                 out = stream.decompress(stream.unconsumed_tail, PIECE * 4) if stream.unconsumed_tail else b""
-        at -= len(stream.unused_data)
+            piece = stream.unused_data if stream.eof else b""
+            stream = None if stream.eof else stream
+    if stream is not None:
+        raise ValueError("the gzip stream ends early")
 
 
 def fields(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -131,29 +139,41 @@ def fields(record: bytes) -> tuple[dict[str, str], bytes]:
     return out, rest[: int(out["content-length"])]
 
 
+def _located(path: str):
+    """(file system, path in it) of an address as Spark writes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def open_stream(path: str):
+    system, name = _located(path)
+    return system.open_input_stream(name, compression=None)
+
+
 def normalise(spark: SparkSession, source: str, target: str, level: int = MEMBER_LEVEL) -> DataFrame:
     """Rewrite every archive below ``source`` into ``target``; returns ``archive, index, n_records, n_bytes, error``.
 
-    ``target`` is a folder (any address pyarrow opens) that all executors share.
+    Both are folders (any address pyarrow opens) that all executors share; archives
+    are streamed, so their size is not bounded by memory, only a record's is.
     An archive that is damaged is written up to its last whole record and named
     with ``error``; an empty one becomes an empty archive with an empty index.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")  # names only
+    files = files.repartition(max(1, min(files.count(), MOST_TASKS)), "path")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import uuid
 
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(target)
+        system, base = _located(target)
         system.create_dir(base, recursive=True)
-        for path, content in rows:
+        for (path,) in rows:
             name = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt") + ".warc.gz"
             archive, index, mark = f"{base}/{name}", f"{base}/{name}.idx", uuid.uuid4().hex
             splitter, offset, count, error, lines = RecordSplitter(), 0, 0, None, []
-            with system.open_output_stream(f"{archive}.{mark}.part", compression=None) as out:
+            with open_stream(path) as whole, system.open_output_stream(f"{archive}.{mark}.part", compression=None) as out:
                 try:
-                    for piece in inflate(content):
+                    for piece in inflate(iter(lambda: whole.read(PIECE), b"")):
                         for record in splitter.feed(piece):
                             packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                             member = packer.compress(record) + packer.flush()
@@ -185,9 +205,8 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
     The payload is the block after the HTTP header, its digest computed from it;
     a revisit has no payload, so its figures come from its header fields.
     """
-    places = read_index(spark, target).groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))  # an archive's records are bounded when it is written
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    joined = files.join(places, "archive").select("archive", "content", F.col("places.offset").alias("offsets"), F.col("places.length").alias("lengths"))
+    places = read_index(spark, target).select("archive", "offset", "length")
+    places = places.repartition("archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
 
     def page(text: str | None) -> int | None:
         number = (text or "").removeprefix("<urn:page:").removesuffix(">")
@@ -196,28 +215,55 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import hashlib
 
-        for name, content, offsets, lengths in rows:
-            for offset, length in zip(offsets, lengths):
-                head, block = fields(zlib.decompress(content[offset : offset + length], 31))
-                kind = head["warc-type"]
-                if kind == "revisit":
-                    payload, size, digest = None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")
-                else:
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                yield name, offset, page(head["warc-record-id"]), kind, page(head.get("warc-refers-to")), size, digest, payload
-
-    return map_rows(joined, run, "archive string, offset long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+        system, base = _located(target)
+
+        def members() -> Iterator[tuple[str, int, bytes]]:
+            """Each member's bytes; neighbours are fetched by one range request."""
+            for name, group in groupby(rows, key=lambda r: r[0]):
+                with system.open_input_file(f"{base}/{name}") as file:
+                    held: list[tuple[int, int]] = []
+
+                    def fetch():
+                        if held:
+                            begin = held[0][0]
+                            file.seek(begin)
+                            data = file.read(held[-1][0] + held[-1][1] - begin)
+                            yield from ((name, o, data[o - begin : o - begin + n]) for o, n in held)
+
+                    for _, offset, length in group:
+                        if held and (offset != held[-1][0] + held[-1][1] or offset + length - held[0][0] > RANGE_BYTES):
+                            yield from fetch()
+                            held.clear()
+                        held.append((offset, length))
+                    yield from fetch()
+
+        for name, offset, member in members():
+            head, block = fields(zlib.decompress(member, 31))
+            kind = head["warc-type"]
+            if kind == "revisit":
+                payload, size, digest = None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")
+            else:
+                payload = block.partition(b"\r\n\r\n")[2]
+                size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+            yield name, offset, page(head["warc-record-id"]), kind, page(head.get("warc-refers-to")), size, digest, payload
+
+    return map_rows(places, run, "archive string, offset long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write all pages as monolithic archives, normalise them, read the members back."""
+    """Write all pages as monolithic archives, normalise them, read the members back.
+
+    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to`` per
+    row; nulls, ties, repeated rows and clashes as in ``records``. An empty table
+    gives an empty one.
+    """
     spark = pages.sparkSession
     whole, single = shared_dir(spark, "warc-whole"), shared_dir(spark, "warc-members")
-    write_monolithic(records(pages), whole)
-    failed = [r for r in normalise(spark, whole, single).filter("error is not null").limit(1).collect()]
+    n, size = pages.select(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
+    write_monolithic(records(pages), whole, max(1, min(RECORDS_PER_FILE, FILE_BYTES * n // max(1, size or 0))) if n else 1)
+    failed = stored(normalise(spark, whole, single), "warc-done").filter("error is not null").limit(1).collect()
     if failed:
         raise ValueError(f"{failed[0]['archive']}: {failed[0]['error']}")
-    if not pages.limit(1).count():
+    if not n:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_records(spark, single).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
