@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import concentration
-from ..functions.names import content_id, signal_id
+from ..functions.names import content_id, pick_common_name, signal_id
 from ..storage import store
 
 
@@ -68,13 +68,13 @@ def add_ontology(triplets: DataFrame, keys: DataFrame) -> DataFrame:
 def labelled_parents(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """``head, tail, rule``: nodes (``node, labels``) under the parent of each label they carry (``label, parent``)."""
     named = nodes.select("node", F.explode("labels").alias("label"))
-    return named.join(F.broadcast(rules), "label").filter("node <> parent").select(F.col("node").alias("head"), F.col("parent").alias("tail"), F.col("label").alias("rule"))
+    return named.join(rules, "label").filter("node <> parent").select(F.col("node").alias("head"), F.col("parent").alias("tail"), F.col("label").alias("rule"))
 
 
 def bridges(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
     """Hand-made is_a pairs of names (``head_name, tail_name``) as entity ids; a pair with an unknown name is left out."""
     by = lambda c, as_: lookup.select(F.col("name").alias(c), F.col("entity_id").alias(as_))
-    return F.broadcast(pairs).join(by("head_name", "head"), "head_name").join(by("tail_name", "tail"), "tail_name").filter("head <> tail").select("head", "tail")
+    return pairs.join(by("head_name", "head"), "head_name").join(by("tail_name", "tail"), "tail_name").filter("head <> tail").select("head", "tail")
 
 
 def milk_triplets(edges: DataFrame, tails: DataFrame, milk: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -97,7 +97,7 @@ def disease_triplets(edges: DataFrame, chemicals: DataFrame, diseases: DataFrame
 
 def food_triplets(edges: DataFrame, foods: DataFrame, nutrients: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Composition from tables: ``amount`` per 100 g in the nutrient's unit (``tail_native_id, unit_name``; milligrams by default)."""
-    rows = edges.join(F.broadcast(units), "tail_native_id", "left")
+    rows = edges.join(units, "tail_native_id", "left")
     unit = F.concat(F.lower(F.coalesce("unit_name", F.lit("mg"))), F.lit("/100g"))
     return attest(resolve_edges(rows, foods, nutrients), "fdc", F.to_json(F.struct("head_native_id")), F.lit("r1"), F.col("amount"), unit)
 
@@ -205,7 +205,7 @@ def seed_registry(entities: DataFrame, rules: DataFrame) -> DataFrame:
     primary one; ids that are blank or placeholders are left out.
     """
     flat = entities.select("entity_id", "entity_type", F.explode("external_ids").alias("key", "ids")).select("*", F.posexplode("ids").alias("__pos", "native_id"))
-    named = flat.join(F.broadcast(rules), ["entity_type", "key"])
+    named = flat.join(rules, ["entity_type", "key"])
     return named.filter(~F.trim("native_id").isin("", "nan", "None")).select("source", "native_id", "entity_id", (F.col("__pos") == 0).alias("is_primary"))
 
 
@@ -228,7 +228,7 @@ def link_tiers(records: DataFrame, tiers: list[DataFrame]) -> DataFrame:
 def link_with_overrides(xrefs: DataFrame, overrides: DataFrame, multi: DataFrame) -> DataFrame:
     """xrefs (``native_id, target``) whose target is replaced by ``multi``, else by ``overrides``."""
     o, m = overrides.select("native_id", F.col("target").alias("__o")), multi.select("native_id", F.col("target").alias("__m"))
-    return xrefs.join(F.broadcast(o), "native_id", "left").join(F.broadcast(m), "native_id", "left").select("native_id", F.coalesce("__m", "__o", "target").alias("target")).distinct()
+    return xrefs.join(o, "native_id", "left").join(m, "native_id", "left").select("native_id", F.coalesce("__m", "__o", "target").alias("target")).distinct()
 
 
 def unlinked(nodes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -238,11 +238,11 @@ def unlinked(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
 def disambiguate(nodes: DataFrame, taken: DataFrame, preference: list[str]) -> DataFrame:
     """``native_id, display_name``: names used twice, or already taken, get `` (SOURCE:id)`` from the preferred id columns."""
-    twice = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1
+    bearers = nodes.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("__twice")).filter("__twice")  # counted before the join, so a name may have any number of bearers
     used = taken.select("name").distinct().withColumn("__used", F.lit(True))
     tag = F.coalesce(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f" ({c.upper()}:"), F.col(c), F.lit(")"))) for c in preference), F.lit(""))
-    marked = nodes.withColumn("__twice", twice).join(used, "name", "left")
-    return marked.select("native_id", F.when(F.col("__twice") | F.coalesce("__used", F.lit(False)), F.concat("name", tag)).otherwise(F.col("name")).alias("display_name"))
+    marked = nodes.join(bearers, "name", "left").join(used, "name", "left")
+    return marked.select("native_id", F.when(F.coalesce("__twice", "__used", F.lit(False)), F.concat("name", tag)).otherwise(F.col("name")).alias("display_name"))
 
 
 def lookup_table(entities: DataFrame) -> DataFrame:
@@ -300,3 +300,94 @@ def signal_rows(replies: DataFrame, kind: str, version: str, config: str) -> Dat
     """Validated replies (``attestation_id, score, reason, error_text``) as trust signals."""
     made = replies.withColumns({"signal_kind": F.lit(kind), "version": F.lit(version), "config_hash": F.lit(config)})
     return made.withColumn("signal_id", signal_id(*(F.col(c) for c in ("attestation_id", "signal_kind", "version", "config_hash"))))
+
+
+# fixed values: the kind and the id map key of the sources that make entities of their own
+PRIMARY = {"foodon": "food", "chebi": "chemical", "ctd": "disease"}
+
+
+def create_primary(registry: DataFrame, nodes: DataFrame, source: str, drop_names: list[str] | None = None) -> DataFrame:
+    """``entity_id, entity_type, common_name, scientific_name, synonyms, external_ids`` of one primary source's nodes.
+
+    Nodes have ``native_id, name, synonyms, synonym_types``. A registered native
+    id keeps its entity, others get the next ids in order of native id; of nodes
+    that share an entity the least native id makes it. Foods and chemicals are
+    named by their best synonym, diseases by their name, else their first
+    synonym. Synonyms are lower-cased; chemicals lose those in ``drop_names``.
+    """
+    kind = PRIMARY[source]
+    found = register(registry, nodes.withColumn("source", F.lit(source)), ["native_id"])
+    one = first_per(found, ["entity_id"], [F.col("native_id")])
+    synonyms = F.coalesce("synonyms", F.array().cast("array<string>"))
+    lower = F.transform(synonyms, lambda s: F.lower(s))
+    if drop_names:
+        lower = F.filter(lower, lambda s: ~s.isin(drop_names))
+    own = F.lower(F.coalesce(F.when(F.col("name") != "", F.col("name")), F.get(synonyms, 0), F.lit("")))
+    name = own if kind == "disease" else pick_common_name(synonyms, F.col("synonym_types"))
+    ids = F.create_map(F.lit(source), F.array("native_id"))
+    return one.select("entity_id", F.lit(kind).alias("entity_type"), name.alias("common_name"), F.lit("").alias("scientific_name"), lower.alias("synonyms"), ids.alias("external_ids"))
+
+
+def enrich_seeded(registry: DataFrame, molecules: DataFrame, source: str, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``entity_id, key, value`` ids, ``entity_id, name`` names) that registered molecules (``native_id, name``) add to entities already made.
+
+    Molecules whose registered entity does not exist yet are left for later
+    passes.
+    """
+    known = registry.filter(F.col("source") == source).select("native_id", "entity_id").join(entities.select("entity_id"), "entity_id", "left_semi")
+    found = molecules.join(known, "native_id")
+    names = found.filter("name <> ''").select("entity_id", F.lower("name").alias("name")).distinct()
+    return found.select("entity_id", F.lit(source).alias("key"), F.col("native_id").alias("value")).distinct(), names
+
+
+def ontology_triplets(edges: DataFrame, entities: DataFrame, source: str, kinds: tuple[str, ...] = ("is_a",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evidence, attestations, triplets) of one ontology's is_a edges, both ends found by its native ids; one evidence per source."""
+    ids = explode_ids(entities, source)
+    rows = resolve_edges(edges.filter(F.col("edge_type").isin(*kinds)), ids, ids)
+    return attest(rows, source, F.to_json(F.struct(F.lit(source).alias("source"), F.col("edge_type"))), F.lit("r2"))
+
+
+def entity_views(entities: DataFrame, triplets: DataFrame, attestations: DataFrame) -> DataFrame:
+    """Entities with a page: ``entity_id, entity_type, common_name, groups, flavors, siblings``.
+
+    Foods need a composition triplet (r1); chemicals one, a correlation (r3, r4),
+    or a place above a correlated chemical in the is_a edges (r2) of chemicals;
+    diseases a correlation. ``siblings`` are entities that some attestation holds
+    as further candidates, sorted.
+    """
+    from .graph import ancestors_of_set, siblings
+
+    ids = lambda rels, end: triplets.filter(F.col("relationship_id").isin(*rels)).select(F.col(end).alias("entity_id"))
+    chemicals = entities.filter("entity_type = 'chemical'").select("entity_id")
+    inside = lambda df, end: df.join(chemicals.select(F.col("entity_id").alias(end)), end, "left_semi")
+    isa = inside(inside(triplets.filter("relationship_id = 'r2'").select(F.col("head_id").alias("head"), F.col("tail_id").alias("tail")), "head"), "tail")
+    correlated = ids(("r3", "r4"), "head_id").distinct()
+    above = ancestors_of_set(isa, correlated.withColumnRenamed("entity_id", "node")).withColumnRenamed("node", "entity_id")
+    paged = [
+        ids(("r1",), "head_id").withColumn("entity_type", F.lit("food")),
+        ids(("r1",), "tail_id").unionByName(correlated).unionByName(above).withColumn("entity_type", F.lit("chemical")),
+        ids(("r3", "r4"), "tail_id").withColumn("entity_type", F.lit("disease")),
+    ]
+    shown = entities.join(reduce(DataFrame.unionByName, paged).distinct(), ["entity_id", "entity_type"], "left_semi")
+    lists = attestations.select(F.col("head_candidates").alias("ids")).unionByName(attestations.select(F.col("tail_candidates").alias("ids")))
+    none = F.array().cast("array<string>")
+    made = shown.join(siblings(lists).withColumnRenamed("node", "entity_id"), "entity_id", "left")
+    return made.select("entity_id", "entity_type", "common_name", F.coalesce("attributes.groups", none).alias("groups"), F.coalesce("attributes.flavors", none).alias("flavors"), F.coalesce("siblings", none).alias("siblings"))
+
+
+def merge_attributes(entities: DataFrame, field: str, values: DataFrame) -> DataFrame:
+    """Entities whose typed ``attributes`` take ``values`` (``entity_id`` and an array of the field's name) in one field; missing attributes are empty ones, other fields stay."""
+    none = F.array().cast("array<string>")
+    new = values.select("entity_id", F.col(field).alias("__new"))
+    joined = entities.join(new, "entity_id", "left")
+    old = lambda f: F.coalesce(F.col(f"attributes.{f}"), none)
+    filled = {f: F.coalesce("__new", old(f)) if f == field else old(f) for f in ("groups", "flavors")}
+    return joined.withColumn("attributes", F.struct(*(c.alias(f) for f, c in filled.items()))).drop("__new")
+
+
+def citation_summary(citations: DataFrame, by: str, score: str = "score") -> DataFrame:
+    """``by``, ``greatest, mean, spread``: the greatest score of a key's citations, their mean, and the deviation from the rounded mean; three decimals."""
+    means = citations.groupBy(by).agg(F.max(score).alias("greatest"), F.avg(score).alias("mean"), F.avg(F.col(score) * F.col(score)).alias("square"))
+    mean = F.round("mean", 3)
+    around = F.greatest(F.col("square") - 2 * mean * F.col("mean") + mean * mean, F.lit(0.0))
+    return means.select(by, F.round("greatest", 3).alias("greatest"), mean.alias("mean"), F.round(F.sqrt(around), 3).alias("spread"))

@@ -117,46 +117,76 @@ def siblings(lists: DataFrame) -> DataFrame:
 
 
 def ancestor_tree(edges: DataFrame, start: str, limit: int = 20) -> DataFrame:
-    """``node, came_from, depth``: upward walks from ``start`` without a node twice, shorter than ``limit``; ``came_from`` null at the start."""
-    spark = edges.sparkSession
-    edges.select("head", "tail").createOrReplaceTempView("graphmill_edges")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(node, came_from, path, depth) AS (
-          SELECT :start, CAST(NULL AS string), array(:start), 0
-          UNION ALL
-          SELECT e.tail, u.node, array_append(u.path, e.tail), u.depth + 1
-          FROM up u JOIN graphmill_edges e ON e.head = u.node
-          WHERE u.depth < {limit - 1} AND NOT array_contains(u.path, e.tail))
-        SELECT node, came_from, min(depth) AS depth FROM up GROUP BY node, came_from""",
-        args={"start": start},
-    )
-
-
-def path_counts(edges: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
-    """``target, n_paths, first_path``: root-to-target paths of each target (``node``), the first by its text."""
-    spark = edges.sparkSession
-    edges.select("head", "tail").createOrReplaceTempView("graphmill_edges")
-    targets.select("node").createOrReplaceTempView("graphmill_targets")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(target, node, path, depth) AS (
-          SELECT node, node, array(node), 0 FROM graphmill_targets
-          UNION ALL
-          SELECT u.target, e.tail, concat(array(e.tail), u.path), u.depth + 1
-          FROM up u JOIN graphmill_edges e ON e.head = u.node
-          WHERE u.depth < {limit - 1} AND NOT array_contains(u.path, e.tail))
-        SELECT target, count(*) AS n_paths, min(array_join(path, '/')) AS first_path
-        FROM up u LEFT ANTI JOIN graphmill_edges e ON e.head = u.node
-        GROUP BY target"""
-    )
+    """``node, came_from, depth``: the edges above ``start``, each at its least depth, up to depth ``limit - 1``; ``came_from`` null at the start.
+
+    A walk over a stored frontier, each node followed once. Edges that lead back
+    to the start, or from a node to itself, are left out; in a graph with other
+    cycles the edge that closes one is listed, but not followed.
+    """
+    step = store(edges.select("head", "tail").filter("head <> tail").distinct(), "edges")
+    out = seen = edges.sparkSession.createDataFrame([(start, None, 0)], "node string, came_from string, depth int")
+    frontier = out.select("node")
+    for depth in range(1, limit):
+        new = step.join(frontier, F.col("head") == F.col("node")).filter(F.col("tail") != start)
+        new = store(new.select(F.col("tail").alias("node"), F.col("head").alias("came_from"), F.lit(depth).alias("depth")), "tree")
+        if new.isEmpty():
+            break
+        frontier = new.select("node").distinct().join(seen.select("node").distinct(), "node", "left_anti")
+        out = seen = out.unionByName(new)
+    return out
+
+
+def _upwards(edges: DataFrame, targets: DataFrame, limit: int | None):
+    """Levels of walks from each target to its roots: ``target, node, n, first_path``, one row per target, node and level.
+
+    Walks that meet in a node are added up there, so a level has as many rows as
+    targets have ancestors at that distance, however many paths lead to them.
+    """
+    step = store(edges.select("head", "tail").filter("head is not null and tail is not null").distinct(), "edges")
+    most = limit if limit is not None else step.select("head").distinct().count() + 1
+    level = store(targets.select(F.col("node").alias("target"), "node", F.lit(1).cast("long").alias("n"), F.col("node").alias("first_path")).distinct(), "paths")
+    for _ in range(most):
+        yield level, step
+        up = level.join(step, F.col("head") == F.col("node")).groupBy("target", F.col("tail").alias("next"))
+        up = up.agg(F.sum("n").alias("n"), F.min("first_path").alias("first_path"))
+        level = store(up.select("target", F.col("next").alias("node"), "n", F.concat_ws("/", "next", "first_path").alias("first_path")), "paths")
+        if level.isEmpty():
+            return
+    if limit is None:
+        raise ValueError("a walk is longer than there are nodes: the edges hold a cycle")
+
+
+def path_counts(edges: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """``target, n_paths, first_path``: root-to-target paths of each target (``node``), the first by its text.
+
+    Edges must be free of cycles (a cycle is an error); with ``limit`` only paths
+    of at most so many nodes count.
+    """
+    found = None
+    for level, step in _upwards(edges, targets, limit):
+        top = level.join(step.select(F.col("head").alias("node")).distinct(), "node", "left_anti")
+        found = top if found is None else found.unionByName(top)
+    return found.groupBy("target").agg(F.sum("n").alias("n_paths"), F.min("first_path").alias("first_path"))
+
+
+def pruned_tree(edges: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """``target, parent, child, n_paths``: the edges on any path from a root to a target, and how many ways lead on from the child to the target."""
+    found = None
+    for level, step in _upwards(edges, targets, limit):
+        here = level.join(step, F.col("head") == F.col("node")).select("target", F.col("tail").alias("parent"), F.col("node").alias("child"), "n")
+        found = here if found is None else found.unionByName(here)
+    return found.groupBy("target", "parent", "child").agg(F.sum("n").alias("n_paths"))
+
+
+def edges_within(edges: DataFrame, scope: DataFrame) -> DataFrame:
+    """``n``: edges whose ends are both in ``scope`` (``node``)."""
+    inside = edges.join(scope.select(F.col("node").alias("head")), "head", "left_semi").join(scope.select(F.col("node").alias("tail")), "tail", "left_semi")
+    return inside.agg(F.count(F.lit(1)).alias("n"))
 
 
 def scoped_edge_count(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``n``: edges whose ends are both seeds or ancestors of seeds."""
-    scope = store(seeds.select("node").unionByName(ancestors_of_set(edges, seeds)).distinct(), "scope")
-    inside = edges.join(scope.withColumnRenamed("node", "head"), "head", "left_semi").join(scope.withColumnRenamed("node", "tail"), "tail", "left_semi")
-    return inside.agg(F.count(F.lit(1)).alias("n"))
+    return edges_within(edges, store(seeds.select("node").unionByName(ancestors_of_set(edges, seeds)).distinct(), "scope"))
 
 
 def propagate_correlations(direct: DataFrame, closure: DataFrame, in_food: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import store
+
 SECTIONS = ("TITLE", "ABSTRACT", "INTRO", "METHODS", "RESULTS", "DISCUSS", "CONCL")
 PASSAGE_TYPES = ("paragraph", "abstract")
 LEAST_CHARS, MOST_CHARS = 20, 1000
@@ -56,47 +58,82 @@ def _indel(a: str, b: str) -> float:
 
 
 def token_set_score(sentence: list[str], term: list[str]) -> float:
-    """Best similarity among shared tokens, shared with each side's rest; all of a term's tokens in the sentence give 100."""
+    """Best similarity among shared tokens, shared with each side's rest; a side whole in the other gives 100, no shared token 0."""
     a, b = set(sentence), set(term)
     both = " ".join(sorted(a & b))
-    one, two = " ".join(filter(None, [both, " ".join(sorted(a - b))])), " ".join(filter(None, [both, " ".join(sorted(b - a))]))
-    if both and (a <= b or b <= a):
+    if not both:
+        return 0.0
+    if a <= b or b <= a:
         return 100.0
-    return max(_indel(one, two), *((_indel(both, one), _indel(both, two)) if both else ()))
+    one, two = f"{both} {' '.join(sorted(a - b))}", f"{both} {' '.join(sorted(b - a))}"
+    return max(_indel(one, two), 200.0 * len(both) / (len(both) + len(one)), 200.0 * len(both) / (len(both) + len(two)))
 
 
-def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TERM_SCORE) -> DataFrame:
-    """``key, term, score``: the best term per sentence at or above ``least``, ties by term.
+#: Term lists with at most so many tokens are broadcast.
+BROADCAST_TOKENS = 500_000
 
-    An inverted index over tokens joins sentences and terms, never all pairs. A
-    term whose tokens all occur scores 100; such a sentence holds the term's
-    rarest token, so only that one is indexed. Other pairs can reach ``least``
-    only with whole texts of close lengths; they are few, as sentences longer
-    than the longest term allows are out, and are joined on any shared token.
+
+def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TERM_SCORE) -> DataFrame:
+    """``key, term, score``: the best term per sentence at or above ``least`` by ``token_set_score``, ties by term.
+
+    All pairs that can reach the score meet, never all pairs. With
+    ``ratio = least / (200 - least)`` a pair reaches it in three ways: the shared
+    tokens hold ``ratio`` of the term's characters, or of the sentence's, or both
+    texts are so close in length that their difference must be measured.
+
+    1. Of the term: one of its rarest tokens must be shared, as many as hold more
+       than the characters that may be absent.
+    2. Of the sentence: likewise from its side, after sentences that hold too many
+       characters of tokens unknown to all terms are gone.
+    3. Close lengths: pairs that share a token, each met at its least one.
+
+    Lengths and shared tokens are compared inside Spark; only pairs of close
+    lengths are scored in Python. Tokens of the terms are broadcast if few, so
+    sentences stay where they are.
     """
-    s = sents.select(F.col(key), tokens(F.col("sentence")).alias("words"))
-    t = terms.select("term", tokens(F.col("term")).alias("term_words")).filter(F.size("term_words") > 0).distinct()
-    spread = s.select(key, F.explode("words").alias("word"))
-    term_spread = t.select("term", "term_words", F.explode("term_words").alias("word"))
-    often = spread.join(term_spread.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-    ranked = term_spread.join(often, "word", "left").groupBy("term").agg(F.first("term_words").alias("term_words"), F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
-    maybe = spread.join(ranked, "word").select(key, "term", "term_words")  # the words themselves join again, to the few sentences left
-    full = maybe.join(s, key).filter(F.size(F.array_except("term_words", "words")) == 0).select(key, "term", F.lit(100.0).alias("score"))
-    chars = lambda c: F.length(F.array_join(c, " "))
     ratio = least / (200 - least)
-    longest = F.broadcast(t.agg(F.max(chars("term_words")).alias("longest")))  # one row
-    short = s.withColumn("n_chars", chars("words")).join(longest).filter(F.col("n_chars") * ratio <= F.col("longest"))
-    sized = term_spread.withColumn("t_chars", chars("term_words"))
-    near = short.select(key, "words", "n_chars", F.explode("words").alias("word")).join(sized, "word")
-    near = near.filter((F.least("n_chars", "t_chars") >= ratio * F.greatest("n_chars", "t_chars")) & (F.size(F.array_except("term_words", "words")) > 0))
-    close = near.select(key, "term", "words", "term_words").dropDuplicates([key, "term"])
+    chars = lambda c: F.length(F.array_join(c, " "))
+    s = sents.select(F.col(key), tokens(F.col("sentence")).alias("words")).filter(F.size("words") > 0)
+    s = store(s.withColumn("s_chars", chars(F.col("words"))), "sentences")
+    t = terms.select("term", tokens(F.col("term")).alias("term_words")).filter(F.size("term_words") > 0).distinct()
+    t = store(t.withColumn("t_chars", chars(F.col("term_words"))), "terms")
+    size, longest = t.agg(F.coalesce(F.sum(F.size("term_words")), F.lit(0)), F.coalesce(F.max("t_chars"), F.lit(0))).first()
+    fit = F.broadcast if size <= BROADCAST_TOKENS else (lambda df: df)
+    spread = s.select(key, "words", "s_chars", F.explode("words").alias("word"))
+    of_terms = t.select("term", "term_words", "t_chars", F.explode("term_words").alias("word"))
+    often = store(spread.select("word").join(fit(of_terms.select("word").distinct()), "word").groupBy("word").agg(F.count(F.lit(1)).alias("often")), "often")
+    weight = F.length("word") + 1
+    allowed = lambda c: F.col(c) * (1 - ratio) + 1
+
+    by_term = Window.partitionBy("term").orderBy(F.coalesce("often", F.lit(0)), "word").rowsBetween(Window.unboundedPreceding, -1)
+    rare = of_terms.join(fit(often), "word", "left").withColumn("before", F.coalesce(F.sum(weight).over(by_term), F.lit(0))).filter(F.col("before") <= allowed("t_chars")).drop("often", "before")
+    first = spread.join(fit(store(rare, "rare")), "word")
+
+    short = spread.filter(F.col("s_chars") * ratio <= longest)
+    known = short.join(fit(often), "word")
+    whole, by_sentence = Window.partitionBy(key), Window.partitionBy(key).orderBy("often", "word").rowsBetween(Window.unboundedPreceding, -1)
+    strange = F.col("s_chars") + 1 - F.sum(weight).over(whole)
+    known = known.withColumns({"strange": strange, "before": F.coalesce(F.sum(weight).over(by_sentence), F.lit(0))})
+    second = known.filter(F.col("strange") + F.col("before") <= allowed("s_chars")).select(*spread.columns).join(fit(of_terms), "word").filter(F.col("t_chars") * ratio > F.col("s_chars"))
+
+    near = (F.least("s_chars", "t_chars") >= ratio * F.greatest("s_chars", "t_chars"))
+    third = short.join(fit(of_terms), "word").filter(near)
+    third = third.withColumn("shared", F.array_intersect("words", "term_words")).filter(F.col("word") == F.array_min("shared"))
+    # an insertion or deletion is one edit, so the edit distance of what is not shared bounds the score
+    rest = lambda c: F.array_join(F.array_sort(F.array_except(c, F.col("shared"))), " ")
+    third = third.filter(F.levenshtein(rest(F.col("words")), rest(F.col("term_words"))) <= (1 - least / 100) * (F.col("s_chars") + F.col("t_chars")))
 
     @F.pandas_udf("double")
-    def score(words: pd.Series, term_words: pd.Series) -> pd.Series:
+    def measured(words: pd.Series, term_words: pd.Series) -> pd.Series:
         return pd.Series([token_set_score(list(a), list(b)) for a, b in zip(words, term_words)], dtype=float)
 
-    scored = close.select(key, "term", score("words", "term_words").alias("score")).filter(F.col("score") >= least)
-    best = full.unionByName(scored).groupBy(key).agg(F.min_by(F.struct("term", "score"), F.struct(-F.col("score"), "term")).alias("b"))
+    columns = [key, "words", "term", "term_words", "s_chars", "t_chars"]
+    far = first.select(*columns).unionByName(second.select(*columns)).filter(~near).withColumn("shared", F.array_intersect("words", "term_words"))
+    far = far.select(key, "term", "s_chars", "t_chars", F.size("shared").alias("n"), chars(F.col("shared")).alias("both"), F.least(F.size("words"), F.size("term_words")).alias("least_n"))
+    inside = F.when(F.col("n") == F.col("least_n"), F.lit(100.0)).otherwise(200.0 * F.col("both") / (F.col("both") + F.least("s_chars", "t_chars")))
+    far = far.select(key, "term", inside.alias("score"))
+    close = third.select(key, "term", measured("words", "term_words").alias("score"))
+    best = far.unionByName(close).filter(F.col("score") >= least).groupBy(key).agg(F.min_by(F.struct("term", "score"), F.struct(-F.col("score"), "term")).alias("b"))
     return best.select(key, "b.term", "b.score")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import concentration, names
-from ..operators import build, report
+from ..operators import build, report, resolve
 from . import testgraph as tg
 
 QUERIES: dict[str, tuple] = {}
@@ -28,14 +28,14 @@ def _cast(c: str):
 
 
 @query("""WITH h AS (SELECT s_nationkey AS k, list_sort(list('s' || s_suppkey)) AS c FROM supplier GROUP BY 1), e AS (SELECT DISTINCT s_nationkey AS hk, p_size % 25 AS tk FROM supplier JOIN part ON s_suppkey = p_partkey),
-t AS (SELECT p_size % 25 AS k, list_sort(list('p' || p_partkey)) AS c FROM part WHERE p_size < 3 GROUP BY 1)
+t AS (SELECT p_size % 25 AS k, list_sort(list('p' || p_partkey)) AS c FROM part GROUP BY 1)
 SELECT head_id, tail_id, len(h.c)::INT AS n_head_cand, len(t.c)::INT AS n_tail_cand FROM e JOIN h ON h.k = e.hk JOIN t ON t.k = e.tk, unnest(h.c) AS a(head_id), unnest(t.c) AS b(tail_id)""")
 def native_id_join(spark, d):
     """1:N ids multiply out"""
     s, p = tg.table(spark, d, "supplier"), tg.table(spark, d, "part")
     ents = lambda df, pre, key, ref: df.select(F.concat(F.lit(pre), key).alias("entity_id"), F.create_map(F.lit("x"), F.array(ref.cast("string"))).alias("external_ids"))
     heads = build.explode_ids(ents(s, "s", "s_suppkey", F.col("s_nationkey")), "x")
-    tails = build.explode_ids(ents(p.filter("p_size < 3"), "p", "p_partkey", F.col("p_size") % 25), "x")
+    tails = build.explode_ids(ents(p, "p", "p_partkey", F.col("p_size") % 25), "x")
     edges = s.join(p, F.col("s_suppkey") == F.col("p_partkey")).select(_cast("s_nationkey").alias("head_native_id"), (F.col("p_size") % 25).cast("string").alias("tail_native_id")).distinct()
     out = build.resolve_edges(edges, heads, tails)
     return out.select("head_id", "tail_id", F.size("head_candidates").alias("n_head_cand"), F.size("tail_candidates").alias("n_tail_cand"))
@@ -175,10 +175,10 @@ def registry_seed(spark, d):
     return build.seed_registry(tg.entities(spark, d), rules)
 
 
-@query("""SELECT p_partkey::VARCHAR AS native_id, p_name || CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 OR p_name IN ('red ring') THEN CASE WHEN p_size > 25 THEN ' (CHEBI:' || p_size || ')' ELSE ' (PUBCHEM:' || p_partkey || ')' END ELSE '' END AS display_name FROM part WHERE p_partkey % 5 = 0""")
+@query("""SELECT p_partkey::VARCHAR AS native_id, p_name || CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 OR p_name IN ('red ring') THEN CASE WHEN p_size > 25 THEN ' (CHEBI:' || p_size || ')' ELSE ' (PUBCHEM:' || p_partkey || ')' END ELSE '' END AS display_name FROM part""")
 def disambiguated_names(spark, d):
     """B09"""
-    p = tg.table(spark, d, "part").filter("p_partkey % 5 = 0").select(_cast("p_partkey").alias("native_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, _cast("p_size")).alias("chebi"), _cast("p_partkey").alias("pubchem"))
+    p = tg.table(spark, d, "part").select(_cast("p_partkey").alias("native_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, _cast("p_size")).alias("chebi"), _cast("p_partkey").alias("pubchem"))
     return build.disambiguate(p, spark.createDataFrame([("red ring",)], "name string"), ["chebi", "pubchem"])
 
 
@@ -306,11 +306,11 @@ def common_name_by_mentions(spark, d):
     return build.synonym_mentions(ents, tg.table(spark, d, "part").filter("p_size < 20").select(F.col("p_type").alias("name")))
 
 
-TRIPLETS = f"""{tg.CLAIMS}, trip AS (SELECT food AS head_id, part AS tail_id, list_distinct(list(attestation_id)) AS ids FROM claims WHERE part LIKE 'p1%' GROUP BY ALL)"""
+TRIPLETS = f"""{tg.CLAIMS}, trip AS (SELECT food AS head_id, part AS tail_id, list_distinct(list(attestation_id)) AS ids FROM claims WHERE source = 'dmd' AND conc > 45 GROUP BY ALL)"""
 
 
 def _trip(spark, d):
-    c = tg.claims(spark, d).filter("part like 'p1%'").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
+    c = tg.claims(spark, d).filter("source = 'dmd' and conc > 45").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
     return build.merge_triplets(c)
 
 
@@ -400,11 +400,11 @@ def relationship_table(spark, d):
     return n.join(F.broadcast(relationships(spark)), "relationship_id").select("relationship_id", "name", "n")
 
 
-@query("""WITH n AS (SELECT 's' || s_suppkey AS k, lower(s_name) AS name, 'food' AS kind, s_nationkey AS x FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, 'chemical', p_partkey FROM part WHERE p_size < 10)
+@query("""WITH n AS (SELECT 's' || s_suppkey AS k, lower(s_name) AS name, 'food' AS kind, s_nationkey AS x FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, 'chemical', p_partkey FROM part)
 SELECT kind, k AS native_id, name, count(*) OVER (PARTITION BY kind, name) AS bearers FROM n""")
 def resolve_end_to_end(spark, d):
     """Register, look up, join back"""
-    s, p = tg.table(spark, d, "supplier"), tg.table(spark, d, "part").filter("p_size < 10")
+    s, p = tg.table(spark, d, "supplier"), tg.table(spark, d, "part")
     none = F.array().cast("array<string>")
     nodes = s.select(F.lit("food").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("native_id"), F.lower("s_name").alias("name")).unionByName(p.select(F.lit("chemical").alias("source"), F.concat(F.lit("p"), "p_partkey").alias("native_id"), F.col("p_name").alias("name")))
     registered = build.register(spark.createDataFrame([], "source string, native_id string, entity_id string"), nodes, ["source", "native_id"])
@@ -413,21 +413,127 @@ def resolve_end_to_end(spark, d):
     return j.select(F.col("source").alias("kind"), "native_id", "name", F.size("entity_ids").cast("long").alias("bearers"))
 
 
-@query("""SELECT 's' || s_suppkey AS native_id, lower(s_name) AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)""")
+@query("""SELECT 's' || s_suppkey AS native_id, lower(s_name) AS name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A' AND l_linestatus = 'F' AND l_linenumber = 1)""")
 def unlinked_nodes(spark, d):
     """B08 J12"""
     s = tg.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("native_id"), F.lower("s_name").alias("name"))
-    return build.unlinked(s, tg.table(spark, d, "lineitem").filter("l_quantity > 49").select(F.concat(F.lit("s"), "l_suppkey").alias("native_id")))
+    return build.unlinked(s, tg.table(spark, d, "lineitem").filter("l_quantity > 49 and l_returnflag = 'A' and l_linestatus = 'F' and l_linenumber = 1").select(F.concat(F.lit("s"), "l_suppkey").alias("native_id")))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size = 1 THEN 'a,b' ELSE p_brand END AS flavors FROM part WHERE p_size < 4")
+@query("""SELECT 'p' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'g' ELSE '' END AS groups, CASE WHEN p_size % 2 = 0 THEN p_brand || ',' || p_type WHEN p_size % 3 = 0 THEN 'old' ELSE '' END AS flavors FROM part""")
 def attributes_merge(spark, d):
-    """One field of a struct replaced"""
-    p = tg.table(spark, d, "part").filter("p_size < 4")
-    attrs = p.select(F.col("p_partkey").alias("id"), "p_size", F.struct(F.array(F.lit("g")).alias("groups"), F.array("p_brand").alias("flavors")).alias("attributes"))
-    two = F.array(F.lit("a"), F.lit("b"))
-    done = attrs.withColumn("attributes", F.col("attributes").withField("flavors", F.when(F.col("p_size") == 1, two).otherwise(F.col("attributes.flavors"))))
-    return done.select("id", F.array_join("attributes.flavors", ",").alias("flavors"))
+    """One field of the typed attributes replaced; missing attributes become empty ones"""
+    p, me = tg.table(spark, d, "part"), F.concat(F.lit("p"), "p_partkey").alias("entity_id")
+    kept = F.when(F.col("p_size") % 3 == 0, F.struct(F.array(F.lit("g")).alias("groups"), F.array(F.lit("old")).alias("flavors")))
+    out = build.merge_attributes(p.select(me, kept.alias("attributes")), "flavors", p.filter("p_size % 2 = 0").select(me, F.array("p_brand", "p_type").alias("flavors")))
+    return out.select(F.col("entity_id").alias("id"), *(F.array_join(f"attributes.{f}", ",").alias(f) for f in ("groups", "flavors")))
+
+
+def _primary_nodes(spark, d):
+    p = tg.table(spark, d, "part")
+    best = F.when(F.col("p_size") % 2 == 0, "label").otherwise("narrow")
+    chem = p.select(F.lpad(_cast("p_partkey"), 9, "0").alias("native_id"), F.lit("").alias("name"), F.array(F.upper("p_name"), "p_type").alias("synonyms"), F.array(F.lit("exact"), best).alias("synonym_types"))
+    n = tg.table(spark, d, "nation")
+    sick = n.select(F.lpad(_cast("n_nationkey"), 9, "0").alias("native_id"), F.when(F.col("n_regionkey") == 1, "").otherwise(F.col("n_name")).alias("name"), F.array(F.concat(F.lit("Ill "), "n_name")).alias("synonyms"), F.array(F.lit("exact")).alias("synonym_types"))
+    return chem, sick
+
+
+@query("""WITH c AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS native_id, * FROM part), old AS (SELECT native_id, 'e' || (5 * p_partkey) AS e FROM c WHERE p_size = 1), top AS (SELECT max(substr(e, 2)::BIGINT) AS m FROM old),
+k AS (SELECT c.*, coalesce(o.e, 'e' || (m + row_number() OVER (PARTITION BY o.e IS NULL ORDER BY native_id))) AS e FROM c LEFT JOIN old o USING (native_id), top),
+top2 AS (SELECT max(substr(e, 2)::BIGINT) AS m FROM k)
+SELECT e AS entity_id, 'chemical' AS entity_type, CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE lower(p_name) END AS common_name, lower(p_name) || CASE WHEN lower(p_type) = 'promo' THEN '' ELSE '|' || lower(p_type) END AS synonyms, 'chebi:' || native_id AS ids FROM k
+UNION ALL SELECT 'e' || (m + row_number() OVER (ORDER BY n_nationkey)), 'disease', CASE WHEN n_regionkey = 1 THEN 'ill ' ELSE '' END || lower(n_name), 'ill ' || lower(n_name), 'ctd:' || lpad(n_nationkey::VARCHAR, 9, '0') FROM nation, top2""")
+def primary_entities(spark, d):
+    """Chemicals and diseases with names, synonyms and ids; known ids stay, dropped names go"""
+    chem, sick = _primary_nodes(spark, d)
+    old = tg.table(spark, d, "part").filter("p_size = 1").select(F.lit("chebi").alias("source"), F.lpad(_cast("p_partkey"), 9, "0").alias("native_id"), F.concat(F.lit("e"), 5 * F.col("p_partkey")).alias("entity_id"))
+    one = build.create_primary(old, chem, "chebi", ["promo"])
+    known = old.unionByName(one.select(F.lit("chebi").alias("source"), F.col("external_ids")["chebi"][0].alias("native_id"), "entity_id")).distinct()
+    both = one.unionByName(build.create_primary(known, sick, "ctd"))
+    ids = F.array_join(F.transform(F.map_entries("external_ids"), lambda e: F.concat(e.key, F.lit(":"), e.value[0])), ",")
+    return both.select("entity_id", "entity_type", F.lower("common_name").alias("common_name"), F.array_join("synonyms", "|").alias("synonyms"), ids.alias("ids"))
+
+
+@query("""SELECT 's' || s_suppkey AS entity_id, 'dmd' AS key, 'm' || s_suppkey AS value, CASE WHEN s_nationkey % 2 = 0 THEN lower(s_name) END AS name FROM supplier WHERE s_nationkey < 20""")
+def seeded_enrichment(spark, d):
+    """Ids and names of seeded molecules for entities that exist"""
+    s, me = tg.table(spark, d, "supplier"), F.concat(F.lit("s"), "s_suppkey").alias("entity_id")
+    seeded = s.select(F.lit("dmd").alias("source"), F.concat(F.lit("m"), "s_suppkey").alias("native_id"), me)
+    molecules = s.select(F.concat(F.lit("m"), "s_suppkey").alias("native_id"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise("").alias("name"))
+    ids, spelt = build.enrich_seeded(seeded, molecules, "dmd", s.filter("s_nationkey < 20").select(me))
+    return ids.join(spelt, "entity_id", "left")
+
+
+@query("""SELECT DISTINCT 'p' || p_partkey AS entity_id, 'fdc_nutrient' AS key, (p_size * 100)::VARCHAR AS value FROM part WHERE p_size % 4 <> 0""")
+def nutrient_links(spark, d):
+    """Nutrient to xref, xref to entity"""
+    p = tg.table(spark, d, "part")
+    first = p.filter("p_size % 4 <> 0").select((F.col("p_size") * 100).cast("string").alias("native_id"), F.concat(F.lit("x"), "p_size").alias("middle")).distinct()
+    return resolve.link_two_hops(first, p.select(F.concat(F.lit("x"), "p_size").alias("middle"), F.concat(F.lit("p"), "p_partkey").alias("entity_id")), "fdc_nutrient")
+
+
+@query("""WITH r AS (SELECT p_size::VARCHAR AS native_id, 'p' || max(p_partkey) AS entity_id FROM part GROUP BY 1)
+SELECT DISTINCT entity_id, 'pubchem' AS key, 'c' || s_suppkey AS value FROM supplier JOIN r ON native_id = (s_nationkey + 1)::VARCHAR""")
+def pubchem_links(spark, d):
+    """Xrefs that end in a registered number; of several entities of a number the last counts"""
+    ents = tg.table(spark, d, "part").select(_cast("p_size").alias("native_id"), F.concat(F.lit("p"), "p_partkey").alias("entity_id"), "p_partkey")
+    registry = resolve.one_entity_per_id(ents, "p_partkey")
+    xrefs = tg.table(spark, d, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("native_id"), F.concat(F.lit("http://purl.obolibrary.org/obo/CHEBI_"), F.col("s_nationkey") + 1).alias("target_id"))
+    return resolve.link_chebi(xrefs, registry, "pubchem")
+
+
+@query("""WITH p AS (SELECT 'chebi' AS source, lpad(p_partkey::VARCHAR, 9, '0') AS native_id, 'chemical' AS entity_type, p_name AS common_name FROM part),
+n AS (SELECT source, native_id, entity_type, common_name, row_number() OVER (ORDER BY native_id) - 1 AS k FROM p), top AS (SELECT max(k) AS m FROM n),
+s AS (SELECT lpad(s_suppkey::VARCHAR, 9, '0') AS native_id, s_name, CASE WHEN s_nationkey % 2 = 0 THEN lpad((1 + s_suppkey % 7)::VARCHAR, 9, '0') END AS target FROM supplier),
+e AS (SELECT 'e' || k AS entity_id, entity_type, common_name FROM n UNION ALL SELECT 'e' || (m + row_number() OVER (ORDER BY native_id)), 'chemical', s_name FROM s, top WHERE target IS NULL)
+SELECT 'entity' AS kind, entity_id AS a, entity_type AS b, common_name AS c, 1 AS n FROM e
+UNION ALL SELECT 'alias', s.native_id, 'dmd', 'e' || n.k, 1 FROM s JOIN n ON s.target = n.native_id
+UNION ALL SELECT 'name', lower(common_name), entity_type, '', count(*) FROM e GROUP BY lower(common_name), entity_type""")
+def three_pass_resolution(spark, d):
+    """Primary entities, links of secondary records, new entities for the rest, and the name lookup of all"""
+    none = F.array().cast("array<string>").alias("synonyms")
+    p, s = tg.table(spark, d, "part"), tg.table(spark, d, "supplier")
+    key = lambda c: F.lpad(_cast(c), 9, "0")
+    primary = p.select(F.lit("chebi").alias("source"), key("p_partkey").alias("native_id"), F.lit("chemical").alias("entity_type"), F.col("p_name").alias("common_name"), none)
+    second = s.select(F.lit("dmd").alias("source"), key("s_suppkey").alias("native_id"), F.lit("chemical").alias("entity_type"), F.col("s_name").alias("common_name"), none)
+    linked = s.filter("s_nationkey % 2 = 0").select(key("s_suppkey").alias("native_id"), F.lpad((1 + F.col("s_suppkey") % 7).cast("string"), 9, "0").alias("primary_id"))
+    e, reg, lut = resolve.resolve_all(primary, linked, second, spark.createDataFrame([], "source string, native_id string, entity_id string"))
+    one = F.lit(1).cast("long").alias("n")
+    own = reg.filter("source = 'dmd'").join(linked.select("native_id"), "native_id", "left_semi")
+    out = e.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("a"), F.col("entity_type").alias("b"), F.col("common_name").alias("c"), one)
+    out = out.unionByName(own.select(F.lit("alias").alias("kind"), F.col("native_id").alias("a"), F.col("source").alias("b"), F.col("entity_id").alias("c"), one))
+    return out.unionByName(lut.select(F.lit("name").alias("kind"), F.col("name").alias("a"), F.col("entity_type").alias("b"), F.lit("").alias("c"), F.size("entity_ids").cast("long").alias("n")))
+
+
+@query(f"""WITH x AS (SELECT 'p' || p_partkey AS head_id, 'b' || p_brand AS tail_id FROM part)
+SELECT head_id, 'r2' AS relationship_id, tail_id, 1 AS n_att, 'chebi' AS source, 1 AS n_evidence FROM x""")
+def ontology_edges(spark, d):
+    """is_a edges of one ontology, both ends found by native id; other edge types stay out"""
+    p = tg.table(spark, d, "part")
+    ent = lambda i, n: F.struct(i.alias("entity_id"), F.create_map(F.lit("chebi"), F.array(n)).alias("external_ids"))
+    ents = p.select(F.explode(F.array(ent(F.concat(F.lit("p"), "p_partkey"), _cast("p_partkey")), ent(F.concat(F.lit("b"), "p_brand"), F.col("p_brand")))).alias("e")).select("e.*").dropDuplicates(["entity_id"])
+    kinds = p.select(_cast("p_partkey").alias("head_native_id"), F.col("p_brand").alias("tail_native_id"), F.explode(F.array(F.lit("is_a"), F.lit("has_part"))).alias("edge_type"))
+    ev, at, tr = build.ontology_triplets(kinds, ents, "chebi")
+    n = ev.agg(F.count(F.lit(1)).alias("n_evidence"))
+    flat = tr.select("head_id", "relationship_id", "tail_id", F.size("attestation_ids").alias("n_att"), F.explode("attestation_ids").alias("attestation_id"))
+    return flat.join(at.select("attestation_id", "source"), "attestation_id").drop("attestation_id").crossJoin(F.broadcast(n))  # one row
+
+
+@query(f"""WITH RECURSIVE {tg.CLAIMS}, {tg.ENTITIES}, r1 AS (SELECT DISTINCT food, part FROM claims WHERE source = 'dmd' AND conc > 48), r3 AS (SELECT DISTINCT 'p' || l_partkey AS c, 'n' || l_linenumber AS dis FROM lineitem WHERE l_quantity > 49),
+r2 AS (SELECT 'p' || p_partkey AS h, 'p' || (p_partkey + 1) AS t FROM part WHERE p_partkey % 5 <> 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)),
+up(node) AS (SELECT t FROM r2 JOIN r3 ON h = c UNION SELECT t FROM up JOIN r2 ON h = node),
+shown AS (SELECT food AS id FROM r1 UNION SELECT part FROM r1 UNION SELECT c FROM r3 UNION SELECT dis FROM r3 UNION SELECT node FROM up)
+SELECT entity_id, entity_type, common_name, CASE entity_type WHEN 'food' THEN 'g' ELSE '' END AS groups, '' AS flavors, CASE entity_id WHEN 'n1' THEN 'n2' WHEN 'n2' THEN 'n1' ELSE '' END AS siblings FROM entities WHERE entity_id IN (SELECT id FROM shown)""")
+def entity_pages(spark, d):
+    """Entities with a page, their groups, flavors and siblings"""
+    c = tg.claims(spark, d).filter("source = 'dmd' and conc > 48").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"))
+    li, p = tg.table(spark, d, "lineitem").filter("l_quantity > 49"), tg.table(spark, d, "part").select("p_partkey")
+    corr = li.select(F.concat(F.lit("p"), "l_partkey").alias("head_id"), F.lit("r3").alias("relationship_id"), F.concat(F.lit("n"), "l_linenumber").alias("tail_id"))
+    isa = p.filter("p_partkey % 5 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("head_id"), F.lit("r2").alias("relationship_id"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("tail_id"))
+    attributes = F.when(F.col("entity_type") == "food", F.struct(F.array(F.lit("g")).alias("groups"), F.array().cast("array<string>").alias("flavors")))
+    attestations = corr.select(F.array("head_id").alias("head_candidates"), F.array(F.lit("n1"), F.lit("n2")).alias("tail_candidates")).distinct()
+    out = build.entity_views(tg.entities(spark, d).withColumn("attributes", attributes), c.unionByName(corr).unionByName(isa).distinct(), attestations)
+    return out.select("entity_id", "entity_type", "common_name", *(F.array_join(x, ",").alias(x) for x in ("groups", "flavors", "siblings")))
 
 
 @query("""WITH f AS (SELECT user_id AS cid, event_type AS flavor FROM events), k AS (SELECT p_size AS cid, 'p' || max(p_partkey) AS e FROM part GROUP BY 1)

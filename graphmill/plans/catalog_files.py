@@ -200,51 +200,87 @@ def source_manifest(spark, d):
     return readers.manifest(readers.load_sources(spark, path, ["a", "b"]))
 
 
-@query("""SELECT 's' || s_suppkey AS entity_id, lower(s_name) AS name, 2 AS n_syn, 'fdc' AS keys, 0 AS n_groups FROM supplier""")
+@query(f"""WITH {tg.CLAIMS} SELECT 'entity' AS kind, 's' || s_suppkey AS a, lower(s_name) AS b, '' AS c, 2 AS n, 'fdc' AS keys FROM supplier
+UNION ALL SELECT 'triplet', food, part, 'r1', count(DISTINCT attestation_id), min(source) FROM claims GROUP BY food, part
+UNION ALL SELECT DISTINCT 'evidence', 'ev' || reference, source, reference, 0, '' FROM claims
+UNION ALL SELECT DISTINCT 'attestation', attestation_id, 'ev' || reference, food, 1, 'false,true' FROM claims""")
 def graph_tables(spark, d):
     """JSON text in parquet to arrays and maps, defaults filled, a missing column and file tolerated"""
-    from ..schemas import ATTESTATIONS, EVIDENCE, TRIPLETS, empty
+    from ..operators import build
 
-    path = work_path(spark, "graph")
+    path, c = work_path(spark, "graph"), tg.claims(spark, d)
     e = tg.entities(spark, d).filter("entity_type = 'food'")
     tables.overwrite(e.select("entity_id", "entity_type", "common_name", "scientific_name", F.to_json("synonyms").alias("synonyms"), F.to_json("external_ids").alias("external_ids")), f"{path}/entities.parquet")
-    for name, schema in (("triplets", TRIPLETS), ("evidence", EVIDENCE), ("attestations", ATTESTATIONS)):
-        tables.overwrite(empty(spark, schema), f"{path}/{name}.parquet")
+    made = build.merge_triplets(c.select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id"))
+    tables.overwrite(made.withColumn("attestation_ids", F.to_json("attestation_ids")), f"{path}/triplets.parquet")
+    ev = F.concat(F.lit("ev"), "reference").alias("evidence_id")
+    tables.overwrite(c.select(ev, F.col("source").alias("source_type"), "reference").distinct(), f"{path}/evidence.parquet")
+    tables.overwrite(c.select("attestation_id", ev, "source", F.to_json(F.array("food")).alias("head_candidates")).distinct(), f"{path}/attestations.parquet")
     out = tables.read_graph(spark, path)
     assert out["trust_signals"].isEmpty()
-    return out["entities"].select("entity_id", F.col("common_name").alias("name"), F.size("synonyms").alias("n_syn"), F.array_join(F.map_keys("external_ids"), ",").alias("keys"), F.coalesce(F.when(F.col("attributes").isNotNull(), F.size("attributes.groups")), F.lit(0)).alias("n_groups"))
-
-
-@query("""SELECT conv_id::VARCHAR AS pmcid, role AS section, text IS NULL AS missing, CASE WHEN role = 'user' THEN 'model-x' ELSE role END AS method FROM conversations WHERE role IN ('user', 'assistant')""")
+    row = lambda kind, a, b, c, n, keys: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"), n.cast("long").alias("n"), keys.alias("keys"))
+    none = F.lit("")
+    parts = [
+        out["entities"].select(*row("entity", F.col("entity_id"), F.col("common_name"), F.coalesce(F.array_join("attributes.groups", ","), none), F.size("synonyms"), F.array_join(F.map_keys("external_ids"), ","))),
+        out["triplets"].select(*row("triplet", F.col("head_id"), F.col("tail_id"), F.col("relationship_id"), F.size("attestation_ids"), F.col("source"))),
+        out["evidence"].select(*row("evidence", F.col("evidence_id"), F.col("source_type"), F.col("reference"), F.lit(0), none)),
+        out["attestations"].select(*row("attestation", F.col("attestation_id"), F.col("evidence_id"), F.array_join("head_candidates", ","), F.size("head_candidates"), F.concat_ws(",", F.col("validated").cast("string"), F.col("validated_correct").cast("string")))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("""SELECT conv_id::VARCHAR AS pmcid, role AS section, text IS NULL AS missing, CASE WHEN role = 'user' THEN 'model-x' ELSE role END AS method FROM conversations""")
 def raw_claim_files(spark, d):
     """Run folders with and without an info file"""
     c, path = tg.table(spark, d, "conversations"), work_path(spark, "runs")
-    for role in ("user", "assistant"):
-        c.filter(F.col("role") == role).select(_s("conv_id").alias("pmcid"), F.col("role").alias("section"), F.lit("q").alias("matched_query"), F.lit("s").alias("sentence"), F.lit(0.5).alias("prob"), F.col("text").alias("response")).write.json(f"{path}/claims/{role}")
+    rows = c.select(F.col("role").alias("run"), _s("conv_id").alias("pmcid"), F.col("role").alias("section"), F.lit("q").alias("matched_query"), F.lit("s").alias("sentence"), F.lit(0.5).alias("prob"), F.col("text").alias("response"))
+    for role in [r[0] for r in c.select("role").distinct().collect()]:  # one folder per run, as its tool writes them
+        rows.filter(F.col("run").eqNullSafe(role)).drop("run").write.json(f"{path}/claims/{role}")
     spark.createDataFrame([("model-x",)], "method string").coalesce(1).write.json(f"{path}/info/user")
     out = tables.read_runs(spark, f"{path}/claims/*", f"{path}/info/*")
     return out.select("pmcid", "section", F.col("response").isNull().alias("missing"), "method")
 
 
-@query("""SELECT 'q' || conv_id || '-' || turn AS custom_id, CASE WHEN turn % 2 = 0 THEN left(text, 20) ELSE '' END AS response FROM conversations""")
+@query("""SELECT form, count(*) AS n, sum(n_turn)::BIGINT AS turns, 1 AS refused FROM (SELECT unnest(['tsv', 'parquet', 'json']) AS form, turn AS n_turn FROM conversations) GROUP BY form""")
+def raw_claim_forms(spark, d):
+    """Raw extraction rows as TSV, Parquet and JSON; a missing column is an error, extra ones are dropped"""
+    c, path = tg.table(spark, d, "conversations"), work_path(spark, "forms")
+    rows = c.select(_s("conv_id").alias("pmcid"), _s("turn").alias("section"), F.lit("q").alias("matched_query"), F.lit("s").alias("sentence"), F.lit(0.5).alias("prob"), F.lit("r").alias("response"), F.lit(1).alias("extra"))
+    out = None
+    for form in ("tsv", "parquet", "json"):
+        put = lambda df, at: df.write.option("sep", "\t").option("header", True).format({"tsv": "csv"}.get(form, form)).save(at)  # noqa: E731, B023
+        put(rows, f"{path}/{form}")
+        put(rows.drop("prob"), f"{path}/{form}-less")
+        try:
+            tables.read_raw_claims(spark, f"{path}/{form}-less", form)
+            refused = 0
+        except ValueError:
+            refused = 1
+        read = tables.read_raw_claims(spark, f"{path}/{form}", form)
+        one = read.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("section").cast("long")).alias("turns")).select(F.lit(form).alias("form"), "n", "turns", F.lit(refused).alias("refused"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT 'q' || conv_id || '-' || turn AS custom_id, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE '' END AS response FROM conversations""")
 def batch_results(spark, d):
     """Responses by custom id, empty where missing"""
     c, path = tg.table(spark, d, "conversations"), work_path(spark, "batch")
     key = F.concat(F.lit("q"), "conv_id", F.lit("-"), "turn").alias("custom_id")
-    content = F.array(F.struct(F.struct(F.substring("text", 1, 20).alias("content")).alias("message"))).alias("choices")
+    content = F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")
     c.filter("turn % 2 = 0").select(key, F.struct(F.struct(content).alias("body")).alias("response")).write.json(path)
     return tables.join_batch_results(c.select(key), spark.read.schema(tables.BATCH_RESULT).json(path)).select("custom_id", "response")
 
 
-@query("""SELECT doc_id::VARCHAR AS article_id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY doc_id""")
+@query("""SELECT doc_id::VARCHAR AS article_id, count(*) AS n FROM documents GROUP BY doc_id""")
 def article_passages(spark, d):
     """Documents of passages, unusable sections dropped"""
     from ..operators import text
 
-    docs, path = tg.table(spark, d, "documents").filter("lang = 'en'"), work_path(spark, "articles")
+    docs, path = tg.table(spark, d, "documents"), work_path(spark, "articles")
     passage = lambda body, section: F.struct(body.alias("text"), F.struct(F.lit(section).alias("section_type"), F.lit("paragraph").alias("type")).alias("infons"))
     docs.select(F.array(F.struct(_s("doc_id").alias("id"), F.array(passage(F.col("text"), "INTRO"), passage(F.lit("x"), "REF")).alias("passages"))).alias("documents")).write.json(path)
-    rows = text.passages(spark.read.schema(tables.ARTICLES).json(path)).filter(text.usable_passage(F.col("section"), F.col("kind")))
+    rows = text.passages(tables.read_articles(spark, path, lines=True)).filter(text.usable_passage(F.col("section"), F.col("kind")))
     return rows.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -297,9 +333,9 @@ def signal_stream(spark, d):
 
     path = work_path(spark, "stream")
     e = tg.table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("signal_id"), F.col("event_type").alias("signal_kind"), (F.col("value") / 1000).alias("score"), F.col("ts").alias("created_at"), "event_id")
-    conform(e, TRUST_SIGNALS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    conform(e, TRUST_SIGNALS).write.mode("append").parquet(f"{path}/in")
     newer = e.filter("event_id % 4 = 0").withColumns({"score": F.col("score") + 1, "created_at": F.col("created_at") + F.expr("interval 1 day")})
     streaming.upsert_stream(spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
-    conform(newer, TRUST_SIGNALS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    conform(newer, TRUST_SIGNALS).write.mode("append").parquet(f"{path}/in")
     streaming.upsert_stream(spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.schema(TRUST_SIGNALS).parquet(f"{path}/out/v=1").select("signal_id", "score")
+    return streaming.read_signals(spark, f"{path}/out").select("signal_id", "score")

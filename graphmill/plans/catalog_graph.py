@@ -27,11 +27,12 @@ def ancestors_all(spark, d):
     return graph.ancestors(tg.edges(spark, d))
 
 
-@query(f"{CLOSED} SELECT node, anc FROM closure WHERE node LIKE 'p1%'")
+@query(f"{CLOSED} SELECT node, anc FROM closure WHERE node IN (SELECT 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def ancestors_seeded(spark, d):
     """G02 with the pairs kept"""
     e = tg.edges(spark, d)
-    return graph.ancestors(e, e.filter("head like 'p1%'").select(F.col("head").alias("node")))
+    returned = tg.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("p"), "l_partkey").alias("node"))
+    return graph.ancestors(e, returned.distinct())
 
 
 @query(f"{CLOSED} SELECT DISTINCT anc AS node FROM closure WHERE node IN (SELECT 's' || s_suppkey FROM supplier)")
@@ -64,6 +65,13 @@ def dag_paths(spark, d):
     return graph.path_counts(tg.edges(spark, d), tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")))
 
 
+@query(f"""WITH RECURSIVE {tg.EDGES}, up(target, node) AS (SELECT 'p' || p_partkey, 'p' || p_partkey FROM part UNION SELECT u.target, e.tail FROM up u JOIN edges e ON e.head = u.node)
+SELECT u.target, e.tail AS parent, e.head AS child, CASE WHEN e.head IN (SELECT 'b:' || p_brand FROM part UNION SELECT 't:' || p_type FROM part) THEN 1 WHEN e.head = u.target THEN 1 END AS n_paths FROM up u JOIN edges e ON e.head = u.node""")
+def dag_tree(spark, d):
+    """The tree pruned to what leads to a target"""
+    return graph.pruned_tree(tg.edges(spark, d), tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")))
+
+
 @query(f"""{CLOSED}, seeds AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 3 = 0), scope AS (SELECT node FROM seeds UNION SELECT anc FROM closure WHERE node IN (SELECT node FROM seeds))
 SELECT 'food' AS type, count(*) AS n FROM edges WHERE head IN (SELECT node FROM scope) AND tail IN (SELECT node FROM scope)""")
 def isa_scoped_count(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..storage import store
 from . import composition as comp
 from . import testgraph as tg
 
@@ -39,6 +40,20 @@ def composition_median(spark, d):
     return comp.rollup(comp.drop_zero(tg.claims(spark, d)))
 
 
+@query(f"""WITH {tg.CLAIMS} SELECT food, part AS chem, {ROLLUP} FROM claims GROUP BY food, part""")
+def composition_expanded(spark, d):
+    """From triplets down to attestations and evidence, then rolled up"""
+    from ..operators import build
+
+    c = tg.claims(spark, d).withColumn("evidence_id", F.concat(F.lit("ev"), "reference"))
+    triplets = build.merge_triplets(c.select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id"))
+    # an attestation belongs to one triplet; order and line number are not unique together with part and supplier
+    attestations = c.select("attestation_id", "evidence_id", "source", "conc", "unit")
+    evidence = c.select("evidence_id", "reference").distinct()
+    flat = comp.expand(triplets, attestations, evidence).filter("reference is not null")
+    return comp.rollup(flat.withColumnsRenamed({"head_id": "food", "tail_id": "chem"}))
+
+
 @query(f"{WITH_SCORED} SELECT food, chem, {ROLLUP} FROM scored WHERE NOT low GROUP BY food, chem")
 def composition_trust_default(spark, d):
     """C19 W01"""
@@ -96,11 +111,11 @@ def composition_page(spark, d):
     return comp.page(rows, number=2, size=2).select("rank", "food", "chem", "median")
 
 
-CLASSES = "classes AS (SELECT p_brand AS chem, list_sort(list_distinct(list(p_type))) AS classes FROM part WHERE p_size < 8 GROUP BY p_brand)"
+CLASSES = "classes AS (SELECT p_brand AS chem, list_sort(list_distinct(list(p_type))) AS classes FROM part GROUP BY p_brand)"
 
 
 def _with_classes(spark, d) -> DataFrame:
-    part = tg.table(spark, d, "part").filter("p_size < 8").groupBy(F.col("p_brand").alias("chem")).agg(F.array_sort(F.collect_set("p_type")).alias("classes"))
+    part = tg.table(spark, d, "part").groupBy(F.col("p_brand").alias("chem")).agg(F.array_sort(F.collect_set("p_type")).alias("classes"))
     return comp.rollup(tg.claims(spark, d)).join(part, "chem", "left").withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
 
 
@@ -130,14 +145,14 @@ def chem_foods_split(spark, d):
     return comp.foods_of(comp.rollup(tg.claims(spark, d)))
 
 
-@query("""WITH page AS (SELECT 'p' || p_partkey AS id, p_name FROM part WHERE p_size = 7)
+@query("""WITH page AS (SELECT 'p' || p_partkey AS id, p_name FROM part WHERE p_size % 2 = 1)
 SELECT a.id, coalesce(string_agg(b.id, ',' ORDER BY b.id), '') AS siblings FROM page a LEFT JOIN page b ON a.p_name = b.p_name AND a.id <> b.id GROUP BY a.id""")
 def scoped_siblings(spark, d):
     """J14 J15"""
     part = tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_name", "p_size")
     every = part.groupBy("p_name").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     sib = part.join(every, "p_name").select("id", F.array_except("ids", F.array("id")).alias("siblings"))
-    out = comp.scoped_siblings(part.filter("p_size = 7").select("id"), sib)
+    out = comp.scoped_siblings(part.filter("p_size % 2 = 1").select("id"), sib)
     return out.select("id", F.array_join("siblings", ",").alias("siblings"))
 
 
@@ -240,18 +255,20 @@ def graph_statistics(spark, d):
     """A06 J16 F19"""
     from ..operators import graph
 
-    c, corr, e = tg.claims(spark, d), tg.correlations(spark, d).select("chem", "disease", "rel").distinct(), tg.edges(spark, d)
+    c = store(tg.claims(spark, d).select("food", "part", "source", "reference", "subject", "status"), "claims")
+    corr = store(tg.correlations(spark, d, c).select("chem", "disease", "rel").distinct(), "correlations")
+    e = store(tg.edges(spark, d), "edges")
     seeds = corr.select(F.col("disease").alias("node")).distinct()
-    scope = seeds.unionByName(graph.ancestors_of_set(e, seeds)).distinct()
+    scope = store(seeds.unionByName(graph.ancestors_of_set(e, seeds)).distinct(), "scope")
     one = lambda field, df, expr: df.agg(expr.alias("n")).select(F.lit(field).alias("field"), "n")
-    parts = c.select("food", "part").distinct().agg(F.count(F.lit(1)).alias("n")).unionByName(corr.agg(F.count(F.lit(1)).alias("n"))).unionByName(graph.scoped_edge_count(e, seeds))
+    parts = c.select("food", "part").distinct().agg(F.count(F.lit(1)).alias("n")).unionByName(corr.agg(F.count(F.lit(1)).alias("n"))).unionByName(graph.edges_within(e, scope))
     out = one("foods", c, F.count_distinct("food"))
     for x in (one("chemicals", c, F.count_distinct("part")), one("diseases", scope, F.count(F.lit(1))), one("associations", parts, F.sum("n")), one("publications", c.filter("source = 'lit'"), F.count_distinct("reference"))):
         out = out.unionByName(x)
     return out
 
 
-@query(f"""WITH RECURSIVE {tg.CLAIMS}, {tg.CORRELATIONS}, {tg.EDGES}, {tg.CLOSURE}, h AS (SELECT DISTINCT chem, disease, rel FROM direct WHERE source = 'fdc' AND len(chem) = 3),
+@query(f"""WITH RECURSIVE {tg.CLAIMS}, {tg.CORRELATIONS}, {tg.EDGES}, {tg.CLOSURE}, h AS (SELECT DISTINCT chem, disease, rel FROM direct),
 eaten AS (SELECT DISTINCT part AS chem FROM claims WHERE source = 'lit'),
 r AS (SELECT chem, chem AS source_chem, disease, rel FROM h UNION ALL SELECT anc, chem, disease, rel FROM h JOIN closure ON node = chem WHERE chem IN (SELECT chem FROM eaten))
 SELECT r.chem, r.source_chem, r.disease, r.rel, e.sources, e.evidence_count FROM r JOIN (
@@ -267,7 +284,7 @@ def _correlation_rows(spark, d) -> DataFrame:
 
     corr = tg.correlations(spark, d)
     evidence = corr.groupBy(F.col("chem").alias("source_chem"), "disease", "rel").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count_distinct("reference").alias("evidence_count"))
-    direct = corr.filter("source = 'fdc' and length(chem) = 3").select("chem", "disease", "rel").distinct()
+    direct = corr.select("chem", "disease", "rel").distinct()
     e = tg.edges(spark, d)
     closure = graph.ancestors(e, direct.select(F.col("chem").alias("node")).distinct())
     eaten = tg.claims(spark, d).filter("source = 'lit'").select(F.col("part").alias("chem"))
@@ -325,8 +342,10 @@ def scope_ids(spark, d):
     return role(c, "contained").unionByName(role(corr.select(F.col("chem").alias("id")).intersect(c), "both")).unionByName(role(corr.select(F.col("disease").alias("id")), "disease"))
 
 
-@query("SELECT l_suppkey AS supplier, max(l_discount + 0.0) AS greatest, round(avg(l_discount), 9) AS mean, round(stddev_pop(l_discount), 9) AS spread FROM lineitem GROUP BY l_suppkey")
+@query("""WITH m AS (SELECT l_suppkey, l_discount, round(avg(l_discount) OVER (PARTITION BY l_suppkey), 3) AS mean FROM lineitem)
+SELECT l_suppkey AS supplier, round(max(l_discount), 3) AS greatest, min(mean) AS mean, round(sqrt(avg((l_discount - mean) ** 2)), 3) AS spread FROM m GROUP BY l_suppkey""")
 def citation_stats(spark, d):
     """A24"""
-    p = F.col("l_discount") + 0.0
-    return tg.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.max(p).alias("greatest"), F.round(F.avg(p), 9).alias("mean"), F.round(F.stddev_pop(p), 9).alias("spread"))
+    from ..operators import build
+
+    return build.citation_summary(tg.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_discount").alias("score")), "supplier")

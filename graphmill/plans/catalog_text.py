@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import claims as cl
 from ..functions import concentration, names
 from ..operators import build, text
+from ..sources import tables
 from . import composition as comp
 from . import testgraph as tg
 
@@ -171,8 +172,9 @@ def sentence_filter(spark, d):
 
 
 def _benchmark_terms(spark, d):
-    first = F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 4))
-    return tg.table(spark, d, "benchmark").select(F.regexp_replace(first, r"[.,!?]", "").alias("term"))
+    """Runs of four words, over the whole text of every item."""
+    b = tg.table(spark, d, "benchmark").select(F.split(F.regexp_replace("text", r"[.,!?]", ""), r"\s+").alias("w"))
+    return b.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(4)), lambda k: F.array_join(F.slice("w", k, 4), " "))).alias("term"))
 
 
 @query()
@@ -192,6 +194,21 @@ def vocab_match(spark, d):
     return text.match_vocabulary(raw, p.select(F.col("p_name").alias("term")))
 
 
+@query("""SELECT p_partkey AS id, true AS same, false AS other FROM part""")
+def greek_match(spark, d):
+    """Equal up to the spelling of Greek letters"""
+    p = tg.table(spark, d, "part")
+    spelt = [F.concat(F.lit(g), F.upper("p_name")) for g in ("β-", "beta-", "γ-")]
+    return p.select(F.col("p_partkey").alias("id"), names.same_spelling(spelt[0], spelt[1]).alias("same"), names.same_spelling(spelt[0], spelt[2]).alias("other"))
+
+
+@query("""SELECT trim(u.t) AS term, count(*) AS n FROM part, unnest(string_split(p_name || ', ' || p_type || ',', ',')) AS u(t) WHERE trim(u.t) <> '' GROUP BY 1""")
+def listed_terms(spark, d):
+    """Comma lists of terms"""
+    p = tg.table(spark, d, "part").select(F.concat_ws(",", F.concat("p_name", F.lit(", "), "p_type"), F.lit("")).alias("list"))
+    return tables.split_terms(p, "list").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT d.doc_id AS doc, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality >= 1 AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def threshold_unseen(spark, d):
     """F10 J12 T03"""
@@ -315,9 +332,8 @@ def ambiguous_attestations(spark, d):
     return out.select("attestation_id", F.size("tail_candidates").cast("long").alias("n"))
 
 
-@query(f"""WITH {tg.CLAIMS} SELECT food, chem, count(DISTINCT source) + 0 AS n FROM claims GROUP BY food, chem""")
+@query(f"""WITH {tg.CLAIMS} SELECT food, chem, count(DISTINCT source) FILTER (source <> 'lit') + count(DISTINCT coalesce(premise, '')) FILTER (source = 'lit') AS n FROM claims GROUP BY food, chem""")
 def evidence_count(spark, d):
     """Lengths of nested arrays, null as 0"""
     e = comp.evidence_lists(tg.claims(spark, d))
-    one = {s: F.when(F.col(s).isNotNull(), F.slice(s, 1, 1)) for s in comp.SOURCES}
-    return e.withColumns(one).select("food", "chem", comp.evidence_count(*comp.SOURCES).cast("long").alias("n"))
+    return e.select("food", "chem", comp.evidence_count(*comp.SOURCES).cast("long").alias("n"))

@@ -107,11 +107,11 @@ ENTITIES = """entities AS (
   UNION ALL SELECT 'n' || n_nationkey, 'disease', lower(n_name), [], ['D' || n_nationkey] FROM nation)"""
 
 
-def correlations(spark: SparkSession, d: str) -> DataFrame:
+def correlations(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
     """Direct correlations: ``chem`` (part), ``disease`` (the customer's nation), ``rel`` by order status, with evidence."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.concat(F.lit("n"), "c_nationkey").alias("disease"))
     rel = F.when(F.col("status") == "F", "r3").when(F.col("status") == "O", "r4")
-    return claims(spark, d).join(c, "subject").withColumn("rel", rel).filter("rel is not null").select(F.col("part").alias("chem"), "disease", "rel", "source", "reference")
+    return (known if known is not None else claims(spark, d)).join(c, "subject").withColumn("rel", rel).filter("rel is not null").select(F.col("part").alias("chem"), "disease", "rel", "source", "reference")
 
 
 CORRELATIONS = """direct AS (

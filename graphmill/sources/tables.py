@@ -47,7 +47,7 @@ def read_runs(spark: SparkSession, pattern: str, info: str) -> DataFrame:
     """Raw claims of all run folders with ``run`` and ``method`` (from the run's info file, else the folder's name)."""
     rows = spark.read.schema(RAW_CLAIMS).json(pattern).withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     known = spark.read.schema("method string").json(info).withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    return rows.join(F.broadcast(known), "run", "left").withColumn("method", F.coalesce("method", "run"))
+    return rows.join(known, "run", "left").withColumn("method", F.coalesce("method", "run"))
 
 
 BATCH_RESULT = "custom_id string, response struct<body:struct<choices:array<struct<message:struct<content:string>>>>>"
@@ -64,8 +64,9 @@ def join_batch_results(rows: DataFrame, results: DataFrame) -> DataFrame:
 ARTICLES = "documents array<struct<id:string,passages:array<struct<text:string,infons:struct<section_type:string,type:string>>>>>"
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARTICLES).option("multiLine", True).json(path)
+def read_articles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Article JSON, one article per file or, with ``lines``, per line."""
+    return spark.read.schema(ARTICLES).option("multiLine", not lines).json(path)
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +81,9 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("trim(value) <> ''").select(F.trim(F.get(parts, 0)).alias("term"), F.filter(F.split(F.coalesce(F.get(parts, 1), F.lit("")), r"\|"), lambda t: t != "").alias("translations"))
 
 
-def terms_from(spark: SparkSession, text: str) -> DataFrame:
-    """Terms of a comma list or a single term."""
-    return spark.createDataFrame([(t.strip(),) for t in text.split(",") if t.strip()], "term string")
+def split_terms(df: DataFrame, column: str) -> DataFrame:
+    """``term``: the terms of comma lists, or single terms, trimmed; blank ones go."""
+    return df.select(F.explode(F.split(F.col(column), ",")).alias("t")).select(F.trim("t").alias("term")).filter("term <> ''")
 
 
 def write_diagnostics(df: DataFrame, path: str, form: str = "json") -> None:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from graphmill import schemas, streaming
 from graphmill.operators import build, graph, text
 from graphmill.plans import composition as comp
+from graphmill.schemas import TRUST_SIGNALS, conform
 
 
 def rows(df, *cols):
@@ -85,3 +90,76 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "head string, tail string")
     assert graph.ancestors(e).count() == 0 and graph.components(e.toDF("a", "b")).count() == 0
     assert build.merge_triplets(spark.createDataFrame([], "head_id string, relationship_id string, tail_id string, source string, attestation_id string")).count() == 0
+
+
+def test_term_match_equals_all_pairs(spark, monkeypatch):
+    """1,000 random pairs and more, long sentences that lack one short token of a term included, by broadcast and by shuffle."""
+    rng = random.Random(5)
+    pool = "alpha beta gamma an of to linolenic acid methyl ester x flax seeds green tea leaf apple juice aple juce".split()
+    sents = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    sents += [(1000, "we found that the alpha linolenic acid methyl ester fraction of flax seeds is high"), (1001, "Pear"), (1002, ""), (1003, None)]
+    terms = sorted({" ".join(rng.choice(pool) for _ in range(rng.randint(1, 7))) for _ in range(40)} | {"alpha linolenic acid methyl ester x", "pear!"})
+    token = lambda x: "".join(c for c in (x or "").lower() if c.isalnum() or c.isspace()).split()
+    want = {}
+    for k, x in sents:
+        score, term = min((-text.token_set_score(token(x), token(t)), t) for t in terms)
+        if -score >= 91:
+            want[k] = (term, round(-score, 6))
+    assert 1001 in want
+    one = text.match_terms(spark.createDataFrame([(1, sents[-4][1])], "key int, sentence string"), spark.createDataFrame([("alpha linolenic acid methyl ester x",)], "term string"), "key").first()
+    assert 97 < one.score < 98
+    for limit in (text.BROADCAST_TOKENS, 0):
+        monkeypatch.setattr(text, "BROADCAST_TOKENS", limit)
+        out = text.match_terms(spark.createDataFrame(sents, "key int, sentence string"), spark.createDataFrame([(t,) for t in terms], "term string"), "key")
+        assert {r.key: (r.term, round(r.score, 6)) for r in out.collect()} == want
+
+
+def test_vocabulary_match_equals_all_pairs(spark):
+    rng = random.Random(6)
+    base = ["alpha-tocopherol", "beta carotene", "linolenic acid", "Apple Juice", "tea"]
+    raws = {"".join(c for c in rng.choice(base) if rng.random() > 0.04) for _ in range(60)} | {"TEA ", "nothing like it", ""}
+    got = {r.raw: (r.term, round(r.score, 6)) for r in text.match_vocabulary(spark.createDataFrame([(r,) for r in raws], "raw string"), spark.createDataFrame([(b,) for b in base], "term string")).collect()}
+    want = {}
+    for r in raws:
+        best = max((text._indel(r.lower().strip(), b.lower()), -len(b), b) for b in base)
+        if best[0] >= 90:
+            want[r] = (best[2], round(best[0], 6))
+    assert got == want and len(got) > 15
+
+
+def test_classifier_learns_a_word(spark):
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choice("red green blue sweet sour".split()) for _ in range(8)) + (" contains iron" if i % 2 else " has nothing"), i % 2) for i in range(200)]
+    model, metrics = text.train_classifier(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "key int, text string, label int"))
+    assert min(metrics.first()[k] for k in ("precision", "recall", "f1")) > 0.95
+
+
+def test_paths_are_counted_not_listed(spark):
+    """A ladder of diamonds holds 4096 paths; cycles are an error or end at the limit."""
+    rungs = [(f"n{k}{a}", f"n{k + 1}{b}") for k in range(12) for a in "xy" for b in "xy"]
+    edges = spark.createDataFrame(rungs, "head string, tail string")
+    out = graph.path_counts(edges, spark.createDataFrame([("n0x",), ("n11y",)], "node string")).collect()
+    assert {r.target: (r.n_paths, r.first_path[:4]) for r in out} == {"n0x": (2**12, "n12x"), "n11y": (2, "n12x")}
+    tree = graph.pruned_tree(edges, spark.createDataFrame([("n10x",)], "node string")).collect()
+    assert len(tree) == 6 and {r.n_paths for r in tree} == {1} and all(r.parent > r.child for r in tree)
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "head string, tail string")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.path_counts(ring, ring.selectExpr("head as node"))
+    assert {(r.node, r.came_from) for r in graph.ancestor_tree(ring, "a").collect()} == {("a", None), ("b", "a")}
+
+
+def test_scores_upserted_by_part(spark, tmp_path):
+    """Later batches change only the parts they touch; a lost checkpoint loses no scores."""
+    put = lambda rows: conform(spark.createDataFrame(rows, "signal_id string, score double, created_at timestamp"), TRUST_SIGNALS).write.mode("append").parquet(f"{tmp_path}/in")
+    day = lambda n: dt.datetime(2024, 1, n)
+    assert streaming.read_signals(spark, f"{tmp_path}/out").count() == 0
+    put([(f"s{i}", 0.1, day(1)) for i in range(50)])
+    streaming.upsert_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/c1", 4).awaitTermination()
+    put([("s1", 0.9, day(2)), ("s99", 0.5, day(2))])
+    streaming.upsert_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/c1", 4).awaitTermination()
+    got = {r.signal_id: r.score for r in streaming.read_signals(spark, f"{tmp_path}/out").collect()}
+    assert len(got) == 51 and got["s1"] == 0.9 and got["s99"] == 0.5 and got["s2"] == 0.1
+    versions = {p.parent.name: p.name for p in sorted((tmp_path / "out").glob("v=1/part=*"))}
+    assert len(versions) == 1 and len(list((tmp_path / "out").glob("v=1/part=*"))) <= 2
+    streaming.upsert_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/c2", 4).awaitTermination()
+    assert {r.signal_id: r.score for r in streaming.read_signals(spark, f"{tmp_path}/out").collect()} == got
