@@ -430,6 +430,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         voters = Voters(scorer.stems)
         for texts in batches:
-            yield pd.Series(scorer.score(voters, texts.tolist())[0])
+            held = texts.tolist()
+            parts = [scorer.score(voters, held[at : at + 256])[0] for at in range(0, len(held), 256)]
+            yield pd.Series(np.concatenate(parts) if parts else np.array([], np.float64))
 
     return docs.filter(score(F.col("text")) < threshold)
