@@ -2,9 +2,9 @@
 
 A declarative ``Template`` lists the marks around turns, the control strings that
 must not occur inside texts, and a finite-state machine over roles. Every turn
-becomes text segments with a loss flag each; windows over the conversation give
-turn numbers and the state before each turn, so no conversation has to fit in
-one row. Control strings inside texts are escaped reversibly.
+becomes text segments with a loss flag each, numbered by windows, so no
+conversation has to fit in one row until it is put together; then the machine is
+run over its roles. Control strings inside texts are escaped reversibly.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ class Template:
     """How turns are written.
 
     ``marks`` maps a role to (before, after); ``other`` holds the pair for roles
-    without one, with ``{role}`` for the role's name. ``moves`` maps
-    (state, role) to the next state; every move on a role must lead to the same
-    state, so the state before a turn follows from the role before it.
+    without one, with ``{role}`` for the role's name. ``moves`` is the machine: it
+    maps (state, role) to the next state; what it does not list is not allowed.
     """
 
     name: str
@@ -38,11 +37,17 @@ class Template:
     final: tuple[str, ...]
     escape: str = "\\"
 
+    def after(self) -> dict[str, str] | None:
+        """The state after each role, if it follows from the role alone."""
+        out: dict[str, str] = {}
+        return out if all(out.setdefault(role, to) == to for (_, role), to in self.moves.items()) else None
+
     def check(self) -> None:
-        after: dict[str, str] = {}
-        for (_, role), to in self.moves.items():
-            if after.setdefault(role, to) != to:
-                raise ValueError(f"moves on role {role!r} lead to different states")
+        codes = "0" + "".join(chr(97 + k) for k in range(len(self.control)))
+        if len(self.escape) != 1 or self.escape.isalnum():
+            raise ValueError("the escape is one character, no letter or digit")
+        if any(c and c[0] in codes for c in self.control):
+            raise ValueError(f"control strings must not begin with one of {codes!r}, which follow the escape character")
         if len(self.control) > 26 or any(self.escape in c or not c for c in self.control):
             raise ValueError("control strings: at most 26, not empty, without the escape character")
         written = [self.begin, self.end, *self.other, *(m for pair in self.marks.values() for m in pair)]
@@ -92,14 +97,15 @@ def format_chat(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     conversation's begin, the last one's its end. ``turn_no`` counts from 0 in
     (turn, role, text) order, nulls first, so ties and repeated rows have a fixed
     place. ``in_order`` is whether the machine allows the turn's role after the
-    role before it and, for the last turn, ends in a final state; a turn that is
-    not allowed is written all the same. Null role and text count as empty, a
+    role before it and, for the last turn, ends in a final state; null where the
+    state does not follow from the role before (``conversations`` runs the machine
+    then, too); a turn that is not allowed is written all the same. Null role and text count as empty, a
     null ``conv_id`` is a conversation of its own, further columns are not read.
     """
     template.check()
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    after = {role: to for (_, role), to in template.moves.items()}
+    after = template.after()
     before = F.lag("role").over(order)
     placed = base.select(
         "*",
@@ -107,10 +113,12 @@ def format_chat(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
         before.alias("before"),
         F.lead(F.lit(1)).over(order).isNull().alias("last"),
     )
-    was = F.when(F.col("turn_no") == 0, F.lit(template.start)).otherwise(F.try_element_at(F.create_map(*(F.lit(x) for kv in after.items() for x in kv)), F.col("before")))
-    allowed = F.concat_ws("\x00", was, F.col("role")).isin([f"{s}\x00{r}" for s, r in template.moves]) & was.isNotNull()
-    ends = F.col("role").isin([r for r, to in after.items() if to in template.final])
-    in_order = F.coalesce(allowed & (~F.col("last") | ends), F.lit(False))
+    in_order = F.lit(None).cast("boolean")
+    if after:
+        was = F.when(F.col("turn_no") == 0, F.lit(template.start)).otherwise(F.try_element_at(F.create_map(*(F.lit(x) for kv in after.items() for x in kv)), F.col("before")))
+        allowed = F.concat_ws("\x00", was, F.col("role")).isin([f"{s}\x00{r}" for s, r in template.moves]) & was.isNotNull()
+        ends = F.col("role").isin([r for r, to in after.items() if to in template.final])
+        in_order = F.coalesce(allowed & (~F.col("last") | ends), F.lit(False))
 
     def mark(k: int) -> Column:
         name = escape_text(F.col("role"), template)
@@ -131,15 +139,21 @@ def format_chat(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     return flat.select("conv_id", "turn_no", "s.part", "role", "s.text", "s.loss", "in_order")
 
 
-def conversations(segments: DataFrame) -> DataFrame:
+def conversations(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """``conv_id, segments, formatted, valid``: one row per conversation, its segments in order.
 
-    A conversation is one training example and so one row; splitting it earlier
-    is the caller's choice.
+    ``valid`` is the machine's verdict: a fold of the moves over the ordered roles,
+    from the start to a final state. A conversation is one training example and so
+    one row; splitting it earlier is the caller's choice. Nulls, ties, repeated
+    rows and empty tables as in ``format_chat``.
     """
-    row = F.struct("turn_no", "part", "text", "loss")
-    grouped = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("segments"), F.min("in_order").alias("valid"))
-    return grouped.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"), "valid")
+    row = F.struct("turn_no", "part", "role", "text", "loss")
+    grouped = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("segments"))
+    table = F.create_map(*(F.lit(x) for (state, role), to in template.moves.items() for x in (f"{state}\x00{role}", to)))
+    dead = F.lit("\x00")  # no state's name: nothing leads out of it
+    roles = F.transform(F.filter("segments", lambda s: s.part == 1), lambda s: s.role)
+    last = F.aggregate(roles, F.lit(template.start), lambda state, role: F.coalesce(F.try_element_at(table, F.concat(state, F.lit("\x00"), role)), dead))
+    return grouped.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"), last.isin(*template.final).alias("valid"))
 
 
 def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
