@@ -164,6 +164,10 @@ def lzw_decode(data: bytes, limit: int) -> bytes:
     return b"".join(parts)
 
 
+#: What reading damaged bytes may raise: fields cut off, values out of range, sizes that no integer or memory holds.
+DAMAGE = (struct.error, ValueError, OverflowError, MemoryError, zlib.error)
+
+
 def _unpack(codec: int, data: bytes, limit: int) -> bytes:
     name = CODEC.get(codec)
     if name == "none":
@@ -294,13 +298,13 @@ def decode_tiff(data: bytes | None) -> Iterator[tuple[int, np.ndarray | None, st
         seen.add(at)
         try:
             tags, at = _directory(data, at, order)
-        except (struct.error, ValueError) as e:
+        except DAMAGE as e:
             yield page, None, None, str(e)
             return
         try:
             samples, form = _page(data, tags, order)
             yield page, samples, form, None
-        except (struct.error, ValueError, zlib.error) as e:
+        except DAMAGE as e:
             yield page, None, None, str(e)
         page += 1
     if not page:
@@ -312,14 +316,20 @@ def read_tiff(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
 
     Pages of a file follow each other in page order. A null, empty or damaged
     file gives one row with ``error``; an unreadable page gives its own error row
-    and the pages after it still come. Repeated rows repeat their pages. Only
-    ``keep`` and ``media_col`` are read; names in ``keep`` must differ from the
-    output's.
+    and the pages after it still come. Repeated rows repeat their pages, an empty
+    table gives none. Only ``keep`` and ``media_col`` are read; a kept column with
+    a name of the output's gets underscores appended. Samples of more than a byte
+    are written least byte first, whatever the file's order.
     """
-    made = ["page", "width", "height", "channels", "bits", "form", "samples", "error"]
-    if clash := set(keep) & set(made):
-        raise ValueError(f"rename {sorted(clash)} first")
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    names = ["page", "width", "height", "channels", "bits", "form", "samples", "error"]
+    kinds = []
+    for c in keep:
+        name = c
+        while name in names:
+            name += "_"
+        names.append(name)
+        kinds.append(f"`{name}` {df.schema[c].dataType.simpleString()}")
+    kinds = ", ".join(kinds)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for *kept, media in rows:
@@ -328,9 +338,9 @@ def read_tiff(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
                     yield *kept, page, None, None, None, None, None, None, error
                 else:
                     high, wide, deep = samples.shape
-                    yield *kept, page, wide, high, deep, samples.itemsize * 8, form, samples.tobytes(), None
+                    yield *kept, page, wide, high, deep, samples.itemsize * 8, form, samples.astype(samples.dtype.newbyteorder("<")).tobytes(), None
 
-    schema = f"{kinds}, page int, width int, height int, channels int, bits int, form string, samples binary, error string"
+    schema = f"{kinds}{', ' if kinds else ''}page int, width int, height int, channels int, bits int, form string, samples binary, error string"
     return map_rows(df.select(*keep, media_col), run, schema)
 
 

@@ -599,3 +599,89 @@ def test_toxicity_held_out_precision_and_recall(spark):
     found = {r.doc_id for r in out if r.predicted}
     bad = {r.doc_id for r in out if truth[r.doc_id]}
     assert len(found & bad) >= 0.95 * len(bad) and len(found & bad) >= 0.95 * len(found)
+
+
+# --- chat machines, damaged sizes
+
+
+TOOLS = chat.Template(
+    name="tools",
+    begin="<|in|>",
+    end="<|out|>",
+    marks={"user": ("<|user|>", "<|/user|>"), "assistant": ("<|says|>", "<|/says|>"), "tool": ("<|tool|>", "<|/tool|>")},
+    other=("<|turn|>{role}<|as|>", "<|/turn|>"),
+    trained=("assistant",),
+    control=("<|in|>", "<|out|>", "<|user|>", "<|/user|>", "<|says|>", "<|/says|>", "<|tool|>", "<|/tool|>", "<|turn|>", "<|as|>", "<|/turn|>"),
+    start="start",
+    # one tool answer per question: what may follow the assistant depends on more than the role before
+    moves={("start", "user"): "asked", ("asked", "assistant"): "answered", ("answered", "tool"): "called", ("called", "assistant"): "done", ("answered", "user"): "asked", ("done", "user"): "asked"},
+    final=("answered", "done"),
+)
+
+
+def test_chat_machine_with_tool_turns(spark):
+    talks = {1: "user assistant tool assistant", 2: "user assistant tool assistant tool assistant", 3: "user assistant tool", 4: "user assistant user assistant tool assistant", 5: "tool", 6: "user assistant tool assistant user assistant"}
+    rows = [(c, i, r, "x <|tool|> y") for c, rs in talks.items() for i, r in enumerate(rs.split())]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.conversations(chat.format_chat(turns, TOOLS), TOOLS)
+    assert {r.conv_id: r.valid for r in made.collect()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
+    read = {r.conv_id: r for r in chat.read_back(made, TOOLS).collect()}
+    for c, rs in talks.items():
+        assert read[c].turns_sha256 == hashlib.sha256("".join(f"{r}\nx <|tool|> y\n" for r in rs.split()).encode()).hexdigest()
+    plan = chat.read_back(made, TOOLS)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chat_refuses_codes_that_text_could_complete():
+    import dataclasses
+
+    bad = dataclasses.replace(chat.INSTRUCT, control=("bot:", *chat.INSTRUCT.control), begin="bot:")
+    with pytest.raises(ValueError, match="must not begin"):
+        bad.check()
+
+
+def test_chat_long_text(spark):
+    long = "[INST] \\ </s>" * 40_000
+    t = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.read_back(chat.conversations(chat.format_chat(t))).collect()
+    assert r.loss_chars == len(long) and r.loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and r.valid
+
+
+def test_tiff_sizes_beyond_integers_and_clashing_names(spark):
+    data = bytearray(tiff.encode_tiff([np.zeros((32, 32), np.uint8)], 8, 1, 16))
+    for tag in (256, 257, 322, 323):
+        at = data.find(tag.to_bytes(2, "little") + b"\x04\x00\x01\x00\x00\x00")
+        at = at if at >= 0 else data.find(tag.to_bytes(2, "little") + b"\x03\x00\x01\x00\x00\x00")
+        if at >= 0:
+            data[at + 2 : at + 12] = b"\x04\x00\x01\x00\x00\x00\xff\xff\xff\xff"
+    out = list(tiff.decode_tiff(bytes(data)))
+    assert out and all(o[3] for o in out)
+    good = tiff.encode_tiff([np.arange(64, dtype=np.uint8).reshape(8, 8)], 1)
+    df = spark.createDataFrame([(1, good, "w"), (2, None, "v")], "page int, media binary, width string")
+    pages = tiff.read_tiff(df, "media", ["page", "width"])
+    got = {r["page_"]: r for r in pages.collect()}
+    assert got[1]["width"] == 8 and got[1]["width_"] == "w" and bytes(got[1]["samples"]) == bytes(range(64)) and got[2]["error"]
+
+
+def test_language_held_out_and_fused_as_written(spark):
+    """Documents never trained on are told apart, and one row's fusion equals the formula."""
+    rng = random.Random(59)
+    vocab = {"en": "the and of that with this from have".split(), "de": "der und das nicht ein mit auch nach".split(), "fr": "les des une dans pour que sur avec".split()}
+    text = lambda g, n: " ".join(rng.choice(vocab[g]) for _ in range(n))
+    langs = ["en", "de", "fr"]
+    docs = [(i, text(langs[i % 3], 30), langs[i % 3], f"s{i % 4}", 0) for i in range(240)]
+    model = langid.train(spark.createDataFrame(docs[:120], DOC))
+    held = spark.createDataFrame([*docs[120:], (999, None, None, None, 0), (1000, text("de", 50_000), None, "s1", 0)], DOC)
+    out = {r.id: r for r in langid.identify(langid.document_evidence(held), model).collect()}
+    assert sum(out[i].lang == langs[i % 3] for i in range(120, 240)) >= 118 and out[1000].lang == "de" and len(out) == 122
+    names, likely, prior = model
+    z, p = {}, {}
+    for i, t, *_ in [r for r in docs[120:] if r[3] == "s1"] + [(1000, held.filter("doc_id = 1000").first().text)]:
+        g = langid.trigrams(t)
+        z[i] = np.maximum((s := likely[:, g].sum(1) * langid.TEXT_DAMPING) - s.max(), -langid.TEXT_LIMIT)
+        p[i] = np.exp(z[i] + prior) / np.exp(z[i] + prior).sum()
+    i = next(iter(z))
+    c = np.maximum(sum(p.values()) - p[i], 0)
+    score = z[i] + np.log((c + langid.HOST_STRENGTH * np.exp(prior)) / (c.sum() + langid.HOST_STRENGTH))
+    q = np.exp(score - score.max())
+    assert names[int(q.argmax())] == out[i].lang and out[i].confidence == pytest.approx(q.max() / q.sum(), abs=1e-6)
