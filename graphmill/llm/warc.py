@@ -26,7 +26,7 @@ FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 4096
 MEMBER_LEVEL = 4
 PIECE = 1 << 18
 #: Members are read back in stretches of an archive: one task's unit, and the most bytes of one range request.
-STRETCH, RANGE_BYTES = 16 << 20, 2 << 20
+STRETCH, RANGE_BYTES = 4 << 20, 2 << 20
 MOST_TASKS = 10_000
 
 
@@ -206,7 +206,9 @@ def read_records(spark: SparkSession, target: str) -> DataFrame:
     a revisit has no payload, so its figures come from its header fields.
     """
     places = read_index(spark, target).select("archive", "offset", "length")
-    places = places.repartition("archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
+    stretches = (places.agg(F.sum("length")).first()[0] or 0) // STRETCH + 1
+    # index rows are small, what they name is not: the number of tasks follows the archives' bytes
+    places = places.repartition(min(MOST_TASKS, stretches), "archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
 
     def page(text: str | None) -> int | None:
         number = (text or "").removeprefix("<urn:page:").removesuffix(">")
