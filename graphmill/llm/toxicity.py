@@ -343,11 +343,13 @@ class Scorer:
     Labels are taken from rows that are not held out (``crc32`` of the id as
     text, modulo 3, is not 1), of at most ``limit`` such rows with distinct
     texts; labels other than 0 and 1 are left out, contradictory ones count as
-    toxic. The votes of every document are counted by pattern; texts are read
-    once for that and once for their scores, and nothing is stored per document.
+    toxic. The votes of every document are counted by pattern. With ``keep`` each
+    document's votes and word buckets are stored as ``seen`` (``doc_id, votes,
+    buckets``) and its text is not read again; without it nothing is stored per
+    document, and texts are read a second time for their scores.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED):
+    def __init__(self, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, keep: bool = False):
         source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
@@ -369,11 +371,17 @@ class Scorer:
 
         def teach(rows: Iterator[tuple]) -> Iterator[tuple]:
             own = Voters(stems)
-            for toxic, text in rows:
+            for first, text in rows:
                 mask, buckets = own.read(text)
-                yield toxic, mask, buckets.tobytes()
-
-        patterns = stored(map_rows(source.select("text"), vote, "votes long, n long", rows=4096).groupBy("votes").agg(F.sum("n").alias("n")), "patterns")
+                yield first, mask, buckets.tobytes()
+
+        if keep:
+            kind = docs.schema["doc_id"].dataType.simpleString()
+            self.seen = stored(map_rows(source, teach, f"doc_id {kind}, votes long, buckets binary", rows=4096), "votes")
+            counted = self.seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            counted = map_rows(source.select("text"), vote, "votes long, n long", rows=4096).groupBy("votes").agg(F.sum("n").alias("n"))
+        patterns = stored(counted, "patterns")
         taught = [(r[0], r[1], r[2]) for r in map_rows(sample.select("toxic", "text"), teach, "toxic int, votes long, buckets binary", rows=1024).collect()]  # at most ``limit`` rows
         toxic = np.array([t for t, _, _ in taught], np.int64)
         votes = LabelModel.unpack(np.array([v for _, v, _ in taught], np.int64), k) if taught else np.zeros((0, k))
@@ -388,10 +396,13 @@ class Scorer:
     def score(self, voters: Voters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, posterior, votes) of some texts."""
         read = [voters.read(t or "") for t in texts]
-        masks = np.array([m for m, _ in read], np.int64)
+        return self.judge(np.array([m for m, _ in read], np.int64), [b for _, b in read])
+
+    def judge(self, masks: np.ndarray, buckets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, posterior, votes) of texts read before."""
         votes = LabelModel.unpack(masks, self.k)
         posterior = self.model.logit(votes)
-        raw = self.linear.raw(votes, [b for _, b in read]) if self.linear else posterior
+        raw = self.linear.raw(votes, buckets) if self.linear else posterior
         squash = lambda z: np.round(1 / (1 + np.exp(-np.clip(z, -60, 60))), 9)
         return squash(raw), squash(posterior), np.bitwise_count(masks.astype(np.uint64)).astype(np.int32)
 
@@ -406,14 +417,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     read. See ``Scorer`` for the labels used.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scorer = Scorer(docs, labels, limit)
+    scorer = Scorer(docs, labels, limit, keep=True)
+    seen, scorer.seen = scorer.seen, None  # tasks take the models along, not the table
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        voters = Voters(scorer.stems)
-        while held := list(islice(rows, 256)):
-            yield from zip([key for key, _ in held], *(x.tolist() for x in scorer.score(voters, [t for _, t in held])))
+        while held := list(islice(rows, 1024)):
+            found = scorer.judge(np.array([m for _, m, _ in held], np.int64), [np.frombuffer(b, np.uint16) for *_, b in held])
+            yield from zip([key for key, *_ in held], *(x.tolist() for x in found))
 
-    out = map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, posterior double, votes int", rows=4096)
+    out = map_rows(seen, run, f"doc_id {kind}, score double, posterior double, votes int", rows=4096)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "posterior", "votes")
 
 
