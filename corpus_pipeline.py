@@ -17,24 +17,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not scored toxic. Each row by its own text: nulls count as empty, repeated rows and rows without an id
+    share their text's fate, an empty table stays empty, further columns may have any name."""
     return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the least id; null and empty texts are alike, repeated rows
+    are reduced to one, unrelated texts under one id all stay, an empty table stays empty, further columns may have any name."""
     return simhash.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage. Each row by its own text: null and empty texts stay, repeated rows share
+    their fate, an empty table stays empty, further columns may have any name."""
     return decontam.keep_uncontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Null and empty texts stay once, rows that share an id are repeated alike,
+    a null source is one of its own and sorts last, an empty table stays empty, further columns may have any name."""
     return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``shard`` and ``slot``."""
+    """Documents with ``shard`` and ``slot``, which replace columns of these names. Null ids sort last, repeated rows get
+    slots each, rows of one id are interchangeable, an empty table stays empty."""
     return feistel.shard_rows(docs, 16, ["doc_id"])
 
 
