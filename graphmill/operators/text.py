@@ -69,6 +69,20 @@ def token_set_score(sentence: list[str], term: list[str]) -> float:
     return max(_indel(one, two), 200.0 * len(both) / (len(both) + len(one)), 200.0 * len(both) / (len(both) + len(two)))
 
 
+def _letters(words: Column) -> Column:
+    """64 bits: of each of 32 classes of characters, whether the words hold one, and whether they hold two.
+
+    Bits that differ between two texts count at most the insertions and deletions between them.
+    """
+    text = F.split(F.array_join(words, ""), "")
+    return F.aggregate(F.transform(text, lambda c: F.call_function("ascii", c) % 32), F.lit(0).cast("long"), _with_letter)
+
+
+def _with_letter(held: Column, place: Column) -> Column:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    return held.bitwiseOR(F.when(held.bitwiseAND(bit) == 0, bit).otherwise(F.call_function("shiftleft", bit, F.lit(32))))
+
+
 #: Term lists with at most so many tokens are broadcast.
 BROADCAST_TOKENS = 500_000
 
@@ -85,22 +99,24 @@ def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TER
        than the characters that may be absent.
     2. Of the sentence: likewise from its side, after sentences that hold too many
        characters of tokens unknown to all terms are gone.
-    3. Close lengths: pairs that share a token, each met at its least one.
+    3. Close lengths: pairs that share a token and nearly all letters, each met at
+       its least token.
 
-    Lengths and shared tokens are compared inside Spark; only pairs of close
-    lengths are scored in Python. Tokens of the terms are broadcast if few, so
-    sentences stay where they are.
+    Lengths, letters and shared tokens are compared inside Spark; only pairs of
+    close lengths and few edits are scored in Python. Tokens of the terms are
+    broadcast if few, so sentences stay where they are.
     """
     ratio = least / (200 - least)
     chars = lambda c: F.length(F.array_join(c, " "))
     s = sents.select(F.col(key), tokens(F.col("sentence")).alias("words")).filter(F.size("words") > 0)
-    s = store(s.withColumn("s_chars", chars(F.col("words"))), "sentences")
     t = terms.select("term", tokens(F.col("term")).alias("term_words")).filter(F.size("term_words") > 0).distinct()
-    t = store(t.withColumn("t_chars", chars(F.col("term_words"))), "terms")
+    t = store(t.withColumns({"t_chars": chars(F.col("term_words")), "t_letters": _letters(F.col("term_words"))}), "terms")
     size, longest = t.agg(F.coalesce(F.sum(F.size("term_words")), F.lit(0)), F.coalesce(F.max("t_chars"), F.lit(0))).first()
+    s = s.withColumn("s_chars", chars(F.col("words")))
+    s = store(s.withColumn("s_letters", F.when(F.col("s_chars") * ratio <= longest, _letters(F.col("words")))), "sentences")
     fit = F.broadcast if size <= BROADCAST_TOKENS else (lambda df: df)
-    spread = s.select(key, "words", "s_chars", F.explode("words").alias("word"))
-    of_terms = t.select("term", "term_words", "t_chars", F.explode("term_words").alias("word"))
+    spread = s.select(key, "words", "s_chars", "s_letters", F.explode("words").alias("word"))
+    of_terms = t.select("term", "term_words", "t_chars", "t_letters", F.explode("term_words").alias("word"))
     often = store(spread.select("word").join(fit(of_terms.select("word").distinct()), "word").groupBy("word").agg(F.count(F.lit(1)).alias("often")), "often")
     weight = F.length("word") + 1
     allowed = lambda c: F.col(c) * (1 - ratio) + 1
@@ -114,21 +130,22 @@ def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TER
     whole, by_sentence = Window.partitionBy(key), Window.partitionBy(key).orderBy("often", "word").rowsBetween(Window.unboundedPreceding, -1)
     strange = F.col("s_chars") + 1 - F.sum(weight).over(whole)
     known = known.withColumns({"strange": strange, "before": F.coalesce(F.sum(weight).over(by_sentence), F.lit(0))})
-    second = known.filter(F.col("strange") + F.col("before") <= allowed("s_chars")).select(*spread.columns).join(fit(of_terms), "word").filter(F.col("t_chars") * ratio > F.col("s_chars"))
+    second = known.filter(F.col("strange") + F.col("before") <= allowed("s_chars")).select(*spread.columns).join(fit(of_terms), "word").filter(F.col("t_chars") > F.col("s_chars"))
 
-    near = (F.least("s_chars", "t_chars") >= ratio * F.greatest("s_chars", "t_chars"))
-    third = short.join(fit(of_terms), "word").filter(near)
+    edits = (1 - least / 100) * (F.col("s_chars") + F.col("t_chars")) + 1e-9
+    near = F.least("s_chars", "t_chars") >= ratio * F.greatest("s_chars", "t_chars") - 1e-9
+    third = short.join(fit(of_terms), "word").filter(near & (F.bit_count(F.col("s_letters").bitwiseXOR(F.col("t_letters"))) <= edits))
     third = third.withColumn("shared", F.array_intersect("words", "term_words")).filter(F.col("word") == F.array_min("shared"))
     # an insertion or deletion is one edit, so the edit distance of what is not shared bounds the score
     rest = lambda c: F.array_join(F.array_sort(F.array_except(c, F.col("shared"))), " ")
-    third = third.filter(F.levenshtein(rest(F.col("words")), rest(F.col("term_words"))) <= (1 - least / 100) * (F.col("s_chars") + F.col("t_chars")))
+    third = third.filter(F.levenshtein(rest(F.col("words")), rest(F.col("term_words"))) <= edits)
 
     @F.pandas_udf("double")
     def measured(words: pd.Series, term_words: pd.Series) -> pd.Series:
         return pd.Series([token_set_score(list(a), list(b)) for a, b in zip(words, term_words)], dtype=float)
 
     columns = [key, "words", "term", "term_words", "s_chars", "t_chars"]
-    far = first.select(*columns).unionByName(second.select(*columns)).filter(~near).withColumn("shared", F.array_intersect("words", "term_words"))
+    far = first.select(*columns).unionByName(second.select(*columns)).withColumn("shared", F.array_intersect("words", "term_words"))
     far = far.select(key, "term", "s_chars", "t_chars", F.size("shared").alias("n"), chars(F.col("shared")).alias("both"), F.least(F.size("words"), F.size("term_words")).alias("least_n"))
     inside = F.when(F.col("n") == F.col("least_n"), F.lit(100.0)).otherwise(200.0 * F.col("both") / (F.col("both") + F.least("s_chars", "t_chars")))
     far = far.select(key, "term", inside.alias("score"))

@@ -97,15 +97,16 @@ def test_term_match_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     pool = "alpha beta gamma an of to linolenic acid methyl ester x flax seeds green tea leaf apple juice aple juce".split()
     sents = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    sents += [(1004, "abcdefghij klmnopqrst uvwxyzabcd qqqqq"), (1005, "gg hh hh ggg")]
     sents += [(1000, "we found that the alpha linolenic acid methyl ester fraction of flax seeds is high"), (1001, "Pear"), (1002, ""), (1003, None)]
-    terms = sorted({" ".join(rng.choice(pool) for _ in range(rng.randint(1, 7))) for _ in range(40)} | {"alpha linolenic acid methyl ester x", "pear!"})
+    terms = sorted({" ".join(rng.choice(pool) for _ in range(rng.randint(1, 7))) for _ in range(40)} | {"alpha linolenic acid methyl ester x", "pear!", "abcdefghij klmnopqrst uvwxyzabcd zzzzzz zzxxy", "hh gg ggh"})
     token = lambda x: "".join(c for c in (x or "").lower() if c.isalnum() or c.isspace()).split()
     want = {}
     for k, x in sents:
         score, term = min((-text.token_set_score(token(x), token(t)), t) for t in terms)
         if -score >= 91:
             want[k] = (term, round(-score, 6))
-    assert 1001 in want
+    assert 1001 in want and 1004 in want
     one = text.match_terms(spark.createDataFrame([(1, sents[-4][1])], "key int, sentence string"), spark.createDataFrame([("alpha linolenic acid methyl ester x",)], "term string"), "key").first()
     assert 97 < one.score < 98
     for limit in (text.BROADCAST_TOKENS, 0):
