@@ -154,12 +154,13 @@ class Mix:
         low = F.greatest(F.col("begin"), F.col("rank") * block)
         high = F.least(F.col("end"), (F.col("rank") + 1) * block)
         pieces = pieces.select("src", "rank", "source", "epoch", "doc_id", (low - F.col("begin")).alias("word"), (high - low).alias("words"), "__row")
-        return pieces.join(self.slots(), ["src", "rank"]).select("slot", "source", "epoch", "doc_id", "word", "words", "__row")
+        # both sides grow with the corpus: they are merged, never broadcast
+        return pieces.join(self.slots().hint("merge"), ["src", "rank"]).select("slot", "source", "epoch", "doc_id", "word", "words", "__row")
 
     def taken(self) -> DataFrame:
         """``doc_id, source, size, source_size, target, taken`` of every document."""
         sums = self.schedule().groupBy("__row").agg(F.sum("words").alias("taken"))
-        out = self.documents.join(sums, "__row", "left")
+        out = self.documents.join(sums.hint("merge"), "__row", "left")
         return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
