@@ -136,6 +136,8 @@ def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TER
     near = F.least("s_chars", "t_chars") >= ratio * F.greatest("s_chars", "t_chars") - 1e-9
     third = short.join(fit(of_terms), "word").filter(near & (F.bit_count(F.col("s_letters").bitwiseXOR(F.col("t_letters"))) <= edits))
     third = third.withColumn("shared", F.array_intersect("words", "term_words")).filter(F.col("word") == F.array_min("shared"))
+    # stored, so that the edit distance is worked out for these few pairs alone
+    third = store(third.select(key, "words", "term", "term_words", "s_chars", "t_chars", "shared"), "close")
     # an insertion or deletion is one edit, so the edit distance of what is not shared bounds the score
     rest = lambda c: F.array_join(F.array_sort(F.array_except(c, F.col("shared"))), " ")
     third = third.filter(F.levenshtein(rest(F.col("words")), rest(F.col("term_words"))) <= edits)
