@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, feistel, langid, mixing, simhash, tiff, token_counts, toxicity, warc
+from . import chat, decontam, feistel, langid, merkle, mixing, orchard, packing, simhash, tiff, token_counts, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,6 +63,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_tiff, op2_chat, op3_warc, op4_decontamination, op5_token_counts, op6_sharding, op7_mixing, op8_simhash, op9_language, op10_toxicity, pipeline)
+    own = (op1_tiff, op2_chat, op3_warc, op4_decontamination, op5_token_counts, op6_sharding, op7_mixing, op8_simhash, op9_language, op10_toxicity, op11_orchard, op12_packing, op13_merkle, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -135,5 +149,89 @@ SELECT doc_id, size, n AS source_size, target,
 FROM p"""
 
 
+def _orchard_sql() -> str:
+    parts, entries = orchard.PARTS, orchard.ENTRIES
+    out = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {orchard.SCALE})::BIGINT)) AS r,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * {orchard.SCALE})::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, (d - 1) // (n // {parts}) AS part, d, q[d] AS x FROM (SELECT r, q, len(q) AS n, unnest(range(1, len(q) + 1)) AS d FROM v)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, d, x AS y FROM x WHERE r <= {entries})"""
+    for k in range(orchard.ROUNDS + 1):
+        out += f""",
+a{k} AS MATERIALIZED (
+  SELECT r, part, min({{'error': error, 'entry': entry}}) AS best
+  FROM (SELECT r, x.part, entry, sum((x - y) * (x - y))::BIGINT AS error FROM x JOIN b{k} b ON x.part = b.part AND x.d = b.d GROUP BY ALL) GROUP BY ALL)"""
+        if k < orchard.ROUNDS:
+            out += f""",
+m{k} AS MATERIALIZED (
+  SELECT a.part, a.best.entry AS entry, d, sum(x)::BIGINT AS s, count(*) AS c FROM a{k} a JOIN x ON a.r = x.r AND a.part = x.part GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.d, coalesce((s - ((s % c) + c) % c) // c, y) AS y
+  FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.entry = m.entry AND b.d = m.d)"""
+    k = orchard.ROUNDS
+    return out + f""",
+c AS (SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.error)::BIGINT AS error FROM a{k} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, d)) FROM b{k}) AS codebooks_sha256
+FROM v JOIN c USING (r)"""
+
+
+def _merkle_sql(heights: int = 6, top: int = 5) -> str:
+    """Six levels hold 16 to the 6 rows of a source, five as many sources."""
+    fan = merkle.FANOUT
+    framed = lambda c: f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(framed(text if f == "text" else f) for f in merkle.FIELDS) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"""
+WITH RECURSIVE bits(b, v, n) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, n + 1 FROM bits WHERE n < 8),
+walk(doc_id, t, k, c) AS (
+  SELECT doc_id, doc_id::VARCHAR, 1, 4294967295::BIGINT FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, t, k + 1, xor(c >> 8, v) FROM walk JOIN bits ON n = 8 AND b = xor(c & 255, ascii(t[k])::BIGINT) WHERE k <= length(t)),
+hit AS (SELECT doc_id FROM walk WHERE k = length(t) + 1 AND xor(c, 4294967295::BIGINT) % {merkle.TAMPER} = 0),
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('1' || source, '0') AS g, {leaf('text')} AS leaf,
+    CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN {leaf(lower)} ELSE {leaf('text')} END AS other
+  FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos FROM leaves),
+s0 AS MATERIALIZED (SELECT g, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM placed)"""
+
+    def tree(name: str, levels: int) -> str:
+        text = ""
+        for k in range(levels):
+            text += f""",
+{name}sides{k} AS MATERIALIZED (
+  SELECT g, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY g, pos // {fan} ORDER BY pos)),
+{name}{k + 1} AS MATERIALIZED (
+  SELECT g, pos // {fan} AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, (n + {fan - 1}) // {fan} AS n
+  FROM {name}{k} WHERE n > 1 GROUP BY g, pos // {fan}, n
+  UNION ALL SELECT * FROM {name}{k} WHERE n = 1)"""
+        return text
+
+    levels = [("s", k, "p.g", f"p.pos // {fan**k}") for k in range(heights)] + [("t", k, "''", f"u.pos // {fan**k}") for k in range(top)]
+    out += tree("s", heights)
+    out += f""",
+t0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n FROM s{heights})"""
+    out += tree("t", top)
+    joins = " ".join(f"LEFT JOIN {name}sides{k} {name}j{k} ON {name}j{k}.g = {g} AND {name}j{k}.pos = {pos}" for name, k, g, pos in levels)
+    sides = " || ".join(f"coalesce({name}j{k}.l || {name}j{k}.r, '')" for name, k, _, _ in levels)
+    columns = ", ".join(f"{name}j{k}.l AS {name}l{k}, {name}j{k}.r AS {name}r{k}" for name, k, _, _ in levels)
+    out += f""",
+f0 AS MATERIALIZED (
+  SELECT p.doc_id, p.leaf, u.h AS subroot, (SELECT h FROM t{top}) AS root, sha256({sides}) AS proof_sha256, p.other AS v, {columns}
+  FROM placed p JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS pos, h FROM s{heights}) u ON u.g = p.g {joins})"""
+    for n, (name, k, _, _) in enumerate(levels):
+        out += f""",
+f{n + 1} AS (SELECT * EXCLUDE (v), CASE WHEN {name}l{k} IS NULL THEN v ELSE sha256({name}l{k} || v || {name}r{k}) END AS v FROM f{n})"""
+    return out + f"""
+SELECT doc_id, leaf, subroot, root, proof_sha256, v AS folded_root, v = root AS verified FROM f{len(levels)}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": _chat_sql(), "op3_warc": WARC_SQL, "op7_mixing": MIX_SQL}
+    return {"op2_chat": _chat_sql(), "op3_warc": WARC_SQL, "op7_mixing": MIX_SQL, "op11_orchard": _orchard_sql(), "op13_merkle": _merkle_sql()}
