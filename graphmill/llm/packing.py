@@ -38,11 +38,23 @@ K1, B = 1.2, 0.75
 LEAST_FREQUENCY = 64
 #: Characters of a text that are encoded at once.
 SLICE_CHARS = 1 << 20
+#: Marks the first stretch of a text, which has no space in front; a unit never begins with white space.
+FIRST = "\n"
+#: Units that are encoded as one text.
+JOINED = 1024
 #: Entries kept in a worker's table of units before it starts afresh.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_500_000
 
-_unsafe = re.compile(r"  |[^\S ]")
-_ends = re.compile(r"(.*[^\W\d_])([.,;:!?]+)", re.S)
+#: White space other than the space itself and the line end, as Python knows it.
+BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_beside = re.compile(r" \s|\s ")
+
+
+def unsafe(text: str) -> bool:
+    """Whether some space of a text has white space, or the text's edge, beside it, or the text ends in white space."""
+    if text[:1] == " " or text[-1:].isspace() or "  " in text or " \n" in text or "\n " in text:
+        return True
+    return any(c in text for c in BLANKS) and _beside.search(text) is not None
 
 
 class Encoder:
@@ -50,7 +62,7 @@ class Encoder:
 
     A unit is a stretch between single spaces, led by its space: a space with no
     white space on either side always begins a pre-token, and no token crosses
-    pre-tokens. Closing punctuation after a letter is a pre-token of its own.
+    pre-tokens.
     """
 
     def __init__(self, path: str):
@@ -59,57 +71,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        #: Tokens that begin with a space; byte-level vocabularies spell it so.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """The ids of any texts, given to the library as the words of one input, which it treats apart."""
+        out: list[bytes] = []
+        parts = [texts[k : k + JOINED] for k in range(0, len(texts), JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)):
+            out += self._cut(np.array(e.ids, self.kind), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(part) + 1)))
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> tuple[str, list[str]]:
-        """A first stretch and the units after it; white space other than single spaces stays inside them."""
-        first, *units = text.split(" ")
-        if not _unsafe.search(text):
-            return first, units
-        out = [first]
-        for u in units:
-            if u and out[-1] and not u[0].isspace() and not out[-1][-1].isspace():
-                out.append(u)
-            else:
-                out[-1] += " " + u
-        return out[0], out[1:]
-
-    def _learn(self, units: set[str]) -> None:
-        memo = self.memo
-        split, plain = {}, {}
-        for u in units:
-            cut = None if any(s in u for s in self.special) else _ends.fullmatch(u)
-            if cut:
-                split[u] = cut.groups()
-                if cut[1] not in memo:
-                    plain[" " + cut[1]] = None
-                if ("", cut[2]) not in memo:
-                    plain[cut[2]] = ("", cut[2])
+    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of units without spaces, each led by its space: joined they are one text, cut where a token has a space in front."""
+        out: list[bytes] = []
+        parts = [units[k : k + JOINED] for k in range(0, len(units), JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(part) for part in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            begin = np.flatnonzero(self.spaced[ids])
+            if len(begin) == len(part):
+                out += self._cut(ids, np.append(begin[1:], len(ids)))
             else:
-                plain[" " + u] = None
-        texts = list(plain)
-        for text, ids in zip(texts, self._encode(texts)):
-            memo[plain[text] or text[1:]] = ids
-        for u, (base, end) in split.items():
-            memo[u] = memo[base] + memo["", end]
+                out += self._each([" " + u for u in part])
+        return out
+
+    def _stretches(self, text: str) -> list[str]:
+        """A text as its first stretch, marked, and the units after it; white space other than single spaces stays inside them."""
+        out = text.split(" ")
+        if unsafe(text):
+            units, out = out[1:], out[:1]
+            for u in units:
+                if u and out[-1] and not u[0].isspace() and not out[-1][-1].isspace():
+                    out.append(u)
+                else:
+                    out[-1] += " " + u
+            self.odd.update(u for u in out[1:] if not u or " " in u or u[-1].isspace())
+        out[0] = FIRST + out[0]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as the library gives them, special strings inside texts included."""
-        pieces = [[self._pieces(part) for part in slices(t, SLICE_CHARS)] for t in texts]
-        memo = self.memo
+        memo, self.odd = self.memo, set()
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        missing = {u for parts in pieces for _, units in parts for u in units if u not in memo}
-        if missing:
-            self._learn(missing)
-        firsts = iter(self._encode([first for parts in pieces for first, _ in parts]))
+        parts = [[self._stretches(x) for x in slices(t, SLICE_CHARS)] for t in texts]
+        missing = set().union(*(p for ps in parts for p in ps)).difference(memo)
+        firsts = [u for u in missing if u.startswith(FIRST)]
+        odd = [u for u in self.odd if u in missing]
+        plain = list(missing.difference(firsts, odd))
+        memo.update(zip(firsts, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([u[len(FIRST) :] for u in firsts], add_special_tokens=False))))
+        memo.update(zip(odd, self._each([" " + u for u in odd])))
+        memo.update(zip(plain, self._units(plain)))
         look = memo.__getitem__
-        return [np.frombuffer(b"".join(b"".join([next(firsts), *map(look, units)]) for _, units in parts), self.kind) for parts in pieces]
+        return [np.frombuffer(b"".join(b"".join(map(look, p)) for p in ps), self.kind) for ps in parts]
 
 
 def slices(text: str, size: int) -> Iterator[str]:
