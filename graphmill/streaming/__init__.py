@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.build import upsert
 from ..schemas import TRUST_SIGNALS
+from ..sources import versions
 
 UPDATED = ["score", "reason", "error_text", "model", "created_at"]
 
@@ -18,47 +19,39 @@ def merge_signals(old: DataFrame, new: DataFrame) -> DataFrame:
 
 #: The table is kept in so many parts by signal id; a micro-batch rewrites those it touches.
 PARTS = 64
+TABLE = "signals"
 
 
-def _versions(spark: SparkSession, table: str) -> dict[int, int]:
-    """The newest whole version of each part, from the names of folders ``v=<version>/part=<part>``."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = jvm.Path(table)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out: dict[int, int] = {}
-    for version in files.listStatus(root) if files.exists(root) else []:
-        if files.exists(jvm.Path(version.getPath(), "_SUCCESS")):
-            number = int(version.getPath().getName().split("=")[1])
-            for part in files.listStatus(version.getPath()):
-                if part.isDirectory():
-                    k = int(part.getPath().getName().split("=")[1])
-                    out[k] = max(number, out.get(k, -1))
-    return out
-
-
-def read_signals(spark: SparkSession, table: str, parts: list[int] | None = None) -> DataFrame:
-    """The newest version of every part, or of some, of a table that ``upsert_stream`` keeps; empty before the first batch."""
-    chosen = [f"{table}/v={v}/part={k}" for k, v in _versions(spark, table).items() if parts is None or k in parts]
-    return spark.read.schema(TRUST_SIGNALS).parquet(*chosen) if chosen else spark.createDataFrame([], TRUST_SIGNALS)
+def read_signals(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    """The newest version, or an older one, of a table that ``upsert_stream`` keeps; empty before the first batch."""
+    return versions.read(spark, table, TABLE, TRUST_SIGNALS, versions.snapshot(spark, table, version))
 
 
 def upsert_stream(spark: SparkSession, source: str, table: str, checkpoint: str, parts: int = PARTS):
     """A file stream of score rows upserted into ``table``; returns the started query.
 
-    The table is dealt into ``parts`` by signal id. A micro-batch writes new
-    versions of the parts it touches, merged with their newest versions in
-    storage: nothing is assumed about batch numbers, a batch that runs again
-    merges the same rows once more, and a lost checkpoint loses no scores.
+    The table is dealt into ``parts`` by signal id. A micro-batch writes the
+    parts it touches, merged with their newest versions, to a folder of its own,
+    then commits them as one version (``sources.versions``). A batch killed at
+    any step leaves the newest version as it was and is run again; merging the
+    same rows once more changes nothing. Batch numbers are not used, so a lost
+    checkpoint loses no scores, and a second query on the same table merges onto
+    the version of the first. A batch reads one manifest, however many versions
+    there were.
     """
     stream = spark.readStream.schema(TRUST_SIGNALS).parquet(source)
     part = F.pmod(F.xxhash64("signal_id"), F.lit(parts)).cast("int")
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        touched = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]  # ``parts`` at most
-        if touched:
-            version = max(_versions(session, table).values(), default=-1) + 1
-            merged = merge_signals(read_signals(session, table, touched), batch).withColumn("part", part)
-            merged.repartition("part").write.partitionBy("part").parquet(f"{table}/v={version}")
+        touched = [str(r[0]) for r in batch.select(part.alias("part")).distinct().collect()]  # ``parts`` at most
+
+        def merged(base: versions.Snapshot) -> dict[str, dict[str, str]]:
+            if not touched:
+                return {}
+            old = versions.read(session, table, TABLE, TRUST_SIGNALS, base, touched)
+            return {TABLE: versions.write_parts(merge_signals(old, batch), table, part)}
+
+        versions.update(session, table, merged, note=f"batch {number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
