@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import store
+from .skew import fingerprint, join_hot
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -95,17 +96,36 @@ def single_group(groups: DataFrame, precedence: list[str], names: dict[str, str]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component``: the least node of each connected component of ``a, b`` links, by label propagation with jumps."""
-    both = store(links.select("a", "b").union(links.select("b", "a")).filter("a is not null and b is not null").distinct(), "links")
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        step = store(low.join(jump, "low", "left").select("node", F.col("component").alias("was"), F.least("low", F.coalesce("jump", "low")).alias("component")), "labels")
-        if step.filter("component <> was").isEmpty():
-            return step.select("node", "component")
-        labels = step.select("node", "component")
+    """``node, component``: the least node of each connected component of ``a, b`` links.
+
+    Alternating stars: a large star moves a node's greater neighbours to its
+    least one, a small star joins its lesser neighbours to the least of them,
+    until every node hangs on its component's least. Minima are combined before
+    they are shuffled, and the edges of hubs meet theirs where they are
+    (``skew.join_hot``), so no task holds a hub's neighbours. Rounds are stored.
+    A link of a node to itself makes a component of one; nulls link nothing.
+    """
+    found = links.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = store(found, "links")
+    alone = edges.filter("u = v").select(F.col("u").alias("node"))
+    edges = edges.filter("u <> v")
+    mark = fingerprint(edges, "u", "v")
+    while mark[0]:
+        # large star: what is greater than v moves to the least around v
+        around = edges.select("v", F.col("u").alias("other"), F.lit(1).alias("up")).union(edges.select("u", "v", F.lit(0)))
+        least = store(around.groupBy("v").agg(F.least(F.min("other"), F.col("v")).alias("m"), F.sum("up").alias("n")).filter("n > 0"), "large-star")
+        large = store(join_hot(edges, least, "v", "n", mark[0]).select("u", F.col("m").alias("v")).distinct(), "large-stars")
+        # small star: what is less than u, and u, move to the least of them
+        total = large.count()
+        least = store(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small-star")
+        moved = join_hot(large, least, "u", "n", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = store(moved.union(least.select("u", "m")).distinct(), "small-stars")
+        before, mark = mark, fingerprint(edges, "u", "v")
+        if mark == before:
+            break
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return out.union(alone.join(out.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def siblings(lists: DataFrame) -> DataFrame:
@@ -136,6 +156,10 @@ def ancestor_tree(edges: DataFrame, start: str, limit: int = 20) -> DataFrame:
     return out
 
 
+#: Paths are counted in decimals: 38 digits hold those of 126 levels of two.
+COUNT = "decimal(38,0)"
+
+
 def _upwards(edges: DataFrame, targets: DataFrame, limit: int | None):
     """Levels of walks from each target to its roots: ``target, node, n, first_path``, one row per target, node and level.
 
@@ -144,11 +168,11 @@ def _upwards(edges: DataFrame, targets: DataFrame, limit: int | None):
     """
     step = store(edges.select("head", "tail").filter("head is not null and tail is not null").distinct(), "edges")
     most = limit if limit is not None else step.select("head").distinct().count() + 1
-    level = store(targets.select(F.col("node").alias("target"), "node", F.lit(1).cast("long").alias("n"), F.col("node").alias("first_path")).distinct(), "paths")
+    level = store(targets.select(F.col("node").alias("target"), "node", F.lit(1).cast(COUNT).alias("n"), F.col("node").alias("first_path")).distinct(), "paths")
     for _ in range(most):
         yield level, step
         up = level.join(step, F.col("head") == F.col("node")).groupBy("target", F.col("tail").alias("next"))
-        up = up.agg(F.sum("n").alias("n"), F.min("first_path").alias("first_path"))
+        up = up.agg(F.sum("n").cast(COUNT).alias("n"), F.min("first_path").alias("first_path"))
         level = store(up.select("target", F.col("next").alias("node"), "n", F.concat_ws("/", "next", "first_path").alias("first_path")), "paths")
         if level.isEmpty():
             return

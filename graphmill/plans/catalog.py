@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_build, catalog_files, catalog_graph, catalog_query, catalog_text
+from . import catalog_build, catalog_files, catalog_graph, catalog_query, catalog_stores, catalog_text
 
-MODULES = (catalog_query, catalog_graph, catalog_build, catalog_text, catalog_files)
+MODULES = (catalog_query, catalog_graph, catalog_build, catalog_text, catalog_files, catalog_stores)
 
 
 def queries() -> dict:

@@ -62,14 +62,16 @@ def ancestry_tree(spark, d):
 SELECT target, count(*) AS n_paths, min(path) AS first_path FROM up WHERE node NOT IN (SELECT head FROM edges) GROUP BY target""")
 def dag_paths(spark, d):
     """G11"""
-    return graph.path_counts(tg.edges(spark, d), tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")))
+    found = graph.path_counts(tg.edges(spark, d), tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")))
+    return found.withColumn("n_paths", F.col("n_paths").cast("long"))
 
 
 @query(f"""WITH RECURSIVE {tg.EDGES}, up(target, node) AS (SELECT 'p' || p_partkey, 'p' || p_partkey FROM part UNION SELECT u.target, e.tail FROM up u JOIN edges e ON e.head = u.node)
 SELECT u.target, e.tail AS parent, e.head AS child, CASE WHEN e.head IN (SELECT 'b:' || p_brand FROM part UNION SELECT 't:' || p_type FROM part) THEN 1 WHEN e.head = u.target THEN 1 END AS n_paths FROM up u JOIN edges e ON e.head = u.node""")
 def dag_tree(spark, d):
     """The tree pruned to what leads to a target"""
-    return graph.pruned_tree(tg.edges(spark, d), tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")))
+    found = graph.pruned_tree(tg.edges(spark, d), tg.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")))
+    return found.withColumn("n_paths", F.col("n_paths").cast("long"))
 
 
 @query(f"""{CLOSED}, seeds AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 3 = 0), scope AS (SELECT node FROM seeds UNION SELECT anc FROM closure WHERE node IN (SELECT node FROM seeds))
