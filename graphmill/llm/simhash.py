@@ -9,8 +9,10 @@ near copies costs rows in proportion to its size, and components are found by
 label propagation with pointer jumping over stored tables.
 
 Where a similarity is asked for (``similar_groups``), fingerprints only propose:
-within the components of a wide radius the exact similarity of shingle sets
-decides each link.
+within the components of a wide radius each link is decided on the five-word
+shingles themselves. Texts are near copies at a similarity of 0.8 or more: of
+their shingle sets (Jaccard), or, where at least half of these are shared, of
+their words, a word counting as shared when a shared shingle covers it.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from .common import checked, join_skewed, map_rows, stored
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Wide fingerprints: 256 bits over distinct five-word shingles. A shingle similarity of 0.8 makes 39 of them differ on
-#: average (standard deviation 5.7), one of 0.9 25, one of 0.7 49; unrelated texts differ in half.
+#: Wide fingerprints: 512 bits over distinct five-word shingles. They differ in an arc cosine of the cosine similarity: where
+#: half of all shingles are shared in 137 bits on average (standard deviation 10), in 187 where three tenths are, in 256 else.
 WIDE_WORDS = 5
-WIDE_RADIUS = 44
-WIDE_SEEDS = (1, 2)
-#: Texts are near copies when they share at least this part of their distinct five-word shingles (Jaccard).
+WIDE_BITS = 512
+WIDE_RADIUS = 88
+#: Texts are near copies when so much of their distinct five-word shingles is shared (Jaccard), or at least ``LEAST_SHARED``
+#: of these and so much of their words.
 LEAST_SHARE = 0.8
-#: Pairs up to this distance are compared exactly: over six standard deviations beyond the mean at ``LEAST_SHARE``, 4.5 for sets of four and five.
-CANDIDATE_RADIUS = 76
+LEAST_SHARED = 0.5
+#: Pairs up to this distance are compared exactly: 4.8 standard deviations beyond the mean at ``LEAST_SHARED``.
+CANDIDATE_RADIUS = 185
 #: Shingle sets compared at once in a task: so many, and so many bytes of them.
 SET_TILE, SET_BYTES = 1024, 2 << 20
 TILE = 8192
@@ -75,23 +79,32 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return int(_majority(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)).view("<u8")[0])
 
 
-def shingle_set(text: str | None, words: int = WIDE_WORDS) -> tuple[bytes, np.ndarray]:
-    """256 bits of SimHash and the ascending 64-bit hashes of the distinct shingles; texts without words have one empty shingle."""
-    from xxhash import xxh3_128_digest
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE_BITS`` pseudo-random bits of each hash, as rows of bytes."""
+    with np.errstate(over="ignore"):
+        x = hashes[:, None] + np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x.astype("<u8").view(np.uint8).reshape(len(hashes), -1)
+
+
+def shingle_list(text: str | None, words: int = WIDE_WORDS) -> tuple[bytes, np.ndarray]:
+    """``WIDE_BITS`` of SimHash and the 64-bit hashes of all shingles in order; texts without words have one empty shingle."""
+    from xxhash import xxh3_64_intdigest
 
-    shingles = list(dict.fromkeys(_shingles(text, words))) or [b""]
-    raw = b"".join(xxh3_128_digest(s, seed) for s in shingles for seed in WIDE_SEEDS)
-    rows = np.frombuffer(raw, np.uint8).reshape(len(shingles), -1)
-    return _majority(rows).tobytes(), np.unique(np.frombuffer(raw, "<u8")[:: rows.shape[1] // 8])
+    shingles = _shingles(text, words) or [b""]
+    hashes = np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+    return _majority(_spread(np.unique(hashes))).tobytes(), hashes
 
 
 def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
-    """256 bits of SimHash; texts without words share a value far from all others."""
-    return shingle_set(text, words)[0]
+    """``WIDE_BITS`` of SimHash; texts without words share a value far from all others."""
+    return shingle_list(text, words)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """``doc_id, fp, ones``: one row per document, ``fp`` as a signed long or, if ``wide``, 32 bytes. No shuffle."""
+    """``doc_id, fp, ones``: one row per document, ``fp`` as a signed long or, if ``wide``, 64 bytes. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -140,9 +153,13 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
         begin = at + 1 if b is None else 0
         if width == 1:
             near = differ(at, begin, 0) <= radius
-        else:  # one half of the bits differs in at most half of the radius, or the sum exceeds it
-            near = differ(at, begin, 0) + differ(at, begin, 1) <= radius // 2
-            near |= differ(at, begin, 2) + differ(at, begin, 3) <= radius // 2
+        else:  # one half of the bits differs in at most half of the radius, or the sum exceeds it (256 counts as 0 and is sorted out below)
+            near = False
+            for half in (range(width // 2), range(width // 2, width)):
+                apart = differ(at, begin, half[0])
+                for k in half[1:]:
+                    apart += differ(at, begin, k)
+                near |= apart <= radius // 2
         if near.any():
             i, j = np.nonzero(near)
             i, j = i + at, j + begin
@@ -167,7 +184,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, cell: int
     """
     spark = distinct.sparkSession
     kind = distinct.schema["fp"].dataType.simpleString()
-    width = 1 if kind == "bigint" else 4
+    width = 1 if kind == "bigint" else WIDE_BITS // 64
     counted = distinct.select("fp", F.floor(F.col("ones") / (4 * width if width > 1 else 1)).cast("int").alias("ones"))
     reach = radius if width == 1 else -(-radius // (4 * width))
     sizes = {r[0]: r[1] for r in counted.groupBy("ones").count().collect()}
@@ -234,29 +251,40 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, cell: int
     return met.mapInArrow(run, made)
 
 
+def _mark(df: DataFrame) -> tuple:
+    """Equal for equal sets of links: their number and sums over two hashes."""
+    return df.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``fp, root``: for each vertex of ``edges`` (``fp_a, fp_b``) the least vertex it can reach.
 
-    Each round takes the least label among neighbours, then jumps to the label's
-    label; tables are stored between rounds, so a lost executor costs one round.
+    Alternating stars: a large star moves a vertex's greater neighbours to its
+    least one, a small star joins its lesser neighbours to the least of them,
+    until every vertex hangs on the least of its component. Minima are combined
+    before they are shuffled, and the edges of hubs meet theirs where they are
+    (``join_skewed``). Tables are stored between rounds, so a lost executor costs
+    one round.
     """
-    edges = stored(edges.select("fp_a", "fp_b").union(edges.select("fp_b", "fp_a")).toDF("u", "v").distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.col("u")).alias("root")), "labels")
-    while True:
-        near = edges.join(labels, edges.v == labels.fp).groupBy("u").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels.fp == near.u, "left").select("fp", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
-        up = labels.select(F.col("fp").alias("low"), F.col("root").alias("jump"))
-        step = stored(lower.join(up, "low", "left").select("fp", F.least("low", F.coalesce("jump", "low")).alias("next"), "root"), "labels")
-        moved = step.filter("next <> root").limit(1).count()
-        labels = step.select("fp", F.col("next").alias("root"))
-        if not moved:
-            return labels
+    found = stored(edges.filter("fp_a <> fp_b").select(F.greatest("fp_a", "fp_b").alias("u"), F.least("fp_a", "fp_b").alias("v")).distinct(), "edges")
+    mark = _mark(found)
+    while mark[0]:
+        around = found.select("v", F.col("u").alias("other"), F.lit(1).alias("up")).union(found.select("u", "v", F.lit(0)))
+        least = stored(around.groupBy("v").agg(F.least(F.min("other"), F.col("v")).alias("m"), F.sum("up").alias("n")).filter("n > 0"), "large-star")
+        large = stored(join_skewed(found, least, "v", "n", mark[0], "inner").select("u", F.col("m").alias("v")).distinct(), "large-stars")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small-star")
+        moved = join_skewed(large, least, "u", "n", large.count(), "inner").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        found = stored(moved.union(least.select("u", "m")).distinct(), "small-stars")
+        before, mark = mark, _mark(found)
+        if mark == before:
+            break
+    return found.toDF("fp", "root").union(found.select("v", "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, wide: bool = False) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document.
 
-    ``fingerprint`` is lower-case hex digits, 16 or, if ``wide``, 64;
+    ``fingerprint`` is lower-case hex digits, 16 or, if ``wide``, 128;
     ``component_id`` the least ``doc_id`` reachable over links of at most
     ``radius`` differing bits. Null and empty texts have one fingerprint (zero,
     if not ``wide``) and link like any other. Repeated rows are kept; a null
@@ -275,38 +303,62 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, wide: bool = False) -
     return out.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def similar_links(one: list[dict], two: list[dict] | None, share: float, radius: int) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-    """Links (signature pairs) that connect what all pairs of similarity ``share`` within ``radius`` connect, and each member's group.
+def covered(shared: np.ndarray, words: int = WIDE_WORDS) -> int:
+    """Words that shared shingles cover; ``shared`` has a flag per shingle, in order."""
+    at = np.flatnonzero(shared)
+    return int(np.minimum(np.diff(at), words).sum()) + words if len(at) else 0
 
-    Members are ``sig, fp, shingles, part``: those of a list that have one
-    ``part`` are connected already. ``two`` None compares ``one`` with itself.
-    Pairs already connected are not compared again; a member meets the others in
-    growing blocks, whose shared shingles are counted at once.
+
+def similar_links(one: list[dict], two: list[dict] | None, share: float, shared_least: float, radius: int) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """Links (signature pairs) that connect what all near copies within ``radius`` connect, and each member's group.
+
+    Members are ``sig, fp, shingles, part``, the shingles in order: those of a
+    list that have one ``part`` are connected already. ``two`` None compares
+    ``one`` with itself. Pairs already connected are not compared again; a member
+    meets the others in growing blocks, whose shared shingles are counted at
+    once. What shares too little for ``share`` but ``shared_least`` is decided by
+    the words that shared shingles cover.
     """
     both = one + (two or [])
-    sizes = np.array([len(m["shingles"]) // 8 for m in both])
-    starts = np.cumsum(sizes) - sizes
+    lengths = np.array([len(m["shingles"]) // 8 for m in both])
+    ends_of = np.cumsum(lengths)
     _, code = np.unique(np.frombuffer(b"".join(m["shingles"] for m in both), np.uint64), return_inverse=True)
-    held = np.zeros(int(code.max()) + 1, bool)
+    text = lambda k: code[ends_of[k] - lengths[k] : ends_of[k]]
+    # distinct shingles of each member
+    kinds = np.unique(np.repeat(np.arange(len(both)), lengths).astype(np.int64) << 40 | code)
+    sizes = np.bincount(kinds >> 40, minlength=len(both))
+    starts, kinds = np.cumsum(sizes) - sizes, kinds & ((1 << 40) - 1)
+    held, other = np.zeros(int(code.max()) + 1, bool), np.zeros(int(code.max()) + 1, bool)
     fps = np.frombuffer(b"".join(m["fp"] for m in both), np.uint64).reshape(len(both), -1)
     root = np.array([m["part"] for m in one] + [m["part"] + len(one) for m in two or []])
     found = []
+
+    def alike(i: int, j: int, n: int) -> bool:
+        if n >= share * (sizes[i] + sizes[j] - n):
+            return True
+        theirs = kinds[starts[j] : starts[j] + sizes[j]]
+        other[theirs] = True
+        common = covered(held[text(j)]) + covered(other[text(i)])
+        other[theirs] = False
+        return common >= share * (lengths[i] + lengths[j] + 2 * (WIDE_WORDS - 1))
+
     for i in range(len(one)):
         begin = i + 1 if two is None else len(one)
         others = np.flatnonzero(root[begin:] != root[i]) + begin
-        others = others[np.minimum(sizes[i], sizes[others]) >= share * np.maximum(sizes[i], sizes[others])]
+        others = others[np.minimum(sizes[i], sizes[others]) >= shared_least * np.maximum(sizes[i], sizes[others])]
         others = others[np.bitwise_count(fps[i] ^ fps[others]).sum(1, dtype=np.int64) <= radius]
         if not len(others):
             continue
-        mine, block = code[starts[i] : starts[i] + sizes[i]], 1
+        mine, block = kinds[starts[i] : starts[i] + sizes[i]], 1
         held[mine] = True
         while len(others):
             some, others = others[:block], others[block:]
             ends = np.cumsum(sizes[some])
             at = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - sizes[some]), sizes[some])
-            shared = np.add.reduceat(held[code[at]], ends - sizes[some], dtype=np.int64)
-            for j in some[shared >= share * (sizes[i] + sizes[some] - shared)].tolist():
-                if root[i] != root[j]:
+            shared = np.add.reduceat(held[kinds[at]], ends - sizes[some], dtype=np.int64)
+            enough = shared >= shared_least * (sizes[i] + sizes[some] - shared)
+            for j, n in zip(some[enough].tolist(), shared[enough].tolist()):
+                if root[i] != root[j] and alike(i, j, n):
                     found.append((both[i]["sig"], both[j]["sig"]))
                     root[root == root[j]] = root[i]
             others, block = others[root[others] != root[i]], min(4 * block, 256)
@@ -320,13 +372,15 @@ def _signature(hashes: np.ndarray) -> bytes:
     return xxh3_128_digest(hashes.tobytes())
 
 
-def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CANDIDATE_RADIUS) -> DataFrame:
-    """``doc_id, sig, component_id, first_sig`` for every document: components of pairs whose shingle sets have a Jaccard similarity of at least ``share``.
+def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, shared_least: float = LEAST_SHARED, radius: int = CANDIDATE_RADIUS) -> DataFrame:
+    """``doc_id, sig, component_id, first_sig`` for every document: components of near copies.
 
-    Pairs within ``radius`` bits are candidates; each is decided by its exact
-    similarity, unless other pairs connect it already. Large candidate groups
+    A pair is one where at least ``share`` of the distinct five-word shingles is
+    shared (Jaccard), or at least ``shared_least`` of them and these cover
+    ``share`` of the words of both. Pairs within ``radius`` bits are candidates;
+    each is decided by its shingles, unless other pairs connect it already. Large candidate groups
     are cut into tiles; a tile finds its own groups first, then tiles meet
-    pairwise. ``sig`` stands for the shingle set; ``first_sig`` is the least
+    pairwise. ``sig`` stands for the shingles in their order; ``first_sig`` is the least
     ``sig`` that bears ``component_id`` in the component. Null, empty and
     repeated rows count as in ``near_duplicates``.
     """
@@ -335,7 +389,7 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CA
 
     def mark(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, text in rows:
-            fp, hashes = shingle_set(text)
+            fp, hashes = shingle_list(text)
             yield key, _signature(hashes), fp, int(np.bitwise_count(np.frombuffer(fp, np.uint8)).sum()), len(hashes)
 
     marked = stored(map_rows(source, mark, f"doc_id {kind}, sig binary, fp binary, ones int, size int", rows=4096), "marked")
@@ -348,7 +402,7 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CA
 
     def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in rows:
-            fp, hashes = shingle_set(text)
+            fp, hashes = shingle_list(text)
             yield _signature(hashes), fp, hashes.tobytes()
 
     some = source.join(loose.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(source.filter("doc_id is null"))
@@ -362,7 +416,7 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CA
         for root, parts, tile, members in rows:
             for k, m in enumerate(members):
                 m["part"] = k
-            _, groups = similar_links(members, None, share, radius)
+            _, groups = similar_links(members, None, share, shared_least, radius)
             for m, g in zip(members, groups.tolist()):
                 m["part"] = g
             star = [{"fp_a": m["sig"], "fp_b": members[g]["sig"]} for m, g in zip(members, groups.tolist()) if m is not members[g]]
@@ -377,7 +431,7 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CA
 
         def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
             for one, two in rows:
-                yield from similar_links(one, two, share, radius)[0]
+                yield from similar_links(one, two, share, shared_least, radius)[0]
 
         # members of one-tile groups know their group; only the groups of larger ones still have to meet
         across = stored(map_rows(met, compare, "fp_a binary, fp_b binary", rows=65536), "across")
@@ -396,8 +450,8 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, radius: int = CA
 def keep_first(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
     """The documents that stay: of each component one row, that with the least ``doc_id``, all columns unchanged.
 
-    Components link texts that share at least ``share`` of their distinct
-    five-word shingles, see ``similar_groups``; null and empty texts are alike. A
+    Components link near copies, see ``similar_groups``; null and empty texts are
+    alike. A
     row without an id stays only where no row of its component has one. Rows that
     share an id are told apart by their shingles: unrelated texts under one id all
     stay; of rows equal in id and shingles the one with the least text stays, and
@@ -416,7 +470,7 @@ def keep_first(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
 
     @F.pandas_udf("binary")
     def signature(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _signature(shingle_set(t)[1]))
+        return texts.map(lambda t: _signature(shingle_list(t)[1]))
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = twice.select(row.alias("r"), signature("text").alias("s"))

@@ -307,14 +307,18 @@ def test_keep_first_finds_near_copies(spark):
     assert sorted(group[i] for i in kept if i < len(group)) == list(range(40)) and len(kept) == 41
 
 
-def jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / len(a | b)
+def near_copies(a, b):
+    """By the definition, word by word: (Jaccard of five-word shingles, share of words that shared shingles cover)."""
+    texts = [x.lower().split() for x in (a, b)]
+    lists = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in texts]
+    both = set(lists[0]) & set(lists[1])
+    words = sum(len({i + k for i, x in enumerate(xs) if x in both for k in range(5)}) for xs in lists)
+    return len(both) / len(set(lists[0]) | set(lists[1])), words / sum(len(xs) + 4 for xs in lists)
 
 
 @pytest.mark.parametrize("tile", [1024, 3])
-def test_keep_first_cuts_at_four_fifths(spark, monkeypatch, tile):
-    """Components of exact five-word similarity equal brute force on both sides of 0.8, chains, repeated lines and short texts included."""
+def test_keep_first_equals_brute_force(spark, monkeypatch, tile):
+    """Near copies by their definition, on both sides of its cuts: replaced runs, scattered words, chains, repeated lines and short texts."""
     monkeypatch.setattr(simhash, "SET_TILE", tile)
     rng = random.Random(41)
     words = [f"w{k}" for k in range(5000)]
@@ -323,21 +327,64 @@ def test_keep_first_cuts_at_four_fifths(spark, monkeypatch, tile):
         base = [rng.choice(words) for _ in range(9 if g % 6 == 0 else 120)]
         texts.append(" ".join(base))
         for _ in range(3):
-            n = rng.randint(6, 40) if len(base) > 9 else 1  # similarity 0.6 to 0.95
+            n = rng.randint(6, 40) if len(base) > 9 else 1
             at = len(base) - n if g % 2 else rng.randrange(len(base) - n)
             texts.append(" ".join(base[:at] + [rng.choice(words) for _ in range(n)] + base[at + n :]))
-        texts.append(" ".join(base + base[:20] * 30))
-    share = np.array([[g // 5 == k // 5 and jaccard(texts[g], texts[k]) for k in range(len(texts))] for g in range(len(texts))], float)
-    pairs = share[np.triu_indices(len(texts), 1)]
-    assert ((pairs >= 0.8) & (pairs < 0.83)).sum() > 15 and ((pairs < 0.8) & (pairs > 0.77)).sum() > 15
+        scattered = [rng.choice(words) if rng.random() < rng.choice([0.03, 0.06, 0.09]) else w for w in base]
+        texts += [" ".join(base + base[:20] * 30), " ".join(scattered)]
+    pairs = {(g, k): near_copies(texts[g], texts[k]) for g in range(len(texts)) for k in range(g + 1, len(texts)) if g // 6 == k // 6}
+    link = {p for p, (j, c) in pairs.items() if j >= 0.8 or (j >= 0.5 and c >= 0.8)}
+    count = lambda f: sum(map(f, pairs.values()))
+    assert count(lambda x: 0.5 <= x[0] < 0.8 and 0.8 <= x[1] < 0.85) > 15 and count(lambda x: 0.5 <= x[0] < 0.8 and 0.75 < x[1] < 0.8) > 15
+    assert count(lambda x: 0.5 <= x[0] < 0.55 and x[1] >= 0.8) > 5 and count(lambda x: 0.45 < x[0] < 0.5 and x[1] >= 0.8) > 5
     label = list(range(len(texts)))
-    for _ in range(5):
-        label = [min(label[j] for j in np.flatnonzero(share[i] >= 0.8)) for i in range(len(texts))]
+    for _ in range(6):
+        for g, k in link:
+            label[g] = label[k] = min(label[g], label[k])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(label))
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(label)
 
 
+def test_candidate_radius_on_sets_of_any_size():
+    """Of pairs that share just half of their shingles, those beyond the candidate radius: none of 2,000 for each size of set."""
+    rng = np.random.default_rng(17)
+    far = {}
+    for size in (2, 3, 4, 5, 6, 8, 10, 20, 100):
+        for lengths in {(size, size), (size, max(1, size // 2))}:
+            shared = -(-sum(lengths) // 3)  # shared / (sum - shared) >= 1/2
+            if shared > min(lengths):
+                continue
+            for _ in range(2000):
+                common = rng.integers(0, 2**63, shared, dtype=np.uint64)
+                one, two = (np.concatenate([common, rng.integers(0, 2**63, n - shared, dtype=np.uint64)]) for n in lengths)
+                a, b = (simhash._majority(simhash._spread(x)) for x in (one, two))
+                d = int(np.bitwise_count(a ^ b).sum())
+                far[lengths] = max(far.get(lengths, 0), d)
+    assert max(far.values()) <= simhash.CANDIDATE_RADIUS, far
+
+
+def test_near_copies_of_documents_are_found(spark):
+    """Against an inverted index of shingles over all documents at the larger test size: copies found, nothing else linked."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    lists = {i: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    sets, index, shared = {i: set(x) for i, x in lists.items()}, defaultdict(list), Counter()
+    for i, x in sets.items():
+        for h in x:
+            index[h].append(i)
+    for ids in index.values():
+        shared.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    share = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items()}
+    near = [p for p, j in share.items() if j >= 0.4]  # hardly any pair lies between 0.25 and 0.45
+    linked = [p for p in near if found[p[0]] == found[p[1]]]
+    assert len(near) > 150 and len(linked) >= 0.95 * len(near)
+    assert not any(found[a] == found[b] for (a, b), j in share.items() if j < 0.3)
+
+
 def test_simhash_reference_bits():
     import xxhash
 
@@ -549,7 +596,7 @@ def test_rows_without_unique_ids_are_judged_by_their_texts(spark):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     a, b, c, item = text(60), text(60), text(60), text(30)
     near = a.rsplit(" ", 1)[0] + " end"
-    rows = [(1, a), (1, b), (None, near), (None, c), (None, c + "  "), (2, None), (None, ""), (3, f"{b[:40]} {item}"), (None, f"{c[:40]} {item}"), (3, text(50)), (1, a)]
+    rows = [(1, a), (1, b), (None, near), (None, c), (None, c + "  "), (2, None), (None, ""), (3, f"{b[:100]} {item}"), (None, f"{c[:100]} {item}"), (3, text(50)), (1, a)]
     docs = spark.createDataFrame([(*r, 1, "x", b"y") for r in rows], "doc_id long, text string, sig int, `__key` string, r binary")
     out = simhash.keep_first(docs)
     assert out.columns == docs.columns
