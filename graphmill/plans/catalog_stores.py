@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import reach, search, sentences
-from ..sources import versions
+from ..operators import curves, ledger, pages, reach, releases, search, select, sentences
+from ..sources import keyfilter, versions
 from ..storage import work_path
 from . import catalog_query as cq
 from . import composition as comp
@@ -141,3 +142,132 @@ def reach_labels(spark, d):
     me, seller = F.concat(F.lit("p"), "l_partkey").alias("node"), F.concat(F.lit("s"), "l_suppkey").alias("node")
     asked = named.select(me, F.concat(F.lit("b:"), "p_brand").alias("anc")).union(named.select(me, F.concat(F.lit("t:"), "p_type"))).union(li.select(me, F.lit("chem"))).union(li.select(seller, F.concat(F.lit("r"), (F.col("l_linenumber") % 5).cast("string")))).union(part.select(F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("t:"), "p_type")))
     return reach.is_below(asked, e, reach.reach_labels(e))
+
+
+@query("""WITH x AS (SELECT 'flag ' || l_returnflag || l_linestatus AS key, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'part ' || l_partkey, l_extendedprice FROM lineitem UNION ALL SELECT 'all', CASE WHEN l_linenumber < 7 THEN l_discount END FROM lineitem)
+SELECT key, median(v) AS median FROM x GROUP BY key""")
+def group_medians(spark, d):
+    """Exact medians of large and small groups together, the large ones by selection"""
+    li = tg.table(spark, d, "lineitem")
+    flag = li.select(F.concat(F.lit("flag "), "l_returnflag", "l_linestatus").alias("key"), F.col("l_extendedprice").alias("v"))
+    rows = flag.union(li.select(F.concat(F.lit("part "), "l_partkey"), "l_extendedprice")).union(li.select(F.lit("all"), F.when(F.col("l_linenumber") < 7, F.col("l_discount"))))
+    return select.group_medians(rows, ["key"], "v", 2000)
+
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank, count(*) OVER () AS total, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)
+SELECT rank, l_orderkey, l_linenumber, l_extendedprice FROM r WHERE (rank - 1) // 10 IN (0, total // 20 - 1, (total - 1) // 10)""")
+def deep_pages(spark, d):
+    """The first, the middle and the last page of ten, each from the parts that hold it"""
+    li, root = tg.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), work_path(spark, "pages")
+    pages.build_order(li, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], root, 5000)
+    held = pages.Order(spark, root, li.schema)
+    wanted = sorted({1, held.total // 20, (held.total - 1) // 10 + 1})
+    out = None
+    for number in wanted:
+        x = held.page(number, 10).select("rank", "l_orderkey", "l_linenumber", "l_extendedprice")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("""WITH new AS (SELECT p_partkey, CASE WHEN p_size = 3 THEN p_retailprice + 1 ELSE p_retailprice END AS price, p_name FROM part WHERE p_size <> 7 UNION ALL SELECT 1000000000 + s_suppkey, s_acctbal, s_name FROM supplier)
+SELECT coalesce(o.p_partkey, n.p_partkey) AS id, CASE WHEN o.p_partkey IS NULL THEN 'new' WHEN n.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM part o FULL JOIN new n ON o.p_partkey = n.p_partkey WHERE o.p_partkey IS NULL OR n.p_partkey IS NULL OR o.p_retailprice <> n.price""")
+def release_digests(spark, d):
+    """New, removed and changed rows of two releases, read from the buckets whose digests differ"""
+    root, part, s = work_path(spark, "digests"), tg.table(spark, d, "part"), tg.table(spark, d, "supplier")
+    old = part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_name").alias("name"))
+    new = part.filter("p_size <> 7").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 3, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")).alias("price"), F.col("p_name").alias("name"))
+    new = new.union(s.select(F.col("s_suppkey") + 1000000000, "s_acctbal", "s_name"))
+    one, two = releases.write_release(old, ["id"], root, 256, "old"), releases.write_release(new, ["id"], root, 256, "new")
+    return releases.diff_releases(spark, root, ["id"], "id long, price double, name string", one, two)
+
+
+WORDS_SQL = """labelled AS (SELECT d.doc_id, quality AS label, ('0x' || substr(md5(text), 1, 8))::BIGINT % 4 AS fold, text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE text IS NOT NULL),
+words AS (SELECT doc_id, label, fold, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS word FROM labelled),
+counts AS (SELECT word, fold, sum(label) AS pos, sum(1 - label) AS neg FROM words GROUP BY ALL), sums AS (SELECT word, sum(pos) AS tp, sum(neg) AS tn FROM counts GROUP BY word),
+folds AS (SELECT fold, sum(label) AS pos, sum(1 - label) AS neg FROM labelled GROUP BY fold), total AS (SELECT sum(pos) AS p, sum(neg) AS n FROM folds)"""
+
+
+def _labelled(spark, d):
+    docs, labels = tg.table(spark, d, "documents").select("doc_id", "text"), tg.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return docs.filter("text is not null").join(labels, "doc_id").withColumn("fold", curves.fold_of(F.col("text"), 4))
+
+
+@query(f"""WITH {WORDS_SQL}, around AS (SELECT fold, p - pos AS p, n - neg AS n FROM folds, total),
+weights AS (SELECT word, a.fold, ln((tp - coalesce(pos, 0) + 1) / (p + 2)) - ln((tn - coalesce(neg, 0) + 1) / (n + 2)) AS weight FROM sums JOIN around a ON true LEFT JOIN counts c USING (word, fold)
+  WHERE tp - coalesce(pos, 0) + tn - coalesce(neg, 0) >= 5),
+scored AS (SELECT l.doc_id, any_value(label) AS label, round(any_value(ln(p + 1) - ln(n + 1)) + coalesce(8 * avg(weight), 0), 9) AS score FROM labelled l JOIN around a ON l.fold = a.fold
+  LEFT JOIN (SELECT doc_id, weight FROM words w JOIN weights USING (word, fold)) k ON l.doc_id = k.doc_id GROUP BY l.doc_id),
+t AS (SELECT score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM scored GROUP BY score),
+u AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS positives, sum(neg) OVER () AS negatives FROM t WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(neg * (tp - pos / 2)) / max(positives * negatives), 9) AS auc, round(sum(pos * tp / (tp + fp)) / max(positives), 9) AS average_precision, round(max(2 * tp / (tp + fp + positives)), 9) AS best_f1,
+  max(positives + negatives)::BIGINT AS n, max(positives)::BIGINT AS positives FROM u""")
+def classifier_curve(spark, d):
+    """Measures over all thresholds of the quality classifier, each document scored by the folds that hold no copy of it"""
+    rows = _labelled(spark, d)
+    weights, priors = curves.word_weights(*curves.word_counts(rows), 5, True)
+    scored = curves.bayes_scores(rows, "doc_id", weights, priors).withColumn("score", F.round("score", 9)).join(rows.select("doc_id", "label"), "doc_id")
+    found = curves.score_curve(scored)
+    return found.select(*(F.round(c, 9).alias(c) for c in ("auc", "average_precision", "best_f1")), "n", "positives")
+
+
+BAYES_SQL = f"""{WORDS_SQL}, weights AS (SELECT word, ln((tp + 1) / (p + 2)) - ln((tn + 1) / (n + 2)) AS weight FROM sums, total WHERE tp + tn >= 5),
+known AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))) AS word FROM documents)
+SELECT d.doc_id AS doc, round(any_value(ln(p + 1) - ln(n + 1)) + coalesce(8 * avg(weight), 0), 6) AS score
+FROM documents d JOIN total ON true LEFT JOIN (SELECT doc_id, weight FROM known JOIN weights USING (word)) k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
+
+@query(f"WITH {BAYES_SQL}")
+def bayes_scores(spark, d):
+    """Every document scored by a model of word odds trained on the labels"""
+    weights, priors = curves.word_weights(*curves.word_counts(_labelled(spark, d)), 5, False)
+    docs = tg.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.lit(-1).alias("fold"))
+    return curves.bayes_scores(docs, "doc", weights, priors).withColumn("score", F.round("score", 6))
+
+
+#: Words of a model that is sent to every task; a larger one is joined instead (``curves.bayes_scores``).
+MODEL_WORDS = 500_000
+
+
+@query(f"WITH {BAYES_SQL}")
+def resumable_scores(spark, d):
+    """The same model run over batches of chunks, stopped after one wave and taken up again"""
+    weights, priors = curves.word_weights(*curves.word_counts(_labelled(spark, d)), 5, False)
+    docs = tg.table(spark, d, "documents").select("doc_id", "text")
+    if weights.count() > MODEL_WORDS:
+        raise ValueError("the model has too many words to be sent to every task; join it by bayes_scores")
+    odds, prior = {r.word: r.weight for r in weights.collect()}, priors.first().prior
+    held = spark.sparkContext.broadcast(odds)
+
+    def load():
+        import pandas as pd
+        import regex
+
+        other, table = regex.compile(r"[^\p{L}\p{N}]+"), held.value
+
+        def score(text: str | None) -> float:
+            known = [table[w] for w in set(other.split((text or "").lower())) if w in table]
+            return round(prior + (8 * sum(known) / len(known) if known else 0.0), 6)
+
+        return lambda batch: pd.DataFrame({"doc": batch["doc_id"], "score": batch["text"].map(score).astype(float)})
+
+    root, schema = work_path(spark, "ledger"), "doc long, score double"
+    ledger.score_resumably(docs, "doc_id", root, schema, load, waves=1)
+    ledger.score_resumably(docs, "doc_id", root, schema, load)
+    return ledger.read_scores(spark, root, schema)
+
+
+@query("""WITH asked AS (SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 2)
+SELECT 'CHEBI:' || l_orderkey AS target, l_partkey::VARCHAR AS cid, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM asked) GROUP BY ALL""")
+def key_filter(spark, d):
+    """Rows of a few keys from a large map of many files, those without them spared by the filter beside them"""
+    path = work_path(spark, "map")
+    li = tg.table(spark, d, "lineitem").select(F.concat(F.lit("CHEBI:"), "l_orderkey").alias("target"), F.col("l_partkey").cast("string").alias("cid"))
+    li.repartition(32, "target").write.option("sep", "\t").csv(f"{path}/map")
+    schema = "target string, cid string"
+    keyfilter.build_filter(spark.read.schema(schema).option("sep", "\t").csv(f"{path}/map"), "target", f"{path}/filter")
+    best = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    asked = tg.table(spark, d, "orders").withColumn("k", F.row_number().over(best)).filter("k <= 2").select(F.concat(F.lit("CHEBI:"), "o_orderkey").alias("target"))
+    files = keyfilter.candidate_files(spark, f"{path}/filter", asked, "target")
+    rows = spark.read.schema(schema).option("sep", "\t").csv(files)
+    return rows.join(asked, "target", "left_semi").groupBy("target", "cid").agg(F.count(F.lit(1)).alias("n"))
