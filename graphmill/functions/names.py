@@ -2,47 +2,51 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of which every Greek form in Unicode is spelled out; of the others only the small letter.
-EVERY_FORM = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "omega")
-# fixed values: look-alikes outside the Greek blocks, other small letters, punctuation
-LOOKALIKES = {"ɑ": "alpha", "⍺": "alpha", "ß": "beta", "ꞵ": "beta", "ɣ": "gamma", "∆": "delta", "ɛ": "epsilon", "∑": "sigma"}
-SMALL = {"κ": "kappa", "λ": "lambda", "ι": "iota", "σ": "sigma", "τ": "tao", "μ": "mu", "ν": "nu", "ξ": "xi", "ο": "omicron", "π": "pi", "ρ": "rho", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi"}
-PUNCTUATION = {"": "­  ", "-": "‐‑‒–—−", '"': "“”″", "'": "‘’′ʹˋ", "->": "→"}
-GREEK_BLOCKS = ((0x370, 0x3FF), (0x1D26, 0x1D6A), (0x1DBF, 0x1DBF), (0x1F00, 0x1FFF), (0x2126, 0x2126), (0x213C, 0x213F), (0xAB65, 0xAB65), (0x1D6A8, 0x1D7CB))
-
-
-@cache
-def greek_forms() -> dict[str, str]:
-    """Character to English letter name, from the characters' Unicode names."""
-    out = dict(LOOKALIKES) | SMALL
-    for low, high in GREEK_BLOCKS:
-        for code in range(low, high + 1):
-            words = set(unicodedata.name(chr(code), "").lower().replace("ohm", "omega").split())
-            found = [n for n in EVERY_FORM if n in words]
-            if len(found) == 1 and words & {"letter", "capital", "small", "symbol", "sign"}:
-                out[chr(code)] = found[0]
-    return out
+# fixed values: forms of Greek letters by their English names
+GREEK = {
+    "alpha": "α𝛂𝛼𝜶𝝰𝞪Α𝚨𝛢𝜜𝝖𝞐ἀἈἄἌᾄᾌἂἊᾂᾊἆἎᾆᾎᾀᾈἁἉἅἍᾅᾍἃἋᾃᾋἇἏᾇᾏᾁᾉάάΆΆᾴὰᾺᾲᾰᾸᾶᾷᾱᾹᾳᾼ⍺ɑ",
+    "beta": "βϐ𝛃𝛽𝜷𝝱𝞫Β𝚩𝛣𝜝𝝗𝞑ᵝᵦßꞵ",
+    "gamma": "γℽ𝛄𝛾𝜸𝝲𝞬Γℾ𝚪𝛤𝜞𝝘𝞒ᵞᵧᴦɣ",
+    "delta": "δ𝛅𝛿𝜹𝝳𝞭Δ𝚫𝛥𝜟𝝙𝞓ᵟ∆",
+    "epsilon": "εϵ𝛆𝛜𝜀𝜖𝜺𝝐𝝴𝞊𝞮𝟄Ε𝚬𝛦𝜠𝝚𝞔ἐἘἔἜἒἚἑἙἕἝἓἛέέΈΈὲῈɛ",
+    "zeta": "ζ𝛇𝜁𝜻𝝵𝞯Ζ𝚭𝛧𝜡𝝛𝞕",
+    "eta": "η𝛈𝜂𝜼𝝶𝞰Η𝚮𝛨𝜢𝝜𝞖ἠἨἤἬᾔᾜἢἪᾒᾚἦἮᾖᾞᾐᾘἡἩἥἭᾕᾝἣἫᾓᾛἧἯᾗᾟᾑᾙήήΉΉῄὴῊῂῆῇῃῌ",
+    "theta": "θϑ𝛉𝛝𝜃𝜗𝜽𝝑𝝷𝞋𝞱𝟅Θϴ𝚯𝚹𝛩𝛳𝜣𝜭𝝝𝝧𝞗𝞡ᶿ",
+    "omega": "ω𝛚𝜔𝝎𝞈𝟂ΩΩꭥ𝛀𝛺𝜴𝝮𝞨ὠὨὤὬᾤᾬὢὪᾢᾪὦὮᾦᾮᾠᾨὡὩὥὭᾥᾭὣὫᾣᾫὧὯᾧᾯᾡᾩώώΏΏῴὼῺῲῶῷῳῼꭥ",
+    "kappa": "κ",
+    "lambda": "λ",
+    "iota": "ι",
+    "sigma": "∑σ",
+    "tao": "τ",
+    "mu": "μ",
+    "nu": "ν",
+    "xi": "ξ",
+    "omicron": "ο",
+    "pi": "π",
+    "rho": "ρ",
+    "upsilon": "υ",
+    "phi": "φ",
+    "chi": "χ",
+    "psi": "ψ",
+}
+# fixed values: punctuation in ASCII: none, dashes, double quotes, single quotes, arrow
+PUNCTUATION = {"": "\u00ad\u00a0\u2009", "-": "\u2010\u2212\u2013\u2011\u2014\u2012", '"': "\u201c\u201d\u2033", "'": "\u2018\u2019\u2032\u02b9\u02cb", "->": "\u2192"}
 
 
 def standardize_name(name: Column) -> Column:
     """Greek letters in words, punctuation in ASCII, trimmed, lower case."""
-    groups: dict[str, str] = {}
-    for ch, word in greek_forms().items():
-        groups[word] = groups.get(word, "") + ch
-    # each letter's forms fold to its small letter, which one replacement then spells out
-    small = {w: next((c for c in chars if c in "αβγδεζηθω"), chars[0]) for w, chars in groups.items()}
-    folds = [(c, small[w]) for w, chars in groups.items() for c in chars if c != small[w]]
+    # a letter's forms become the first of them, which one replacement then spells out
+    folds = [(c, forms[0]) for forms in GREEK.values() for c in forms[1:]]
     single = [(c, to) for to, chars in PUNCTUATION.items() if len(to) == 1 for c in chars]
     out = F.translate(name, "".join(c for c, _ in folds + single), "".join(t for _, t in folds + single))
     out = F.translate(out, PUNCTUATION[""], "")
     out = F.replace(out, F.lit(PUNCTUATION["->"]), F.lit("->"))
-    out = reduce(lambda c, w: F.replace(c, F.lit(small[w]), F.lit(w)), groups, out)
+    out = reduce(lambda c, word: F.replace(c, F.lit(GREEK[word][0]), F.lit(word)), GREEK, out)
     return F.lower(F.trim(out))
 
 

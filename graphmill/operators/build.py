@@ -6,6 +6,7 @@ order, and collected arrays are sorted.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,11 +29,12 @@ def explode_ids(entities: DataFrame, key: str) -> DataFrame:
     return flat.groupBy("native_id").agg(F.array_sort(F.collect_set("entity_id")).alias("candidates")).withColumn("entity_id", F.explode("candidates"))
 
 
-def resolve_edges(edges: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFrame:
-    """Edges with both ends resolved: ``head_id, tail_id, head_candidates, tail_candidates`` and the edge's columns."""
+def resolve_edges(edges: DataFrame, heads: DataFrame, tails: DataFrame, loops: bool = False) -> DataFrame:
+    """Edges with both ends resolved: ``head_id, tail_id, head_candidates, tail_candidates`` and the edge's columns; edges within one entity go unless ``loops``."""
     h = heads.select(F.col("native_id").alias("head_native_id"), F.col("entity_id").alias("head_id"), F.col("candidates").alias("head_candidates"))
     t = tails.select(F.col("native_id").alias("tail_native_id"), F.col("entity_id").alias("tail_id"), F.col("candidates").alias("tail_candidates"))
-    return edges.join(h, "head_native_id").join(t, "tail_native_id").filter("head_id <> tail_id")
+    found = edges.join(h, "head_native_id").join(t, "tail_native_id")
+    return found if loops else found.filter("head_id <> tail_id")
 
 
 def attest(resolved: DataFrame, source: str, reference: Column, relation: Column, value: Column | None = None, unit: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -231,9 +233,9 @@ def link_with_overrides(xrefs: DataFrame, overrides: DataFrame, multi: DataFrame
     return xrefs.join(o, "native_id", "left").join(m, "native_id", "left").select("native_id", F.coalesce("__m", "__o", "target").alias("target")).distinct()
 
 
-def unlinked(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """Nodes whose ``native_id`` no link names."""
-    return nodes.join(linked.select("native_id").distinct(), "native_id", "left_anti")
+def unlinked(nodes: DataFrame, linked: DataFrame, keys: tuple[str, ...] = ("native_id",)) -> DataFrame:
+    """Nodes whose ``keys`` no link names."""
+    return nodes.join(linked.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def disambiguate(nodes: DataFrame, taken: DataFrame, preference: list[str]) -> DataFrame:
@@ -340,10 +342,31 @@ def enrich_seeded(registry: DataFrame, molecules: DataFrame, source: str, entiti
     return found.select("entity_id", F.lit(source).alias("key"), F.col("native_id").alias("value")).distinct(), names
 
 
-def ontology_triplets(edges: DataFrame, entities: DataFrame, source: str, kinds: tuple[str, ...] = ("is_a",)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(evidence, attestations, triplets) of one ontology's is_a edges, both ends found by its native ids; one evidence per source."""
-    ids = explode_ids(entities, source)
-    rows = resolve_edges(edges.filter(F.col("edge_type").isin(*kinds)), ids, ids)
+@dataclass(frozen=True)
+class Ontology:
+    """How one ontology's is_a edges become triplets: the id map key of both ends, whether ids are numbers, whether edges within one entity stay."""
+
+    key: str
+    numeric: bool = False
+    loops: bool = True
+
+
+# fixed values: the ontologies that bring is_a edges
+ONTOLOGIES = {"foodon": Ontology("foodon"), "chebi": Ontology("chebi", numeric=True), "cdno": Ontology("cdno", loops=False), "ctd": Ontology("ctd")}
+
+
+def ontology_triplets(edges: DataFrame, entities: DataFrame, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evidence, attestations, triplets) of one ontology's is_a edges, both ends found by its native ids; one evidence per source.
+
+    Numeric ids are read as numbers, so leading zeros do not matter; what is no
+    number is compared as it stands. An id that several entities bear gives a
+    triplet for each. Edges of other types are left out.
+    """
+    rule = ONTOLOGIES[source]
+    ids = explode_ids(entities, rule.key)
+    plain = lambda c: F.coalesce(F.col(c).try_cast("bigint").cast("string"), F.col(c)) if rule.numeric else F.col(c)
+    isa = edges.filter("edge_type = 'is_a'").withColumns({c: plain(c) for c in ("head_native_id", "tail_native_id")})
+    rows = resolve_edges(isa, ids, ids, rule.loops)
     return attest(rows, source, F.to_json(F.struct(F.lit(source).alias("source"), F.col("edge_type"))), F.lit("r2"))
 
 

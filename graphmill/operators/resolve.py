@@ -45,16 +45,17 @@ def resolve_all(primary: DataFrame, linked: DataFrame, secondary: DataFrame, reg
     """(entities, registry, lookup table): primary records, links of secondary ones, new entities for the rest.
 
     ``primary`` and ``secondary`` have ``source, native_id, entity_type,
-    common_name, synonyms``; ``linked`` maps secondary native ids to primary ones.
+    common_name, synonyms``; ``linked`` maps secondary ids (``source, native_id``) to ``primary_id``, so
+    equal native ids of two sources keep links of their own.
     """
     from .build import register, register_alias
 
     one = register(registry, primary, ["source", "native_id"])
     reg = register_alias(registry, one.select("source", "native_id", "entity_id"))
     by_primary = linked.join(one.select(F.col("native_id").alias("primary_id"), "entity_id"), "primary_id")
-    alias = secondary.join(by_primary, "native_id").select("source", "native_id", "entity_id")
+    alias = secondary.join(by_primary, ["source", "native_id"]).select("source", "native_id", "entity_id")
     reg = register_alias(reg, alias)
-    rest = unlinked(secondary, alias).join(reg, ["source", "native_id"], "left_anti")
+    rest = unlinked(secondary, alias, ("source", "native_id")).join(reg, ["source", "native_id"], "left_anti")
     new = assign_ids(rest, ["source", "native_id"], highest_id(reg))
     reg = register_alias(reg, new.select("source", "native_id", "entity_id"))
     entities = one.select("entity_id", "entity_type", "common_name", "synonyms").unionByName(new.select("entity_id", "entity_type", "common_name", "synonyms")).dropDuplicates(["entity_id"])

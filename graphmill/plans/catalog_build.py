@@ -484,10 +484,11 @@ def pubchem_links(spark, d):
 
 @query("""WITH p AS (SELECT 'chebi' AS source, lpad(p_partkey::VARCHAR, 9, '0') AS native_id, 'chemical' AS entity_type, p_name AS common_name FROM part),
 n AS (SELECT source, native_id, entity_type, common_name, row_number() OVER (ORDER BY native_id) - 1 AS k FROM p), top AS (SELECT max(k) AS m FROM n),
-s AS (SELECT lpad(s_suppkey::VARCHAR, 9, '0') AS native_id, s_name, CASE WHEN s_nationkey % 2 = 0 THEN lpad((1 + s_suppkey % 7)::VARCHAR, 9, '0') END AS target FROM supplier),
-e AS (SELECT 'e' || k AS entity_id, entity_type, common_name FROM n UNION ALL SELECT 'e' || (m + row_number() OVER (ORDER BY native_id)), 'chemical', s_name FROM s, top WHERE target IS NULL)
+s AS (SELECT 'dmd' AS source, lpad(s_suppkey::VARCHAR, 9, '0') AS native_id, s_name, CASE WHEN s_nationkey % 2 = 0 THEN lpad((1 + s_suppkey % 7)::VARCHAR, 9, '0') END AS target FROM supplier
+  UNION ALL SELECT 'fdc', lpad(n_nationkey::VARCHAR, 9, '0'), n_name, CASE WHEN n_regionkey = 2 THEN lpad((3 + n_nationkey)::VARCHAR, 9, '0') END FROM nation),
+e AS (SELECT 'e' || k AS entity_id, entity_type, common_name FROM n UNION ALL SELECT 'e' || (m + row_number() OVER (ORDER BY source, native_id)), 'chemical', s_name FROM s, top WHERE target IS NULL)
 SELECT 'entity' AS kind, entity_id AS a, entity_type AS b, common_name AS c, 1 AS n FROM e
-UNION ALL SELECT 'alias', s.native_id, 'dmd', 'e' || n.k, 1 FROM s JOIN n ON s.target = n.native_id
+UNION ALL SELECT 'alias', s.native_id, s.source, 'e' || n.k, 1 FROM s JOIN n ON s.target = n.native_id
 UNION ALL SELECT 'name', lower(common_name), entity_type, '', count(*) FROM e GROUP BY lower(common_name), entity_type""")
 def three_pass_resolution(spark, d):
     """Primary entities, links of secondary records, new entities for the rest, and the name lookup of all"""
@@ -496,10 +497,13 @@ def three_pass_resolution(spark, d):
     key = lambda c: F.lpad(_cast(c), 9, "0")
     primary = p.select(F.lit("chebi").alias("source"), key("p_partkey").alias("native_id"), F.lit("chemical").alias("entity_type"), F.col("p_name").alias("common_name"), none)
     second = s.select(F.lit("dmd").alias("source"), key("s_suppkey").alias("native_id"), F.lit("chemical").alias("entity_type"), F.col("s_name").alias("common_name"), none)
-    linked = s.filter("s_nationkey % 2 = 0").select(key("s_suppkey").alias("native_id"), F.lpad((1 + F.col("s_suppkey") % 7).cast("string"), 9, "0").alias("primary_id"))
+    linked = s.filter("s_nationkey % 2 = 0").select(F.lit("dmd").alias("source"), key("s_suppkey").alias("native_id"), F.lpad((1 + F.col("s_suppkey") % 7).cast("string"), 9, "0").alias("primary_id"))
+    n = tg.table(spark, d, "nation")  # ids of two sources that are equal name different things
+    second = second.unionByName(n.select(F.lit("fdc").alias("source"), key("n_nationkey").alias("native_id"), F.lit("chemical").alias("entity_type"), F.col("n_name").alias("common_name"), none))
+    linked = linked.unionByName(n.filter("n_regionkey = 2").select(F.lit("fdc").alias("source"), key("n_nationkey").alias("native_id"), F.lpad((3 + F.col("n_nationkey")).cast("string"), 9, "0").alias("primary_id")))
     e, reg, lut = resolve.resolve_all(primary, linked, second, spark.createDataFrame([], "source string, native_id string, entity_id string"))
     one = F.lit(1).cast("long").alias("n")
-    own = reg.filter("source = 'dmd'").join(linked.select("native_id"), "native_id", "left_semi")
+    own = reg.join(linked.select("source", "native_id"), ["source", "native_id"], "left_semi")
     out = e.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("a"), F.col("entity_type").alias("b"), F.col("common_name").alias("c"), one)
     out = out.unionByName(own.select(F.lit("alias").alias("kind"), F.col("native_id").alias("a"), F.col("source").alias("b"), F.col("entity_id").alias("c"), one))
     return out.unionByName(lut.select(F.lit("name").alias("kind"), F.col("name").alias("a"), F.col("entity_type").alias("b"), F.lit("").alias("c"), F.size("entity_ids").cast("long").alias("n")))
@@ -519,6 +523,27 @@ def ontology_edges(spark, d):
     return flat.join(at.select("attestation_id", "source"), "attestation_id").drop("attestation_id").crossJoin(F.broadcast(n))  # one row
 
 
+@query("""WITH src AS (SELECT unnest(['foodon', 'chebi', 'cdno', 'ctd']) AS source), m AS (SELECT p_partkey AS id, 'e' || (p_partkey // 3) AS e FROM part UNION SELECT p_partkey, 'x' || p_partkey FROM part WHERE p_size = 1),
+j AS (SELECT source, h.e AS head_id, t.e AS tail_id, (SELECT count(*) FROM m WHERE id = p_partkey) AS heads, CASE source WHEN 'chebi' THEN '' ELSE '00' END || p_partkey AS raw FROM part, src JOIN m h ON h.id = p_partkey JOIN m t ON t.id = p_partkey // 2)
+SELECT source, head_id, tail_id, count(*) AS n_att, max(heads) AS heads, min(raw) AS raw, 'r2' AS relation, '{"source":"' || source || '","edge_type":"is_a"}' AS reference FROM j WHERE source <> 'cdno' OR head_id <> tail_id GROUP BY source, head_id, tail_id""")
+def ontology_builders(spark, d):
+    """The is_a edges of four ontologies, each by its own rule for ids and for edges within one entity"""
+    p, out = tg.table(spark, d, "part"), None
+    k = F.col("p_partkey")
+    text = lambda c: F.concat(F.lit("00"), c.cast("string"))
+    held = lambda name: F.create_map(*(x for s in build.ONTOLOGIES for x in (F.lit(s), F.col(f"{name}_{'n' if s == 'chebi' else 't'}"))))
+    own = p.groupBy(F.concat(F.lit("e"), F.floor(k / 3)).alias("entity_id")).agg(F.collect_set(k.cast("string")).alias("ids_n"), F.collect_set(text(k)).alias("ids_t"))
+    twin = p.filter("p_size = 1").select(F.concat(F.lit("x"), k).alias("entity_id"), F.array(k.cast("string")).alias("ids_n"), F.array(text(k)).alias("ids_t"))
+    entities = own.unionByName(twin).select("entity_id", held("ids").alias("external_ids"))
+    edges = p.select(text(k).alias("head_native_id"), text(F.floor(k / 2)).alias("tail_native_id"), F.explode(F.array(F.lit("is_a"), F.lit("has_part"))).alias("edge_type"))
+    for source in build.ONTOLOGIES:
+        evidence, attestations, triplets = build.ontology_triplets(edges, entities, source)
+        flat = triplets.select("head_id", "tail_id", "relationship_id", F.explode("attestation_ids").alias("attestation_id")).join(attestations, "attestation_id").join(evidence, "evidence_id")
+        one = flat.groupBy(F.col("source_type").alias("source"), "head_id", "tail_id").agg(F.count(F.lit(1)).alias("n_att"), F.max(F.size("head_candidates")).cast("long").alias("heads"), F.min("head_name_raw").alias("raw"), F.min("relationship_id").alias("relation"), F.min("reference").alias("reference"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"""WITH RECURSIVE {tg.CLAIMS}, {tg.ENTITIES}, r1 AS (SELECT DISTINCT food, part FROM claims WHERE source = 'dmd' AND conc > 48), r3 AS (SELECT DISTINCT 'p' || l_partkey AS c, 'n' || l_linenumber AS dis FROM lineitem WHERE l_quantity > 49),
 r2 AS (SELECT 'p' || p_partkey AS h, 'p' || (p_partkey + 1) AS t FROM part WHERE p_partkey % 5 <> 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)),
 up(node) AS (SELECT t FROM r2 JOIN r3 ON h = c UNION SELECT t FROM up JOIN r2 ON h = node),

@@ -241,11 +241,14 @@ def raw_claim_files(spark, d):
     return out.select("pmcid", "section", F.col("response").isNull().alias("missing"), "method")
 
 
-@query("""SELECT form, count(*) AS n, sum(n_turn)::BIGINT AS turns, 1 AS refused FROM (SELECT unnest(['tsv', 'parquet', 'json']) AS form, turn AS n_turn FROM conversations) GROUP BY form""")
+@query("""WITH x AS (SELECT conv_id, turn, coalesce(role, '') AS role, replace(replace(coalesce(text, ''), chr(9), ' '), chr(10), ' ') AS text FROM conversations)
+SELECT form, conv_id::VARCHAR AS pmcid, turn::VARCHAR AS section, 'q-' || role AS matched_query, md5(text) AS sentence, turn / 8.0 AS prob, '(' || role || ', , x, )' AS response, 1 AS refused
+FROM x, (SELECT unnest(['tsv', 'parquet', 'json']) AS form)""")
 def raw_claim_forms(spark, d):
-    """Raw extraction rows as TSV, Parquet and JSON; a missing column is an error, extra ones are dropped"""
+    """Raw extraction rows as TSV, Parquet and JSON, all fields read back; a missing column is an error, extra ones are dropped"""
     c, path = tg.table(spark, d, "conversations"), work_path(spark, "forms")
-    rows = c.select(_s("conv_id").alias("pmcid"), _s("turn").alias("section"), F.lit("q").alias("matched_query"), F.lit("s").alias("sentence"), F.lit(0.5).alias("prob"), F.lit("r").alias("response"), F.lit(1).alias("extra"))
+    role, body = F.coalesce("role", F.lit("")), F.translate(F.coalesce("text", F.lit("")), "\t\n", "  ")
+    rows = c.select(_s("conv_id").alias("pmcid"), _s("turn").alias("section"), F.concat(F.lit("q-"), role).alias("matched_query"), F.md5(body.cast("binary")).alias("sentence"), (F.col("turn") / 8.0).alias("prob"), F.concat(F.lit("("), role, F.lit(", , x, )")).alias("response"), F.lit(1).alias("extra"))
     out = None
     for form in ("tsv", "parquet", "json"):
         put = lambda df, at: df.write.option("sep", "\t").option("header", True).format({"tsv": "csv"}.get(form, form)).save(at)  # noqa: E731, B023
@@ -256,8 +259,7 @@ def raw_claim_forms(spark, d):
             refused = 0
         except ValueError:
             refused = 1
-        read = tables.read_raw_claims(spark, f"{path}/{form}", form)
-        one = read.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("section").cast("long")).alias("turns")).select(F.lit(form).alias("form"), "n", "turns", F.lit(refused).alias("refused"))
+        one = tables.read_raw_claims(spark, f"{path}/{form}", form).select(F.lit(form).alias("form"), "pmcid", "section", "matched_query", "sentence", "prob", "response", F.lit(refused).alias("refused"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -272,16 +274,16 @@ def batch_results(spark, d):
     return tables.join_batch_results(c.select(key), spark.read.schema(tables.BATCH_RESULT).json(path)).select("custom_id", "response")
 
 
-@query("""SELECT doc_id::VARCHAR AS article_id, count(*) AS n FROM documents GROUP BY doc_id""")
+@query("""SELECT doc_id::VARCHAR AS article_id, section, 'paragraph' AS kind, length(text) AS chars, md5(text) AS digest FROM documents, (SELECT unnest(['INTRO', 'RESULTS']) AS section) WHERE text IS NOT NULL""")
 def article_passages(spark, d):
     """Documents of passages, unusable sections dropped"""
     from ..operators import text
 
     docs, path = tg.table(spark, d, "documents"), work_path(spark, "articles")
     passage = lambda body, section: F.struct(body.alias("text"), F.struct(F.lit(section).alias("section_type"), F.lit("paragraph").alias("type")).alias("infons"))
-    docs.select(F.array(F.struct(_s("doc_id").alias("id"), F.array(passage(F.col("text"), "INTRO"), passage(F.lit("x"), "REF")).alias("passages"))).alias("documents")).write.json(path)
+    docs.select(F.array(F.struct(_s("doc_id").alias("id"), F.array(passage(F.col("text"), "INTRO"), passage(F.lit("x"), "REF"), passage(F.col("text"), "RESULTS")).alias("passages"))).alias("documents")).write.json(path)
     rows = text.passages(tables.read_articles(spark, path, lines=True)).filter(text.usable_passage(F.col("section"), F.col("kind")))
-    return rows.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("article_id", "section", "kind", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("""SELECT 'm' || c_custkey AS pmid, 'PMC' || c_custkey AS pmcid, 0 AS n FROM customer UNION ALL SELECT p_name, '', count(DISTINCT p_brand) FROM part GROUP BY p_name""")

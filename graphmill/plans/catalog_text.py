@@ -194,12 +194,19 @@ def vocab_match(spark, d):
     return text.match_vocabulary(raw, p.select(F.col("p_name").alias("term")))
 
 
-@query("""SELECT p_partkey AS id, true AS same, false AS other FROM part""")
+_SPELT = "lower(replace(replace(replace(replace({}, 'β', 'beta'), 'Γ', 'gamma'), 'γ', 'gamma'), '–', '-'))"
+
+
+@query(f"""WITH m AS (SELECT o.p_partkey AS id, ['β-', 'beta–', 'Γ-', 'gamma-', ''][1 + o.p_partkey % 5] || upper(o.p_name) AS a, ['gamma–', 'Beta-', '', 'γ-', 'β–'][1 + n.p_partkey % 5] || n.p_name AS b
+  FROM part o JOIN (SELECT p_name, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY ALL) n ON o.p_size = n.p_size)
+SELECT id, count(*) AS met, count(*) FILTER ({_SPELT.format('a')} = {_SPELT.format('b')}) AS same FROM m GROUP BY id""")
 def greek_match(spark, d):
-    """Equal up to the spelling of Greek letters"""
-    p = tg.table(spark, d, "part")
-    spelt = [F.concat(F.lit(g), F.upper("p_name")) for g in ("β-", "beta-", "γ-")]
-    return p.select(F.col("p_partkey").alias("id"), names.same_spelling(spelt[0], spelt[1]).alias("same"), names.same_spelling(spelt[0], spelt[2]).alias("other"))
+    """How many names of a size are equal to a part's up to the spelling of Greek letters and dashes"""
+    p = tg.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    spell = lambda forms, key: F.get(F.array(*map(F.lit, forms)), (F.col(key) % 5).cast("int"))
+    one = p.select("p_size", F.col("p_partkey").alias("id"), F.concat(spell(("β-", "beta–", "Γ-", "gamma-", ""), "p_partkey"), F.upper("p_name")).alias("a"))
+    two = p.groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("k")).select("p_size", F.concat(spell(("gamma–", "Beta-", "", "γ-", "β–"), "k"), "p_name").alias("b"))
+    return one.join(two, "p_size").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(names.same_spelling(F.col("a"), F.col("b"))).alias("same"))
 
 
 @query("""SELECT trim(u.t) AS term, count(*) AS n FROM part, unnest(string_split(p_name || ', ' || p_type || ',', ',')) AS u(t) WHERE trim(u.t) <> '' GROUP BY 1""")

@@ -112,13 +112,13 @@ def fdc(spark: SparkSession, folder: str) -> Frames:
     csv = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
     table = lambda name, schema: csv.csv(f"{folder}/{name}.csv").select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")))
     ids = table("foundation_food", "fdc_id bigint").distinct()
-    foods = table("food", "fdc_id bigint, description string").join(F.broadcast(ids), "fdc_id", "left_semi").select(F.concat(F.lit("food:"), "fdc_id").alias("native_id"), F.lower(F.trim("description")).alias("name"))
+    foods = table("food", "fdc_id bigint, description string").join(ids, "fdc_id", "left_semi").select(F.concat(F.lit("food:"), "fdc_id").alias("native_id"), F.lower(F.trim("description")).alias("name"))
     nutrients = table("nutrient", "id bigint, name string, unit_name string").select(F.concat(F.lit("nutrient:"), "id").alias("native_id"), F.lower(F.trim("name")).alias("name"), attrs_json(unit_name=F.col("unit_name")).alias("raw_attrs"))
     own = lambda df: df.withColumns({"synonyms": F.array("name"), "synonym_types": F.array(F.lit("label"))})
     nodes = _nodes(own(foods).withColumn("raw_attrs", F.lit("{}")), "fdc", "food").unionByName(_nodes(own(nutrients), "fdc", "nutrient"))
-    contents = table("food_nutrient", "fdc_id bigint, nutrient_id bigint, amount double").join(F.broadcast(ids), "fdc_id", "left_semi")
+    contents = table("food_nutrient", "fdc_id bigint, nutrient_id bigint, amount double").join(ids, "fdc_id", "left_semi")
     edges = contents.select(F.concat(F.lit("food:"), "fdc_id").alias("head_native_id"), F.concat(F.lit("nutrient:"), "nutrient_id").alias("tail_native_id"), F.lit("contains").alias("edge_type"), attrs_json(amount=F.coalesce("amount", F.lit(0.0))).alias("raw_attrs"))
-    attrs = table("food_attribute", "fdc_id bigint, name string, value string").filter("name = 'FoodOn Ontology ID for FDC Item'").join(F.broadcast(ids), "fdc_id", "left_semi")
+    attrs = table("food_attribute", "fdc_id bigint, name string, value string").filter("name = 'FoodOn Ontology ID for FDC Item'").join(ids, "fdc_id", "left_semi")
     xrefs = attrs.select(F.concat(F.lit("food:"), "fdc_id").alias("native_id"), F.lit("foodon").alias("target_source"), F.col("value").alias("target_id"))
     return nodes, _edges(edges, "fdc"), _xrefs(xrefs, "fdc")
 
@@ -137,7 +137,7 @@ def dmd(spark: SparkSession, folder: str) -> Frames:
     conc = csv.csv(f"{folder}/concentrations.csv").filter("`Concentration Value Alt` is not null")
     est = csv.csv(f"{folder}/estimated.csv").select(F.col("DMD Concentration ID").alias("__id"), F.col("Estimated Concentration Value").try_cast("double").alias("__est"))
     glycans = mol.filter(F.exists(classes, lambda c: F.lower(c) == "glycan")).select(has("DMD ID").alias("__glycan"))
-    joined = conc.join(F.broadcast(est), conc["DMD ID"] == est["__id"], "left").join(F.broadcast(glycans), conc["DMD Molecule ID"] == glycans["__glycan"], "left")
+    joined = conc.join(est, conc["DMD ID"] == est["__id"], "left").join(glycans, conc["DMD Molecule ID"] == glycans["__glycan"], "left")
     raw, unit = F.col("Concentration Value Alt").try_cast("double"), F.col("Concentration Unit Alt")
     value = concentration.milk_concentration(raw, unit, F.col("__est"), F.col("__glycan").isNotNull())
     edges = joined.select(F.lit("milk").alias("head_native_id"), F.col("DMD Molecule ID").alias("tail_native_id"), F.lit("contains").alias("edge_type"), attrs_json(conc_value=value, conc_unit=F.when(value.isNotNull(), "mg/100g"), conc_value_raw=raw, conc_unit_raw=unit, dmd_concentration_id=F.col("DMD ID")).alias("raw_attrs"))
