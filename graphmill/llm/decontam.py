@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import checked, free_name, join_skewed, map_rows, row_key, stored
 
-# fixed values: windows of 8 to 10 tokens of which 6 count; no two masks ignore the same places
-MASKS = ("11101011", "110110011", "1100110011", "1011100101")
+# fixed values: windows of 8 to 11 tokens of which 6 count. Every stretch of 12 to 22 tokens of which four fifths match holds a
+# window that matches under one of them, wherever the others lie; so do longer ones, which can be cut into such stretches of
+# which one has the share.
+MASKS = ("11101011", "110110011", "1100110011", "1011100101", "11010000111")
 #: Matching tokens that make an overlap, or all but a fifth of a shorter item.
 LEAST_TOKENS = 12
 LEAST_SHARE = 0.8
@@ -99,7 +101,8 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
 
     Tokens are runs of word characters, lower-cased. A pair counts when at least
     ``LEAST_TOKENS`` tokens match (four fifths of shorter items) and four fifths
-    of the stretch do. Items too short for every mask are found where all their
+    of the stretch do; the masks lose none of these but overlaps with items of
+    fewer than 12 tokens and some substitution. Items too short for every mask are found where all their
     tokens stand in a row, those without tokens nowhere. Null texts hold no
     token; rows without an id are reported under a null id; repeated rows are
     one pair; ties take the earliest place. Only the columns named are read.
@@ -136,20 +139,26 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
     count = table.count()
     if count <= broadcast_windows:
         packed = [(r[0], r[1]) for r in tests.collect()] if count else []
+        windows = Windows(masks)
+        tokens = [windows.tokens(text) for _, text in packed]
+        index = []
+        for k in range(len(masks)):
+            each = [indexed(windows, t, k) for t in tokens]
+            h = np.concatenate(each) if each else np.array([], np.uint64)
+            item = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            at = np.concatenate([np.arange(len(x)) for x in each]) if each else h
+            order = np.argsort(h, kind="stable")
+            index.append((h[order], item[order], at[order]))
+        # one index for all tasks, of at most ``broadcast_windows`` windows
+        held = docs.sparkSession.sparkContext.broadcast(([i for i, _ in packed], tokens, index))
 
         def near(rows: Iterator[tuple]) -> Iterator[tuple]:
-            windows = Windows(masks)
-            tokens = [windows.tokens(text) for _, text in packed]
+            windows, (names, tokens, tables) = Windows(masks), held.value
             index = []
-            for k in range(len(masks)):
-                each = [indexed(windows, t, k) for t in tokens]
-                h = np.concatenate(each) if each else np.array([], np.uint64)
-                item = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                at = np.concatenate([np.arange(len(x)) for x in each]) if each else h
-                order = np.argsort(h, kind="stable")
+            for h, item, at in tables:
                 bits = np.zeros(1 << 20, bool)  # most windows end at this table
                 bits[h & np.uint64((1 << 20) - 1)] = True
-                index.append((h[order], item[order], at[order], bits))
+                index.append((h, item, at, bits))
             for doc, text in rows:
                 found = windows.tokens(text)
                 shifts: dict[int, set[int]] = {}
@@ -163,7 +172,7 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCA
                             shifts.setdefault(int(item[m]), set()).add(p - int(at[m]))
                 for i, of in shifts.items():
                     if best := best_overlap(found, tokens[i], of):
-                        yield doc, packed[i][0], *best, len(tokens[i])
+                        yield doc, names[i], *best, len(tokens[i])
 
         pairs = map_rows(source, near, made, rows=4096)
     else:

@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from graphmill.llm import merkle, orchard, packing
+from graphmill.llm import decontam, merkle, orchard, packing
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, hash string, grp int, pos string, n int, at int, tail string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -264,3 +264,17 @@ def test_manifest_of_many_sources(spark):
     rows = [(k, "T", "en", f"s{k % 300}", 1) for k in range(600)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(tuple(r)) for r in merkle.manifest(table).collect()) == sorted(map(str, brute_manifest(table.collect())))
+
+
+# --- decontamination seeds
+
+
+@pytest.mark.parametrize("n", range(12, 20))
+def test_no_stretch_escapes_the_masks(n):
+    """All ways to place the substitutions that a stretch of four fifths may hold."""
+    import itertools
+
+    masks = [(int(m[::-1], 2), n - len(m) + 1) for m in decontam.MASKS]
+    for gone in itertools.combinations(range(n), n // 5):
+        same = (1 << n) - 1 - sum(1 << k for k in gone)
+        assert any((same >> at) & m == m for m, places in masks for at in range(places)), gone
