@@ -23,6 +23,7 @@ from .common import map_rows
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+SAMPLE_FORMAT, FLOAT = 339, 3
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 6: 1, 7: 1, 8: 2, 9: 4}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 CODEC = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
@@ -187,14 +188,18 @@ def _pack(codec: int, data: bytes) -> bytes:
 
 
 def encode_tiff(pages: list[np.ndarray], codec: int, predictor: int = 1, tile: int = 0, strip_rows: int = 512) -> bytes:
-    """Little-endian TIFF of 8-bit grey pages; ``tile`` above 0 stores square tiles of that side."""
+    """Little-endian TIFF of grey pages of bytes or floating point numbers; ``tile`` above 0 stores square tiles of that side.
+
+    ``predictor`` 2 stores differences of bytes, 3 those of the byte planes of
+    floating point numbers.
+    """
     out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
     link = 4
     for page in pages:
         rows, width = page.shape
         if tile:
             high, wide = -(-rows // tile) * tile, -(-width // tile) * tile
-            full = np.zeros((high, wide), np.uint8)
+            full = np.zeros((high, wide), page.dtype)
             full[:rows, :width] = page
             blocks = [full[y : y + tile, x : x + tile] for y in range(0, high, tile) for x in range(0, wide, tile)]
         else:
@@ -203,12 +208,15 @@ def encode_tiff(pages: list[np.ndarray], codec: int, predictor: int = 1, tile: i
         for block in blocks:
             if predictor == 2:
                 block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
+            elif predictor == 3:
+                planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(len(block), -1, block.itemsize).transpose(0, 2, 1).reshape(len(block), -1)
+                block = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1)
             packed = _pack(codec, block.tobytes())
             offsets.append(len(out))
             counts.append(len(packed))
             out += packed
         chunk = [(TILE_WIDTH, [tile]), (TILE_LENGTH, [tile]), (TILE_OFFSETS, offsets), (TILE_COUNTS, counts)] if tile else [(STRIP_OFFSETS, offsets), (ROWS_PER_STRIP, [strip_rows]), (STRIP_COUNTS, counts)]
-        fields = sorted([(WIDTH, [width]), (LENGTH, [rows]), (BITS, [8]), (COMPRESSION, [codec]), (PHOTOMETRIC, [1]), (SAMPLES, [1]), (PREDICTOR, [predictor]), *chunk])
+        fields = sorted([(WIDTH, [width]), (LENGTH, [rows]), (BITS, [8 * page.itemsize]), (COMPRESSION, [codec]), (PHOTOMETRIC, [1]), (SAMPLES, [1]), (PREDICTOR, [predictor]), *chunk, *([(SAMPLE_FORMAT, [FLOAT])] if page.dtype.kind == "f" else [])])
         far = {}
         for tag, values in fields:
             if len(values) > 1:
@@ -245,11 +253,12 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> tuple[np.ndarr
     get = lambda tag, other: tags.get(tag, [other])[0]
     width, rows, samples = get(WIDTH, 0), get(LENGTH, 0), get(SAMPLES, 1)
     bits, codec, predictor = get(BITS, 1), get(COMPRESSION, 1), get(PREDICTOR, 1)
-    if bits not in (8, 16, 32) or len(set(tags.get(BITS, [bits]))) > 1:
+    form = "f" if get(SAMPLE_FORMAT, 1) == FLOAT else "u"
+    if bits not in ((16, 32, 64) if form == "f" else (8, 16, 32)) or len(set(tags.get(BITS, [bits]))) > 1:
         raise ValueError(f"{bits}-bit samples are not supported")
-    if predictor not in (1, 2):
+    if predictor not in ((1, 3) if form == "f" else (1, 2)):
         raise ValueError(f"predictor {predictor} is not supported")
-    kind = np.dtype(f"{'<' if order == '<' else '>'}u{bits // 8}")
+    kind = np.dtype(f"{'<' if order == '<' else '>'}{form}{bits // 8}")
     if width * rows * samples * kind.itemsize > MAX_PAGE_BYTES or width <= 0 or rows <= 0 or samples <= 0:
         raise ValueError(f"page of {width} x {rows} x {samples} refused")
     tiled = TILE_OFFSETS in tags
@@ -271,7 +280,12 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> tuple[np.ndarr
         raw = _unpack(codec, data[offsets[k] : offsets[k] + counts[k]], need)
         if len(raw) < need:
             raise ValueError(f"chunk {k} ends early")
-        block = np.frombuffer(raw, kind).reshape(tall, wide, deep)
+        if predictor == 3:  # differences run over the byte planes of a row, the highest byte's first, whatever the file's byte order
+            levels = np.cumsum(np.frombuffer(raw, np.uint8).reshape(tall, -1, deep), axis=1, dtype=np.uint8)
+            whole = np.ascontiguousarray(levels.reshape(tall, kind.itemsize, -1).transpose(0, 2, 1))
+            block = whole.view(kind.newbyteorder(">")).reshape(tall, wide, deep)
+        else:
+            block = np.frombuffer(raw, kind).reshape(tall, wide, deep)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         block = block[: rows - y, : width - x]

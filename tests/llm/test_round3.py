@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from graphmill.llm import decontam, merkle, orchard, packing
+from graphmill.llm import decontam, merkle, orchard, packing, tiff
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, hash string, grp int, pos string, n int, at int, tail string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -278,3 +278,33 @@ def test_no_stretch_escapes_the_masks(n):
     for gone in itertools.combinations(range(n), n // 5):
         same = (1 << n) - 1 - sum(1 << k for k in gone)
         assert any((same >> at) & m == m for m, places in masks for at in range(places)), gone
+
+
+# --- TIFF of floating point numbers
+
+
+@pytest.mark.parametrize("codec,predictor,tile,kind", [(c, p, t, k) for c in (1, 5, 8) for p in (1, 3) for t in (0, 16) for k in ("<f2", "<f4", "<f8")])
+def test_tiff_floating_point(codec, predictor, tile, kind):
+    rng = np.random.default_rng(codec)
+    pages = [rng.normal(0, 100, shape).astype(kind) for shape in ((1, 1), (33, 17), (5, 64))]
+    pages[1][3, 4:7] = np.nan, np.inf, -0.0
+    got = list(tiff.decode_tiff(tiff.encode_tiff(pages, codec, predictor, tile)))
+    assert [g[3] for g in got] == [None] * 3 and all(g[1][..., 0].tobytes() == p.tobytes() for g, p in zip(got, pages))
+
+
+def test_tiff_floating_point_as_written_by_hand():
+    """Two rows of two pixels of two samples, big-endian file: planes and stride by the note that defines predictor 3."""
+    import struct
+
+    values = np.array([[[1.5, -2.0], [3.25, 0.1]], [[7.0, 8.0], [-9.5, 1e20]]], ">f4")
+    body = b""
+    for row in values:
+        flat = [v.tobytes() for v in row.reshape(-1)]
+        planes = bytes(f[b] for b in range(4) for f in flat)
+        body += bytes((planes[i] - (planes[i - 2] if i >= 2 else 0)) % 256 for i in range(len(planes)))
+    tags = [(256, 3, 1, 2 << 16), (257, 3, 1, 2 << 16), (258, 3, 2, 32 << 16 | 32), (259, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 2 << 16), (278, 3, 1, 2 << 16), (279, 4, 1, len(body)), (317, 3, 1, 3 << 16), (339, 3, 2, 3 << 16 | 3)]
+    data = struct.pack(">2sHI", b"MM", 42, 8 + len(body)) + body + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + struct.pack(">I", 0)
+    ((_, samples, form, error),) = tiff.decode_tiff(data)
+    assert error is None and samples.tobytes() == values.tobytes() and form == "none/strips/3"
+    whole = tiff.encode_tiff([np.zeros((4, 4), np.uint8)], 1).replace(struct.pack("<HHII", 317, 4, 1, 1), struct.pack("<HHII", 317, 4, 1, 3))
+    assert "predictor 3" in list(tiff.decode_tiff(whole))[0][3]
