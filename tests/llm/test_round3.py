@@ -299,7 +299,7 @@ def test_tiff_floating_point_as_written_by_hand():
     values = np.array([[[1.5, -2.0], [3.25, 0.1]], [[7.0, 8.0], [-9.5, 1e20]]], ">f4")
     body = b""
     for row in values:
-        flat = [v.tobytes() for v in row.reshape(-1)]
+        flat = [struct.pack(">f", v) for v in row.reshape(-1)]
         planes = bytes(f[b] for b in range(4) for f in flat)
         body += bytes((planes[i] - (planes[i - 2] if i >= 2 else 0)) % 256 for i in range(len(planes)))
     tags = [(256, 3, 1, 2 << 16), (257, 3, 1, 2 << 16), (258, 3, 2, 32 << 16 | 32), (259, 3, 1, 1 << 16), (273, 4, 1, 8), (277, 3, 1, 2 << 16), (278, 3, 1, 2 << 16), (279, 4, 1, len(body)), (317, 3, 1, 3 << 16), (339, 3, 2, 3 << 16 | 3)]
