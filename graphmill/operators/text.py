@@ -160,8 +160,9 @@ def match_vocabulary(raw: DataFrame, vocabulary: DataFrame, least: float = 90.0)
     """``raw, term, score``: the most similar vocabulary term of each distinct raw text, at or above ``least``.
 
     Equal texts match at once. Of the rest, only pairs that share a trigram and
-    whose lengths allow the score meet; a score is 100 times the normalised indel
-    similarity of the lower-cased texts.
+    whose lengths allow the score meet, and only those whose edit distance, which
+    insertions and deletions cannot fall below, allows it are scored: 100 times
+    the normalised indel similarity of the lower-cased texts.
     """
     from ..functions.names import trigrams
 
@@ -171,6 +172,8 @@ def match_vocabulary(raw: DataFrame, vocabulary: DataFrame, least: float = 90.0)
     left = a.join(same, "raw", "left_anti").withColumn("gram", F.explode(trigrams(F.col("low"))))
     right = v.withColumn("gram", F.explode(trigrams(F.col("term_low"))))
     pairs = left.join(right, "gram").filter(F.least(F.length("low"), F.length("term_low")) >= (least / (200 - least)) * F.greatest(F.length("low"), F.length("term_low"))).select("raw", "low", "term", "term_low").distinct()
+    edits = (1 - least / 100) * (F.length("low") + F.length("term_low")) + 1e-9
+    pairs = store(pairs.filter(F.levenshtein("low", "term_low") <= edits), "vocabulary-pairs")
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:

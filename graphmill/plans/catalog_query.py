@@ -282,12 +282,14 @@ def correlation_rows(spark, d):
 def _correlation_rows(spark, d) -> DataFrame:
     from ..operators import graph
 
-    corr = tg.correlations(spark, d)
+    # three joins of whole tables, read once and used five times
+    claims = store(tg.claims(spark, d).select("part", "source", "reference", "subject", "status"), "claims")
+    corr = store(tg.correlations(spark, d, claims), "correlations")
     evidence = corr.groupBy(F.col("chem").alias("source_chem"), "disease", "rel").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count_distinct("reference").alias("evidence_count"))
-    direct = corr.select("chem", "disease", "rel").distinct()
-    e = tg.edges(spark, d)
-    closure = graph.ancestors(e, direct.select(F.col("chem").alias("node")).distinct())
-    eaten = tg.claims(spark, d).filter("source = 'lit'").select(F.col("part").alias("chem"))
+    evidence = store(evidence, "correlation-evidence")
+    direct = evidence.select(F.col("source_chem").alias("chem"), "disease", "rel")
+    closure = graph.ancestors(tg.edges(spark, d), direct.select(F.col("chem").alias("node")).distinct())
+    eaten = claims.filter("source = 'lit'").select(F.col("part").alias("chem"))
     return graph.propagate_correlations(direct, closure, eaten).join(evidence, ["source_chem", "disease", "rel"]).select("chem", "source_chem", "disease", "rel", "sources", "evidence_count")
 
 
