@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from graphmill.llm import decontam, merkle, orchard, packing, tiff
+from graphmill.llm import decontam, langid, merkle, mixing, orchard, packing, tiff, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, hash string, grp int, pos string, n int, at int, tail string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -308,3 +308,81 @@ def test_tiff_floating_point_as_written_by_hand():
     assert error is None and (samples == values).all() and form == "none/strips/3"
     whole = tiff.encode_tiff([np.zeros((4, 4), np.uint8)], 1).replace(struct.pack("<HHII", 317, 4, 1, 1), struct.pack("<HHII", 317, 4, 1, 3))
     assert "predictor 3" in list(tiff.decode_tiff(whole))[0][3]
+
+
+# --- odd rows through operators and stages
+
+
+def test_language_of_odd_rows(spark):
+    """Nulls, empties, repeats, a very long page, clashing columns, empty tables, a column full of languages that occur once."""
+    rng = random.Random(4)
+    speech = {"aa": "bab ebe lola mira tutu".split(), "bb": "xyx zqz kwk qix vuz".split()}
+    text = lambda lang, n: " ".join(rng.choice(speech[lang]) for _ in range(n))
+    docs = [(k, text("ab"[k % 2] * 2, 40), "ab"[k % 2] * 2, f"s{k % 3}", 1.0, "x") for k in range(600)]
+    docs += [(1000 + k, text("aa", 5), f"dirty{k}", "s0", 1.0, "x") for k in range(100)] + [(None, None, None, None, None, None), (2000, "", "aa", None, 1.0, "x")]
+    schema = "doc_id long, text string, lang string, source string, z double, __host string"
+    table = spark.createDataFrame(docs, schema)
+    model = langid.train(table)
+    assert model[0] == ["aa", "bb"]
+    pages = [(k, f"http://h{k % 2}.{'ab'[k % 2] * 2}/x", f"<html lang={'ab'[k % 2] * 2}><p>{text('ab'[k % 2] * 2, 30)}</p>") for k in range(20)]
+    pages += [pages[1]] * 5 + [(50, None, None), (None, "", ""), (51, "no address", "<p>"), (52, "http://h1.bb/", "<p>" + text("bb", 200_000) + "</p>")]
+    web = spark.createDataFrame([(*p, 1, "y") for p in pages], "page_id long, url string, html string, p int, suffix string")
+    out = langid.identify(langid.page_evidence(web).unionByName(langid.document_evidence(table)), model).collect()
+    assert len(out) == len(docs) + len(pages)
+    found = [(r.kind, r.id, r.lang) for r in out]
+    assert all(lang == "ab"[k % 2] * 2 for kind, k, lang in found if kind == "page" and k is not None and k < 20) and ("page", 52, "bb") in found
+    assert found.count(("page", 1, "bb")) == 6 and sum(1 for x in found if x[1] is None) == 2
+    assert langid.train(table.limit(0))[0] == [] and langid.identify(langid.document_evidence(table.limit(0)), model).count() == 0
+    assert {r.lang for r in langid.identify(langid.document_evidence(table.limit(3)), langid.train(table.limit(0))).collect()} == {"und"}
+
+
+def test_very_long_texts_in_archives_and_overlaps(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    long_, item = [rng.choice(words) for _ in range(150_000)], [rng.choice(words) for _ in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(long_[:90_000] + item + long_[90_000:])), (2, " ".join(long_))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for limit in (10**6, 0):
+        (r,) = decontam.overlaps(docs, items, limit).collect()
+        assert (r.doc_id, r.item_id, r.first_token) == (1, 7, 90_000) and r.matches >= 40
+    pages = spark.createDataFrame([(1, "http://a/", "<p>" + "x" * 3_000_000), (2, "http://b/", "<p>" + "x" * 3_000_000), (3, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages).collect()}
+    assert got == {1: (3_000_003, "response", None), 2: (3_000_003, "revisit", 1), 3: (0, "response", None)}
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and clashing rows, and empty tables of labels and items, through every stage of the pipeline."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(900)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, text(60), "en", f"s{k % 3}", 1) for k in range(60)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s0", 0), (None, text(50), "en", None, 1), (102, rows[5][1], "en", "s1", 1), rows[7], rows[7], (103, text(40_000), "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = spark.createDataFrame(rows, schema)
+    for items, labels, clash in (([], [], False), ([(0, rows[9][1]), (1, None)], [(k, 1, k % 2) for k in range(40)], True)):
+        folder = str(tmp_path / f"{clash}")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        table = plain
+        if clash:
+            for name in ("__key", "__row", "sig", "fp", "score", "shard", "slot", "__at", "taken"):
+                from pyspark.sql import functions as F
+
+                table = table.withColumn(name, F.lit("mine"))
+        for name, stage in pipeline.STAGES:
+            kept = stage(spark, table, folder)
+            assert stage(spark, table.limit(0), folder).count() == 0, name
+            ids = [r.doc_id for r in kept.collect()]
+            if name != "sharding":
+                assert kept.columns == table.columns, name
+            assert 100 in ids and None in ids, name
+            if name == "near_duplicates":
+                assert ids.count(7) == 1 and 102 not in ids and 5 in ids and len({100, 101} & set(ids)) == 1 and 103 in ids
+            elif name == "decontamination":
+                assert (9 in ids) != clash and ids.count(7) == 3
+            elif name == "mixing":
+                assert ids.count(7) % 3 == 0 and 101 in ids
+            elif name == "sharding":
+                assert len(ids) == len(rows) and ids.count(7) == 3
+    assert mixing.mixed_rows(plain.limit(0)).count() == 0
