@@ -296,21 +296,21 @@ def common_name_pick(spark, d):
     return p.select(F.col("p_partkey").alias("id"), names.pick_common_name(F.array("p_name", "p_brand", "p_type"), F.array(best(0), best(1), best(2))).alias("name"))
 
 
-@query("""WITH c AS (SELECT lower(p_type) AS n, count(*) AS k FROM part WHERE p_size < 20 GROUP BY 1), s AS (SELECT s_suppkey, s_name, unnest(['small', 'promo', 'none' ]) AS syn, unnest([0, 1, 2]) AS pos FROM supplier WHERE s_suppkey % 2 = 0)
+@query("""WITH c AS (SELECT lower(p_type) AS n, count(*) AS k FROM part GROUP BY 1), s AS (SELECT s_suppkey, s_name, unnest(['small', 'promo', 'none' ]) AS syn, unnest([0, 1, 2]) AS pos FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT 's' || s_suppkey AS entity_id, coalesce((SELECT first(syn ORDER BY k DESC, pos) FROM s JOIN c ON c.n = syn WHERE s.s_suppkey = supplier.s_suppkey), s_name) AS common_name FROM supplier""")
 def common_name_by_mentions(spark, d):
     """A18"""
     s = tg.table(spark, d, "supplier")
     syn = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("small"), F.lit("promo"), F.lit("none"))).otherwise(F.array().cast("array<string>"))
     ents = s.select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("common_name"), syn.alias("synonyms"))
-    return build.synonym_mentions(ents, tg.table(spark, d, "part").filter("p_size < 20").select(F.col("p_type").alias("name")))
+    return build.synonym_mentions(ents, tg.table(spark, d, "part").select(F.col("p_type").alias("name")))
 
 
-TRIPLETS = f"""{tg.CLAIMS}, trip AS (SELECT food AS head_id, part AS tail_id, list_distinct(list(attestation_id)) AS ids FROM claims WHERE source = 'dmd' AND conc > 45 GROUP BY ALL)"""
+TRIPLETS = f"""{tg.CLAIMS}, trip AS (SELECT food AS head_id, part AS tail_id, list_distinct(list(attestation_id)) AS ids FROM claims GROUP BY ALL)"""
 
 
 def _trip(spark, d):
-    c = tg.claims(spark, d).filter("source = 'dmd' and conc > 45").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
+    c = tg.claims(spark, d).select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id")
     return build.merge_triplets(c)
 
 
@@ -544,18 +544,19 @@ def ontology_builders(spark, d):
     return out
 
 
-@query(f"""WITH RECURSIVE {tg.CLAIMS}, {tg.ENTITIES}, r1 AS (SELECT DISTINCT food, part FROM claims WHERE source = 'dmd' AND conc > 48), r3 AS (SELECT DISTINCT 'p' || l_partkey AS c, 'n' || l_linenumber AS dis FROM lineitem WHERE l_quantity > 49),
+@query(f"""WITH RECURSIVE {tg.CLAIMS}, {tg.ENTITIES}, r1 AS (SELECT DISTINCT food, part FROM claims WHERE status = 'P'), r3 AS (SELECT DISTINCT 'p' || l_partkey AS c, 'n' || l_linenumber AS dis FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount = 0),
 r2 AS (SELECT 'p' || p_partkey AS h, 'p' || (p_partkey + 1) AS t FROM part WHERE p_partkey % 5 <> 0 AND p_partkey + 1 IN (SELECT p_partkey FROM part)),
 up(node) AS (SELECT t FROM r2 JOIN r3 ON h = c UNION SELECT t FROM up JOIN r2 ON h = node),
 shown AS (SELECT food AS id FROM r1 UNION SELECT part FROM r1 UNION SELECT c FROM r3 UNION SELECT dis FROM r3 UNION SELECT node FROM up)
-SELECT entity_id, entity_type, common_name, CASE entity_type WHEN 'food' THEN 'g' ELSE '' END AS groups, '' AS flavors, CASE entity_id WHEN 'n1' THEN 'n2' WHEN 'n2' THEN 'n1' ELSE '' END AS siblings FROM entities WHERE entity_id IN (SELECT id FROM shown)""")
+SELECT entity_id, entity_type, common_name, CASE entity_type WHEN 'food' THEN 'g' ELSE '' END AS groups, CASE entity_type WHEN 'chemical' THEN synonyms[2] || ',' || common_name ELSE '' END AS flavors, CASE entity_id WHEN 'n1' THEN 'n2' WHEN 'n2' THEN 'n1' ELSE '' END AS siblings FROM entities WHERE entity_id IN (SELECT id FROM shown)""")
 def entity_pages(spark, d):
     """Entities with a page, their groups, flavors and siblings"""
-    c = tg.claims(spark, d).filter("source = 'dmd' and conc > 48").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"))
-    li, p = tg.table(spark, d, "lineitem").filter("l_quantity > 49"), tg.table(spark, d, "part").select("p_partkey")
+    c = tg.claims(spark, d).filter("status = 'P'").select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"))
+    li, p = tg.table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_linestatus = 'F' and l_discount = 0"), tg.table(spark, d, "part").select("p_partkey")
     corr = li.select(F.concat(F.lit("p"), "l_partkey").alias("head_id"), F.lit("r3").alias("relationship_id"), F.concat(F.lit("n"), "l_linenumber").alias("tail_id"))
     isa = p.filter("p_partkey % 5 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("head_id"), F.lit("r2").alias("relationship_id"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("tail_id"))
-    attributes = F.when(F.col("entity_type") == "food", F.struct(F.array(F.lit("g")).alias("groups"), F.array().cast("array<string>").alias("flavors")))
+    none = F.array().cast("array<string>")
+    attributes = F.when(F.col("entity_type") == "food", F.struct(F.array(F.lit("g")).alias("groups"), none.alias("flavors"))).when(F.col("entity_type") == "chemical", F.struct(none.alias("groups"), F.array(F.get("synonyms", 1), F.col("common_name")).alias("flavors")))
     attestations = corr.select(F.array("head_id").alias("head_candidates"), F.array(F.lit("n1"), F.lit("n2")).alias("tail_candidates")).distinct()
     out = build.entity_views(tg.entities(spark, d).withColumn("attributes", attributes), c.unionByName(corr).unionByName(isa).distinct(), attestations)
     return out.select("entity_id", "entity_type", "common_name", *(F.array_join(x, ",").alias(x) for x in ("groups", "flavors", "siblings")))
