@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import store
+from ..storage import discard, store
 from .skew import fingerprint, join_hot
 
 
@@ -106,20 +106,22 @@ def components(links: DataFrame) -> DataFrame:
     A link of a node to itself makes a component of one; nulls link nothing.
     """
     found = links.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = store(found, "links")
-    alone = edges.filter("u = v").select(F.col("u").alias("node"))
-    edges = edges.filter("u <> v")
+    links = store(found, "links")
+    alone = links.filter("u = v").select(F.col("u").alias("node"))
+    edges = links.filter("u <> v")
     mark = fingerprint(edges, "u", "v")
     while mark[0]:
         # large star: what is greater than v moves to the least around v
         around = edges.select("v", F.col("u").alias("other"), F.lit(1).alias("up")).union(edges.select("u", "v", F.lit(0)))
         least = store(around.groupBy("v").agg(F.least(F.min("other"), F.col("v")).alias("m"), F.sum("up").alias("n")).filter("n > 0"), "large-star")
         large = store(join_hot(edges, least, "v", "n", mark[0]).select("u", F.col("m").alias("v")).distinct(), "large-stars")
+        discard(least)
         # small star: what is less than u, and u, move to the least of them
         total = large.count()
         least = store(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small-star")
         moved = join_hot(large, least, "u", "n", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = store(moved.union(least.select("u", "m")).distinct(), "small-stars")
+        old, edges = edges, store(moved.union(least.select("u", "m")).distinct(), "small-stars")
+        discard(least, large, old)
         before, mark = mark, fingerprint(edges, "u", "v")
         if mark == before:
             break

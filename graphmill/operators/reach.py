@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import versions
-from ..storage import store
+from ..storage import discard, store
 from .graph import ancestors
 from .skew import fit, join_hot
 
@@ -134,7 +134,8 @@ def reach_labels(edges: DataFrame, orders: int = ORDERS) -> DataFrame:
         if tops.isEmpty():
             break
         longer = join_hot(rest, tops, "end", "n", count).select("node", F.concat("path", F.slice("more", F.lit(2), F.size("more"))).alias("path"), F.col("done").alias("whole"))
-        paths = store(paths.filter("whole").unionByName(longer.filter(F.size("path") <= count)), "paths")
+        before, paths = paths, store(paths.filter("whole").unionByName(longer.filter(F.size("path") <= count)), "paths")
+        discard(before, tops)
     whole = paths.filter("whole")
     placed = _numbered(whole.select("node", F.array_join(F.transform(F.reverse("path"), lambda x: F.concat(x, F.lit("\u0000"))), "").alias("key"), "path"))
     sizes = placed.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("size"))

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of stored tables by the identity of their plans, so that superseded ones can be removed.
+_held: dict[int, str] = {}
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: ends the lineage, so a loop's plan does not grow and lost executors lose no rounds."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _held[id(out)] = path
+    weakref.finalize(out, _held.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``store`` returned, once what was made of them is stored itself; anything else is left alone."""
+    for table in tables:
+        path = _held.pop(id(table), None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
