@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import concentration
 from ..functions.names import content_id, pick_common_name, signal_id
 from ..storage import store
+from .skew import join_hot
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -240,11 +241,14 @@ def unlinked(nodes: DataFrame, linked: DataFrame, keys: tuple[str, ...] = ("nati
 
 def disambiguate(nodes: DataFrame, taken: DataFrame, preference: list[str]) -> DataFrame:
     """``native_id, display_name``: names used twice, or already taken, get `` (SOURCE:id)`` from the preferred id columns."""
-    bearers = nodes.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("__twice")).filter("__twice")  # counted before the join, so a name may have any number of bearers
+    # counted before the joins, and joined hot names apart, so a name may have any number of bearers
+    bearers = store(nodes.groupBy("name").agg(F.count(F.lit(1)).alias("__n")), "bearers")
     used = taken.select("name").distinct().withColumn("__used", F.lit(True))
+    known = store(bearers.join(used, "name", "left").withColumn("__twice", F.col("__n") > 1).filter("__twice or __used"), "known-names")
+    total = bearers.agg(F.sum("__n")).first()[0] or 0
     tag = F.coalesce(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f" ({c.upper()}:"), F.col(c), F.lit(")"))) for c in preference), F.lit(""))
-    marked = nodes.join(bearers, "name", "left").join(used, "name", "left")
-    return marked.select("native_id", F.when(F.coalesce("__twice", "__used", F.lit(False)), F.concat("name", tag)).otherwise(F.col("name")).alias("display_name"))
+    marked = join_hot(nodes, known, "name", "__n", total, "left")
+    return marked.select("native_id", F.when(F.coalesce(F.col("__twice"), F.lit(False)) | F.coalesce(F.col("__used"), F.lit(False)), F.concat("name", tag)).otherwise(F.col("name")).alias("display_name"))
 
 
 def lookup_table(entities: DataFrame) -> DataFrame:

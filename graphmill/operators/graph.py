@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, store
-from .skew import fingerprint, join_hot
+from .skew import fingerprint, fit, join_hot
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -63,7 +63,8 @@ def labels_by_anchor(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     step = store(edges.select("head", "tail").distinct(), "edges")
     seen = frontier = store(anchors.select("node", "label").distinct(), "labels")
     while True:
-        new = step.join(frontier, F.col("tail") == F.col("node")).select(F.col("head").alias("node"), "label").distinct()
+        # a root's children are many: they stay where they are while the frontier is small enough to be sent to them
+        new = step.join(fit(frontier), F.col("tail") == F.col("node")).select(F.col("head").alias("node"), "label").distinct()
         new = store(new.join(seen, ["node", "label"], "left_anti"), "labels")
         if new.isEmpty():
             return seen.groupBy("node").agg(F.array_sort(F.collect_set("label")).alias("labels"))
@@ -78,7 +79,7 @@ def nearest_groups(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     step = store(edges.select("head", "tail").distinct(), "edges")
     seen = frontier = store(anchors.select("node", F.col("label").alias("group"), F.lit(0).alias("depth")).distinct(), "groups")
     while True:
-        new = step.join(frontier, F.col("tail") == F.col("node")).select(F.col("head").alias("node"), "group", (F.col("depth") + 1).alias("depth")).distinct()
+        new = step.join(fit(frontier), F.col("tail") == F.col("node")).select(F.col("head").alias("node"), "group", (F.col("depth") + 1).alias("depth")).distinct()
         new = store(new.join(seen.select("node").distinct(), "node", "left_anti"), "groups")
         if new.isEmpty():
             return seen

@@ -454,6 +454,19 @@ def primary_entities(spark, d):
     return both.select("entity_id", "entity_type", F.lower("common_name").alias("common_name"), F.array_join("synonyms", "|").alias("synonyms"), ids.alias("ids"))
 
 
+@query("""WITH n AS (SELECT lpad(s_suppkey::VARCHAR, 9, '0') AS native_id, * FROM supplier), old AS (SELECT native_id, 'e' || (3 * s_suppkey + 7) AS e FROM n WHERE s_nationkey < 5), top AS (SELECT coalesce(max(substr(e, 2)::BIGINT), -1) AS m FROM old)
+SELECT coalesce(o.e, 'e' || (m + row_number() OVER (PARTITION BY o.e IS NULL ORDER BY native_id))) AS entity_id, 'food' AS entity_type, CASE WHEN s_nationkey % 2 = 0 THEN 'food ' || s_suppkey ELSE lower(s_name) END AS common_name,
+  lower(s_name) || '|food ' || s_suppkey AS synonyms, native_id AS foodon FROM n LEFT JOIN old o USING (native_id), top""")
+def primary_foods(spark, d):
+    """Foods with their best synonym as name; known ids stay"""
+    s, native = tg.table(spark, d, "supplier"), F.lpad(_cast("s_suppkey"), 9, "0")
+    other = F.when(F.col("s_nationkey") % 2 == 0, "label").otherwise("narrow")
+    nodes = s.select(native.alias("native_id"), F.lit("").alias("name"), F.array(F.upper("s_name"), F.concat(F.lit("Food "), "s_suppkey")).alias("synonyms"), F.array(F.lit("exact"), other).alias("synonym_types"))
+    old = s.filter("s_nationkey < 5").select(F.lit("foodon").alias("source"), native.alias("native_id"), F.concat(F.lit("e"), 3 * F.col("s_suppkey") + 7).alias("entity_id"))
+    made = build.create_primary(old, nodes, "foodon")
+    return made.select("entity_id", "entity_type", F.lower("common_name").alias("common_name"), F.array_join("synonyms", "|").alias("synonyms"), F.col("external_ids")["foodon"][0].alias("foodon"))
+
+
 @query("""SELECT 's' || s_suppkey AS entity_id, 'dmd' AS key, 'm' || s_suppkey AS value, CASE WHEN s_nationkey % 2 = 0 THEN lower(s_name) END AS name FROM supplier WHERE s_nationkey < 20""")
 def seeded_enrichment(spark, d):
     """Ids and names of seeded molecules for entities that exist"""

@@ -143,3 +143,27 @@ def test_key_filter_spares_files(spark, tmp_path):
         got = sorted(tuple(r) for r in read(files).join(asked, "k").collect())
         assert got == want and len(files) <= len(want) + 1
     assert keyfilter.candidate_files(spark, side, spark.createDataFrame([("nothing",)], "k string"), "k") == []
+
+
+def test_rollup_with_selected_medians_equals_plain(spark):
+    from graphmill.plans import composition as comp
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice(["c", "d", None]), rng.choice(comp.SOURCES), rng.choice([None, 0.0, 1.0, 2.5, 7.0]), rng.choice(["mg/100g", "g/100g"])) for _ in range(400)]
+    c = spark.createDataFrame(rows, "food string, chem string, source string, conc double, unit string")
+    assert sorted(map(str, comp.rollup(c).collect())) == sorted(map(str, comp.rollup(c, 20).collect()))
+
+
+def test_newest_release():
+    from graphmill.sources import readers
+
+    assert readers.newest_release(["/x/2024-04", "/x/2024-10", "/x/2023-12"]) == "/x/2024-10"
+
+
+def test_disambiguation_of_a_hot_name(spark):
+    from graphmill.operators import build
+
+    rows = [(str(k), "water", f"c{k}", None) for k in range(3000)] + [("a", "salt", None, "p1"), ("b", "iron", None, None), ("c", None, "x", None)]
+    nodes = spark.createDataFrame(rows, "native_id string, name string, chebi string, pubchem string")
+    out = {r.native_id: r.display_name for r in build.disambiguate(nodes, spark.createDataFrame([("salt",), ("salt",)], "name string"), ["chebi", "pubchem"]).collect()}
+    assert out["7"] == "water (CHEBI:c7)" and out["a"] == "salt (PUBCHEM:p1)" and out["b"] == "iron" and out["c"] is None and len(out) == len(rows)
