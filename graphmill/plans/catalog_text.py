@@ -10,6 +10,7 @@ from ..functions import claims as cl
 from ..functions import concentration, names
 from ..operators import build, text
 from ..sources import tables
+from ..storage import store
 from . import composition as comp
 from . import testgraph as tg
 
@@ -308,20 +309,33 @@ def classifier_scores(spark, d):
     return model.transform(docs).select("doc", F.get(vector_to_array("probability"), 1).alias("p"))
 
 
-@query(f"""WITH {tg.CLAIMS} SELECT count(*) AS n, count(*) FILTER (conc > 20) AS n_high FROM claims WHERE source = 'lit' AND unit = 'mg/100g'""")
+@query(f"""WITH {tg.CLAIMS}, usual AS (SELECT chem, quantile_cont(conc, 0.05) AS lo, quantile_cont(conc, 0.95) AS hi FROM claims WHERE unit = 'mg/100g' GROUP BY chem)
+SELECT chem, count(*) AS n, count(*) FILTER (conc BETWEEN lo AND hi) AS n_high, round(min(CASE WHEN conc < lo THEN 0.5 * conc / lo WHEN conc > hi THEN 0.5 * hi / conc ELSE 1 END), 6) AS lowest
+FROM claims JOIN usual USING (chem) WHERE source = 'lit' AND unit = 'mg/100g' GROUP BY chem""")
 def judge_stage(spark, d):
-    """Select, render, score by an injected scorer, validate, merge"""
+    """Select, render, score, validate, merge; the judge knows what is usual of each chemical from all claims"""
     from ..schemas import TRUST_SIGNALS
 
-    c = tg.claims(spark, d).filter("unit = 'mg/100g'")
-    att = c.select("attestation_id", "source", F.col("food").alias("head_name_raw"), F.col("part").alias("tail_name_raw"), F.col("conc").alias("conc_value"))
+    c = store(tg.claims(spark, d).filter("unit = 'mg/100g'").select("attestation_id", "source", "food", "chem", "conc"), "claims")
+    att = c.select("attestation_id", "source", F.col("food").alias("head_name_raw"), F.col("chem").alias("tail_name_raw"), F.col("conc").alias("conc_value"))
+    usual = c.groupBy("chem").agg(F.percentile("conc", [0.05, 0.95]).alias("q"))
+    if usual.count() > text.BROADCAST_TOKENS:
+        raise ValueError("too many chemicals for a judge that every task holds")
+    known = spark.sparkContext.broadcast({r.chem: tuple(r.q) for r in usual.collect()})
 
     def scorer(batch: pd.DataFrame) -> pd.DataFrame:
-        value = batch["prompt"].str.extract(r"at ([\d.]+)$")[0].astype(float)
-        return pd.DataFrame({"attestation_id": batch["attestation_id"], "reply": ['{"score": %s, "reason": "r"}' % (0.9 if v > 20 else 0.1) for v in value], "error": None})
+        parts = batch["prompt"].str.extract(r"^Is (?P<value>[-+.\dE]+) mg of (?P<chem>.*) in 100 g of .* plausible\?$")
 
-    out = text.judge(att, spark.createDataFrame([], TRUST_SIGNALS), ["lit"], scorer, "{head} holds {tail} at {value}", "judge", "v1", "h")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0.5).alias("n_high"))
+        def score(chem: str, value: float) -> float:
+            lo, hi = known.value[chem]
+            return 0.5 * value / lo if value < lo else 0.5 * hi / value if value > hi else 1.0
+
+        replies = ['{"score": %.9f, "reason": "against the usual range"}' % score(k, float(v)) for k, v in zip(parts["chem"], parts["value"])]
+        return pd.DataFrame({"attestation_id": batch["attestation_id"], "reply": replies, "error": None})
+
+    out = text.judge(att, spark.createDataFrame([], TRUST_SIGNALS), ["lit"], scorer, "Is {value} mg of {tail} in 100 g of {head} plausible?", "judge", "v1", "h")
+    named = out.join(c.select("attestation_id", "chem"), "attestation_id")
+    return named.groupBy("chem").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0.5).alias("n_high"), F.round(F.min("score"), 6).alias("lowest"))
 
 
 @query("SELECT doc_id AS doc, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 3")
