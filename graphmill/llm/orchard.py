@@ -25,12 +25,13 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 #: Entries measured first, spread over the codebook; the walk begins at the best of them.
-STARTS = 8
+STARTS = 16
 #: Neighbours read from a list at once.
-STEP = 8
+STEP = 16
 #: Scaled components beyond this would let sums of squares leave 64 bits; they are refused.
 LARGEST = 1 << 23
 BATCH = 4096
+FAR = np.iinfo(np.int64).max
 
 
 class Orchard:
@@ -38,6 +39,7 @@ class Orchard:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries = np.ascontiguousarray(entries, np.int64)
+        self.doubles, self.largest = entries.astype(np.float64), int(np.abs(entries).max()) if entries.size else 0
         n = len(entries)
         norms = (entries * entries).sum(1)
         self.apart = norms[:, None] + norms[None, :] - 2 * (entries @ entries.T)
@@ -48,47 +50,47 @@ class Orchard:
         self.reach = np.take_along_axis(self.apart, self.near, 1)
         self.starts = np.unique(np.linspace(0, n - 1, min(n, STARTS)).astype(np.int64))
 
-    def _distance(self, x: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        delta = x[:, None, :] - self.entries[entries]
-        return np.einsum("ijk,ijk->ij", delta, delta)
+    def _distances(self, x: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Squared distances of rows to some entries each. In doubles where all sums stay below 2 to the 53, so either way exact."""
+        delta = x[:, None, :] - (self.doubles if x.dtype == np.float64 else self.entries)[entries]
+        return np.einsum("ijk,ijk->ij", delta, delta).astype(np.int64)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The nearest entry of each row of ``x``, its squared distance, and how many distances were measured."""
         n, last = len(x), self.near.shape[1]
+        largest = max(int(np.abs(x).max()) if x.size else 0, self.largest)
+        if 4 * largest * largest * max(1, x.shape[1]) < 1 << 53:
+            x = x.astype(np.float64)
         rows = np.arange(n)
         seen = np.zeros((n, len(self.entries)), bool)
         seen[:, self.starts] = True
-        first = self._distance(x, np.broadcast_to(self.starts, (n, len(self.starts))))
+        first = self._distances(x, np.broadcast_to(self.starts, (n, len(self.starts))))
         at = first.argmin(1)
         best, found, measured = first[rows, at], self.starts[at], first.size
         place = np.zeros(n, np.int64)
         active = rows
         while len(active):
             # a place at the end of the list, or a neighbour beyond twice the distance, ends the walk; equality may still be a tie
-            inside = place[active] < last
-            active = active[inside]
+            active = active[place[active] < last]
             active = active[self.reach[found[active], place[active]] <= 4 * best[active]]
             if not len(active):
                 break
             columns = np.minimum(place[active, None] + np.arange(STEP), last - 1)
             cand = self.near[found[active, None], columns]
             fresh = ~seen[active[:, None], cand] & (self.reach[found[active, None], columns] <= 4 * best[active, None])
-            seen[active[:, None], cand] |= fresh
-            i, j = np.nonzero(fresh)
             place[active] += STEP
-            if not len(i):
+            some = fresh.any(1)
+            who, cand, fresh = active[some], cand[some], fresh[some]
+            if not len(who):
                 continue
-            who, what = active[i], cand[i, j]
-            delta = x[who] - self.entries[what]
-            d = np.einsum("ij,ij->i", delta, delta)
-            measured += len(d)
-            order = np.lexsort((what, d, who))
-            who, what, d = who[order], what[order], d[order]
-            lead = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            who, what, d = who[lead], what[lead], d[lead]
-            better = (d < best[who]) | ((d == best[who]) & (what < found[who]))
-            who, what, d = who[better], what[better], d[better]
-            best[who], found[who], place[who] = d, what, 0
+            seen[who[:, None], cand] |= fresh
+            measured += int(fresh.sum())
+            d = np.where(fresh, self._distances(x[who], cand), FAR)
+            least = d.min(1)
+            what = np.where(d == least[:, None], cand, len(self.entries)).min(1)
+            better = (least < best[who]) | ((least == best[who]) & (what < found[who]))
+            who = who[better]
+            best[who], found[who], place[who] = least[better], what[better], 0
         return found, best, measured
 
 
