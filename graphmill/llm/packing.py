@@ -5,7 +5,7 @@ their own; what remains of each document, its tail, is packed with others. Tails
 are range-partitioned by a lexical key, so that related ones are neighbours and
 no group, however large, is one task. A shard is a run of tails within a
 partition. It has an inverted index with BM25 weights (document frequencies are
-those of the whole corpus): a seed document retrieves unused neighbours by
+those of all tails of the corpus): a seed document retrieves unused neighbours by
 score, which greedily fill its window; the one that does not fit is cut and its
 rest seeds the next window. What is left over at the end of a partition is cut
 into sequences whose lengths are powers of two, which need no padding.
