@@ -44,35 +44,40 @@ def pieces(text: Column) -> Column:
 
 
 def _core(word: Column) -> Column:
-    """A word without closing quotes and brackets after it and opening ones before."""
-    return F.regexp_replace(word, r"^[\"'(\[{«“‘]+|[\"')\]}»”’\s]+$", "")
+    """A word without closing quotes, brackets and white space after it and opening ones before."""
+    return F.ltrim(F.rtrim(word, F.lit("\"')]}»”’ \t\n\r\f\u000b")), F.lit("\"'([{«“‘"))
 
 
 def _base(core: Column) -> Column:
     """Lower case without one final period; all numbers are one."""
-    bare = F.lower(F.regexp_replace(core, r"\.$", ""))
+    bare = F.lower(F.when(core.endswith("."), F.substring(core, F.lit(1), F.length(core) - 1)).otherwise(core))
     return F.when(bare.rlike(r"^[+-]?[0-9][0-9.,/-]*$"), F.lit(NUMBER)).otherwise(bare)
 
 
 def ends(core: Column) -> Column:
     """Whether a word may end a sentence."""
-    return core.rlike(r"[.!?…]$")
+    return core.endswith(".") | core.endswith("!") | core.endswith("?") | core.endswith("…")
 
 
 def in_doubt(core: Column) -> Column:
     """Ends in a period; exclamation and question marks are not in doubt."""
-    return core.rlike(r".\.$") | core.rlike(r"…$")
+    return (core.endswith(".") & (F.length(core) > 1)) | (core.endswith("…") & (F.length(core) >= 1))
 
 
-def _pairs(text: Column) -> Column:
-    """A text's words (``core``), each with the one after it (``next``, null at the end)."""
-    cores = F.transform(pieces(text), _core)
-    return F.arrays_zip(cores.alias("core"), F.slice(cores, F.lit(2), F.size(cores)).alias("next"))
+def dots(core: Column) -> Column:
+    """Ends in several periods."""
+    return core.endswith("..") | core.endswith("…")
+
+
+def _pairs(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """One row per word: ``keep``, its place ``at``, and ``x``: ``core`` and the word after it (``next``, null at the end)."""
+    cores = df.select(*keep, F.transform(pieces(F.col(text)), _core).alias("core"))  # computed once, not once per use below
+    return cores.select(*(c for c in cores.columns if c != "core"), F.posexplode(F.arrays_zip("core", F.slice("core", F.lit(2), F.size("core")).alias("next"))).alias("at", "x"))
 
 
 def words_of(df: DataFrame, text: str) -> DataFrame:
     """One row per word of every text: ``core, base, dot, word`` (the next word's base, null at the end) and ``upper``, ``lower`` (how that begins)."""
-    return _described(df.select(F.explode(_pairs(F.col(text))).alias("x")))
+    return _described(_pairs(df, text))
 
 
 def _described(rows: DataFrame, *keep: str) -> DataFrame:
@@ -122,7 +127,7 @@ def learn(df: DataFrame, text: str = "text") -> Boundaries:
     abbreviations = store(found.select("base"), "abbreviations")
 
     marked = words.filter("word is not null").join(_fit(abbreviations.withColumn("abbreviated", F.lit(True))), "base", "left").withColumn("abbreviated", F.coalesce("abbreviated", F.lit(False)))
-    dotted = F.col("dot") & ~F.col("core").rlike(r"\.\.$|…$")
+    dotted = F.col("dot") & ~dots(F.col("core"))
     ended = (ends(F.col("core")) & ~F.col("dot")) | (dotted & ~F.col("abbreviated"))
     open_ = F.col("dot") & (F.col("abbreviated") | (F.col("base") == NUMBER) | initial(F.col("base")))
     counted = marked.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(ended).alias("after_end"), F.count_if("lower").alias("lower"), F.count_if(F.col("upper") & ~ended & ~F.col("dot")).alias("upper_mid"), F.count_if(F.col("dot")).alias("exposed"))
@@ -143,8 +148,7 @@ def goes_on(abbreviated: Column, starter: Column, lower_seen: Column, upper_mid:
     """Whether a sentence goes on after a word with a period (``core, base``) before ``word`` that begins ``upper`` or ``lower``."""
     begins = F.col("upper") & (starter | (lower_seen & ~upper_mid))
     number = (F.col("base") == NUMBER) & (F.col("lower") | (F.col("word") == NUMBER))
-    dots = F.col("core").rlike(r"\.\.$|…$")
-    return tied | ((abbreviated | initial(F.col("base")) | dots) & ~begins) | number
+    return tied | ((abbreviated | initial(F.col("base")) | dots(F.col("core"))) & ~begins) | number
 
 
 def split_sentences(df: DataFrame, text: str, keep: list[str], learnt: Boundaries) -> DataFrame:
@@ -155,10 +159,11 @@ def split_sentences(df: DataFrame, text: str, keep: list[str], learnt: Boundarie
     cut where they stand. Null and empty texts have no sentences; a text without
     an end mark is one; line ends are white space like any other.
     """
-    doubts = _described(df.select(F.md5(text).alias("__text"), F.posexplode(_pairs(F.col(text))).alias("at", "x")), "__text", "at").filter("dot and word is not null")
+    doubtful = _pairs(df, text, F.md5(text).alias("__text")).filter(in_doubt(F.col("x.core")) & F.col("x.next").isNotNull())
+    doubts = _described(doubtful, "__text", "at")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     doubts = doubts.join(_fit(learnt.abbreviations.withColumn("__a", F.lit(True))), "base", "left")
-    open_ = known("__a") | (F.col("base") == NUMBER) | initial(F.col("base")) | F.col("core").rlike(r"\.\.$|…$")
+    open_ = known("__a") | (F.col("base") == NUMBER) | initial(F.col("base")) | dots(F.col("core"))
     doubts = doubts.filter(open_).join(_fit(learnt.words.withColumnsRenamed({"starter": "__s", "lower": "__l", "upper_mid": "__u"})), "word", "left")
     doubts = doubts.join(_fit(learnt.collocations.withColumn("__c", F.lit(True))), ["base", "word"], "left")
     on = doubts.filter(goes_on(known("__a"), known("__s"), known("__l"), known("__u"), known("__c")))
