@@ -248,13 +248,13 @@ class Index:
         self.docs = (codes[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         terms = (codes[lead] >> np.uint64(32)).astype(np.int64)
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(mean, 1.0)))
-        self.weight = weight
+        self.weight = weight = weight.astype(np.float32)
         self.names, self.begin = np.unique(terms, return_index=True)
         self.end = np.r_[self.begin[1:], len(terms)]
         self.n = len(tails)
-        # each document's terms, largest weight first
+        # each document's terms, largest weight first; equal ones stay in their order
         of = np.repeat(np.arange(len(self.names)), self.end - self.begin)
-        order = np.lexsort((of, -weight, self.docs))
+        order = np.lexsort((-weight, self.docs))
         starts = np.searchsorted(self.docs[order], np.arange(self.n + 1))
         self.terms_of = [of[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(starts[:-1], starts[1:])]
 
