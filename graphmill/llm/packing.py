@@ -38,8 +38,8 @@ K1, B = 1.2, 0.75
 LEAST_FREQUENCY = 64
 #: Characters of a text that are encoded at once.
 SLICE_CHARS = 1 << 20
-#: Marks the first stretch of a text, which has no space in front; a unit never begins with white space.
-FIRST = "\n"
+#: Marks the first stretch of a text, which has nothing in front; a unit begins with no white space but a line end.
+FIRST = "\r"
 #: Units that are encoded as one text.
 JOINED = 1024
 #: Entries kept in a worker's table of units before it starts afresh.
@@ -73,9 +73,11 @@ class Encoder:
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
-        #: Tokens that begin with a space; byte-level vocabularies spell it so.
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        #: Tokens that begin with a space or a line end; byte-level vocabularies spell them so.
+        self.led = {}
+        for lead, mark in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.led[lead] = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.led[lead][[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(mark)]] = True
 
     def _each(self, texts: list[str]) -> list[bytes]:
         """The ids of any texts, given to the library as the words of one input, which it treats apart."""
@@ -89,21 +91,25 @@ class Encoder:
         raw, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """The ids of units without spaces, each led by its space: joined they are one text, cut where a token has a space in front."""
+    def _units(self, units: list[str], lead: str = " ") -> list[bytes]:
+        """The ids of units, each led by its space or line end and without another: joined they are one text, cut where a token begins so."""
         out: list[bytes] = []
         parts = [units[k : k + JOINED] for k in range(0, len(units), JOINED)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(part) for part in parts], add_special_tokens=False)):
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([lead + lead.join(part) for part in parts], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            begin = np.flatnonzero(self.spaced[ids])
+            begin = np.flatnonzero(self.led[lead][ids])
             if len(begin) == len(part):
                 out += self._cut(ids, np.append(begin[1:], len(ids)))
             else:
-                out += self._each([" " + u for u in part])
+                out += self._each([lead + u for u in part])
         return out
 
     def _stretches(self, text: str) -> list[str]:
         """A text as its first stretch, marked, and the units after it; white space other than single spaces stays inside them."""
+        if "\n" in text and "\n\n" not in text and not unsafe(text):
+            out = text.replace("\n", " \n").split(" ")  # a lone line end is a pre-token of its own and begins a unit
+            out[0] = FIRST + out[0]
+            return out
         out = text.split(" ")
         if unsafe(text):
             units, out = out[1:], out[:1]
@@ -125,9 +131,11 @@ class Encoder:
         missing = set().union(*(p for ps in parts for p in ps)).difference(memo)
         firsts = [u for u in missing if u.startswith(FIRST)]
         odd = [u for u in self.odd if u in missing]
-        plain = list(missing.difference(firsts, odd))
+        lines = [u for u in missing if u.startswith("\n")]
+        plain = list(missing.difference(firsts, odd, lines))
         memo.update(zip(firsts, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([u[len(FIRST) :] for u in firsts], add_special_tokens=False))))
         memo.update(zip(odd, self._each([" " + u for u in odd])))
+        memo.update(zip(lines, self._units([u[1:] for u in lines], "\n")))
         memo.update(zip(plain, self._units(plain)))
         look = memo.__getitem__
         return [np.frombuffer(b"".join(b"".join(map(look, p)) for p in ps), self.kind) for ps in parts]
