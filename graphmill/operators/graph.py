@@ -131,10 +131,27 @@ def components(links: DataFrame) -> DataFrame:
     return out.union(alone.join(out.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
+def listed_components(lists: DataFrame) -> DataFrame:
+    """``node, component``: ids that occur together in any list (column ``ids``), by the least id of their cluster."""
+    return components(lists.filter(F.size("ids") > 1).select(F.explode("ids").alias("b"), F.array_min("ids").alias("a")).filter("a <> b"))
+
+
+def cluster_sizes(lists: DataFrame) -> DataFrame:
+    """``node, component, n``: the cluster of each id that shares a list with another, and how many ids it has.
+
+    One row per id and no array of members, so a cluster may have any size.
+    """
+    found = store(listed_components(lists), "clusters")
+    sizes = store(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
+    return join_hot(found, sizes, "component", "n", found.count()).select("node", "component", "n")
+
+
 def siblings(lists: DataFrame) -> DataFrame:
-    """``node, siblings``: ids that occur together in any list (column ``ids``) form a cluster; each lists the others, sorted."""
-    pairs = lists.filter(F.size("ids") > 1).select(F.explode("ids").alias("b"), F.array_min("ids").alias("a")).filter("a <> b")
-    found = store(components(pairs), "clusters")
+    """``node, siblings``: ids that occur together in any list (column ``ids``) form a cluster; each lists the others, sorted.
+
+    As long as the square of the clusters; ``cluster_sizes`` gives membership alone.
+    """
+    found = store(listed_components(lists), "clusters")
     members = found.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members"))
     return found.join(members, "component").select("node", F.filter("members", lambda m: m != F.col("node")).alias("siblings"))
 
