@@ -14,3 +14,13 @@ def test_cluster_sizes_hold_no_arrays(spark):
     out = graph.cluster_sizes(lists)
     assert {tuple(r) for r in out.collect()} == {("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("y", "y", 2), ("z", "y", 2)}
     assert dict(out.dtypes) == {"node": "string", "component": "string", "n": "bigint"} and "collect_set" not in plan(out)
+
+
+def test_siblings_within_a_page_come_from_their_group(spark):
+    from graphmill.plans import catalog_query
+    from graphmill.plans import composition as comp
+
+    rows = spark.createDataFrame([("a", "g"), ("c", "g"), ("b", "g"), ("d", "h"), ("e", None)], "id string, group string")
+    assert {r.id: r.siblings for r in comp.scoped_groups(rows).collect()} == {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"], "d": [], "e": []}
+    whole = plan(catalog_query.QUERIES["scoped_siblings"][0](spark, "/root/testdata/sf0.001"))
+    assert "explode" not in whole and "array_except" not in whole  # no list per row is shuffled
