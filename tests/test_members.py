@@ -33,3 +33,22 @@ def test_descriptors_of_users_beyond_a_thousand_match_the_query(spark, tmp_path)
     spark.createDataFrame([(1, "PROMO"), (1, "SMALL"), (2, "PROMO")], "p_size int, p_type string").write.parquet(str(tmp_path / "part.parquet"))
     out = Counter((r.kind, r.a, r.c) for r in catalog_files.QUERIES["source_flavor"][0](spark, str(tmp_path)).collect())
     assert out == Counter({("node", "1001", ""): 2, ("xref", "1001", "1001"): 2} | {(k, a, a if k == "xref" else ""): 1 for k in ("node", "xref") for a in ("7", "1002")})
+
+
+def test_ids_multiply_out_without_lists(spark):
+    from graphmill.operators import build
+
+    edges = spark.createDataFrame([("1", "9", "x"), ("2", "9", "y"), ("3", "8", "z")], "head_native_id string, tail_native_id string, kind string")
+    heads = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a")], "native_id string, entity_id string")
+    tails = spark.createDataFrame([("9", "p"), ("9", "q"), ("8", "r")], "native_id string, entity_id string")
+    out = build.resolve_counted(edges, heads, tails)
+    assert Counter((r.head_id, r.tail_id, r.kind, r.n_heads, r.n_tails) for r in out.collect()) == Counter({("a", "p", "x", 2, 2): 1, ("a", "q", "x", 2, 2): 1, ("b", "p", "x", 2, 2): 1, ("b", "q", "x", 2, 2): 1, ("a", "p", "y", 1, 2): 1, ("a", "q", "y", 1, 2): 1})
+    assert "array" not in {t.split("<")[0] for _, t in out.dtypes}
+
+
+def test_members_in_slices_are_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3), ("i", 4)], "grp string, n int")
+    members = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c")], "grp string, m string")
+    want = Counter(map(tuple, skew.with_members(rows, members, "grp").select("grp", "n", "m").collect()))
+    monkeypatch.setattr(skew, "MEMBERS", 0)
+    assert Counter(map(tuple, skew.with_members(rows, members, "grp").select("grp", "n", "m").collect())) == want and sum(want.values()) == 5
