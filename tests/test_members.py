@@ -52,3 +52,20 @@ def test_members_in_slices_are_the_same(spark, monkeypatch):
     want = Counter(map(tuple, skew.with_members(rows, members, "grp").select("grp", "n", "m").collect()))
     monkeypatch.setattr(skew, "MEMBERS", 0)
     assert Counter(map(tuple, skew.with_members(rows, members, "grp").select("grp", "n", "m").collect())) == want and sum(want.values()) == 5
+
+
+def lookup(spark):
+    return spark.createDataFrame([("food", "milk", ["f1", "f2"]), ("food", "cream", ["f2"]), ("chemical", "salt", ["c1", "c2"]), ("chemical", "nacl", ["c2"]), ("food", "salt", ["f9"])], "entity_type string, name string, entity_ids array<string>")
+
+
+def claimed(spark):
+    return spark.createDataFrame([("1", "s", "milk", "salt", "2 mg/g"), ("2", "s", "cream", "salt", "2 mg/g"), ("2", "s", "cream", "salt", "2 mg/g"), ("3", "s", "milk", "nacl", "2 mg/g"), ("4", "s", "tea", "salt", "2 mg/g"), ("5", "s", None, "salt", "2 mg/g"), ("6", "s", "milk", "salt", None)], "pmcid string, sentence string, food string, chemical string, quantity string")
+
+
+def test_claims_resolve_alike_with_counts_for_lists(spark):
+    from graphmill.operators import build
+
+    want = Counter((r.pmcid, r.head_id, r.tail_id, len(r.head_candidates), len(r.tail_candidates)) for r in build.resolve_claims(claimed(spark), lookup(spark)).collect())
+    out = build.resolve_claims_counted(claimed(spark), lookup(spark))
+    assert Counter((r.pmcid, r.head_id, r.tail_id, r.n_heads, r.n_tails) for r in out.collect()) == want
+    assert not any(t.startswith("array") for _, t in out.dtypes)
