@@ -30,7 +30,7 @@ def native_ids(entities: DataFrame, key: str) -> DataFrame:
 
 
 def explode_ids(entities: DataFrame, key: str) -> DataFrame:
-    """``native_id, entity_id, candidates``: each id of one kind with every entity that carries it."""
+    """``native_id, entity_id, candidates``: each id of one kind with every entity that carries it; as long as the square of an id's bearers."""
     flat = entities.select("entity_id", F.explode(F.try_element_at("external_ids", F.lit(key))).alias("native_id")).distinct()
     return flat.groupBy("native_id").agg(F.array_sort(F.collect_set("entity_id")).alias("candidates")).withColumn("entity_id", F.explode("candidates"))
 
@@ -39,11 +39,11 @@ def resolve_edges(edges: DataFrame, heads: DataFrame, tails: DataFrame, loops: b
     """Edges with both ends resolved: ``head_id, tail_id, head_candidates, tail_candidates`` and the edge's columns; edges within one entity go unless ``loops``."""
     h = heads.select(F.col("native_id").alias("head_native_id"), F.col("entity_id").alias("head_id"), F.col("candidates").alias("head_candidates"))
     t = tails.select(F.col("native_id").alias("tail_native_id"), F.col("entity_id").alias("tail_id"), F.col("candidates").alias("tail_candidates"))
-    found = edges.join(h, "head_native_id").join(t, "tail_native_id")
+    # candidate lists are far larger than the file they are made from suggests: they are not sent to every task
+    found = edges.join(h.hint("merge"), "head_native_id").join(t.hint("merge"), "tail_native_id")
     return found if loops else found.filter("head_id <> tail_id")
 
 
-def attest(resolved: DataFrame, source: str, reference: Column, relation: Column, value: Column | None = None, unit: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
 def resolve_counted(edges: DataFrame, heads: DataFrame, tails: DataFrame, few: bool = True) -> DataFrame:
     """Edges with both ends resolved, how many candidates each end has beside them: ``head_id, tail_id, n_heads, n_tails`` and the edge's columns.
 
@@ -61,6 +61,7 @@ def resolve_counted(edges: DataFrame, heads: DataFrame, tails: DataFrame, few: b
     return with_members(with_members(counted, h, "head_native_id"), t, "tail_native_id", few)
 
 
+def attest(resolved: DataFrame, source: str, reference: Column, relation: Column, value: Column | None = None, unit: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evidence, attestations, triplets) of resolved edges; ids follow from content, so a second run adds nothing."""
     none = F.lit(None).cast("string")
     full = resolved.withColumns({"reference": reference, "relationship_id": relation, "source": F.lit(source), "raw_value": (value if value is not None else none).cast("string"), "raw_unit": unit if unit is not None else none})
@@ -127,20 +128,19 @@ def food_triplets(edges: DataFrame, foods: DataFrame, nutrients: DataFrame, unit
     return attest(resolve_edges(rows, foods, nutrients), "fdc", F.to_json(F.struct("head_native_id")), F.lit("r1"), F.col("amount"), unit)
 
 
-def resolve_claims(claims: DataFrame, lut: DataFrame, head: str = "food", tail: str = "chemical") -> DataFrame:
 def named_ids(claims: DataFrame, lut: DataFrame, kind: str, name: str, as_: str) -> DataFrame:
     """(``name``, ``as_``): the ids of one kind that bear a name of the claims, a row each."""
     bearers = lut.filter(F.col("entity_type") == kind).select(F.col("name").alias(name), F.col("entity_ids"))
     return bearers.join(claims.select(name).distinct(), name, "left_semi").select(name, F.explode("entity_ids").alias(as_))
 
 
+def resolve_claims(claims: DataFrame, lut: DataFrame, head: str = "food", tail: str = "chemical") -> DataFrame:
     """Claims with both names known, once for each pair of candidates; candidate lists are kept beside."""
     side = lambda kind, name, as_: lut.filter(F.col("entity_type") == kind).select(F.col("name").alias(name), F.col("entity_ids").alias(as_))
     both = claims.join(side("food", head, "head_candidates"), head).join(side("chemical", tail, "tail_candidates"), tail)
     return both.withColumn("head_id", F.explode("head_candidates")).withColumn("tail_id", F.explode("tail_candidates"))
 
 
-def claim_triplets(resolved: DataFrame, method: str, head: str = "food", tail: str = "chemical") -> tuple[DataFrame, DataFrame, DataFrame]:
 def resolve_claims_counted(claims: DataFrame, lut: DataFrame, head: str = "food", tail: str = "chemical") -> DataFrame:
     """As ``resolve_claims``, with ``n_heads, n_tails`` in place of the candidate lists, so a name may have any number of bearers."""
     ids = lambda kind, name: named_ids(claims, lut, kind, name, "entity_id").withColumnRenamed(name, "native_id")
@@ -148,13 +148,13 @@ def resolve_claims_counted(claims: DataFrame, lut: DataFrame, head: str = "food"
     return found.withColumnsRenamed({"head_native_id": head, "tail_native_id": tail})
 
 
+def claim_triplets(resolved: DataFrame, method: str, head: str = "food", tail: str = "chemical") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evidence, attestations, triplets) of resolved literature claims: one evidence per article and sentence (``pmcid, sentence``), ``quantity`` as text."""
     rows = resolved.withColumns({"head_native_id": F.col(head), "tail_native_id": F.col(tail)})
     rows = rows.select("*", F.explode(F.array(concentration.parse(F.col("quantity")))).alias("__conc"))
     return attest(rows, method, F.to_json(F.struct("pmcid", "sentence")), F.lit("r1"), F.col("__conc.value"), F.col("__conc.unit"))
 
 
-def resolution_counts(claims: DataFrame, lut: DataFrame, head: str = "food", tail: str = "chemical") -> DataFrame:
 def _alike(ids: DataFrame, name: str, entity: str, group: str) -> tuple[DataFrame, DataFrame]:
     """(``name, group``, ``group, entity``): entities that bear the same names are one group."""
     members = store(ids.groupBy(entity).agg(F.sha2(F.to_json(F.array_sort(F.collect_set(name))), 256).alias(group), F.collect_set(name).alias(name)), "alike")
@@ -180,6 +180,7 @@ def claim_counts(claims: DataFrame, lut: DataFrame, method: str, head: str = "fo
     return found.select("head_id", F.lit("r1").alias("relationship_id"), "tail_id", "n_att")
 
 
+def resolution_counts(claims: DataFrame, lut: DataFrame, head: str = "food", tail: str = "chemical") -> DataFrame:
     """``counter, n``: rows, resolved and dropped rows, unique, ambiguous and unknown names, rows that ambiguity adds."""
     side = lambda kind, as_: lut.filter(F.col("entity_type") == kind).select(F.col("name").alias(as_), F.size("entity_ids").alias(f"n_{as_}"))
     j = claims.select(head, tail).join(side("food", head), head, "left").join(side("chemical", tail), tail, "left")

@@ -78,3 +78,11 @@ def test_claims_are_counted_as_their_triplets_list_them(spark):
     counted = build.claim_counts(claimed(spark), lookup(spark), "lit")
     want = {(r.head_id, r.relationship_id, r.tail_id): len(r.attestation_ids) for r in listed.collect()}
     assert Counter({(r.head_id, r.relationship_id, r.tail_id): r.n_att for r in counted.collect()}) == Counter(want) and counted.count() == len(want) == 4
+
+
+def test_candidate_lists_are_not_broadcast(spark, sf_dir):
+    from graphmill.plans import catalog_build
+
+    physical = catalog_build.QUERIES["ontology_builders"][0](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    broadcast = [line for line in physical.splitlines() if "BroadcastHashJoin" in line]
+    assert not any("native_id" in line or "attestation_id" in line for line in broadcast) and "SortMergeJoin" in physical
