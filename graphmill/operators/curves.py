@@ -30,7 +30,7 @@ def score_curve(scored: DataFrame, score: str = "score", label: str = "label") -
     share = lambda a, b: F.try_divide(a.cast("double"), b)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     return full.agg(
-        share(area, F.lit(pos) * F.lit(neg)).alias("auc"),
+        share(area, F.lit(float(pos) * neg)).alias("auc"),  # pairs, beyond an integer
         share(F.sum(F.col("pos") * share(F.col("tp"), F.col("tp") + F.col("fp"))), F.lit(pos)).alias("average_precision"),
         F.max(share(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.lit(pos))).alias("best_f1"),
         F.lit(pos + neg).cast("long").alias("n"),

@@ -86,3 +86,10 @@ def test_candidate_lists_are_not_broadcast(spark, sf_dir):
     physical = catalog_build.QUERIES["ontology_builders"][0](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     broadcast = [line for line in physical.splitlines() if "BroadcastHashJoin" in line]
     assert not any("native_id" in line or "attestation_id" in line for line in broadcast) and "SortMergeJoin" in physical
+
+
+def test_score_curve_of_more_pairs_than_an_integer_holds(spark):
+    from graphmill.operators import curves
+
+    scored = spark.range(120_000).select((F.col("id") >= 60_000).cast("int").alias("label"), F.floor(F.col("id") / 1000).cast("double").alias("score"))
+    assert tuple(curves.score_curve(scored).first()) == (1.0, 1.0, 1.0, 120_000, 60_000)
