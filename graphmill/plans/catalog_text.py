@@ -205,9 +205,12 @@ def greek_match(spark, d):
     """How many names of a size are equal to a part's up to the spelling of Greek letters and dashes"""
     p = tg.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
     spell = lambda forms, key: F.get(F.array(*map(F.lit, forms)), (F.col(key) % 5).cast("int"))
-    one = p.select("p_size", F.col("p_partkey").alias("id"), F.concat(spell(("β-", "beta–", "Γ-", "gamma-", ""), "p_partkey"), F.upper("p_name")).alias("a"))
+    one = p.select("p_size", F.col("p_partkey").alias("id"), names.standardize_name(F.concat(spell(("β-", "beta–", "Γ-", "gamma-", ""), "p_partkey"), F.upper("p_name"))).alias("name"))
     two = p.groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("k")).select("p_size", F.concat(spell(("gamma–", "Beta-", "", "γ-", "β–"), "k"), "p_name").alias("b"))
-    return one.join(two, "p_size").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(names.same_spelling(F.col("a"), F.col("b"))).alias("same"))
+    # each name is spelt out once; equal ones are counted by size and met by equality, so no pair is made
+    met = two.groupBy("p_size").agg(F.count(F.lit(1)).alias("met"))
+    same = two.groupBy("p_size", names.standardize_name(F.col("b")).alias("name")).agg(F.count(F.lit(1)).alias("same"))
+    return one.join(met, "p_size").join(same, ["p_size", "name"], "left").groupBy("id").agg(F.sum("met").alias("met"), F.sum(F.coalesce("same", F.lit(0))).alias("same"))
 
 
 @query("""SELECT trim(u.t) AS term, count(*) AS n FROM part, unnest(string_split(p_name || ', ' || p_type || ',', ',')) AS u(t) WHERE trim(u.t) <> '' GROUP BY 1""")

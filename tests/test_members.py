@@ -93,3 +93,11 @@ def test_score_curve_of_more_pairs_than_an_integer_holds(spark):
 
     scored = spark.range(120_000).select((F.col("id") >= 60_000).cast("int").alias("label"), F.floor(F.col("id") / 1000).cast("double").alias("score"))
     assert tuple(curves.score_curve(scored).first()) == (1.0, 1.0, 1.0, 120_000, 60_000)
+
+
+def test_greek_spellings_meet_by_equality(spark, sf_dir):
+    from graphmill.plans import catalog_text
+
+    physical = catalog_text.QUERIES["greek_match"][0](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in physical.splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("Contains" in line or "translate" in line for line in joins) and any("name" in line for line in joins)
