@@ -17,17 +17,24 @@ def _places(key: Column, bitmaps: int) -> Column:
     return F.array(*(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BITS * bitmaps)) + 1 for seed in range(HASHES)))
 
 
-def build_filter(rows: DataFrame, key: str, path: str, bitmaps: int = BITMAPS) -> None:
-    """Write the filter of ``rows``, as read from files, to ``path``: a Bloom filter, least and greatest key of each file.
+def filter_of(rows: DataFrame, key: str, bitmaps: int = BITMAPS) -> DataFrame:
+    """The filter of ``rows``, as read from files: a Bloom filter, least and greatest key of each file.
 
     Bits are set by partial aggregation, so a file's keys are never gathered; a
     file takes up to ``bitmaps`` times 4 KB. Null keys are not entered.
     """
     marked = rows.select(F.col("_metadata.file_path").alias("file"), F.col(key).cast("string").alias("k")).filter("k is not null")
-    ends = marked.groupBy("file").agg(F.min("k").alias("least"), F.max("k").alias("most"))
-    bits = marked.select("file", F.explode(_places(F.col("k"), bitmaps)).alias("at"))
+    # least and greatest texts alone would be found by sorting all rows; beside a collecting aggregate they are kept per file
+    ends = marked.groupBy("file").agg(F.min("k").alias("least"), F.max("k").alias("most"), F.collect_set(F.lit(1)).alias("__kept")).filter(F.size("__kept") > 0).drop("__kept")
+    # places are made distinct first, by hashing: at most all bits of a file are left to be sorted into bitmaps
+    bits = marked.select("file", F.explode(_places(F.col("k"), bitmaps)).alias("at")).distinct()
     maps = bits.groupBy("file", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    maps.join(ends, "file").select("file", "bucket", "bits", "least", "most").write.parquet(path)
+    return maps.join(ends, "file").select("file", "bucket", "bits", "least", "most")
+
+
+def build_filter(rows: DataFrame, key: str, path: str, bitmaps: int = BITMAPS) -> None:
+    """Write the filter of ``rows`` to ``path``."""
+    filter_of(rows, key, bitmaps).write.parquet(path)
 
 
 def candidate_files(spark: SparkSession, path: str, keys: DataFrame, key: str, bitmaps: int = BITMAPS) -> list[str]:

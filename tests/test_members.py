@@ -101,3 +101,14 @@ def test_greek_spellings_meet_by_equality(spark, sf_dir):
     physical = catalog_text.QUERIES["greek_match"][0](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in physical.splitlines() if "Join" in line]
     assert len(joins) == 2 and not any("Contains" in line or "translate" in line for line in joins) and any("name" in line for line in joins)
+
+
+def test_key_filters_are_built_without_sorting_rows(spark, tmp_path):
+    from graphmill.sources import keyfilter
+
+    spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("target")).repartition(3).write.csv(str(tmp_path / "map"))
+    rows = spark.read.schema("target string").csv(str(tmp_path / "map"))
+    made = keyfilter.filter_of(rows, "target")
+    want = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("target").alias("least"), F.max("target").alias("most"))
+    assert Counter(map(tuple, made.select("file", "least", "most").distinct().collect())) == Counter(map(tuple, want.collect()))
+    assert made._jdf.queryExecution().sparkPlan().toString().count("SortAggregate") == 2  # only places that are distinct are sorted
