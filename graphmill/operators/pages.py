@@ -12,18 +12,23 @@ from ..sources import versions
 
 #: Rows of a part, about; a page reads the parts it lies in.
 PART_ROWS = 1_000_000
+#: Ranges sorted by one task each; small parts are cut from them, so the driver's samples follow the ranges and not the parts.
+RANGES, RANGE_ROWS = 200, 1_000_000
 
 
 def build_order(rows: DataFrame, order: list[Column], root: str, part_rows: int = PART_ROWS) -> versions.Snapshot:
-    """Store ``rows`` by ``order`` in ranges, and how many rows each range holds.
+    """Store ``rows`` by ``order`` in parts of at most ``part_rows``, and how many rows each part holds.
 
-    ``order`` should be total; rows equal in all of it keep one order once
-    stored. An empty table gives an order without rows.
+    A task sorts a range and cuts it into parts, each named by the place of its
+    first row. ``order`` should be total; rows equal in all of it keep one order
+    once stored. An empty table gives an order without rows.
     """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(max(1, -(-rows.count() // part_rows)), *order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("__at", F.monotonically_increasing_id())
-    placed = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+    spark, n = rows.sparkSession, rows.count()
+    ranges = min(-(-n // part_rows), max(RANGES, -(-n // RANGE_ROWS)))
+    ranged = rows.repartitionByRange(max(1, ranges), *order).sortWithinPartitions(*order)
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) % part_rows
+    placed = ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__row", place)
+    placed = placed.withColumn("__range", F.col("__at") - F.col("__row")).drop("__at")
 
     def write(base: versions.Snapshot) -> dict[str, dict[str, str]]:
         parts = versions.write_sorted(placed, root, "__range")

@@ -47,6 +47,20 @@ def test_deep_pages_equal_the_sort(spark, tmp_path):
     assert pages.Order(spark, f"{root}/none", df.schema).page(1, 5).count() == 0
 
 
+def test_small_parts_are_cut_from_few_ranges(spark, tmp_path, monkeypatch):
+    """Samples of the ranges go to the driver, so their number may not follow the parts."""
+    cut, asked = type(spark.range(1)).repartitionByRange, []
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda df, n, *by: asked.append(n) or cut(df, n, *by))
+    df, root = spark.range(20_000).withColumn("v", F.xxhash64("id")), str(tmp_path)
+    pages.build_order(df, [F.col("v"), F.col("id")], root, 50)
+    held = pages.Order(spark, root, df.schema)
+    assert asked == [pages.RANGES] and 400 <= len(held.parts) <= 600
+    assert max(b - a for a, b in zip(held.starts, [*held.starts[1:], held.total])) <= 50
+    want = sorted((r.v, r.id) for r in df.collect())
+    for number in (1, 11, 999, 2000):
+        assert [(r.v, r.id) for r in held.page(number, 10).orderBy("rank").collect()] == want[10 * (number - 1) : 10 * number]
+
+
 def test_release_diff_reads_what_differs(spark, tmp_path, monkeypatch):
     root, schema = str(tmp_path), "k int, a string, b double"
     old = [(k, f"a{k}", float(k)) for k in range(3000)] + [(None, "null key", 1.0)]
