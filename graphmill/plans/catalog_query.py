@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     scores = comp.latest_scores(tg.signals(spark, d), "view", "subject")
-    return tg.claims(spark, d).join(scores, "subject", "left")
+    return tg.claims(spark, d, scores)
 
 
 ROLLUP = """count(*) FILTER (source = 'fdc') AS n_fdc, count(*) FILTER (source = 'dmd') AS n_dmd, count(*) FILTER (source = 'lit') AS n_lit,
@@ -67,9 +67,7 @@ def composition_trust_low_only(spark, d):
 
 @query(f"{WITH_SCORED} SELECT food, chem, {ROLLUP}, count(*) FILTER (low) AS n_low FROM scored GROUP BY food, chem")
 def composition_trust_show_all(spark, d):
-    marked = comp.trust_filter(_scored(spark, d), "show_all")
-    low = marked.groupBy("food", "chem").agg(F.count_if("low").alias("n_low"))
-    return comp.rollup(marked).join(low, ["food", "chem"])
+    return comp.rollup(comp.trust_filter(_scored(spark, d), "show_all"), None, F.count_if("low").alias("n_low"))
 
 
 @query(f"WITH {tg.SIGNALS} SELECT subject AS user_id, signal_kind, score, created_at AS ts FROM signals WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY subject, signal_kind ORDER BY created_at DESC, signal_id DESC) = 1")

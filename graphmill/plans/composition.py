@@ -47,8 +47,8 @@ def trust_filter(claims: DataFrame, mode: str, threshold: float = LOW_TRUST) ->
     return {"default": marked.filter("not low"), "low_only": marked.filter("low"), "show_all": marked}[mode]
 
 
-def rollup(claims: DataFrame, largest: int | None = None) -> DataFrame:
-    """One row per (food, chem): claims per source and the exact median of eligible values.
+def rollup(claims: DataFrame, largest: int | None = None, *more: Column) -> DataFrame:
+    """One row per (food, chem): claims per source, ``more`` aggregates and the exact median of eligible values.
 
     With ``largest`` the medians of pairs with more values than that are found
     by distributed selection (``operators.select``), so no pair is one buffer;
@@ -59,10 +59,10 @@ def rollup(claims: DataFrame, largest: int | None = None) -> DataFrame:
         from ..operators.select import group_medians
 
         medians = group_medians(claims.withColumn("__value", eligible(F.col("conc"), F.col("unit"))), ["food", "chem"], "__value", largest)
-        counted = claims.groupBy("food", "chem").agg(*per).alias("l")
+        counted = claims.groupBy("food", "chem").agg(*per, *more).alias("l")
         same = F.col("l.food").eqNullSafe(F.col("r.food")) & F.col("l.chem").eqNullSafe(F.col("r.chem"))
         return counted.join(medians.alias("r"), same).select("l.*", "median")
-    return claims.groupBy("food", "chem").agg(*per, F.median(eligible(F.col("conc"), F.col("unit"))).alias("median"))
+    return claims.groupBy("food", "chem").agg(*per, F.median(eligible(F.col("conc"), F.col("unit"))).alias("median"), *more)
 
 
 def evidence_lists(claims: DataFrame) -> DataFrame:

@@ -18,11 +18,18 @@ def source_of(flag: str = "l_returnflag"):
     return F.when(F.col(flag) == "A", "fdc").when(F.col(flag) == "R", "dmd").otherwise("lit")
 
 
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    """``food, chem, part, source, attestation_id, premise, reference, conc, unit, subject, status``."""
+def claims(spark: SparkSession, d: str, by_subject: DataFrame | None = None) -> DataFrame:
+    """``food, chem, part, source, attestation_id, premise, reference, conc, unit, subject, status``.
+
+    The columns of ``by_subject``, one row per ``subject``, come after these
+    where given; they meet the orders, which are fewer than the claims.
+    """
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     p = table(spark, d, "part").select("p_partkey", "p_brand")
+    more = [c for c in by_subject.columns if c != "subject"] if by_subject is not None else []
+    if by_subject is not None:
+        o = o.join(by_subject, F.col("o_custkey") == F.col("subject"), "left").drop("subject")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return j.select(
         F.concat(F.lit("s"), "l_suppkey").alias("food"),
@@ -36,6 +43,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", "mg/100g").otherwise("g/100g").alias("unit"),
         F.col("o_custkey").alias("subject"),
         F.col("o_orderstatus").alias("status"),
+        *more,
     )
 
 

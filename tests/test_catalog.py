@@ -46,3 +46,11 @@ def test_every_query_has_a_name_of_its_own():
 
     names = [n for m in MODULES for n in m.QUERIES]
     assert len(names) == len(set(names))
+
+
+def test_trust_marks_are_counted_in_the_roll_up(spark, sf_dir):
+    """Claims are joined once and scores meet the orders, so line items are not shuffled again by subject."""
+    df = catalog.queries()["composition_trust_show_all"](spark, sf_dir)
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in tree.splitlines() if "Join " in line]) == 3
+    assert df.columns == ["food", "chem", "n_fdc", "n_dmd", "n_lit", "median", "n_low"]
