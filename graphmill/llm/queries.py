@@ -54,7 +54,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     evidence = langid.page_evidence(pages).unionByName(langid.document_evidence(docs))
-    found = langid.identify(evidence, langid.train(docs))
+    found = langid.identify_all(evidence, docs)
     of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
     return found.select(of("document").alias("doc_id"), of("page").alias("page_id"), "lang", "confidence", "text_lang", "declared", "host")
 

@@ -313,6 +313,24 @@ def test_tiff_floating_point_as_written_by_hand():
 # --- odd rows through operators and stages
 
 
+def test_every_language_is_learnt(spark):
+    """A language of one row in 600 is found, and blocks of languages give what one model gives."""
+    rng = random.Random(5)
+    speech = {"aa": "bab ebe lola mira tutu", "bb": "xyx zqz kwk qix vuz", "cc": "hhj jjh ghj fhg", "dd": "oup puo uop ppo", "ee": "sts tst sst tts"}
+    text = lambda lang, n: " ".join(rng.choice(speech[lang].split()) for _ in range(n))
+    docs = [(k, text("ab"[k % 2] * 2, 20), "ab"[k % 2] * 2, f"s{k % 3}") for k in range(600)]
+    docs += [(700, text("cc", 60), "cc", "s1"), (701, text("dd", 60), "dd", None), (702, text("ee", 60), "ee", "s2"), (703, "", None, "s0"), (704, None, "ff", None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    pages = [(k, f"http://h{k % 7}.{'ab'[k % 2] * 2}/x" if k % 3 else None, f"<html lang={lang}><p>{text(lang, 30)}</p>") for k, lang in enumerate([*speech] * 4)]
+    evidence = langid.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).unionByName(langid.document_evidence(table))
+    one, some = ({(r.kind, r.id): r for r in langid.identify_all(evidence, table, n).collect()} for n in (langid.RAREST, 4))
+    assert len(one) == len(docs) + len(pages) and one.keys() == some.keys()
+    for key, r in one.items():
+        assert (r.lang, r.text_lang, r.declared, r.host) == (some[key].lang, some[key].text_lang, some[key].declared, some[key].host)
+        assert abs(r.confidence - some[key].confidence) < 1e-6
+    assert [some["page", k].lang for k in range(5)] == [*speech] and some["document", 700].text_lang == "cc"
+
+
 def test_language_of_odd_rows(spark):
     """Nulls, empties, repeats, a very long page, clashing columns, empty tables, a column full of languages that occur once."""
     rng = random.Random(4)
