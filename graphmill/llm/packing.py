@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ K1, B = 1.2, 0.75
 LEAST_FREQUENCY = 64
 #: Characters of a text that are encoded at once.
 SLICE_CHARS = 1 << 20
+#: Characters of the texts whose units are looked up together.
+BATCH_CHARS = 1 << 22
 #: Marks the first stretch of a text, which has nothing in front; a unit begins with no white space but a line end.
 FIRST = "\r"
 #: Units that are encoded as one text.
@@ -104,41 +107,68 @@ class Encoder:
                 out += self._each([lead + u for u in part])
         return out
 
-    def _stretches(self, text: str) -> list[str]:
-        """A text as its first stretch, marked, and the units after it; white space other than single spaces stays inside them."""
-        if "\n" in text and "\n\n" not in text and not unsafe(text):
-            out = text.replace("\n", " \n").split(" ")  # a lone line end is a pre-token of its own and begins a unit
-            out[0] = FIRST + out[0]
-            return out
-        out = text.split(" ")
-        if unsafe(text):
-            units, out = out[1:], out[:1]
-            for u in units:
-                if u and out[-1] and not u[0].isspace() and not out[-1][-1].isspace():
-                    out.append(u)
-                else:
-                    out[-1] += " " + u
-            self.odd.update(u for u in out[1:] if not u or " " in u or u[-1].isspace())
+    def _stretches(self, text: str) -> list[str] | str:
+        """A text as its first stretch, marked, and the units after it; white space other than single spaces stays inside them.
+
+        A text whose spaces all begin units is one string, still to be cut at them.
+        """
+        if not unsafe(text):
+            # a lone line end is a pre-token of its own and begins a unit
+            return FIRST + (text.replace("\n", " \n") if "\n" in text and "\n\n" not in text else text)
+        units, out = (every := text.split(" "))[1:], every[:1]
+        for u in units:
+            if u and out[-1] and not u[0].isspace() and not out[-1][-1].isspace():
+                out.append(u)
+            else:
+                out[-1] += " " + u
+        self.odd.update(u for u in out[1:] if not u or " " in u or u[-1].isspace())
         out[0] = FIRST + out[0]
         return out
 
+    def _learn(self, units: list[str]) -> None:
+        """Put units into the memory that are not yet in it."""
+        firsts, lines, odd, plain = [], [], [], []
+        kinds = {FIRST: firsts, "\n": lines}
+        for u in units:
+            (odd if u in self.odd else kinds.get(u[:1], plain)).append(u)
+        self.memo.update(zip(firsts, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([u[len(FIRST) :] for u in firsts], add_special_tokens=False))))
+        self.memo.update(zip(lines, self._units([u[1:] for u in lines], "\n")))
+        self.memo.update(zip(odd, self._each([" " + u for u in odd])))
+        self.memo.update(zip(plain, self._units(plain)))
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as the library gives them, special strings inside texts included."""
+        """The ids of each text as the library gives them, special strings inside texts included.
+
+        Units are cut and numbered by Arrow; the memory is asked once for each
+        distinct unit of the texts, and ids are gathered by number.
+        """
         memo, self.odd = self.memo, set()
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
         parts = [[self._stretches(x) for x in slices(t, SLICE_CHARS)] for t in texts]
-        missing = set().union(*(p for ps in parts for p in ps)).difference(memo)
-        firsts = [u for u in missing if u.startswith(FIRST)]
-        odd = [u for u in self.odd if u in missing]
-        lines = [u for u in missing if u.startswith("\n")]
-        plain = list(missing.difference(firsts, odd, lines))
-        memo.update(zip(firsts, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([u[len(FIRST) :] for u in firsts], add_special_tokens=False))))
-        memo.update(zip(odd, self._each([" " + u for u in odd])))
-        memo.update(zip(lines, self._units([u[1:] for u in lines], "\n")))
-        memo.update(zip(plain, self._units(plain)))
-        look = memo.__getitem__
-        return [np.frombuffer(b"".join(b"".join(map(look, p)) for p in ps), self.kind) for ps in parts]
+        flat = [x for p in parts for x in p]
+        whole = [isinstance(x, str) for x in flat]
+        cut = pc.split_pattern(pa.array([x for x, w in zip(flat, whole) if w], pa.large_string()), " ")
+        listed = pa.array([x for x, w in zip(flat, whole) if not w], pa.list_(pa.large_string()))
+        units = pa.concat_arrays([cut.flatten(), listed.flatten()]).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(memo.get, distinct))
+        if missing := [k for k, ids in enumerate(found) if ids is None]:
+            self._learn([distinct[k] for k in missing])
+            for k in missing:
+                found[k] = memo[distinct[k]]
+        blob, n = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        codes = units.indices.to_numpy()
+        sizes = n[codes]
+        ends = np.cumsum(sizes)
+        ids = blob[np.repeat((np.cumsum(n) - n)[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        # where each part's ids lie: the whole ones come first
+        lengths = np.concatenate([c.value_lengths().to_numpy() for c in (cut, listed)]).astype(np.int64)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        stretches = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        one, other = iter(stretches[: len(cut)]), iter(stretches[len(cut) :])
+        each = iter([next(one) if w else next(other) for w in whole])
+        return [got[0] if len(got) == 1 else np.concatenate(got) for got in ([next(each) for _ in p] for p in parts)]
 
 
 def slices(text: str, size: int) -> Iterator[str]:
@@ -211,7 +241,7 @@ def encoded(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         for row in rows:
             held.append(row)
             weight += len(row[1])
-            if weight > 1 << 20:
+            if weight > BATCH_CHARS:
                 yield from flush(held)
                 held, weight = [], 0
         yield from flush(held)

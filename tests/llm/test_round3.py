@@ -128,6 +128,31 @@ def test_encoder_equals_library(bpe, monkeypatch):
                 assert "".join(packing.slices(t, 7)) == t
 
 
+def test_units_are_looked_up_once_a_batch(bpe):
+    """Repeated units of a batch cost no look-up of their own, whether their texts are cut in one piece or by hand."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    path, whole = bpe
+    texts = ["lead " + " ".join(["alpha", "beta,", "gamma"] * 500), "lead  two " + " ".join(["alpha", "delta"] * 500), ""] * 3
+    enc = packing.Encoder(path)
+    enc.memo = Counted()
+    for _ in range(2):
+        enc.memo.asked = 0
+        got = enc.encode_all(texts)
+        assert [ids.tolist() for ids in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert enc.memo.asked <= 20
+
+
 def check_packing(rows, pieces, whole, window=1024):
     """Every id in exactly one piece, checks right, sequences gapless, none above the window, all a power of two long."""
     texts = defaultdict(list)
