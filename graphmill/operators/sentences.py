@@ -25,7 +25,15 @@ LEAST_SEEN = 3
 #: Learnt tables with at most so many rows are broadcast.
 BROADCAST_ROWS = 500_000
 NUMBER = "##"
-#: Control characters that mark a cut inside a row; a text that holds this very sequence is cut there too.
+#: White space as the patterns below know it, and what may close after an end mark.
+SPACES = " \t\n\r\f\u000b"
+CLOSERS = "\"')]}»”’"
+_END = r"""[.!?…]["')\]}»”’]*"""
+#: The last word of a stretch.
+LAST = r"(?s).*(?<!\S)(\S+)"
+#: A stretch of a text up to a word that may end a sentence, with the white space after it; the last one is what is left.
+STRETCH = rf"(?s).*?{_END}(?:\s+|\z)|.+\z"
+#: Control characters that mark a cut inside a row; a text in which a sentence goes on after a period and that holds this very sequence is cut there too.
 CUT = "\u0001\u001e\u0001"
 
 
@@ -38,14 +46,9 @@ class Boundaries:
     collocations: DataFrame
 
 
-def pieces(text: Column) -> Column:
-    """A text's words, each with the white space after it."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+\s*"), F.lit(0))
-
-
 def _core(word: Column) -> Column:
     """A word without closing quotes, brackets and white space after it and opening ones before."""
-    return F.ltrim(F.rtrim(word, F.lit("\"')]}»”’ \t\n\r\f\u000b")), F.lit("\"'([{«“‘"))
+    return F.ltrim(F.rtrim(word, F.lit(CLOSERS + SPACES)), F.lit("\"'([{«“‘"))
 
 
 def _base(core: Column) -> Column:
@@ -69,20 +72,31 @@ def dots(core: Column) -> Column:
     return core.endswith("..") | core.endswith("…")
 
 
-def _pairs(df: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """One row per word: ``keep``, its place ``at``, and ``x``: ``core`` and the word after it (``next``, null at the end)."""
-    cores = df.select(*keep, F.transform(pieces(F.col(text)), _core).alias("core"))  # computed once, not once per use below
-    return cores.select(*(c for c in cores.columns if c != "core"), F.posexplode(F.arrays_zip("core", F.slice("core", F.lit(2), F.size("core")).alias("next"))).alias("at", "x"))
+def words_of(df: DataFrame, text: str) -> DataFrame:
+    """One row per word of every text: ``word`` as it stands, and ``first``, whether it begins the text."""
+    words = df.select(F.posexplode(F.split(F.ltrim(F.col(text), F.lit(SPACES)), r"\s+")).alias("at", "word"))
+    return words.filter("word <> ''").select("word", (F.col("at") == 0).alias("first"))
 
 
-def words_of(df: DataFrame, text: str) -> DataFrame:
-    """One row per word of every text: ``core, base, dot, word`` (the next word's base, null at the end) and ``upper``, ``lower`` (how that begins)."""
-    return _described(_pairs(df, text))
+def stretches(text: Column) -> Column:
+    """A text cut after each word that may end a sentence; null has no stretches."""
+    return F.regexp_extract_all(text, F.lit(STRETCH), F.lit(0))
+
+
+def stops_of(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """One row per word that may end a sentence and has a word after it: ``keep``, its number ``at`` among these, ``core`` and the ``next`` word's."""
+    found = df.select(*keep, stretches(F.col(text)).alias("x"))  # computed once, not once per use below
+    kept = [c for c in found.columns if c != "x"]
+    rows = found.select(*kept, F.posexplode(F.arrays_zip("x", F.slice("x", F.lit(2), F.size("x")).alias("y"))).alias("at", "z")).filter("z.y is not null")
+    return rows.select(*kept, "at", _core(F.regexp_extract("z.x", LAST, 1)).alias("core"), _core(F.regexp_extract("z.y", r"\S+", 0)).alias("next"))
+
+
+def _upper(core: Column) -> Column:
+    return core.rlike(r"^\p{Lu}")
 
 
-def _described(rows: DataFrame, *keep: str) -> DataFrame:
-    core, next_ = F.col("x.core"), F.col("x.next")
-    return rows.select(*keep, core.alias("core"), _base(core).alias("base"), in_doubt(core).alias("dot"), _base(next_).alias("word"), next_.rlike(r"^\p{Lu}").alias("upper"), next_.rlike(r"^\p{Ll}").alias("lower"))
+def _lower(core: Column) -> Column:
+    return core.rlike(r"^\p{Ll}")
 
 
 def _fit(df: DataFrame) -> DataFrame:
@@ -119,25 +133,37 @@ def initial(base: Column) -> Column:
 
 def learn(df: DataFrame, text: str = "text") -> Boundaries:
     """Learn from all texts. Null and empty texts add nothing, repeated texts count as often as they occur; no texts give empty tables."""
-    words = words_of(df, text)
-    counts = store(words.groupBy("base").agg(F.count_if("dot").alias("dots"), F.count_if(~F.col("dot")).alias("plain")), "words")
+    # words are counted as they stand, so their forms are described once each
+    words = words_of(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("first")).select(_core(F.col("word")).alias("core"), "n", "first")
+    words = store(words.groupBy("core").agg(F.sum("n").alias("n"), F.sum("first").alias("first")), "forms")
+    dot = F.when(in_doubt(F.col("core")), F.col("n")).otherwise(F.lit(0))
+    counts = store(words.groupBy(_base(F.col("core")).alias("base")).agg(F.sum(dot).alias("dots"), F.sum(F.col("n") - dot).alias("plain")), "words")
     total, all_dots = (x or 0 for x in counts.agg(F.sum(F.col("dots") + F.col("plain")), F.sum("dots")).first())
     score = abbreviation_score(F.col("dots"), F.col("plain"), F.lit(all_dots), F.lit(total), F.col("base"))
     found = counts.filter((F.col("dots") >= LEAST_SEEN) & (F.col("base") != NUMBER) & F.col("base").rlike(r"\p{L}")).filter(score >= ABBREVIATION_SCORE)
     abbreviations = store(found.select("base"), "abbreviations")
 
-    marked = words.filter("word is not null").join(_fit(abbreviations.withColumn("abbreviated", F.lit(True))), "base", "left").withColumn("abbreviated", F.coalesce("abbreviated", F.lit(False)))
-    dotted = F.col("dot") & ~dots(F.col("core"))
-    ended = (ends(F.col("core")) & ~F.col("dot")) | (dotted & ~F.col("abbreviated"))
+    # of the words before others only those that may end a sentence matter, and by name only those after which one may go on
+    stops = stops_of(df, text).select(_base(F.col("core")).alias("base"), in_doubt(F.col("core")).alias("dot"), dots(F.col("core")).alias("dots"), "next")
+    stops = stops.join(_fit(abbreviations.withColumn("abbreviated", F.lit(True))), "base", "left").withColumn("abbreviated", F.coalesce("abbreviated", F.lit(False)))
+    ended = ~F.col("dot") | (~F.col("dots") & ~F.col("abbreviated"))
     open_ = F.col("dot") & (F.col("abbreviated") | (F.col("base") == NUMBER) | initial(F.col("base")))
-    counted = marked.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(ended).alias("after_end"), F.count_if("lower").alias("lower"), F.count_if(F.col("upper") & ~ended & ~F.col("dot")).alias("upper_mid"), F.count_if(F.col("dot")).alias("exposed"))
+    stops = stops.groupBy(F.when(open_, F.col("base")).alias("base"), "dot", ended.alias("ended"), "next").agg(F.count(F.lit(1)).alias("n"))
+    stops = store(stops.withColumn("word", _base(F.col("next"))), "stops")
+
+    # words that begin no text come after one; those not after a word that may end a sentence are what is left
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    when = lambda c: F.when(c, n).otherwise(zero)
+    own = words.withColumn("n", n - F.col("first")).select(_base(F.col("core")).alias("word"), "n", zero.alias("after_end"), when(_lower(F.col("core"))).alias("lower"), when(_upper(F.col("core"))).alias("upper_mid"), zero.alias("exposed"))
+    less = stops.select("word", zero.alias("n"), when(F.col("ended")).alias("after_end"), zero.alias("lower"), (-when(_upper(F.col("next")))).alias("upper_mid"), when(F.col("dot")).alias("exposed"))
+    counted = own.unionByName(less).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "after_end", "lower", "upper_mid", "exposed"))).filter("n > 0")
     counted = store(counted, "next-words")
     breaks, every = (x or 0 for x in counted.agg(F.sum("after_end"), F.sum("n")).first())
     starts = collocation_score(F.lit(breaks), F.col("n"), F.col("after_end"), F.lit(every))
     starter = F.col("word").rlike(r"\p{L}") & ~initial(F.col("word")) & (F.col("after_end") > 0) & (starts > STARTER_SCORE)
     vocabulary = store(counted.filter("exposed > 0").select("word", starter.alias("starter"), (F.col("lower") > 0).alias("lower"), (F.col("upper_mid") > 0).alias("upper_mid")), "vocabulary")
 
-    pairs = marked.filter(open_).groupBy("base", "word").agg(F.count(F.lit(1)).alias("both")).filter("both > 1")
+    pairs = stops.filter("base is not null").groupBy("base", "word").agg(F.sum("n").alias("both")).filter("both > 1")
     pairs = pairs.join(_fit(store(counts.filter("dots > 0").select("base", "dots"), "dotted")), "base").join(counted.select("word", "n"), "word")
     tied = collocation_score(F.col("dots"), F.col("n"), F.col("both"), F.lit(every)) > COLLOCATION_SCORE
     collocations = store(pairs.filter(tied).select("base", "word"), "collocations")
@@ -159,17 +185,18 @@ def split_sentences(df: DataFrame, text: str, keep: list[str], learnt: Boundarie
     cut where they stand. Null and empty texts have no sentences; a text without
     an end mark is one; line ends are white space like any other.
     """
-    doubtful = _pairs(df, text, F.md5(text).alias("__text")).filter(in_doubt(F.col("x.core")) & F.col("x.next").isNotNull())
-    doubts = _described(doubtful, "__text", "at")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    doubts = stops_of(df, text, F.md5(text).alias("__text")).filter(in_doubt(F.col("core"))).withColumn("base", _base(F.col("core")))
     doubts = doubts.join(_fit(learnt.abbreviations.withColumn("__a", F.lit(True))), "base", "left")
     open_ = known("__a") | (F.col("base") == NUMBER) | initial(F.col("base")) | dots(F.col("core"))
-    doubts = doubts.filter(open_).join(_fit(learnt.words.withColumnsRenamed({"starter": "__s", "lower": "__l", "upper_mid": "__u"})), "word", "left")
+    doubts = doubts.filter(open_).select("*", _base(F.col("next")).alias("word"), _upper(F.col("next")).alias("upper"), _lower(F.col("next")).alias("lower"))
+    doubts = doubts.join(_fit(learnt.words.withColumnsRenamed({"starter": "__s", "lower": "__l", "upper_mid": "__u"})), "word", "left")
     doubts = doubts.join(_fit(learnt.collocations.withColumn("__c", F.lit(True))), ["base", "word"], "left")
     on = doubts.filter(goes_on(known("__a"), known("__s"), known("__l"), known("__u"), known("__c")))
     joints = store(on.groupBy("__text").agg(F.collect_set("at").alias("__on")), "joints")
     rows = df.withColumn("__text", F.md5(text)).join(_fit(joints), "__text", "left")
-    stops = lambda x, i: ends(_core(x)) & ~F.coalesce(F.array_contains("__on", i), F.lit(False))
-    marked = F.array_join(F.transform(pieces(F.col(text)), lambda x, i: F.when(stops(x, i), F.concat(x, F.lit(CUT))).otherwise(x)), "")
-    made = F.filter(F.transform(F.split(marked, CUT), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    whole = stretches(F.col(text))
+    marked = F.array_join(F.transform(whole, lambda x, i: F.when(F.array_contains("__on", i), x).otherwise(F.concat(x, F.lit(CUT)))), "")
+    cut = F.when(F.col("__on").isNull(), whole).otherwise(F.split(marked, CUT))
+    made = F.filter(F.transform(cut, lambda s: F.trim(s, F.lit(SPACES))), lambda s: s != "")
     return rows.select(*keep, F.posexplode(made).alias("sentence_no", "sentence"))

@@ -98,3 +98,30 @@ def test_planted_sentence_boundaries(spark):
     assert 900 not in out and 901 not in out and 902 not in out and out[903] == {0: "no end mark"} and out[906] == {0: "One.Two three."}
     nothing = sentences.learn(frame.limit(0))
     assert nothing.abbreviations.count() == 0 and sentences.split_sentences(frame.filter("id = 903"), "text", ["id"], nothing).count() == 1
+
+
+def test_learning_reads_texts_twice(spark):
+    """Words and the words that may end a sentence are counted in one pass each, whatever is learnt from them."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(f"Text {k} has fg. {k} and fg. {k} of a leaf. It is done! Is it? Yes.",) for k in range(40)]
+    learnt = sentences.learn(spark.createDataFrame(rows, "text string").select(seen.asNondeterministic()("text").alias("text")))
+    assert learnt.words.count() > 0 and read.value <= 2 * len(rows)
+
+
+def test_odd_ends_and_marks(spark):
+    """Words of nothing but marks, a text's own control characters, and white space of all kinds; nothing is lost but that."""
+    nothing = sentences.learn(spark.createDataFrame([], "text string"))
+    texts = {". . a": [".", ".", "a"], " \t\"A bee.\"\x0bC!)\nD": ['"A bee."', "C!)", "D"], f"a {sentences.CUT}b. c": [f"a {sentences.CUT}b.", "c"], "a.'b\" c?": ["a.'b\" c?"], "x!! y\u00a0z. ": ["x!!", "y\u00a0z."], ")": [")"]}
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = {}
+    for r in sentences.split_sentences(frame, "text", ["id"], nothing).collect():
+        out.setdefault(r.id, {})[r.sentence_no] = r.sentence
+    assert [[out[k][i] for i in sorted(out[k])] for k in range(len(texts))] == list(texts.values())
