@@ -45,11 +45,12 @@ def composition_expanded(spark, d):
     """From triplets down to attestations and evidence, then rolled up"""
     from ..operators import build
 
-    c = tg.claims(spark, d).withColumn("evidence_id", F.concat(F.lit("ev"), "reference"))
+    # kept once, or the joins behind the claims would be shuffled for each of the three tables
+    c = store(tg.claims(spark, d).select("food", "part", "source", "attestation_id", "conc", "unit", F.concat(F.lit("ev"), "reference").alias("evidence_id"), "reference"), "claims")
     triplets = build.merge_triplets(c.select(F.col("food").alias("head_id"), F.lit("r1").alias("relationship_id"), F.col("part").alias("tail_id"), "source", "attestation_id"))
     # an attestation belongs to one triplet; order and line number are not unique together with part and supplier
     attestations = c.select("attestation_id", "evidence_id", "source", "conc", "unit")
-    evidence = c.select("evidence_id", "reference").distinct()
+    evidence = c.select("evidence_id", "reference").dropDuplicates(["evidence_id"])  # its reference is part of the id; one shuffle serves the join too
     flat = comp.expand(triplets, attestations, evidence).filter("reference is not null")
     return comp.rollup(flat.withColumnsRenamed({"head_id": "food", "tail_id": "chem"}))
 

@@ -166,3 +166,11 @@ def test_scores_upserted_by_part(spark, tmp_path):
     assert streaming.read_signals(spark, f"{tmp_path}/out", 0).count() == 50
     streaming.upsert_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/c2", 4).awaitTermination()
     assert {r.signal_id: r.score for r in streaming.read_signals(spark, f"{tmp_path}/out").collect()} == got
+
+
+def test_expanded_composition_joins_claims_once(spark, sf_dir):
+    """Triplets, attestations and evidence come from claims that are kept, not from three joins of line items and orders."""
+    from graphmill.plans import catalog
+
+    df = catalog.queries()["composition_expanded"](spark, sf_dir)
+    assert df.count() > 0 and not any("lineitem" in f or "orders" in f for f in df.inputFiles())
