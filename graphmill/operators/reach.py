@@ -112,14 +112,17 @@ def _empty(spark: SparkSession, root: str, schema) -> str:
 
 
 def reach_labels(edges: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """``node, pre, last`` and ``low_<k>``: labels that decide most questions of reachability without any pairs.
+    """``node, pre, last``, ``low_<k>`` and ``up_<k>``: labels that decide most questions of reachability without any pairs.
 
     ``pre`` numbers a spanning forest (each node under its least parent) so that
     a node's subtree is ``pre`` to ``last``; nodes that their least parents lead
     into a cycle have none. ``low_<k>`` is the least of the random numbers of
     order ``k`` at or below the node: where a node is below another, none of its
-    lows is less than the other's. Paths double in length every round, lows take
-    as many rounds as the graph is deep; hubs are combined before shuffles.
+    lows is less than the other's. ``up_<k>`` has one of 64 bits set for each node
+    at or above the node: where a node is below another, it has all of the other's
+    bits. Paths double in length every round, lows and bits take as many rounds
+    as the graph is deep, of nodes that have others below them; hubs are combined
+    before shuffles.
     """
     step = store(_edges(edges).filter("head <> tail"), "edges")
     nodes = store(step.select(F.col("head").alias("node")).union(step.select("tail")).union(_edges(edges).select("head")).distinct(), "nodes")
@@ -141,18 +144,30 @@ def reach_labels(edges: DataFrame, orders: int = ORDERS) -> DataFrame:
     sizes = placed.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     forest = placed.select("node", "pre").join(sizes, "node").select("node", "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
 
-    names = [f"low_{k}" for k in range(orders)]
-    lows = store(nodes.select("node", *(F.xxhash64("node", F.lit(k)).alias(n) for k, n in enumerate(names))), "lows")
-    changed = lows
+    lows, ups = [f"low_{k}" for k in range(orders)], [f"up_{k}" for k in range(orders)]
+    low = lambda key, k: F.xxhash64(key, F.lit(k))
+    bit = lambda key, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(orders + k)), F.lit(64)).cast("int"))
+    # a node without others below it has its own numbers and tells its parents nothing new after the first round
+    first = step.groupBy(F.col("tail").alias("node")).agg(*(F.min(low("head", k)).alias(n) for k, n in enumerate(lows)))
+    tops = store(first.select("node", *(F.least(n, low("node", k)).alias(n) for k, n in enumerate(lows)), *(bit("node", k).alias(n) for k, n in enumerate(ups))), "tops")
+    inner = store(step.join(fit(tops).select(F.col("node").alias("head")), "head", "left_semi"), "inner-edges")
+    changed = tops
     while not changed.isEmpty():
-        told = changed.join(step, F.col("node") == F.col("head")).groupBy(F.col("tail").alias("node")).agg(*(F.min(n).alias(f"__{n}") for n in names))
-        both = store(lows.join(told, "node", "left").select("node", *names, *(F.least(n, F.coalesce(f"__{n}", n)).alias(f"new_{n}") for n in names)), "lows")
+        some = fit(changed)
+        below = some.join(inner, F.col("node") == F.col("head")).select(F.col("tail").alias("node"), *lows, *(F.lit(None).cast("long").alias(n) for n in ups))
+        above = some.join(inner, F.col("node") == F.col("tail")).select(F.col("head").alias("node"), *(F.lit(None).cast("long").alias(n) for n in lows), *ups)
+        told = below.union(above).groupBy("node").agg(*(F.min(n).alias(f"new_{n}") for n in lows), *(F.bit_or(n).alias(f"new_{n}") for n in ups))
+        new = lambda n: F.coalesce(F.least(n, f"new_{n}") if n in lows else F.col(n).bitwiseOR(F.col(f"new_{n}")), F.col(n))
         differs = F.lit(False)
-        for n in names:
-            differs = differs | (F.col(f"new_{n}") < F.col(n))
-        lows = both.select("node", *(F.col(f"new_{n}").alias(n) for n in names))
-        changed = both.filter(differs).select("node", *(F.col(f"new_{n}").alias(n) for n in names))
-    return store(lows.join(forest, "node", "left"), "labels")
+        for n in (*lows, *ups):
+            differs = differs | (new(n) != F.col(n))
+        both = store(tops.join(told, "node", "left").select("node", *(new(n).alias(n) for n in (*lows, *ups)), differs.alias("differs")), "tops")
+        tops, changed = both.drop("differs"), store(both.filter("differs").drop("differs"), "changed")
+    told = step.join(fit(store(tops, "tops")).withColumnRenamed("node", "tail"), "tail").groupBy(F.col("head").alias("node")).agg(*(F.bit_or(n).alias(f"new_{n}") for n in ups))
+    own = nodes.select("node", *(low("node", k).alias(f"own_{n}") for k, n in enumerate(lows)), *(bit("node", k).alias(f"own_{n}") for k, n in enumerate(ups)))
+    own = own.join(told, "node", "left").join(fit(tops), "node", "left")
+    marks = own.select("node", *(F.coalesce(n, f"own_{n}").alias(n) for n in lows), *(F.col(f"own_{n}").bitwiseOR(F.coalesce(f"new_{n}", F.lit(0))).alias(n) for n in ups))
+    return store(marks.join(forest, "node", "left"), "labels")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -171,33 +186,40 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def is_below(pairs: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``node, anc, below``: for each distinct pair whether ``anc`` is a proper ancestor of ``node``, as ``closure`` would say.
 
-    Intervals decide for, lows against; what is left walks upwards from the node,
-    only through nodes that the labels leave possible, until an interval or the
-    ancestor itself is met. Unknown nodes are below nothing; nulls are dropped; a
-    node is below itself in a cycle only.
+    Intervals decide for, lows and bits against; what is left walks upwards from
+    the node, only through nodes that the labels leave possible, until an interval
+    or the ancestor itself is met. Unknown nodes are below nothing; nulls are
+    dropped; a node is below itself in a cycle only.
     """
-    names = [c for c in labels.columns if c.startswith("low_")]
-    side = lambda key, mark: labels.select(F.col("node").alias(key), *(F.col(c).alias(f"{mark}{c}") for c in ("pre", "last", *names)))
+    lows, ups = ([c for c in labels.columns if c.startswith(p)] for p in ("low_", "up_"))
+    side = lambda df, key, mark: df.select(F.col("node").alias(key), *(F.col(c).alias(f"{mark}{c}") for c in ("pre", "last", *lows, *ups)))
     step = store(_edges(edges), "edges")
+    # only these have anything below them
+    tops = fit(store(labels.join(step.select(F.col("tail").alias("node")).distinct(), "node", "left_semi"), "tops"))
+    inner = store(step.join(tops.select(F.col("node").alias("head")), "head", "left_semi"), "inner-edges")
     inside = (F.col("a_pre") < F.col("n_pre")) & (F.col("n_pre") <= F.col("a_last"))
     out_of = F.lit(False)
-    for c in names:
+    for c in lows:
         out_of = out_of | (F.col(f"n_{c}") < F.col(f"a_{c}"))
-    marked = pairs.select("node", "anc").filter("node is not null and anc is not null").distinct().join(side("anc", "a_"), "anc", "left").join(side("node", "n_"), "node", "left")
-    unknown = F.col(f"n_{names[0]}").isNull() | F.col(f"a_{names[0]}").isNull()
-    state = F.when(unknown | out_of, F.lit(False)).when(inside, F.lit(True))
-    asked = store(marked.withColumn("below", state), "asked")
-    found = asked.filter("below").select("node", "anc")
-    upper = [f"a_{c}" for c in ("pre", "last", *names)]
-    frontier = store(asked.filter("below is null").select("node", "anc", F.col("node").alias("at"), *upper), "frontier")
-    seen = frontier.select("node", "anc", "at")
+    for c in ups:
+        out_of = out_of | (F.col(f"n_{c}").bitwiseAND(F.col(f"a_{c}")) != F.col(f"a_{c}"))
+    known = pairs.select("node", "anc").filter("node is not null and anc is not null").distinct().join(side(labels, "node", "n_"), "node", "left")
+    marked = known.join(side(tops, "anc", "a_"), "anc", "left")
+    unknown = F.col(f"n_{lows[0]}").isNull() | F.col(f"a_{lows[0]}").isNull()
+    asked = store(marked.select("node", "anc", F.when(unknown | out_of, F.lit(False)).when(inside, F.lit(True)).alias("below")), "asked")
+    left = asked.filter("below is null").select("node", "anc")
+    found, ways = left.sparkSession.createDataFrame([], PAIRS), step
+    seen = frontier = store(left.withColumn("at", F.col("node")), "frontier")
     while not frontier.isEmpty():
-        up = frontier.join(step, F.col("at") == F.col("head")).select("node", "anc", F.col("tail").alias("at"), *upper).distinct()
-        here = store(up.join(side("at", "n_"), "at", "left").withColumn("hit", (F.col("at") == F.col("anc")) | F.coalesce(inside, F.lit(False))).filter(F.col("hit") | ~out_of), "walk")
+        up = frontier.join(ways, F.col("at") == F.col("head")).select("node", "anc", F.col("tail").alias("at")).distinct()
+        met = up.join(side(tops, "anc", "a_"), "anc").join(side(tops, "at", "n_"), "at")
+        hit = (F.col("at") == F.col("anc")) | F.coalesce(inside, F.lit(False))
+        here = store(met.withColumn("hit", hit).filter(F.col("hit") | ~out_of).select("node", "anc", "at", "hit"), "walk")
         hits = store(here.filter("hit").select("node", "anc").distinct(), "hits")
-        found = found.unionByName(hits)
-        frontier = here.join(hits, ["node", "anc"], "left_anti").join(seen, ["node", "anc", "at"], "left_anti")
-        frontier = store(frontier.select("node", "anc", "at", *upper), "frontier")
-        seen = seen.unionByName(frontier.select("node", "anc", "at"))
+        found, ways = found.unionByName(hits), inner
+        frontier = here.select("node", "anc", "at").join(hits, ["node", "anc"], "left_anti").join(seen, ["node", "anc", "at"], "left_anti")
+        frontier = store(frontier, "frontier")
+        seen = seen.unionByName(frontier)
     yes = store(found.distinct().withColumn("yes", F.lit(True)), "below")
-    return asked.select("node", "anc").join(yes, ["node", "anc"], "left").select("node", "anc", F.coalesce("yes", F.lit(False)).alias("below"))
+    walked = left.join(yes, ["node", "anc"], "left").select("node", "anc", F.coalesce("yes", F.lit(False)).alias("below"))
+    return asked.filter("below is not null").unionByName(walked)

@@ -140,7 +140,7 @@ def reach_labels(spark, d):
     e, li, part = tg.edges(spark, d), tg.table(spark, d, "lineitem"), tg.table(spark, d, "part")
     named = li.join(part, F.col("p_partkey") == F.col("l_suppkey"))
     me, seller = F.concat(F.lit("p"), "l_partkey").alias("node"), F.concat(F.lit("s"), "l_suppkey").alias("node")
-    asked = named.select(me, F.concat(F.lit("b:"), "p_brand").alias("anc")).union(named.select(me, F.concat(F.lit("t:"), "p_type"))).union(li.select(me, F.lit("chem"))).union(li.select(seller, F.concat(F.lit("r"), (F.col("l_linenumber") % 5).cast("string")))).union(part.select(F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("t:"), "p_type")))
+    asked = named.select(me, F.concat(F.lit("b:"), "p_brand").alias("anc")).union(named.select(me, F.concat(F.lit("t:"), "p_type"))).union(li.select("l_partkey").distinct().select(me, F.lit("chem"))).union(li.select("l_suppkey", (F.col("l_linenumber") % 5).cast("string").alias("r")).distinct().select(seller, F.concat(F.lit("r"), "r"))).union(part.select(F.concat(F.lit("b:"), "p_brand"), F.concat(F.lit("t:"), "p_type")))
     return reach.is_below(asked, e, reach.reach_labels(e))
 
 

@@ -102,3 +102,15 @@ def test_reach_labels_equal_closure(spark):
     assert reach.is_below(pairs, frame, labels).count() == len(every) ** 2
     empty = spark.createDataFrame([], EDGE)
     assert reach.reach_labels(empty).count() == 0
+
+
+def test_bits_rule_out_what_lows_leave_open(spark):
+    """Leaves under two parents each, asked about parents that are not theirs: labels alone decide nearly all, as no walk has to."""
+    edges = [(f"x{k:03d}", f"a{k % 7}") for k in range(300)] + [(f"x{k:03d}", f"b{k % 20:02d}") for k in range(300)]
+    edges += [(f"a{k}", "top") for k in range(7)] + [(f"b{k:02d}", "top") for k in range(20)]
+    rows = {r.node: r.asDict() for r in reach.reach_labels(spark.createDataFrame(edges, EDGE)).collect()}
+    below, ups = closure_of(edges), [f"up_{k}" for k in range(reach.ORDERS)]
+    covered = lambda node, anc: all(rows[node][u] & rows[anc][u] == rows[anc][u] for u in ups)
+    assert all(covered(*p) for p in below)
+    others = [(f"x{k:03d}", f"b{j:02d}") for k in range(300) for j in range(20) if j != k % 20]
+    assert sum(covered(*p) for p in others) < len(others) / 50
