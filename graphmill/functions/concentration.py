@@ -81,15 +81,20 @@ def milk_concentration(value: Column, unit: Column, estimate: Column, glycan: Co
     return F.when(out != 0, out)
 
 
-def converted(df: DataFrame, raw: str) -> DataFrame:
-    """``df`` with ``conc`` (the parsed struct) and ``conc_value`` (mg/100g) of a text column.
+def with_converted(df: DataFrame, value: Column, unit: Column) -> DataFrame:
+    """``df`` with ``conc_value``, what ``convert`` gives of a value and its unit.
 
     Each step sits behind an explode, which keeps the optimiser from repeating
     the long expression wherever a field of it is used.
     """
-    parsed = df.select("*", F.explode(F.array(parse(F.col(raw)))).alias("conc"))
-    parsed = parsed.select("*", F.explode(F.array(_unit_parts(F.col("conc.unit")))).alias("__u"))
-    pieces = F.struct(numeric(F.col("conc.value")).alias("n"), _ratio(F.col("__u")).alias("m"))
-    pieces = parsed.select("*", F.explode(F.array(pieces)).alias("__p"))
+    parts = df.select("*", F.explode(F.array(_unit_parts(unit))).alias("__u"))
+    pieces = F.struct(numeric(value).alias("n"), _ratio(F.col("__u")).alias("m"))
+    pieces = parts.select("*", F.explode(F.array(pieces)).alias("__p"))
     out = F.col("__p.n") * F.col("__p.m")
     return pieces.withColumn("conc_value", F.when((F.col("__p.n") > 0) & (out <= CEILING), out)).drop("__p", "__u")
+
+
+def converted(df: DataFrame, raw: str) -> DataFrame:
+    """``df`` with ``conc`` (the parsed struct) and ``conc_value`` (mg/100g) of a text column."""
+    parsed = df.select("*", F.explode(F.array(parse(F.col(raw)))).alias("conc"))
+    return with_converted(parsed, F.col("conc.value"), F.col("conc.unit"))

@@ -67,9 +67,10 @@ def attest(resolved: DataFrame, source: str, reference: Column, relation: Column
     full = resolved.withColumns({"reference": reference, "relationship_id": relation, "source": F.lit(source), "raw_value": (value if value is not None else none).cast("string"), "raw_unit": unit if unit is not None else none})
     full = full.withColumn("evidence_id", content_id("ev", F.lit(source), F.col("reference")))
     full = full.withColumn("attestation_id", content_id("at", F.col("evidence_id"), F.col("source"), F.col("head_native_id"), F.col("tail_native_id")))
-    full = full.withColumn("conc_value", concentration.convert(F.col("raw_value"), F.col("raw_unit")))
     evidence = full.select("evidence_id", F.col("source").alias("source_type"), "reference").dropDuplicates(["evidence_id"])
-    attestations = first_per(full, ["attestation_id"], [F.col("raw_value").asc_nulls_last(), F.col("head_id"), F.col("tail_id")]).select("attestation_id", "evidence_id", "source", F.col("head_native_id").alias("head_name_raw"), F.col("tail_native_id").alias("tail_name_raw"), "conc_value", F.when(F.col("conc_value").isNotNull(), "mg/100g").alias("conc_unit"), F.col("raw_value").alias("conc_value_raw"), F.col("raw_unit").alias("conc_unit_raw"), "head_candidates", "tail_candidates")
+    kept = first_per(full, ["attestation_id"], [F.col("raw_value").asc_nulls_last(), F.col("head_id"), F.col("tail_id")])
+    # converted once for each attestation that is kept
+    attestations = concentration.with_converted(kept, F.col("raw_value"), F.col("raw_unit")).select("attestation_id", "evidence_id", "source", F.col("head_native_id").alias("head_name_raw"), F.col("tail_native_id").alias("tail_name_raw"), "conc_value", F.when(F.col("conc_value").isNotNull(), "mg/100g").alias("conc_unit"), F.col("raw_value").alias("conc_value_raw"), F.col("raw_unit").alias("conc_unit_raw"), "head_candidates", "tail_candidates")
     return evidence, attestations, merge_triplets(full.select("head_id", "relationship_id", "tail_id", "source", "attestation_id"))
 
 
