@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import store
+from .skew import fit as fit_rows
 
 SECTIONS = ("TITLE", "ABSTRACT", "INTRO", "METHODS", "RESULTS", "DISCUSS", "CONCL")
 PASSAGE_TYPES = ("paragraph", "abstract")
@@ -102,13 +103,19 @@ def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TER
     3. Close lengths: pairs that share a token and nearly all letters, each met at
        its least token.
 
-    Lengths, letters and shared tokens are compared inside Spark; only pairs of
-    close lengths and few edits are scored in Python. Tokens of the terms are
-    broadcast if few, so sentences stay where they are.
+    Sentences of the same words meet the terms once. Lengths, letters and shared
+    tokens are compared inside Spark; only pairs of close lengths and few edits
+    are scored in Python. Tokens of the terms are broadcast if few, so sentences
+    stay where they are.
     """
     ratio = least / (200 - least)
     chars = lambda c: F.length(F.array_join(c, " "))
-    s = sents.select(F.col(key), tokens(F.col("sentence")).alias("words")).filter(F.size("words") > 0)
+    # explode keeps the optimiser from cutting the words anew for the filter and the digest
+    said = sents.select(F.col(key).alias("__of"), F.explode(F.array(tokens(F.col("sentence")))).alias("words")).filter(F.size("words") > 0)
+    said = store(said.withColumn("__words", F.sha2(F.array_join("words", " "), 256)), "said")
+    # sentences of the same words are matched once; the numbers are fixed where they are stored
+    s = store(said.select("__words", "words").distinct().withColumn(key, F.monotonically_increasing_id()), "texts")
+    numbers, s = s.select("__words", key), s.select(key, "words")
     t = terms.select("term", tokens(F.col("term")).alias("term_words")).filter(F.size("term_words") > 0).distinct()
     t = store(t.withColumns({"t_chars": chars(F.col("term_words")), "t_letters": _letters(F.col("term_words"))}), "terms")
     size, longest = t.agg(F.coalesce(F.sum(F.size("term_words")), F.lit(0)), F.coalesce(F.max("t_chars"), F.lit(0))).first()
@@ -153,6 +160,9 @@ def match_terms(sents: DataFrame, terms: DataFrame, key: str, least: float = TER
     far = far.select(key, "term", inside.alias("score"))
     close = third.select(key, "term", measured("words", "term_words").alias("score"))
     best = far.unionByName(close).filter(F.col("score") >= least).groupBy(key).agg(F.min_by(F.struct("term", "score"), F.struct(-F.col("score"), "term")).alias("b"))
+    named = store(numbers.join(best, key).select("__words", "b.term", "b.score"), "matched")
+    every = said.join(fit_rows(named), "__words").select(F.col("__of").alias(key), "term", "score")
+    best = every.groupBy(key).agg(F.min_by(F.struct("term", "score"), F.struct(-F.col("score"), "term")).alias("b"))
     return best.select(key, "b.term", "b.score")
 
 

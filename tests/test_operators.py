@@ -13,6 +13,7 @@ from graphmill.operators import build, graph, text
 from graphmill.plans import composition as comp
 from graphmill.schemas import TRUST_SIGNALS, conform
 from graphmill.sources import versions
+from graphmill.storage import store
 
 
 def rows(df, *cols):
@@ -174,3 +175,13 @@ def test_expanded_composition_joins_claims_once(spark, sf_dir):
 
     df = catalog.queries()["composition_expanded"](spark, sf_dir)
     assert df.count() > 0 and not any("lineitem" in f or "orders" in f for f in df.inputFiles())
+
+
+def test_sentences_of_the_same_words_are_matched_once(spark, monkeypatch):
+    """Copies reach the pairs as one text, each gets the same row, and a key with several sentences keeps the best."""
+    met = []
+    monkeypatch.setattr(text, "store", lambda df, name: (met.append(df.count()) if name == "sentences" else None, store(df, name))[1])
+    sents = [(k, f"Green tea leaf {k % 3}!") for k in range(90)] + [(90, "green tea"), (90, "apple juice x")]
+    out = text.match_terms(spark.createDataFrame(sents, "key int, sentence string"), spark.createDataFrame([("green tea leaf",), ("apple juice",)], "term string"), "key")
+    assert sorted((r.key, r.term, r.score) for r in out.collect()) == [(k, "green tea leaf", 100.0) for k in range(90)] + [(90, "apple juice", 100.0)]
+    assert met == [5]
