@@ -8,15 +8,18 @@ Each task sends on a spanning forest of the links it finds, so a large group of
 near copies costs rows in proportion to its size, and components are found by
 label propagation with pointer jumping over stored tables.
 
-Where a similarity is asked for (``similar_groups``), fingerprints only propose:
-within the components of a wide radius each link is decided on the five-word
-shingles themselves. Texts are near copies at a similarity of 0.8 or more: of
+Where a similarity is asked for (``similar_groups``), tiles of all fingerprints
+would meet too often: there texts meet only where the least hashes of their
+shingles meet (``proposals``). Fingerprints then only propose: within the
+components of a wide radius each link is decided on the five-word shingles
+themselves. Texts are near copies at a similarity of 0.8 or more: of
 their shingle sets (Jaccard), or, where at least half of these are shared, of
 their words, a word counting as shared when a shared shingle covers it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +43,11 @@ LEAST_SHARE = 0.8
 LEAST_SHARED = 0.5
 #: Pairs up to this distance are compared exactly: 4.8 standard deviations beyond the mean at ``LEAST_SHARED``.
 CANDIDATE_RADIUS = 185
+#: Texts meet by the least of their shingle hashes, so many at most. Near copies share ``SKETCH_SHARED`` of these at least, or what
+#: short texts can: certainly up to some 120 shingles, beyond but for a chance of 2.4e-15 a pair at a share of one half.
+SKETCH, SKETCH_SHARED = 64, 4
+#: Shingles that more sketches hold count as common: a line of many texts.
+COMMON = 256
 #: Shingle sets compared at once in a task: so many, and so many bytes of them.
 SET_TILE, SET_BYTES = 1024, 2 << 20
 TILE = 8192
@@ -63,8 +71,8 @@ def _shingles(text: str | None, words: int) -> list[bytes]:
 def _majority(hashes: np.ndarray) -> np.ndarray:
     """Bytes whose bits are set where over half of the rows have them set."""
     ones = np.zeros(hashes.shape[1] * 8, np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[at : at + 4096], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        ones += np.unpackbits(hashes[at : at + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(ones * 2 > len(hashes), bitorder="little")
 
 
@@ -89,12 +97,17 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return x.astype("<u8").view(np.uint8).reshape(len(hashes), -1)
 
 
-def shingle_list(text: str | None, words: int = WIDE_WORDS) -> tuple[bytes, np.ndarray]:
-    """``WIDE_BITS`` of SimHash and the 64-bit hashes of all shingles in order; texts without words have one empty shingle."""
+def shingle_hashes(text: str | None, words: int = WIDE_WORDS) -> np.ndarray:
+    """The 64-bit hashes of all shingles in order; texts without words have one empty shingle."""
     from xxhash import xxh3_64_intdigest
 
     shingles = _shingles(text, words) or [b""]
-    hashes = np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+    return np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64, len(shingles))
+
+
+def shingle_list(text: str | None, words: int = WIDE_WORDS) -> tuple[bytes, np.ndarray]:
+    """``WIDE_BITS`` of SimHash and ``shingle_hashes``."""
+    hashes = shingle_hashes(text, words)
     return _majority(_spread(np.unique(hashes))).tobytes(), hashes
 
 
@@ -303,6 +316,114 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, wide: bool = False) -
     return out.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def sketch(kinds: np.ndarray, shared_least: float = LEAST_SHARED) -> tuple[bytes, int]:
+    """The least of a text's distinct shingle hashes (``kinds``, ascending), 8 bytes each, and how many of them any near copy's sketch holds too.
+
+    A near copy shares at least ``shared_least`` of the distinct shingles of
+    either text, so that many places before the end of any common order the
+    sketches must have met; ``SKETCH`` of them are kept.
+    """
+    overlap = max(1, math.ceil(shared_least * len(kinds) - 1e-9))
+    need = min(SKETCH_SHARED, overlap)
+    return kinds[: min(SKETCH, len(kinds) - overlap + need)].tobytes(), need
+
+
+def bucket_links(bucket: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (child, root) of ids that span what is within ``radius`` in one bucket; equal ``bucket`` values stand together."""
+    names, at = np.unique(ids, return_inverse=True)
+    forest, first, apart = Forest(len(names)), np.arange(len(ids)), 1
+    while True:
+        first = first[first + apart < len(ids)]
+        first = first[bucket[first] == bucket[first + apart]]
+        if not len(first):
+            break
+        for begin in range(0, len(first), 65536):
+            u = first[begin : begin + 65536]
+            u = u[np.bitwise_count(fps[u] ^ fps[u + apart]).sum(1, dtype=np.int64) <= radius]
+            forest.link(at[u], at[u + apart])
+        apart += 1
+    child = np.flatnonzero(forest.parent != np.arange(len(names)))
+    return names[child], names[forest.parent[child]]
+
+
+def proposals(texts: DataFrame, radius: int) -> DataFrame:
+    """``fp_a, fp_b``: links of ids that connect all near copies within ``radius`` bits.
+
+    ``texts`` is a stored table of distinct ``id, fp, sketch, need``. Texts that
+    share a hash of their sketches meet in its bucket, where fingerprints are
+    compared. A bucket of at most ``COMMON`` texts is compared whole, so that
+    work follows the texts. Near copies that share no such hash share common
+    ones alone, ``need`` of them at least: texts with fewer do not meet there,
+    and the others only in their rarest buckets, as many as must have one in
+    common. Such buckets are cut into tiles that meet pairwise in tasks of their
+    own; their work is quadratic in texts made of the same common lines, not in all texts.
+    """
+    import pyarrow as pa
+
+    made = "fp_a long, fp_b long"
+    link = lambda child, root: pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["fp_a", "fp_b"])
+
+    def spread(batches):
+        for batch in batches:
+            held = batch.column("sketch").to_pylist()
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) // 8 for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), pa.array(ids)], names=["h", "id"])
+
+    postings = texts.select("id", "sketch").mapInArrow(spread, "h long, id long")
+    often = postings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(postings.join(often, "h"), "shared")
+    fps = texts.select("id", "fp", "need")
+
+    def near(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column("h").to_numpy(), batch.column("id").to_numpy(), np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, -1)]
+            rows = [np.concatenate(x) for x in zip(held, rows)] if held else rows
+            end = np.searchsorted(rows[0], rows[0][-1])  # the last bucket may go on
+            held = [x[end:] for x in rows]
+            yield link(*bucket_links(*(x[:end] for x in rows), radius))
+        if held:
+            yield link(*bucket_links(*held, radius))
+
+    rare = shared.filter(F.col("n") <= COMMON).select("h", "id").join(fps.select("id", "fp"), "id").select("h", "id", "fp")
+    found = rare.repartition("h").sortWithinPartitions("h").mapInArrow(near, made)
+
+    lists = shared.filter(F.col("n") > COMMON).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("hs"))
+    lists = lists.join(fps, "id").filter(F.size("hs") >= F.col("need"))
+    lists = lists.select("id", "fp", F.explode(F.slice("hs", F.lit(1), F.size("hs") - F.col("need") + 1)).alias("s"))
+    members = stored(lists.select("s.h", "id", "fp"), "common-members")
+    sizes = stored(members.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "common-sizes")
+    pairs = sizes.agg(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2)).first()[0]
+    if not pairs:
+        return found
+    cut = members.join(checked(sizes.select("h", "tiles")), "h").withColumn("tile", F.pmod(F.xxhash64("id", F.lit(13)), F.col("tiles")).cast("int"))
+    tiles = stored(cut.groupBy("h", "tiles", "tile").agg(F.collect_list(F.struct("id", "fp")).alias("m")), "common-tiles")
+    left = tiles.select("h", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), F.col("m").alias("a"))
+    right = tiles.select("h", F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("m").alias("b"))
+    right = right.withColumn("b", F.when(F.col("i") < F.col("j"), F.col("b")))  # a tile meets itself once
+    keys, tasks = ["h", "i", "j"], min(10_000, max(8, int(pairs) // 4))
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("shuffle_hash"), keys).select("a", "b")
+
+    def across(batches):
+        def side(cell) -> tuple[np.ndarray, np.ndarray]:
+            ids, words = cell.values.flatten()
+            return ids.to_numpy(), np.frombuffer(b"".join(words.to_pylist()), np.uint64).reshape(len(ids), -1)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids, a), cell = side(batch.column(0)[k]), batch.column(1)[k]
+                b = None
+                if cell.is_valid:
+                    more, b = side(cell)
+                    ids = np.concatenate([ids, more])
+                child, root = tile_forest(a, b, radius)
+                yield link(ids[child], ids[root])
+
+    return found.union(met.mapInArrow(across, made))
+
+
 def covered(shared: np.ndarray, words: int = WIDE_WORDS) -> int:
     """Words that shared shingles cover; ``shared`` has a flag per shingle, in order."""
     at = np.flatnonzero(shared)
@@ -389,14 +510,17 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, shared_least: fl
 
     def mark(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, text in rows:
-            fp, hashes = shingle_list(text)
-            yield key, _signature(hashes), fp, int(np.bitwise_count(np.frombuffer(fp, np.uint8)).sum()), len(hashes)
-
-    marked = stored(map_rows(source, mark, f"doc_id {kind}, sig binary, fp binary, ones int, size int", rows=4096), "marked")
-    sigs = stored(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("size").cast("long").alias("size")), "signatures")
+            hashes = shingle_hashes(text)
+            kinds = np.unique(hashes)
+            yield key, _signature(hashes), _majority(_spread(kinds)).tobytes(), len(hashes), *sketch(kinds, shared_least)
+
+    marked = stored(map_rows(source, mark, f"doc_id {kind}, sig binary, fp binary, size int, sketch binary, need int", rows=4096), "marked")
+    of_sig = [F.min(c).alias(c) for c in ("fp", "sketch", "need")]  # equal in all rows of one
+    sigs = marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.min("size").cast("long").alias("size"), *of_sig)
+    sigs = stored(sigs.withColumn("id", F.monotonically_increasing_id()), "signatures")
     total, texts = marked.count(), sigs.count()
-    roots = components(links(sigs.groupBy("fp").agg(F.min("ones").alias("ones")), radius))
-    rooted = stored(sigs.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("sig", "root", "first", "size"), "rooted")
+    roots = components(proposals(sigs.select("id", "fp", "sketch", "need"), radius)).withColumnRenamed("fp", "id")
+    rooted = stored(sigs.select("id", "sig", "first", "size").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("sig", "root", "first", "size"), "rooted")
     per_root = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum("size") * 8 / SET_BYTES)).alias("parts")).filter("n > 1")
     loose = stored(join_skewed(rooted, stored(per_root, "loose-sizes"), "root", "n", texts, "inner").select("sig", "root", "parts", "first"), "loose")
 
@@ -422,7 +546,7 @@ def similar_groups(docs: DataFrame, share: float = LEAST_SHARE, shared_least: fl
             star = [{"fp_a": m["sig"], "fp_b": members[g]["sig"]} for m, g in zip(members, groups.tolist()) if m is not members[g]]
             yield root, parts, tile, members if parts > 1 else [], star
 
-    tiles = stored(map_rows(tiles, own, f"root binary, parts long, tile long, members {member}, star {link}", rows=64), "set-tiles")
+    tiles = stored(map_rows(tiles, own, f"root long, parts long, tile long, members {member}, star {link}", rows=64), "set-tiles")
     large = tiles.filter("parts > 1")
     star = tiles.select(F.explode("star").alias("s")).select("s.fp_a", "s.fp_b")
     if large.limit(1).count():
@@ -470,7 +594,7 @@ def keep_first(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
 
     @F.pandas_udf("binary")
     def signature(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _signature(shingle_list(t)[1]))
+        return texts.map(lambda t: _signature(shingle_hashes(t)))
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = twice.select(row.alias("r"), signature("text").alias("s"))
