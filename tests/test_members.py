@@ -112,3 +112,24 @@ def test_key_filters_are_built_without_sorting_rows(spark, tmp_path):
     want = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("target").alias("least"), F.max("target").alias("most"))
     assert Counter(map(tuple, made.select("file", "least", "most").distinct().collect())) == Counter(map(tuple, want.collect()))
     assert made._jdf.queryExecution().sparkPlan().toString().count("SortAggregate") == 2  # only places that are distinct are sorted
+
+
+def test_rows_of_a_group_meet_its_members_run_by_run(spark, monkeypatch):
+    """So that files of the product repeat short sequences; null and repeated keys as in a join."""
+    monkeypatch.setattr(skew, "RUN", 2, raising=False)
+    rows = spark.createDataFrame([("g", k) for k in range(4)] + [("h", 7), ("h", 7), ("i", 8), (None, 9)], "grp string, n int").coalesce(1)
+    members = spark.createDataFrame([("g", m) for m in "edcba"] + [("h", "z"), ("h", "z"), ("j", "y"), (None, "x")], "grp string, m string")
+    out = [(r.grp, r.n, r.m) for r in skew.with_members(rows, members, "grp", False).select("grp", "n", "m").collect()]
+    assert Counter(out) == Counter([("g", k, m) for k in range(4) for m in "abcde"] + [("h", 7, "z")] * 4)
+    met = [m for g, _, m in out if g == "g"]
+    assert [set(met[:8]), set(met[8:16]), set(met[16:])] == [{"a", "b"}, {"c", "d"}, {"e"}]
+
+
+def test_repeated_sequences_keep_products_small_on_disk(spark, tmp_path):
+    from graphmill.operators import build
+
+    edges = spark.createDataFrame([(str(k % 3), "1") for k in range(9)], "head_native_id string, tail_native_id string").distinct()
+    ids = lambda n, keys, pre: spark.range(n).select((F.col("id") % keys).cast("string").alias("native_id"), F.concat(F.lit(pre), (F.col("id") * 7919 % 100_003).cast("string")).alias("entity_id"))
+    out = build.resolve_counted(edges, ids(600, 3, "h"), ids(6_000, 2, "t"))
+    out.write.parquet(str(tmp_path / "out"))
+    assert out.count() == 600 * 3_000 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * 600 * 3_000
